@@ -35,4 +35,5 @@ def load_all() -> None:
     from provspark.plans import (  # noqa: F401
         queries_community,
         queries_matching,
+        queries_web,
     )

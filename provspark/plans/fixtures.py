@@ -448,6 +448,48 @@ _fx(
 )
 
 
+_fx(
+    "fx_response",
+    "pages",
+    """
+    SELECT page_id AS image_id,
+           CASE WHEN page_id % 12 = 5 THEN '{"code":429,"messages":["Too many requests","slow down"]}'
+                WHEN page_id % 12 = 7 THEN '{"code":500}'
+                ELSE '{"code":200,"results":{"total_results":' || CAST(page_id % 5 + 2 AS STRING) || ',"matches":[{"score":'
+                  || CAST(60 + page_id * 37 % 41 AS STRING) || ',"domain":"d' || CAST(page_id % 9 AS STRING) || '.org","backlinks":[{'
+                  || CASE WHEN page_id % 3 = 0 THEN '"url":""' ELSE '"url":"' || url || '"' END
+                  || ',"backlink":"http://back.example/' || CAST(page_id AS STRING) || '","crawl_date":"'
+                  || CASE WHEN page_id % 4 = 1 THEN '2021-05-' || lpad(CAST(page_id % 28 + 1 AS STRING), 2, '0')
+                          WHEN page_id % 4 = 2 THEN 'spring 2020' ELSE '' END
+                  || '"},{"url":"http://second.example"}]},{"score":81}]}}' END AS response_json
+    FROM {pages}
+    """,
+)
+
+_fx(
+    "fx_data_url",
+    "pages",
+    """
+    SELECT page_id, CASE page_id % 8
+             WHEN 0 THEN 'data:image/png;base64,' || b WHEN 1 THEN 'data:;base64,' || b
+             WHEN 2 THEN 'data:image/svg+xml;charset=utf-8,%3Csvg%20a+b' || CAST(page_id AS STRING) || '%3E'
+             WHEN 3 THEN 'data:image/gif;BASE64,' || b WHEN 4 THEN 'data:nothing' || CAST(page_id AS STRING)
+             WHEN 5 THEN 'data:image/png;base64,' || b || '!' WHEN 6 THEN 'data:image/png;base64,' || b || '?cut#off'
+             ELSE 'data:,plain' || CAST(page_id AS STRING) END AS url
+    FROM (SELECT page_id, regexp_replace(base64(CAST(html AS BINARY)), '[\\r\\n]', '') AS b FROM {pages})
+    """,
+    """
+    SELECT page_id, CASE page_id % 8
+             WHEN 0 THEN 'data:image/png;base64,' || b WHEN 1 THEN 'data:;base64,' || b
+             WHEN 2 THEN 'data:image/svg+xml;charset=utf-8,%3Csvg%20a+b' || CAST(page_id AS STRING) || '%3E'
+             WHEN 3 THEN 'data:image/gif;BASE64,' || b WHEN 4 THEN 'data:nothing' || CAST(page_id AS STRING)
+             WHEN 5 THEN 'data:image/png;base64,' || b || '!' WHEN 6 THEN 'data:image/png;base64,' || b || '?cut#off'
+             ELSE 'data:,plain' || CAST(page_id AS STRING) END AS url
+    FROM (SELECT page_id, base64(encode(html)) AS b FROM pages)
+    """,
+)
+
+
 def dependencies(names: str | list[str]) -> list[str]:
     """The named derived tables and everything derived they rest on, in build order."""
     order: list[str] = []
