@@ -12,7 +12,8 @@ MIN_CROP_CONTRAST = 8.0
 
 
 def clamp01(x: Column) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
+    """``x`` kept within [0, 1]; null stays null (``least`` and ``greatest`` alone would skip it)."""
+    return F.when(x.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)))
 
 
 def normalize(box: Column) -> Column:
