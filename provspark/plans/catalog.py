@@ -34,6 +34,7 @@ def load_all() -> None:
     """Import every module that registers queries."""
     from provspark.plans import (  # noqa: F401
         queries_community,
+        queries_evidence,
         queries_geometry,
         queries_matching,
         queries_web,
