@@ -37,5 +37,6 @@ def load_all() -> None:
         queries_evidence,
         queries_geometry,
         queries_matching,
+        queries_reports,
         queries_web,
     )
