@@ -24,9 +24,15 @@ API_GENERIC = "Unable to complete TinEye search. Please try again later."
 _WS = r"[\s\x1c-\x1f\x85\p{Z}]"
 
 
+_WS_CHARS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+
+
 def strip(text: Column) -> Column:
     """Remove white space, Unicode included, at both ends."""
-    return F.regexp_replace(text, f"^{_WS}+|{_WS}+$", "")
+    return F.btrim(text, F.lit(_WS_CHARS))
 
 
 def plural(n: Column, suffix: str = "s") -> Column:

@@ -1,7 +1,9 @@
 """Signed-manifest analytics over ``(image_id, manifest_json)``.
 
 A store is read in two steps: its map of manifests as text, then the active one with a typed schema. Everything about
-one manifest stays in its row as arrays, so these are pure projections without a shuffle; long forms explode at the end.
+one manifest stays in its row as arrays, so these are pure projections without a shuffle; long forms explode at the end,
+with the outer form and a filter after it: the inner form makes Spark test the array's size first, and with it compute
+the array twice.
 """
 
 from __future__ import annotations
@@ -50,13 +52,22 @@ NO_MANIFEST = "No C2PA signature found."
 UNREADABLE = "Failed to read C2PA manifest"
 
 STORE_SCHEMA = "active_manifest string, manifests map<string,string>, validation_status array<string>"
-ACTIVE_SCHEMA = (
-    "title string, format string, instance_id string, claim_generator string, "
-    "signature_info map<string,string>, "
-    "claim_generator_info array<struct<name:string,identifier:string,version:string>>, "
-    "assertions array<struct<label:string,url:string,data:string>>, "
-    "ingredients array<map<string,string>>, validation_status array<string>, validation_results map<string,string>"
+# Parts of the active manifest by need; each analysis parses only its own, assertion data in the shape it wants.
+_ACTION = (
+    "struct<action:string,label:string,digitalSourceType:string,digital_source_type:string,"
+    "parameters:struct<digitalSourceType:string,digital_source_type:string>,softwareAgent:string,software_agent:string>"
 )
+PARTS = {
+    "head": "title string, format string, instance_id string, claim_generator string",
+    "signature": "signature_info map<string,string>",
+    "generators": "claim_generator_info array<struct<name:string,identifier:string,version:string>>",
+    "assertions": "assertions array<struct<label:string,url:string,data:string>>",
+    "exif": "assertions array<struct<label:string,url:string,data:map<string,string>>>",
+    "actions": f"assertions array<struct<label:string,url:string,data:struct<actions:array<{_ACTION}>>>>",
+    "ingredients": "ingredients array<map<string,string>>",
+    "statuses": "validation_status array<string>",
+    "results": "validation_results map<string,string>",
+}
 
 
 def _text(c: Column) -> Column:
@@ -98,80 +109,86 @@ def origin_label(signals: Column) -> Column:
     )
 
 
-def parse_stores(stores: DataFrame) -> DataFrame:
-    """One row per store with ``status`` and, when FOUND, the active manifest ``m`` and its store's statuses."""
+def parse_stores(stores: DataFrame, *parts: str) -> DataFrame:
+    """One row per store with ``status`` and, when FOUND, the named parts of the active manifest as ``m``.
+
+    The active manifest leaves its map through ``explode_outer``: a filter on it then stays above that step instead
+    of being pushed down as one more parse of the whole store.
+    """
+    keep = [c for c in stores.columns if c != "manifest_json"]
     opened = stores.withColumn("s", F.from_json("manifest_json", STORE_SCHEMA))
+    # A store that is valid but has none of the fields read here is empty, not broken.
     broken = F.col("s").isNull() | (
         F.col("s.active_manifest").isNull() & F.col("s.manifests").isNull() & F.col("s.validation_status").isNull()
         & ~F.coalesce(F.col("manifest_json").rlike(r"^\s*\{[\s\S]*\}\s*$"), F.lit(False))
     )
-    active = F.element_at("s.manifests", F.col("s.active_manifest"))
-    status = F.when(broken, "ERROR").when(_text(active).isin("", "{}"), "NOT FOUND").otherwise("FOUND")
+    active = F.map_filter("s.manifests", lambda k, v: (k == F.col("s.active_manifest")) & ~_text(v).isin("", "{}"))
     picked = opened.select(
-        *[c for c in stores.columns if c != "manifest_json"], status.alias("status"), active.alias("active_text"),
-        F.col("s.active_manifest").alias("manifest_label"), F.size("s.manifests").alias("manifest_count"),
-        F.col("s.validation_status").alias("store_status"),
+        *keep, broken.alias("broken"), F.col("s.active_manifest").alias("manifest_label"),
+        F.size("s.manifests").alias("manifest_count"), F.col("s.validation_status").alias("store_status"),
+        F.explode_outer(F.map_values(active)).alias("active_text"),
     )
-    return picked.withColumn("m", F.from_json("active_text", ACTIVE_SCHEMA)).drop("active_text")
+    status = F.when(F.col("broken"), "ERROR").when(F.col("active_text").isNull(), "NOT FOUND").otherwise("FOUND")
+    return picked.withColumns({"status": status, "m": F.from_json("active_text", ", ".join(PARTS[p] for p in parts))}).drop("broken")
 
 
 def found(parsed: DataFrame) -> DataFrame:
-    return parsed.filter("status = 'FOUND'")
+    return parsed.filter("active_text is not null").drop("active_text")
 
 
-def with_assertions(parsed: DataFrame) -> DataFrame:
-    """Add ``assertions`` as an array of (label, data text)."""
-    entry = F.transform(
-        F.coalesce("m.assertions", F.array().cast("array<struct<label:string,url:string,data:string>>")),
-        lambda a: F.struct(_text(_or(a["label"], a["url"])).alias("label"), a["data"].alias("data")),
-    )
-    return parsed.withColumn("assertions", entry)
+def _labelled(label: Column, url: Column) -> Column:
+    return _text(_or(label, url))
 
 
 def with_actions(parsed: DataFrame) -> DataFrame:
-    """Add ``actions``: an array of structs with name, display name, source type, agent and origin signal."""
-    rows = with_assertions(parsed)
-    chosen = F.filter("assertions", lambda a: F.lower(a["label"]).contains("actions"))
+    """Add ``actions`` (name, display name, source type, agent, origin signal) and the sorted ``origin_signals``.
+
+    Needs the ``actions`` part.
+    """
+    chosen = F.filter("m.assertions", lambda a: F.lower(_labelled(a["label"], a["url"])).contains("actions"))
     raw = F.flatten(F.transform(
-        chosen, lambda a: F.coalesce(
-            F.from_json(a["data"], "actions array<map<string,string>>")["actions"], F.array().cast("array<map<string,string>>")
-        )
+        F.coalesce(F.filter(chosen, lambda a: a["data"]["actions"].isNotNull()), F.array().cast(f"array<struct<label:string,url:string,data:struct<actions:array<{_ACTION}>>>>")),
+        lambda a: a["data"]["actions"],
     ))
-    rows = rows.withColumn("raw_actions", F.filter(raw, lambda i: i.isNotNull()))
 
     def pick(i: Column) -> Column:
-        params = F.from_json(i["parameters"], "map<string,string>")
+        params = i["parameters"]
         direct = X.strip(_text(_or(i["digitalSourceType"], i["digital_source_type"])))
         nested = X.strip(_text(_or(params["digitalSourceType"], params["digital_source_type"])))
         agent = _text(_or(i["softwareAgent"], i["software_agent"]))
-        parts = F.from_json(agent, "struct<name:string,identifier:string,version:string>")
         is_object = agent.startswith("{")
-        full = F.array_join(F.array_compact(F.array(
-            _or(X.strip(_text(_or(parts["name"], parts["identifier"])))),
-            F.when(X.strip(_text(_or(parts["name"], parts["identifier"]))) != "", _or(X.strip(_text(parts["version"])))),
-        )), " ")
+        # Only objects are parsed: failing to parse plain names would cost far more than the test.
+        agent_parts = F.from_json(F.when(is_object, agent), "struct<name:string,identifier:string,version:string>")
         return F.struct(
             X.strip(_text(_or(i["action"], i["label"]))).alias("action"),
             F.when(direct != "", direct).otherwise(nested).alias("digital_source_type"),
-            F.when(is_object, full).otherwise(X.strip(agent)).alias("software_agent"),
+            X.strip(F.when(~is_object, agent)).alias("agent_text"), agent_parts.alias("agent"),
+        )
+
+    rows = parsed.withColumn("picked", F.transform(F.filter(raw, lambda i: i.isNotNull()), pick))
+
+    def full(a: Column) -> Column:
+        name = X.strip(_text(_or(a["agent"]["name"], a["agent"]["identifier"])))
+        version = X.strip(_text(a["agent"]["version"]))
+        named = F.when((name != "") & (version != ""), F.concat(name, F.lit(" "), version)).otherwise(name)
+        return F.struct(
+            a["action"].alias("action"), action_display(a["action"]).alias("action_display"),
+            a["digital_source_type"].alias("digital_source_type"), F.coalesce(a["agent_text"], named).alias("software_agent"),
+            origin_signal(a["digital_source_type"]).alias("origin_signal"),
         )
 
-    rows = rows.withColumn("picked", F.transform("raw_actions", pick))
-    full_rows = F.transform("picked", lambda a: F.struct(
-        a["action"].alias("action"), action_display(a["action"]).alias("action_display"),
-        a["digital_source_type"].alias("digital_source_type"), a["software_agent"].alias("software_agent"),
-        origin_signal(a["digital_source_type"]).alias("origin_signal"),
-    ))
     # An entry without any content is not an action.
-    kept = F.filter(full_rows, lambda a: (a["action"] != "") | (a["digital_source_type"] != "") | (a["software_agent"] != ""))
-    signals = F.array_sort(F.array_distinct(F.filter(
-        F.transform("actions", lambda a: a["origin_signal"]), lambda s: s.isNotNull())))
-    return rows.withColumn("actions", kept).drop("raw_actions", "picked").withColumn("origin_signals", signals)
+    rows = rows.withColumn("actions", F.filter(
+        F.transform("picked", full),
+        lambda a: (a["action"] != "") | (a["digital_source_type"] != "") | (a["software_agent"] != ""),
+    )).drop("picked")
+    signals = F.array_distinct(F.filter(F.transform("actions", lambda a: a["origin_signal"]), lambda s: s.isNotNull()))
+    return rows.withColumn("origin_signals", F.array_sort(signals))
 
 
 def manifest_active(stores: DataFrame) -> DataFrame:
     """Status, signer, summary and head data of each store's active manifest."""
-    rows = with_actions(parse_stores(stores)).withColumn("origin_label", origin_label(F.col("origin_signals")))
+    rows = with_actions(parse_stores(stores, "head", "signature", "ingredients", "actions")).withColumn("origin_label", origin_label(F.col("origin_signals")))
     signer = F.coalesce(_or(F.col("m.signature_info")["issuer"], F.col("m.claim_generator")), F.lit(UNKNOWN_SIGNER))
     ok = F.col("status") == "FOUND"
     label = F.when(F.col("origin_label") != "", F.concat(F.lit(" ("), "origin_label", F.lit(")"))).otherwise("")
@@ -197,33 +214,32 @@ def manifest_active(stores: DataFrame) -> DataFrame:
 
 def manifest_assertions(stores: DataFrame) -> DataFrame:
     """One row per assertion with its position, label and data text."""
-    rows = with_assertions(found(parse_stores(stores)))
-    return rows.select("image_id", F.posexplode("assertions").alias("pos", "a")).select(
-        "image_id", F.col("pos").cast("bigint").alias("pos"), "a.label", "a.data"
+    rows = found(parse_stores(stores, "assertions"))
+    return rows.select("image_id", F.posexplode_outer("m.assertions").alias("pos", "a")).filter("a is not null").select(
+        "image_id", F.col("pos").cast("bigint").alias("pos"), _labelled(F.col("a.label"), F.col("a.url")).alias("label"), "a.data"
     )
 
 
 def manifest_actions(stores: DataFrame) -> DataFrame:
     """One row per action of the active manifest."""
-    rows = with_actions(found(parse_stores(stores)))
-    return rows.select("image_id", F.posexplode("actions").alias("pos", "a")).select(
+    rows = with_actions(found(parse_stores(stores, "actions")))
+    return rows.select("image_id", F.posexplode_outer("actions").alias("pos", "a")).filter("pos is not null").select(
         "image_id", F.col("pos").cast("bigint").alias("pos"), "a.*"
     )
 
 
 def capture_details(stores: DataFrame) -> DataFrame:
     """Capture fields from EXIF assertions: per field the first assertion that has it, keys in any case."""
-    rows = with_assertions(found(parse_stores(stores)))
-    exif = F.filter("assertions", lambda a: F.lower(a["label"]).rlike(r"stds\.exif|c2pa\.exif"))
-    rows = rows.withColumn("exif", F.transform(exif, lambda a: F.from_json(a["data"], "map<string,string>")))
+    rows = found(parse_stores(stores, "exif"))
+    exif = F.filter("m.assertions", lambda a: F.lower(_labelled(a["label"], a["url"])).rlike(r"stds\.exif|c2pa\.exif"))
+    rows = rows.withColumn("exif", F.filter(F.transform(exif, lambda a: a["data"]), lambda m: m.isNotNull()))
 
     def first(key: str) -> Column:
         def value(m: Column) -> Column:
             hits = F.filter(F.map_entries(m), lambda e: F.lower(e["key"]) == key.lower())
             return X.strip(_text(F.get(hits, F.lit(0))["value"]))
 
-        values = F.transform(F.filter("exif", lambda m: m.isNotNull()), value)
-        return F.get(F.filter(values, lambda v: v != ""), F.lit(0))
+        return F.get(F.filter(F.transform("exif", value), lambda v: v != ""), F.lit(0))
 
     return rows.select("image_id", *[first(raw).alias(name) for raw, name in CAPTURE_KEYS])
 
@@ -256,6 +272,9 @@ def _code(item: Column) -> Column:
     return F.lower(X.strip(F.when(item.startswith("{"), of_object).otherwise(item)))
 
 
+CODE_PARTS = ("ingredients", "statuses", "results")
+
+
 def with_codes(parsed: DataFrame) -> DataFrame:
     """Add ``codes``: sorted distinct validation codes from every place they may stand."""
     empty = F.array().cast("array<string>")
@@ -277,7 +296,7 @@ def with_codes(parsed: DataFrame) -> DataFrame:
 
 def signature_status(stores: DataFrame) -> DataFrame:
     """``invalid``, ``valid`` or null per store: any failure wins over any success."""
-    rows = with_statuses(found(parse_stores(stores)))
+    rows = with_statuses(found(parse_stores(stores, "ingredients", "statuses", "results")))
     first_ingredient = F.get("m.ingredients", F.lit(0))
     nodes = F.array(
         F.col("m.validation_results")["activeManifest"],
@@ -295,18 +314,20 @@ def signature_status(stores: DataFrame) -> DataFrame:
 
 def validation_status_list(stores: DataFrame) -> DataFrame:
     """Long form of the distinct status texts, in order of appearance."""
-    rows = with_statuses(found(parse_stores(stores)))
-    return rows.select("image_id", F.posexplode("statuses").alias("pos", "status_text")).withColumn("pos", F.col("pos").cast("bigint"))
+    rows = with_statuses(found(parse_stores(stores, "ingredients", "statuses")))
+    out = rows.select("image_id", F.posexplode_outer("statuses").alias("pos", "status_text")).filter("pos is not null")
+    return out.withColumn("pos", F.col("pos").cast("bigint"))
 
 
 def validation_codes(stores: DataFrame) -> DataFrame:
     """Long form of the distinct validation codes."""
-    return with_codes(found(parse_stores(stores))).select("image_id", F.explode("codes").alias("code"))
+    rows = with_codes(found(parse_stores(stores, *CODE_PARTS)))
+    return rows.select("image_id", F.explode_outer("codes").alias("code")).filter("code is not null")
 
 
 def ingredient_summary(stores: DataFrame) -> DataFrame:
     """Non-empty fields and statuses per ingredient; ingredients without any are left out."""
-    rows = found(parse_stores(stores)).select("image_id", F.posexplode("m.ingredients").alias("pos", "i"))
+    rows = found(parse_stores(stores, "ingredients")).select("image_id", F.posexplode_outer("m.ingredients").alias("pos", "i"))
     fields = F.map_filter(
         F.create_map(*[x for f in INGREDIENT_FIELDS for x in (F.lit(f), F.col("i")[f])]),
         lambda k, v: v.isNotNull() & (v != ""),
@@ -318,7 +339,7 @@ def ingredient_summary(stores: DataFrame) -> DataFrame:
 
 def generator_info(stores: DataFrame) -> DataFrame:
     """``name version`` per generator of the active manifest; nameless entries are left out."""
-    rows = found(parse_stores(stores)).select("image_id", F.posexplode("m.claim_generator_info").alias("pos", "g"))
+    rows = found(parse_stores(stores, "generators")).select("image_id", F.posexplode_outer("m.claim_generator_info").alias("pos", "g"))
     name = X.strip(_text(_or(F.col("g.name"), F.col("g.identifier"))))
     version = X.strip(_text(F.col("g.version")))
     text = F.when(version != "", F.concat(name, F.lit(" "), version)).otherwise(name)
@@ -327,5 +348,5 @@ def generator_info(stores: DataFrame) -> DataFrame:
 
 def signature_info(stores: DataFrame) -> DataFrame:
     """Non-empty signature fields as (image_id, field, value)."""
-    rows = found(parse_stores(stores)).select("image_id", F.explode("m.signature_info").alias("field", "value"))
+    rows = found(parse_stores(stores, "signature")).select("image_id", F.explode_outer("m.signature_info").alias("field", "value"))
     return rows.filter(F.col("field").isin(*SIGNATURE_FIELDS) & (F.coalesce("value", F.lit("")) != ""))

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from provspark.functions import hashing as H
+from provspark.session import cut_lineage
 
 # A key with more distinct registry words than this is split further.
 HOT_BUCKET = 4096
@@ -94,14 +95,22 @@ def hash_neighbors(queries: DataFrame, registry: DataFrame, phash_max: int = H.P
     ``queries(query_id, phash, whash)`` x ``registry(image_id, phash, whash)`` ->
     ``(query_id, neighbor_id, phash_distance, whash_distance)``. A candidate whose phash is unusable never matches; an
     unusable whash is ignored.
+
+    Both sides are read by several branches, so their decoded words are written once, 24 bytes an image. The size of
+    the written registry then tells whether any key can be hot at all.
     """
+    spark = queries.sparkSession
     q = queries.select(
         "query_id", H.decode_hash(F.col("phash")).alias("qp"), H.decode_hash(F.col("whash")).alias("qw")
     ).filter("qp is not null")
+    q = cut_lineage(spark, q, "query-words")
     r = registry.select(
         F.col("image_id").alias("neighbor_id"), H.decode_hash(F.col("phash")).alias("rp"),
         H.decode_hash(F.col("whash")).alias("rw"),
     ).filter("rp is not null")
+    r = cut_lineage(spark, r, "registry-words")
+    if hot_bucket is not None and r.count() <= hot_bucket:
+        hot_bucket = None
 
     p_pairs = hamming_pairs(
         q.select(F.col("qp").alias("a")).distinct(), r.select(F.col("rp").alias("b")).distinct(),

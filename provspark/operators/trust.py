@@ -85,7 +85,7 @@ def trust_assessment(stores: DataFrame, as_of: Column, compat: bool = False) ->
     a code that says "untrusted" does not count as "trusted" and wins over trusted ones; ``compat`` restores the plain
     substring rule, under which it does count.
     """
-    rows = M.with_codes(M.found(M.parse_stores(stores)))
+    rows = M.with_codes(M.found(M.parse_stores(stores, "signature", *M.CODE_PARTS)))
 
     def has(*parts: str) -> Column:
         def test(c: Column) -> Column:

@@ -87,7 +87,7 @@ def origin_signal(ev):
     SELECT f.image_id, coalesce(signals, '') AS origin_signals, {_LABEL} AS origin_label FROM fnd f LEFT JOIN orig o ON f.image_id = o.image_id
 """)
 def origin_label(ev):
-    rows = M.with_actions(M.found(M.parse_stores(ev.manifest)))
+    rows = M.with_actions(M.found(M.parse_stores(ev.manifest, "actions")))
     return rows.select("image_id", F.array_join("origin_signals", ",").alias("origin_signals"), M.origin_label(F.col("origin_signals")).alias("origin_label"))
 
 
