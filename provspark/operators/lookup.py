@@ -19,6 +19,18 @@ def url_candidates(inputs: DataFrame) -> DataFrame:
     return distinct.select("input_url", F.explode(F.array_compact(both)).alias("candidate_url"))
 
 
+def newest_first(matches: DataFrame) -> DataFrame:
+    """Add ``match_rank`` per input URL: newest image first, then the higher id; unknown times come last.
+
+    Ranked in slices of a day, so a URL that leads to very many images is not sorted in one task.
+    """
+    created = F.coalesce(F.unix_micros("created_at"), F.lit(-(1 << 62)))
+    return sliced_row_number(
+        matches, ["input_url"], [-F.floor(created / (DAY_SECONDS * 1_000_000))],
+        [created.desc(), F.col("image_id").desc()], "match_rank",
+    )
+
+
 def url_lookup(inputs: DataFrame, sources: DataFrame, images: DataFrame, limit: int | None = None) -> DataFrame:
     """Matches per distinct input URL, newest first; inputs without any stay with ``match_count`` 0.
 
@@ -34,11 +46,7 @@ def url_lookup(inputs: DataFrame, sources: DataFrame, images: DataFrame, limit:
         .groupBy("input_url", "image_id").agg(F.sort_array(F.collect_set("candidate_url")).alias("matched_source_urls"))
     )
     payload = hits.join(images, "image_id")
-    created = F.coalesce(F.unix_micros("created_at"), F.lit(-(1 << 62)))
-    ranked = sliced_row_number(
-        payload, ["input_url"], [-F.floor(created / (DAY_SECONDS * 1_000_000))],
-        [created.desc(), F.col("image_id").desc()], "match_rank",
-    )
+    ranked = newest_first(payload)
     counts = ranked.groupBy("input_url").agg(F.count("*").alias("match_count"))
     base = candidates.select("input_url").distinct().join(counts, "input_url", "left").na.fill(0, ["match_count"])
     return base.join(ranked, "input_url", "left")

@@ -202,7 +202,7 @@ def manifest_active(stores: DataFrame) -> DataFrame:
     return rows.select(
         "image_id", "status", summary.alias("summary"), when_ok(signer).alias("signer"),
         when_ok(_text(F.col("m.claim_generator"))).alias("tool"),
-        # A missing or empty ingredient list is no ingredients; anything but a list has no depth.
+        # No ingredients, or something that is no list, counts as depth 0.
         when_ok(F.size(F.coalesce("m.ingredients", F.array().cast("array<map<string,string>>")))).cast("bigint").alias("provenance_depth"),
         when_ok(F.col("manifest_label")).alias("manifest_label"),
         when_ok(F.col("manifest_count").cast("bigint")).alias("manifest_count"),

@@ -195,6 +195,19 @@ listed AS MATERIALIZED (
 """
 
 
+@query("matcher_protocol", "fx_blocklist_line fx_web_match", "WITH " + PATTERNS + """,
+    forms AS (SELECT DISTINCT pattern AS g FROM patterns WHERE kind = 'glob' UNION
+              SELECT substr(pattern, 1, strpos(pattern, '*://*.') - 1) || '*://' || substr(pattern, strpos(pattern, '*://*.') + 6)
+              FROM patterns WHERE kind = 'glob' AND contains(pattern, '*://*.'))
+    SELECT kind, count(*) AS matchers FROM (SELECT 'glob' AS kind, g AS p FROM forms UNION ALL
+      SELECT DISTINCT 'regex', CASE WHEN ignore_case THEN '(?i)' ELSE '' END || pattern FROM patterns WHERE kind = 'regex') GROUP BY kind
+""")
+def matcher_protocol(ev):
+    matchers = BK.compiled(BK.valid_only(BK.parse(ev.blocklist_line.select("line"))))
+    kind = F.when(F.col("regex").startswith("(?s)^(?:"), "glob").otherwise("regex")
+    return matchers.groupBy(kind.alias("kind")).agg(F.count("*").alias("matchers"))
+
+
 @query("blocklist_join", "fx_web_match fx_blocklist_line", "WITH " + LISTED + "SELECT image_id, ord, url FROM listed")
 def blocklist_join(ev):
     return listed_of(ev).select("image_id", "ord", "url")
@@ -234,6 +247,18 @@ def url_lookup(ev):
     })
 
 
+@query("lookup_order", "fx_source fx_registry", """
+    SELECT url AS input_url, image_id, row_number() OVER (PARTITION BY url ORDER BY created_at DESC, image_id DESC) AS match_rank
+    FROM (SELECT DISTINCT CASE WHEN url LIKE 'https://pbs%' THEN url ELSE substr(url, 1, 14) END AS url, s.image_id, created_at
+          FROM fx_source s JOIN fx_registry r ON s.image_id = r.image_id)
+""")
+def lookup_order(ev):
+    # Many images per key, so the order within a key matters: scheme and first letters of the host stand in for the URL.
+    key = F.when(F.col("url").startswith("https://pbs"), F.col("url")).otherwise(F.substring("url", 1, 14))
+    rows = ev.source.select("image_id", key.alias("input_url")).distinct().join(ev.registry.select("image_id", "created_at"), "image_id")
+    return LK.newest_first(rows).select("input_url", "image_id", "match_rank")
+
+
 # Back-links ----------------------------------------------------------------------------------------------------------
 
 _DOMAIN = """regexp_replace(CASE WHEN lower(trim(domain)) <> '' THEN lower(trim(domain))
@@ -268,6 +293,17 @@ def timeline_bin(ev):
     return ev.web_match.select("ord", y.alias("crawl_year"), X.timeline_bin(y).alias("label"))
 
 
+@query("crawl_year", "fx_response", """
+    SELECT image_id, raw, CASE WHEN regexp_matches(raw, '^[0-9]{4}') THEN CAST(substr(raw, 1, 4) AS BIGINT) END AS crawl_year
+    FROM (SELECT image_id, CASE WHEN image_id % 4 = 3 THEN '' ELSE coalesce(json_extract_string(response_json, '$.results.matches[0].backlinks[0].crawl_date'), '') END AS raw
+          FROM fx_response)
+""")
+def crawl_year(ev):
+    raw = F.get_json_object("response_json", "$.results.matches[0].backlinks[0].crawl_date")
+    raw = F.when(F.col("image_id") % 4 == 3, "").otherwise(F.coalesce(raw, F.lit("")))
+    return ev.response.select("image_id", raw.alias("raw")).withColumn("crawl_year", X.crawl_year(F.col("raw")))
+
+
 @query("crawl_date_parse", "fx_response", """
     SELECT image_id, ord, CASE WHEN ord = 1 THEN '' WHEN image_id % 3 = 0 THEN 'http://back.example/' || image_id ELSE json_extract_string(response_json, '$.results.matches[0].backlinks[0].url') END AS url,
            CASE WHEN ord = 1 THEN '' ELSE json_extract_string(response_json, '$.results.matches[0].domain') END AS domain,
