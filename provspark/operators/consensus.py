@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from provspark.functions import hashing as H
 from provspark.functions import texts as T
 
 # Tier weights, gate and contradiction ratio of the watermark score.
@@ -16,20 +15,27 @@ DETECTED_SCORE = 4
 CONTRADICTION_RATIO = 3
 
 
-def human_consensus(queries: DataFrame, neighbors: DataFrame, votes: DataFrame) -> DataFrame:
+VOTE_MEASURES = ["vote_real", "vote_edited", "vote_ai"]
+REPORT_MEASURES = ["detected", "not_detected"]
+
+
+def _all(*columns: str) -> Column:
+    return sum((F.col(c) for c in columns[1:]), F.col(columns[0])).cast("bigint")
+
+
+def _tiers(m: str) -> tuple[str, str, str]:
+    return f"self_{m}", f"same_{m}", f"similar_{m}"
+
+
+def human_consensus(sums: DataFrame) -> DataFrame:
     """Vote totals and status per query image over its neighbors that ever had a vote.
 
-    ``neighbors(query_id, neighbor_id, is_self_match, has_local)``, ``votes(image_id, vote_*)``.
+    ``sums`` are the tier sums of the vote counts (``neighbors.neighbor_sums`` with ``VOTE_MEASURES``).
     """
-    voted = neighbors.join(votes.withColumnRenamed("image_id", "neighbor_id"), "neighbor_id")
-    sums = voted.groupBy("query_id").agg(
-        *[F.sum(f"vote_{k}").alias(f"vote_{k}") for k in ("real", "edited", "ai")],
-        F.count("*").alias("match_count"),
-        F.count_if(~F.col("is_self_match")).alias("distant_match_count"),
-        F.count_if(F.col("has_local")).alias("local_match_count"),
+    out = sums.select(
+        "query_id", *[_all(*_tiers(m)).alias(m) for m in VOTE_MEASURES], _all(*_tiers("n")).alias("match_count"),
+        _all("same_n", "similar_n").alias("distant_match_count"), F.col("local_n").cast("bigint").alias("local_match_count"),
     )
-    numbers = ["vote_real", "vote_edited", "vote_ai", "match_count", "distant_match_count", "local_match_count"]
-    out = queries.select("query_id").join(sums, "query_id", "left").na.fill(0, numbers)
     out = out.withColumn("total_votes", F.col("vote_real") + F.col("vote_edited") + F.col("vote_ai"))
     d, n = F.col("distant_match_count"), F.col("total_votes")
     summary = (
@@ -45,34 +51,28 @@ def human_consensus(queries: DataFrame, neighbors: DataFrame, votes: DataFrame)
     })
 
 
-def watermark_score(queries: DataFrame, neighbors: DataFrame, reports: DataFrame) -> DataFrame:
+def reported(reports: DataFrame) -> DataFrame:
+    """Images with at least one report; the others do not count as neighbors of the score."""
+    return reports.filter("detected > 0 or not_detected > 0")
+
+
+def watermark_score(sums: DataFrame) -> DataFrame:
     """Weighted report score, state and texts per query image.
 
-    ``neighbors(query_id, neighbor_id, is_self_match, phash_distance, whash_distance)``,
-    ``reports(image_id, detected, not_detected)``.
+    ``sums`` are the tier sums of the report counts (``neighbors.neighbor_sums`` over ``reported`` with
+    ``REPORT_MEASURES``).
     """
-    seen = reports.filter("detected > 0 or not_detected > 0").withColumnRenamed("image_id", "neighbor_id")
-    rows = neighbors.join(seen, "neighbor_id")
-    yes, no = F.col("detected"), F.col("not_detected")
-    own = F.col("is_self_match")
-    near = H.min_distance(F.col("phash_distance"), F.col("whash_distance"))
+    yes, no = F.col("self_detected"), F.col("self_not_detected")
     contradicted = (yes > 0) & (no >= CONTRADICTION_RATIO * yes)
     points = (
-        F.when(own, F.when(contradicted, 0.0).otherwise(WEIGHT_SAME_ENTRY * yes))
-        .when(near == 0, WEIGHT_SAME_HASH * yes)
-        .otherwise(WEIGHT_SIMILAR * yes)
+        F.when(contradicted, 0.0).otherwise(WEIGHT_SAME_ENTRY * yes) + WEIGHT_SAME_HASH * F.col("same_detected")
+        + WEIGHT_SIMILAR * F.col("similar_detected")
     )
-    zero = F.lit(0).cast("bigint")
-    sums = rows.groupBy("query_id").agg(
-        F.sum(points).alias("score"),
-        F.sum(F.when(own, yes).otherwise(zero)).alias("self_detected"),
-        F.sum(F.when(own, no).otherwise(zero)).alias("self_not_detected"),
-        F.sum(yes).alias("total_detected"), F.sum(no).alias("total_not_detected"),
-        F.count_if(~own).alias("similar_count"), F.count("*").alias("report_images"),
+    out = sums.select(
+        "query_id", points.alias("score"), yes.cast("bigint").alias("self_detected"), no.cast("bigint").alias("self_not_detected"),
+        _all(*_tiers("detected")).alias("total_detected"), _all(*_tiers("not_detected")).alias("total_not_detected"),
+        _all("same_n", "similar_n").alias("similar_count"), _all(*_tiers("n")).alias("report_images"),
     )
-    numbers = ["self_detected", "self_not_detected", "total_detected", "total_not_detected", "similar_count",
-               "report_images"]
-    out = queries.select("query_id").join(sums, "query_id", "left").na.fill(0, numbers).na.fill(0.0, ["score"])
     sd, sn = F.col("self_detected"), F.col("self_not_detected")
     td, all_ = F.col("total_detected"), F.col("total_detected") + F.col("total_not_detected")
     score = F.col("score")
@@ -94,26 +94,29 @@ def watermark_score(queries: DataFrame, neighbors: DataFrame, reports: DataFrame
     return out.withColumns({"contested": contested, "status": status, "summary": summary}).drop("report_images")
 
 
-def detector_catalog(spark) -> DataFrame:
-    """The fixed detector catalog as a table."""
-    schema = "ord bigint, detector string, provider string, label string, short_label string, check_label string"
-    return spark.createDataFrame([(i, *d) for i, d in enumerate(T.DETECTORS)], schema)
+def detector_measures(by_detector: DataFrame) -> tuple[DataFrame, list[str]]:
+    """Report counts per image with one pair of columns per catalog detector."""
+    names, cols = [], []
+    for detector, *_ in T.DETECTORS:
+        for kind in REPORT_MEASURES:
+            names.append(f"{detector}__{kind}")
+            cols.append(F.sum(F.when(F.col("detector") == detector, F.col(kind)).otherwise(0)).alias(names[-1]))
+    return by_detector.groupBy("image_id").agg(*cols), names
 
 
-def detector_totals(queries: DataFrame, neighbors: DataFrame, by_detector: DataFrame) -> DataFrame:
-    """Counts per query image and catalog detector over all neighbors, zero-filled, with labels."""
-    spark = queries.sparkSession
-    rows = neighbors.select("query_id", "neighbor_id").join(
-        by_detector.withColumnRenamed("image_id", "neighbor_id"), "neighbor_id"
-    )
-    sums = rows.groupBy("query_id", "detector").agg(
-        F.sum("detected").alias("detected"), F.sum("not_detected").alias("not_detected")
-    )
-    grid = queries.select("query_id").crossJoin(F.broadcast(detector_catalog(spark)))
-    return (
-        grid.join(sums, ["query_id", "detector"], "left").na.fill(0, ["detected", "not_detected"])
-        .withColumn("total", F.col("detected") + F.col("not_detected"))
-    )
+def detector_totals(sums: DataFrame) -> DataFrame:
+    """Counts per query image and catalog detector over all neighbors, zero-filled, with labels.
+
+    ``sums`` are the tier sums of ``detector_measures``.
+    """
+    rows = F.array(*[
+        F.struct(F.lit(i).cast("bigint").alias("ord"), F.lit(d).alias("detector"), F.lit(p).alias("provider"), F.lit(l).alias("label"),
+                 F.lit(s).alias("short_label"), F.lit(c).alias("check_label"), _all(*_tiers(f"{d}__detected")).alias("detected"),
+                 _all(*_tiers(f"{d}__not_detected")).alias("not_detected"))
+        for i, (d, p, l, s, c) in enumerate(T.DETECTORS)
+    ])
+    out = sums.select("query_id", F.explode(rows).alias("r")).select("query_id", "r.*")
+    return out.withColumn("total", F.col("detected") + F.col("not_detected"))
 
 
 def image_verdict(images: DataFrame, votes: DataFrame, facts: DataFrame, reports: DataFrame) -> DataFrame:
@@ -129,17 +132,19 @@ def image_verdict(images: DataFrame, votes: DataFrame, facts: DataFrame, reports
     return out.withColumns({"total_votes": r + e + a, "verdict": verdict, "synthid": mark}).drop("detected", "not_detected")
 
 
-def fact_matches(queries: DataFrame, results: DataFrame, neighbors: DataFrame, facts: DataFrame) -> DataFrame:
+def signed_measures(facts: DataFrame) -> DataFrame:
+    """Number of signed-manifest facts per image that has any, as measure ``facts``."""
+    return facts.filter("analyzer = 'c2pa'").groupBy("image_id").agg(F.count("*").alias("facts"))
+
+
+def fact_matches(results: DataFrame, sums: DataFrame) -> DataFrame:
     """Signed-manifest status per query after looking at other neighbors' facts.
 
-    ``results(query_id, status, summary)``: NOT AVAILABLE and ERROR pass through without matches.
+    ``results(query_id, status, summary)``: NOT AVAILABLE and ERROR pass through without matches. ``sums`` are the
+    tier sums of ``signed_measures``.
     """
-    signed = facts.filter("analyzer = 'c2pa'").groupBy(F.col("image_id").alias("neighbor_id")).agg(F.count("*").alias("n"))
-    found = (
-        neighbors.filter(~F.col("is_self_match")).select("query_id", "neighbor_id").join(signed, "neighbor_id")
-        .groupBy("query_id").agg(F.sum("n").alias("match_count"))
-    )
-    out = queries.select("query_id").join(results, "query_id").join(found, "query_id", "left").na.fill(0, ["match_count"])
+    found = sums.select("query_id", _all("same_facts", "similar_facts").alias("match_count"))
+    out = found.join(results, "query_id")
     closed = F.col("status").isin("NOT AVAILABLE", "ERROR")
     n = F.when(closed, F.lit(0).cast("bigint")).otherwise(F.col("match_count"))
     similar = (F.col("status") == "NOT FOUND") & (n > 0)

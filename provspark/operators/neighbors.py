@@ -170,3 +170,115 @@ def add_distances(pairs: DataFrame, queries: DataFrame, registry: DataFrame) ->
         .withColumn("display_distance", H.display_distance(p, w))
         .withColumn("hash_display", H.hash_display(F.col("neighbor_phash"), F.col("neighbor_whash"), p, w))
     )
+
+
+def sum_columns(names: list[str]) -> list[str]:
+    return [f"{tier}_{m}" for tier in ("self", "same", "similar") for m in names]
+
+
+def sums_from_pairs(queries: DataFrame, neighbors: DataFrame, measures: DataFrame, names: list[str]) -> DataFrame:
+    """Tier sums per query from explicit match pairs; see ``neighbor_sums`` for the columns.
+
+    ``neighbors(query_id, neighbor_id, is_self_match, has_local, phash_distance, whash_distance)``.
+    """
+    rows = neighbors.join(measures.withColumnRenamed("image_id", "neighbor_id").withColumn("n", F.lit(1)), "neighbor_id")
+    near = H.min_distance(F.col("phash_distance"), F.col("whash_distance"))
+    own = F.col("is_self_match")
+    same = F.coalesce(near == 0, F.lit(False))
+    tiers = {"self": own, "same": ~own & same, "similar": ~own & ~same}
+    cols = [
+        F.sum(F.when(cond, F.col(m)).otherwise(0)).alias(f"{tier}_{m}") for tier, cond in tiers.items() for m in [*names, "n"]
+    ]
+    sums = rows.groupBy("query_id").agg(*cols, F.count_if("has_local").alias("local_n"))
+    return queries.select("query_id").join(sums, "query_id", "left").na.fill(0)
+
+
+def neighbor_sums(queries: DataFrame, registry: DataFrame, measures: DataFrame, names: list[str],
+                  local: DataFrame | None = None, phash_max: int = H.PHASH_MAX_DISTANCE,
+                  whash_max: int = H.WHASH_MAX_DISTANCE, kept: int = 2,
+                  hot_bucket: int | None = HOT_BUCKET) -> DataFrame:
+    """Sums of ``measures(image_id, *names)`` over the neighbors of each query, without listing the neighbors.
+
+    Output per query: for each measure, and for the count ``n`` of neighbors that have a row, the value of the image
+    itself (``self_*``), of others at distance 0 (``same_*``) and of the rest (``similar_*``), and ``local_n``.
+
+    A wavelet hash may be shared by very many images, and then the pairs of queries and neighbors explode. So measures
+    are summed per distinct whash first and only distinct words are matched. What is close by phash but not by whash
+    is added image by image; a phash belongs to one registry image, so these are few. The image's own row is found in
+    one of the two and moved to ``self``. Needs a registry with unique phash and ``queries(query_id, registry_id,
+    phash, whash)`` whose registry row has the query's phash.
+    """
+    spark = queries.sparkSession
+    ms = [*names, "n"]
+    q = cut_lineage(spark, queries.select(
+        "query_id", "registry_id", H.decode_hash(F.col("phash")).alias("qp"), H.decode_hash(F.col("whash")).alias("qw")
+    ), "query-words")
+    carry = cut_lineage(spark, registry.join(measures, "image_id").select(
+        "image_id", H.decode_hash(F.col("phash")).alias("rp"), H.decode_hash(F.col("whash")).alias("rw"),
+        *[F.col(m).cast("bigint").alias(m) for m in names], F.lit(1).cast("bigint").alias("n"),
+    ).filter("rp is not null"), "carrying-words")
+    if hot_bucket is not None and carry.count() <= hot_bucket:
+        hot_bucket = None
+
+    def split(cond: Column) -> list[Column]:
+        return [F.sum(F.when(cond, F.col(m)).otherwise(0)).alias(f"same_{m}") for m in ms] + [
+            F.sum(F.when(cond, 0).otherwise(F.col(m))).alias(f"similar_{m}") for m in ms
+        ]
+
+    tiers = [f"{t}_{m}" for t in ("same", "similar") for m in ms]
+    usable = q.filter("qp is not null")
+    words = usable.select("qp", "qw").distinct()
+
+    per_whash = carry.filter("rw is not null").groupBy(F.col("rw").alias("b")).agg(*[F.sum(m).alias(m) for m in ms])
+    w_pairs = hamming_pairs(words.filter("qw is not null").select(F.col("qw").alias("a")).distinct(), per_whash.select("b"),
+                            whash_max, kept, hot_bucket)
+    by_whash = w_pairs.join(per_whash, "b").groupBy(F.col("a").alias("qw")).agg(*split(F.col("dist") == 0))
+
+    p_pairs = hamming_pairs(words.select(F.col("qp").alias("a")).distinct(), carry.select(F.col("rp").alias("b")).distinct(),
+                            phash_max, kept, hot_bucket)
+    far_by_whash = F.coalesce(H.distance(F.col("qw"), F.col("rw")) > whash_max, F.lit(True))
+    by_phash = (
+        words.join(p_pairs, F.col("qp") == F.col("a")).join(carry, F.col("rp") == F.col("b")).filter(far_by_whash)
+        .groupBy("qp", "qw").agg(*split(F.col("dist") == 0))
+    )
+    per_word = (
+        words.join(by_whash.withColumnsRenamed({c: f"w_{c}" for c in tiers}), "qw", "left")
+        .join(by_phash.withColumnsRenamed({"qp": "p_qp", "qw": "p_qw", **{c: f"p_{c}" for c in tiers}}),
+              (F.col("qp") == F.col("p_qp")) & F.col("qw").eqNullSafe(F.col("p_qw")), "left")
+        .select("qp", "qw", *[(F.coalesce(f"w_{c}", F.lit(0)) + F.coalesce(f"p_{c}", F.lit(0))).alias(c) for c in tiers])
+        .withColumnsRenamed({"qp": "x_qp", "qw": "x_qw"})
+    )
+    own = carry.select(F.col("image_id").alias("registry_id"), F.col("rw").alias("own_rw"), *[F.col(m).alias(f"own_{m}") for m in ms])
+    j = (
+        q.join(per_word, (F.col("qp") == F.col("x_qp")) & F.col("qw").eqNullSafe(F.col("x_qw")), "left")
+        .join(own, "registry_id", "left")
+    )
+    # The image's own row counted as "similar" only when its first-seen whash is a little off the query's.
+    off = F.coalesce(H.distance(F.col("qw"), F.col("own_rw")).between(1, whash_max), F.lit(False))
+    matched = F.col("qp").isNotNull()
+    zero = F.lit(0)
+
+    def own_value(m: str) -> Column:
+        return F.when(matched, F.coalesce(f"own_{m}", zero)).otherwise(zero)
+
+    out = j.select(
+        "query_id", *[own_value(m).alias(f"self_{m}") for m in ms],
+        *[(F.coalesce(f"same_{m}", zero) - F.when(off, zero).otherwise(own_value(m))).alias(f"same_{m}") for m in ms],
+        *[(F.coalesce(f"similar_{m}", zero) - F.when(off, own_value(m)).otherwise(zero)).alias(f"similar_{m}") for m in ms],
+    )
+    if local is None:
+        return out.withColumn("local_n", F.lit(0).cast("bigint"))
+    # Geometric matches are listed pairs; only those that no hash found add to the sums.
+    lm = local.select("query_id", F.col("neighbor_id").alias("image_id")).distinct().join(q, "query_id").join(carry, "image_id").filter(
+        F.col("image_id") != F.col("registry_id"))
+    by_hash = F.coalesce(H.distance(F.col("qp"), F.col("rp")) <= phash_max, F.lit(False)) | F.coalesce(
+        H.distance(F.col("qw"), F.col("rw")) <= whash_max, F.lit(False))
+    extra = lm.groupBy("query_id").agg(
+        *[F.sum(F.when(by_hash, 0).otherwise(F.col(m))).alias(f"l_{m}") for m in ms], F.count("*").alias("local_n")
+    )
+    out = out.join(extra, "query_id", "left")
+    return out.select(
+        "query_id", *sum_columns(ms)[:2 * len(ms)],
+        *[(F.col(f"similar_{m}") + F.coalesce(f"l_{m}", zero)).alias(f"similar_{m}") for m in ms],
+        F.coalesce("local_n", zero).alias("local_n"),
+    )

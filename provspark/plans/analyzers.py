@@ -15,6 +15,7 @@ from provspark.functions import urls as U
 from provspark.operators import consensus as C
 from provspark.operators import manifests as M
 from provspark.operators import metadata as MD
+from provspark.operators import neighbors as N
 
 # Texts, statuses and the report version.
 REPORT_VERSION = "1.1"
@@ -31,13 +32,17 @@ class Inputs:
     """Tables the analyzers read; all keyed by query image or registry image."""
 
     queries: DataFrame       # query_id, registry_id, phash, whash
-    neighbors: DataFrame     # query_id, neighbor_id, is_self_match, has_local, phash_distance, whash_distance
+    registry: DataFrame      # image_id, phash, whash
+    local: DataFrame         # query_id, neighbor_id of geometric matches
     votes: DataFrame         # image_id, vote_real, vote_edited, vote_ai
     reports: DataFrame       # image_id, detected, not_detected
     facts: DataFrame         # image_id, analyzer, data
     manifests: DataFrame     # image_id (= query id), manifest_json; a query without a row has no manifest
     chunks: DataFrame        # image_id (= query id), key, value
 
+    def sums(self, measures: DataFrame, names: list[str]) -> DataFrame:
+        return N.neighbor_sums(self.queries, self.registry, measures, names, self.local)
+
 
 @dataclass(frozen=True)
 class AnalyzerSpec:
@@ -55,14 +60,14 @@ def _signed(inp: Inputs) -> DataFrame:
         "query_id", F.coalesce("status", F.lit("NOT FOUND")).alias("status"),
         F.coalesce("summary", F.lit(M.NO_MANIFEST)).alias("summary"),
     )
-    out = C.fact_matches(inp.queries, results, inp.neighbors, inp.facts)
+    out = C.fact_matches(results, inp.sums(C.signed_measures(inp.facts), ["facts"]))
     head = tool.select("query_id", "signer", "origin_label", "provenance_depth")
     data = F.to_json(F.struct("signer", "origin_label", "provenance_depth", "match_count", "has_distant_matches"))
     return out.join(head, "query_id", "left").select("query_id", "status", "summary", data.alias("data"))
 
 
 def _watermark(inp: Inputs) -> DataFrame:
-    out = C.watermark_score(inp.queries, inp.neighbors, inp.reports)
+    out = C.watermark_score(inp.sums(C.reported(inp.reports), C.REPORT_MEASURES))
     data = F.to_json(F.struct("score", "contested", "total_detected", "total_not_detected", "similar_count"))
     return out.select("query_id", "status", "summary", data.alias("data"))
 
@@ -82,7 +87,7 @@ def _metadata(inp: Inputs) -> DataFrame:
 
 
 def _human(inp: Inputs) -> DataFrame:
-    out = C.human_consensus(inp.queries, inp.neighbors, inp.votes)
+    out = C.human_consensus(inp.sums(inp.votes, C.VOTE_MEASURES))
     data = F.to_json(F.struct("vote_real", "vote_edited", "vote_ai", "total_votes", "distant_match_count", "local_match_count"))
     return out.select("query_id", "status", "summary", data.alias("data"))
 

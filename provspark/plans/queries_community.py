@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from provspark.functions import texts as T
 from provspark.operators import consensus as C
 from provspark.operators import ledger as L
+from provspark.operators import neighbors as N
 from provspark.plans.catalog import query
-from provspark.plans.queries_matching import MATCHES, matches_of, queries_of
+from provspark.plans.queries_matching import MATCHES, queries_of
 
 # Shared oracle fragments ---------------------------------------------------------------------------------------------
 
@@ -68,6 +69,11 @@ def facts_of(ev):
     return ev.fact.dropDuplicates(["image_id", "analyzer", "data"])
 
 
+def sums_of(ev, measures, names):
+    """Measures summed over each submission's neighbors."""
+    return N.neighbor_sums(queries_of(ev), ev.registry, measures, names, ev.local_match)
+
+
 # Ledgers -------------------------------------------------------------------------------------------------------------
 
 @query("vote_replay", "fx_vote_event fx_registry", """
@@ -192,8 +198,7 @@ def report_downgrade_dedup(ev):
     FROM num
 """)
 def human_consensus(ev):
-    votes = votes_of(ev)
-    return C.human_consensus(queries_of(ev), matches_of(ev, carrying=votes), votes)
+    return C.human_consensus(sums_of(ev, votes_of(ev), C.VOTE_MEASURES))
 
 
 @query("watermark_score", "fx_submission fx_registry fx_local_match fx_report_event", "WITH " + MATCHES + "," + REPORTS + """,
@@ -218,8 +223,7 @@ def human_consensus(ev):
     FROM num
 """)
 def watermark_score(ev):
-    reports = reports_of(ev)
-    return C.watermark_score(queries_of(ev), matches_of(ev, carrying=reports), reports)
+    return C.watermark_score(sums_of(ev, C.reported(reports_of(ev)), C.REPORT_MEASURES))
 
 
 @query("detector_totals", "fx_submission fx_registry fx_local_match fx_report_event", "WITH " + MATCHES + "," + REPORTS + """
@@ -232,8 +236,7 @@ def watermark_score(ev):
                GROUP BY query_id, detector) x ON x.query_id = s.image_id AND x.detector = c.detector
 """)
 def detector_totals(ev):
-    by_det = by_detector_of(ev)
-    return C.detector_totals(queries_of(ev), matches_of(ev, carrying=by_det), by_det)
+    return C.detector_totals(sums_of(ev, *C.detector_measures(by_detector_of(ev))))
 
 
 FACTS = "facts AS (SELECT DISTINCT image_id, analyzer, data FROM fx_fact)"
@@ -279,9 +282,7 @@ def fact_matches(ev):
     results = ev.submission.select(
         F.col("image_id").alias("query_id"), status.alias("status"), F.lit("tool said so").alias("summary")
     )
-    facts = facts_of(ev)
-    signed = facts.filter("analyzer = 'c2pa'")
-    return C.fact_matches(queries_of(ev), results, matches_of(ev, carrying=signed), facts)
+    return C.fact_matches(results, sums_of(ev, C.signed_measures(facts_of(ev)), ["facts"]))
 
 
 # Money and keys ------------------------------------------------------------------------------------------------------

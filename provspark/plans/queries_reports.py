@@ -14,8 +14,7 @@ from provspark.plans.catalog import query
 from provspark.plans.queries_community import FACTS, REPORTS, VOTES, by_detector_of, facts_of, reports_of, votes_of
 from provspark.plans.queries_evidence import FINDINGS
 from provspark.plans.queries_matching import MATCHES, matches_of, queries_of
-from provspark.operators.ledger import report_counts
-from provspark.session import cut_lineage, work_folder
+from provspark.session import work_folder
 from provspark.sources import tables as TB
 from provspark.streaming import jobs as S
 
@@ -105,9 +104,7 @@ def direct_traces(ev):
 def inputs_of(ev, queries=None):
     return A.Inputs(
         queries=queries_of(ev) if queries is None else queries,
-        # Matched once and written: five analyzers read the pairs.
-        neighbors=cut_lineage(ev.spark, matches_of(ev).select(
-            "query_id", "neighbor_id", "is_self_match", "has_local", "phash_distance", "whash_distance"), "neighbors"),
+        registry=ev.registry, local=ev.local_match,
         votes=votes_of(ev), reports=reports_of(ev), facts=facts_of(ev),
         manifests=ev.manifest, chunks=ev.metadata,
     )

@@ -4,6 +4,7 @@ import pytest
 
 from provspark.operators import consensus as C
 from provspark.operators import ledger as L
+from provspark.operators import neighbors as N
 
 NB = "query_id bigint, neighbor_id bigint, is_self_match boolean, has_local boolean, phash_distance int, whash_distance int"
 
@@ -13,7 +14,7 @@ def _score(table, *rows):
     q = table("query_id bigint", (1,))
     n = table(NB, *[(1, i, r[0], False, r[1], r[2]) for i, r in enumerate(rows)]) if rows else table(NB)
     rep = table("image_id bigint, detected bigint, not_detected bigint", *[(i, r[3], r[4]) for i, r in enumerate(rows)])
-    return C.watermark_score(q, n, rep).first()
+    return C.watermark_score(N.sums_from_pairs(q, n, C.reported(rep), C.REPORT_MEASURES)).first()
 
 
 @pytest.mark.parametrize("rows,score,status", [
@@ -52,7 +53,7 @@ def test_human_consensus(table):
     q = table("query_id bigint", (1,), (2,), (3,), (4,))
     n = table(NB, (1, 10, False, False, 1, 9), (2, 11, True, False, 0, 0), (3, 12, True, True, 0, 0), (3, 10, False, True, 1, 1))
     v = table("image_id bigint, vote_real bigint, vote_edited bigint, vote_ai bigint", (10, 3, 0, 7), (11, 0, 1, 0), (12, 0, 0, 0))
-    got = {r.query_id: (r.status, r.distant_match_count, r.local_match_count, r.summary, r.matches_summary) for r in C.human_consensus(q, n, v).collect()}
+    got = {r.query_id: (r.status, r.distant_match_count, r.local_match_count, r.summary, r.matches_summary) for r in C.human_consensus(N.sums_from_pairs(q, n, v, C.VOTE_MEASURES)).collect()}
     assert got[1] == ("FOUND", 1, 0, "1 similar image with 10 votes total.", "Similar image with votes:")
     assert got[2] == ("FOUND", 0, 0, "1 direct vote recorded.", "")
     assert got[3] == ("FOUND", 1, 2, "1 similar image with 10 votes total.", "Similar image with votes:")
@@ -89,7 +90,7 @@ def test_fact_matches(table):
     res = table("query_id bigint, status string, summary string", (1, "NOT FOUND", "none"), (2, "FOUND", "signed"), (3, "ERROR", "bad"))
     n = table(NB, (1, 10, False, False, 1, 1), (2, 10, False, False, 1, 1), (3, 10, False, False, 1, 1), (1, 11, True, False, 0, 0))
     f = table("image_id bigint, analyzer string, data string", (10, "c2pa", "a"), (11, "c2pa", "b"))
-    got = {r.query_id: (r.status, r.match_count) for r in C.fact_matches(q, res, n, f).collect()}
+    got = {r.query_id: (r.status, r.match_count) for r in C.fact_matches(res, N.sums_from_pairs(q, n, C.signed_measures(f), ["facts"])).collect()}
     assert got == {1: ("SIMILAR", 1), 2: ("FOUND", 1), 3: ("ERROR", 0)}
-    text = [r.summary for r in C.fact_matches(q, res, n, f).collect() if r.query_id == 1]
+    text = [r.summary for r in C.fact_matches(res, N.sums_from_pairs(q, n, C.signed_measures(f), ["facts"])).collect() if r.query_id == 1]
     assert text == ["Found 1 visually similar image with C2PA metadata."]

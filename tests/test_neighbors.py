@@ -119,3 +119,36 @@ def test_unique_under_repeat(spark):
     rs = spark.createDataFrame([(1, "0" * 16, "f" * 16), (2, "f" * 16, "0" * 16)], "image_id bigint, phash string, whash string")
     out = N.hash_neighbors(qs, rs).groupBy("neighbor_id").agg(F.count("*").alias("n")).collect()
     assert {(r.neighbor_id, r.n) for r in out} == {(1, 40), (2, 40)}
+
+
+@pytest.mark.parametrize("hot", [None, 2])
+def test_sums_equal_pairs(spark, hot):
+    """Sums over word groups against sums over listed pairs, with shared whashes and first-seen whashes that differ."""
+    rng = random.Random(9)
+    rows = _rows(160, 21)
+    shared = [rows[0][2], rows[1][2], f"{int(rows[0][2], 16) ^ 1:016x}"]
+    registry = [(i, p, rng.choice(shared) if rng.random() < 0.5 else w) for i, p, w in rows]
+    first = {}
+    for i, p, w in registry:
+        first.setdefault(p, (i, p, w))
+    registry = list(first.values())
+    queries = []
+    for k in range(120):
+        i, p, w = rng.choice(registry)
+        kind = rng.random()
+        w = w if kind < 0.4 else f"{int(w, 16) ^ (1 << rng.randint(0, 63)):016x}" if kind < 0.6 else rng.choice(shared) if kind < 0.8 else None if kind < 0.9 else f"{rng.getrandbits(64):016x}"
+        queries.append((k, i, p, w))
+    local = list({(rng.randint(0, 119), rng.choice(registry)[0]) for _ in range(60)})
+    qs = spark.createDataFrame(queries, "query_id bigint, registry_id bigint, phash string, whash string")
+    rs = spark.createDataFrame([(*r, 0) for r in registry], "image_id bigint, phash string, whash string, s bigint").withColumn("created_at", F.timestamp_seconds("s"))
+    ls = spark.createDataFrame(local, "query_id bigint, neighbor_id bigint").withColumn("inliers", F.lit(20))
+    ls = ls.join(qs.select("query_id", "registry_id"), "query_id").filter("neighbor_id <> registry_id").drop("registry_id")
+    ms = spark.createDataFrame([(i, rng.randint(0, 5), rng.randint(0, 5)) for i, _, _ in registry if rng.random() < 0.7], "image_id bigint, x bigint, y bigint")
+    pairs = N.add_distances(N.with_local_matches(N.hash_neighbors(qs, rs, hot_bucket=hot), ls), qs, rs).withColumn("has_local", F.col("inliers").isNotNull())
+    want = N.sums_from_pairs(qs, pairs, ms, ["x", "y"])
+    got = N.neighbor_sums(qs, rs, ms, ["x", "y"], ls, hot_bucket=hot)
+    cols = sorted(want.columns)
+    assert sorted(got.columns) == cols
+    a = sorted(tuple(r) for r in got.select(*cols).collect())
+    b = sorted(tuple(r) for r in want.select(*cols).collect())
+    assert a == b and len(a) == 120
