@@ -20,17 +20,19 @@ def _replay(events: DataFrame, known_images: DataFrame, valid: Column, keys: lis
     flagged = events.join(known, "image_id", "left").withColumn(
         "_ok", F.coalesce(valid, F.lit(False)) & F.col("_known").isNotNull()
     )
-    good = flagged.filter("_ok").withColumn("_slice", time_slice(F.col("ts"), slice_seconds))
-    lagged = sliced_lag(good, keys, "_slice", ["ts", "event_id"], value, "previous")
+    # Rejected events stay in the one pass: their value is null there, so no later event sees them.
+    slots = [f"_k{i}" for i in range(len(keys))]
+    rows = flagged.withColumns({
+        "_slice": time_slice(F.col("ts"), slice_seconds), "_value": F.when(F.col("_ok"), F.col(value)),
+        **{s: F.coalesce(F.col(k).cast("string"), F.lit("")) for s, k in zip(slots, keys)},
+    })
+    lagged = sliced_lag(rows, slots, "_slice", ["ts", "event_id"], "_value", "_previous")
+    previous = F.when(F.col("_ok"), F.col("_previous"))
     status = (
-        F.when(F.col("previous").isNull(), "recorded").when(F.col("previous") == F.col(value), "unchanged")
-        .otherwise("updated")
+        F.when(~F.col("_ok"), "rejected").when(F.col("_previous").isNull(), "recorded")
+        .when(F.col("_previous") == F.col(value), "unchanged").otherwise("updated")
     )
-    accepted = lagged.select(*events.columns, "previous", status.alias("status"))
-    rejected = flagged.filter(~F.col("_ok")).select(
-        *events.columns, F.lit(None).cast("string").alias("previous"), F.lit("rejected").alias("status")
-    )
-    return accepted.unionByName(rejected)
+    return lagged.select(*events.columns, previous.alias("previous"), status.alias("status"))
 
 
 def vote_replay(events: DataFrame, known_images: DataFrame,

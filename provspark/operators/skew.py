@@ -19,16 +19,19 @@ def time_slice(ts: Column, seconds: int = DEFAULT_SLICE_SECONDS) -> Column:
 
 
 def sliced_lag(df: DataFrame, keys: list[str], slice_col: str, order: list[str], value: str, out: str) -> DataFrame:
-    """Add ``out``: the value of the previous row of the same key in ``order``.
+    """Add ``out``: the latest non-null value among the earlier rows of the same key in ``order``.
 
-    ``slice_col`` must be non-decreasing along ``order``. Values must not be null.
+    ``slice_col`` must be non-decreasing along ``order``.
     """
-    inside = Window.partitionBy(*keys, slice_col).orderBy(*order)
-    within = df.withColumn("_lag", F.lag(value).over(inside))
-    last = df.groupBy(*keys, slice_col).agg(F.max_by(value, F.struct(*order)).alias("_last"))
-    carry = last.select(
-        *keys, slice_col, F.lag("_last").over(Window.partitionBy(*keys).orderBy(slice_col)).alias("_carry")
-    )
+    def before(window):
+        return window.rowsBetween(Window.unboundedPreceding, -1)
+
+    inside = before(Window.partitionBy(*keys, slice_col).orderBy(*order))
+    within = df.withColumn("_lag", F.last(value, ignorenulls=True).over(inside))
+    known = F.when(F.col(value).isNotNull(), F.struct(*order))
+    last = df.groupBy(*keys, slice_col).agg(F.max_by(value, known).alias("_last"))
+    across = before(Window.partitionBy(*keys).orderBy(slice_col))
+    carry = last.select(*keys, slice_col, F.last("_last", ignorenulls=True).over(across).alias("_carry"))
     joined = within.join(carry, [*keys, slice_col], "left")
     return joined.withColumn(out, F.coalesce("_lag", "_carry")).drop("_lag", "_carry")
 

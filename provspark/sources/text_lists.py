@@ -14,14 +14,14 @@ LABEL_CHARS = 60
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Text files as ``(batch_id, pos, line)``: one batch per file, lines in file order.
+    """Text files as ``(batch_id, pos, line)``: one batch per file.
 
-    ``pos`` grows along each file; whole files are read by one task each, as a list of URLs or patterns is small.
+    ``pos`` orders the lines of a file: where its split starts, then a number that grows along the split. Large files
+    are read in splits like any other.
     """
-    files = spark.read.option("wholetext", "true").text(path).select(
-        F.input_file_name().alias("batch_id"), F.posexplode(F.split("value", r"\r\n|\r|\n")).alias("pos", "line")
-    )
-    return files
+    lines = spark.read.text(path)
+    pos = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    return lines.select(F.col("_metadata.file_path").alias("batch_id"), pos.alias("pos"), F.col("value").alias("line"))
 
 
 def url_batches(lines: DataFrame, cap: int | None = MAX_BATCH_URLS) -> DataFrame:
@@ -42,7 +42,7 @@ def url_batches(lines: DataFrame, cap: int | None = MAX_BATCH_URLS) -> DataFrame
         "batch_id", "pos", "url", F.lit(None).cast("string").alias("error"), F.lit(None).cast("string").alias("label")
     )
     refused = sizes.filter(~limit).select(
-        "batch_id", F.lit(None).cast("bigint").alias("pos"), F.lit(None).cast("string").alias("url"),
+        "batch_id", F.lit(None).cast(lines.schema["pos"].dataType).alias("pos"), F.lit(None).cast("string").alias("url"),
         F.lit(f"Maximum {cap} URLs per batch.").alias("error"), F.lit(None).cast("string").alias("label"),
     )
     return kept.unionByName(bad_rows).unionByName(refused)
