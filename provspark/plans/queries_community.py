@@ -19,8 +19,8 @@ cur_votes AS MATERIALIZED (
   WHERE choice IN ('real', 'edited', 'ai') AND image_id IN (SELECT image_id FROM fx_registry)
   GROUP BY image_id, voter_id),
 votes AS MATERIALIZED (
-  SELECT image_id, count_if(choice = 'real') AS vote_real, count_if(choice = 'edited') AS vote_edited,
-         count_if(choice = 'ai') AS vote_ai
+  SELECT image_id, count(CASE WHEN choice = 'real' THEN 1 END) AS vote_real, count(CASE WHEN choice = 'edited' THEN 1 END) AS vote_edited,
+         count(CASE WHEN choice = 'ai' THEN 1 END) AS vote_ai
   FROM cur_votes GROUP BY image_id)
 """
 
@@ -42,8 +42,8 @@ cur_reports AS MATERIALIZED (
     AND image_id IN (SELECT image_id FROM fx_registry)
   GROUP BY image_id, voter_id, provider, detector),
 by_detector AS MATERIALIZED (
-  SELECT image_id, detector, min(provider) AS provider, count_if(result = 'detected') AS detected,
-         count_if(result = 'not_detected') AS not_detected, count(*) AS total
+  SELECT image_id, detector, min(provider) AS provider, count(CASE WHEN result = 'detected' THEN 1 END) AS detected,
+         count(CASE WHEN result = 'not_detected' THEN 1 END) AS not_detected, count(*) AS total
   FROM cur_reports GROUP BY image_id, detector),
 reports AS MATERIALIZED (
   SELECT image_id, CAST(sum(detected) AS BIGINT) AS detected, CAST(sum(not_detected) AS BIGINT) AS not_detected
@@ -183,7 +183,7 @@ def report_downgrade_dedup(ev):
 
 @query("human_consensus", "fx_submission fx_registry fx_local_match fx_vote_event", "WITH " + MATCHES + "," + VOTES + """,
     agg AS (SELECT query_id, sum(vote_real) AS r, sum(vote_edited) AS e, sum(vote_ai) AS a, count(*) AS n,
-                   count_if(NOT is_self_match) AS d, count_if(has_local) AS l
+                   count(CASE WHEN NOT is_self_match THEN 1 END) AS d, count(CASE WHEN has_local THEN 1 END) AS l
             FROM matches m JOIN votes v ON m.neighbor_id = v.image_id GROUP BY query_id),
     num AS (SELECT s.image_id AS query_id, CAST(coalesce(r, 0) AS BIGINT) AS vote_real, CAST(coalesce(e, 0) AS BIGINT) AS vote_edited,
                    CAST(coalesce(a, 0) AS BIGINT) AS vote_ai, coalesce(n, 0) AS match_count, coalesce(d, 0) AS distant_match_count,
@@ -206,7 +206,7 @@ def human_consensus(ev):
               sum(CASE WHEN is_self_match THEN CASE WHEN detected > 0 AND not_detected >= 3 * detected THEN 0 ELSE detected END
                        WHEN least(pd, wd) = 0 THEN 0.75 * detected ELSE 0.5 * detected END) AS score,
               sum(CASE WHEN is_self_match THEN detected ELSE 0 END) AS sd, sum(CASE WHEN is_self_match THEN not_detected ELSE 0 END) AS sn,
-              sum(detected) AS td, sum(not_detected) AS tn, count_if(NOT is_self_match) AS sim, count(*) AS n
+              sum(detected) AS td, sum(not_detected) AS tn, count(CASE WHEN NOT is_self_match THEN 1 END) AS sim, count(*) AS n
             FROM matches m JOIN reports r ON m.neighbor_id = r.image_id GROUP BY query_id),
     num AS (SELECT s.image_id AS query_id, CAST(coalesce(score, 0) AS DOUBLE) AS score, CAST(coalesce(sd, 0) AS BIGINT) AS self_detected,
                    CAST(coalesce(sn, 0) AS BIGINT) AS self_not_detected, CAST(coalesce(td, 0) AS BIGINT) AS total_detected,

@@ -171,7 +171,7 @@ def descriptor_match(ev):
     corr AS (SELECT m.*, a.x AS qx, a.y AS qy, b.x AS cx, b.y AS cy, (m.query_idx * 7 + m.query_id) % 5 <> 0 AND m.query_id % 8 <> 6 AS inl
              FROM matched m JOIN fx_keypoint a ON a.image_id = m.query_id AND a.kp_idx = m.query_idx
              JOIN fx_keypoint b ON b.image_id = m.candidate_id AND b.kp_idx = m.train_idx),
-    sums AS (SELECT query_id, count(*) AS g, count_if(inl) AS i, max(qx) FILTER (inl) - min(qx) FILTER (inl) AS sqx, max(qy) FILTER (inl) - min(qy) FILTER (inl) AS sqy,
+    sums AS (SELECT query_id, count(*) AS g, count(CASE WHEN inl THEN 1 END) AS i, max(qx) FILTER (inl) - min(qx) FILTER (inl) AS sqx, max(qy) FILTER (inl) - min(qy) FILTER (inl) AS sqy,
                     max(cx) FILTER (inl) - min(cx) FILTER (inl) AS scx, max(cy) FILTER (inl) - min(cy) FILTER (inl) AS scy FROM corr GROUP BY query_id),
     j AS (SELECT q.image_id AS query_id, c.image_id AS candidate_id, coalesce(g, 0) AS g, coalesce(i, 0) AS i,
                  CASE WHEN q.width > 0 AND q.height > 0 AND i >= 2 THEN {_clamp('sqx / q.width')} * {_clamp('sqy / q.height')} ELSE 0.0 END AS qc,

@@ -129,7 +129,7 @@ def neighbor_display(ev):
 
 
 @query("match_method", "fx_submission fx_registry fx_local_match", "WITH " + MATCHES + """
-    SELECT match_method, count(*) AS pairs, count_if(is_self_match) AS self_pairs FROM matches GROUP BY match_method
+    SELECT match_method, count(*) AS pairs, count(CASE WHEN is_self_match THEN 1 END) AS self_pairs FROM matches GROUP BY match_method
 """)
 def match_method(ev):
     return matches_of(ev).groupBy("match_method").agg(
@@ -154,10 +154,10 @@ def neighbor_local_struct(ev):
 
 
 @query("self_match_rule", "fx_submission fx_registry fx_local_match", "WITH " + MATCHES + """
-    SELECT query_id, count_if(NOT coalesce(
+    SELECT query_id, count(CASE WHEN NOT coalesce(
                CASE WHEN neighbor_id % 3 = 0 THEN is_self_match END,
                CASE WHEN neighbor_id % 3 = 1 THEN is_self_match END,
-               pd = 0 AND (wd = 0 OR neighbor_id % 4 = 2))) AS distant_match_count
+               pd = 0 AND (wd = 0 OR neighbor_id % 4 = 2)) THEN 1 END) AS distant_match_count
     FROM matches GROUP BY query_id
 """)
 def self_match_rule(ev):

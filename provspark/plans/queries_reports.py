@@ -284,7 +284,7 @@ def _event_stream(ev):
 
 
 @query("stream_vote_state", "fx_vote_event", """
-    SELECT image_id, count_if(choice = 'real') AS vote_real, count_if(choice = 'edited') AS vote_edited, count_if(choice = 'ai') AS vote_ai
+    SELECT image_id, count(CASE WHEN choice = 'real' THEN 1 END) AS vote_real, count(CASE WHEN choice = 'edited' THEN 1 END) AS vote_edited, count(CASE WHEN choice = 'ai' THEN 1 END) AS vote_ai
     FROM (SELECT image_id, voter_id, arg_max(choice, (ts, event_id)) AS choice FROM fx_vote_event WHERE choice IN ('real', 'edited', 'ai') GROUP BY image_id, voter_id)
     GROUP BY image_id
 """)

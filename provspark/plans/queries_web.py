@@ -397,7 +397,7 @@ def newest_minus_oldest(ev):
 
 
 @query("backlink_summary", "fx_web_match fx_blocklist_line", "WITH " + LISTED + """,
-    agg AS (SELECT image_id, count(*) + 2 AS total_matches, count_if(similarity >= 0.7) AS filtered_match_count,
+    agg AS (SELECT image_id, count(*) + 2 AS total_matches, count(CASE WHEN similarity >= 0.7 THEN 1 END) AS filtered_match_count,
                    min(CASE WHEN similarity >= 0.7 THEN nullif(crawl_date, '') END) AS earliest_date FROM fx_web_match GROUP BY image_id),
     f AS (SELECT *, EXISTS (SELECT 1 FROM listed l WHERE l.image_id = a.image_id AND l.similarity >= 0.7) AS on_blocklist,
                  CASE WHEN filtered_match_count > 0 THEN filtered_match_count ELSE total_matches END AS shown FROM agg a)
