@@ -118,7 +118,7 @@ def _scan(urls: DataFrame, patterns: DataFrame) -> DataFrame:
     plain = patterns.filter(~F.col("regex").rlike(r"\\[1-9k]"))
     listed = [r[0] for r in plain.limit(SCAN_LIST_MAX + 1).collect()]
     if len(listed) <= SCAN_LIST_MAX:
-        joined, out = patterns.filter(F.col("regex").rlike(r"\\[1-9k]")), []
+        joined, out = patterns.filter(F.col("regex").rlike(r"\\[1-9k]")), [urls.limit(0)]
         if listed:
             tests = [
                 F.col("url").rlike("|".join(f"(?:{p})" for p in listed[i:i + ALTERNATION]))
@@ -126,8 +126,8 @@ def _scan(urls: DataFrame, patterns: DataFrame) -> DataFrame:
             ]
             out.append(urls.filter(reduce(lambda a, b: a | b, tests)))
     else:
-        joined, out = patterns, []
-    slices = max(1, -(-joined.count() // SCAN_LIST_MAX))
+        joined, out = patterns, [urls.limit(0)]
+    slices = -(-joined.count() // SCAN_LIST_MAX)
     numbered = joined.withColumn("_slice", F.pmod(F.xxhash64("regex"), F.lit(slices)))
     for i in range(slices):
         part = F.broadcast(numbered.filter(F.col("_slice") == i).select("regex"))

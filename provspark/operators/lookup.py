@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from provspark.functions import urls as U
 from provspark.operators.skew import sliced_row_number
+from provspark.session import cut_lineage
 
 DAY_SECONDS = 86_400
 
@@ -45,7 +46,8 @@ def url_lookup(inputs: DataFrame, sources: DataFrame, images: DataFrame, limit:
         candidates.join(sources.select("image_id", F.col("url").alias("candidate_url")).distinct(), "candidate_url")
         .groupBy("input_url", "image_id").agg(F.sort_array(F.collect_set("candidate_url")).alias("matched_source_urls"))
     )
-    payload = hits.join(images, "image_id")
+    # Ranking and counting read the matches three times, so they are written first.
+    payload = cut_lineage(inputs.sparkSession, hits.join(images, "image_id"), "lookup-matches")
     ranked = newest_first(payload)
     counts = ranked.groupBy("input_url").agg(F.count("*").alias("match_count"))
     base = candidates.select("input_url").distinct().join(counts, "input_url", "left").na.fill(0, ["match_count"])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from provspark.functions import texts as X
 from provspark.operators.skew import sliced_row_number, top_per_key
+from provspark.session import cut_lineage
 
 # Order of match methods, list sizes and labels.
 METHOD_ORDER = {"hybrid": 0, "local": 1, "hash": 2}
@@ -48,18 +49,24 @@ def top_sources(sources: DataFrame, shown: int = SHOWN_SOURCES) -> DataFrame:
     return top_per_key(sources, ["image_id"], [F.asc("url")], shown, "rank").filter("url <> ''")
 
 
-def distant_traces(neighbors: DataFrame, votes: DataFrame, facts: DataFrame, reports: DataFrame) -> DataFrame:
-    """Other neighbors that carry signed facts, votes or reports, ranked per query.
-
-    Order: match method, number of kinds carried, newer first, neighbor id. The rank is taken in slices, so a query
-    with very many neighbors does not sort in one task.
-    """
+def carried_evidence(votes: DataFrame, facts: DataFrame, reports: DataFrame) -> DataFrame:
+    """What each image carries: signed facts, votes, reports, and how many of these kinds; images without any are left out."""
     signed = facts.filter("analyzer = 'c2pa'").groupBy("image_id").agg(F.count("*").alias("c2pa_facts"))
     voted = votes.withColumn("total_votes", F.expr("vote_real + vote_edited + vote_ai")).filter("total_votes > 0")
     told = reports.filter("detected + not_detected > 0")
-    carried = voted.join(signed, "image_id", "full").join(told, "image_id", "full").withColumnRenamed("image_id", "neighbor_id")
+    carried = voted.join(signed, "image_id", "full").join(told, "image_id", "full")
     kinds = sum((F.col(c).isNotNull().cast("bigint") for c in ("c2pa_facts", "total_votes", "detected")), F.lit(0))
-    rows = neighbors.filter(~F.col("is_self_match")).join(carried, "neighbor_id").withColumn("kinds", kinds)
+    return carried.withColumn("kinds", kinds)
+
+
+def distant_traces(neighbors: DataFrame, carried: DataFrame) -> DataFrame:
+    """Other neighbors that carry evidence, ranked per query.
+
+    Order: match method, number of kinds carried, newer first, neighbor id. The rank is taken in slices, so a query
+    with very many neighbors does not sort in one task; ranking reads its rows twice, so they are written first.
+    """
+    rows = neighbors.filter(~F.col("is_self_match")).join(carried.withColumnRenamed("image_id", "neighbor_id"), "neighbor_id")
+    rows = cut_lineage(rows.sparkSession, rows, "distant")
     order = F.lit(99)
     for name, i in METHOD_ORDER.items():
         order = F.when(F.col("match_method") == name, F.lit(i)).otherwise(order)

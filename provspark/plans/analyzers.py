@@ -140,13 +140,6 @@ def run_analyzer(inputs: Inputs, slug: str, analyzers: Sequence[AnalyzerSpec] =
     raise KeyError(f"Unknown analyzer slug: {slug}")
 
 
-def catalog_table(spark: SparkSession, analyzers: Sequence[AnalyzerSpec] = ANALYZERS) -> DataFrame:
-    """The analyzer catalog as a table of fixed, small size."""
-    return spark.createDataFrame(
-        [(i, s.slug, s.name) for i, s in enumerate(analyzers)], "ord bigint, slug string, name string"
-    )
-
-
 # Stored rows ---------------------------------------------------------------------------------------------------------
 
 def persistable(rows: DataFrame, mode_col: str = "mode") -> DataFrame:
@@ -180,7 +173,11 @@ def read_rows(spark: SparkSession, path: str) -> DataFrame:
 
 def analyzer_matrix(analyses: DataFrame, stored: DataFrame, analyzers: Sequence[AnalyzerSpec] = ANALYZERS) -> DataFrame:
     """One row per analysis and catalog analyzer; what is not stored reads as NOT_RUN."""
-    grid = analyses.select("analysis_id").crossJoin(F.broadcast(catalog_table(analyses.sparkSession, analyzers)))
+    catalog = F.array(*[
+        F.struct(F.lit(i).cast("bigint").alias("ord"), F.lit(s.slug).alias("slug"), F.lit(s.name).alias("name"))
+        for i, s in enumerate(analyzers)
+    ])
+    grid = analyses.select("analysis_id", F.explode(catalog).alias("c")).select("analysis_id", "c.*")
     have = stored.select("analysis_id", "slug", "status", "summary", "data", F.lit(True).alias("_have"))
     j = grid.join(have, ["analysis_id", "slug"], "left")
     there = F.col("_have").isNotNull()

@@ -10,6 +10,7 @@ from provspark.operators import neighbors as N
 from provspark.operators import registry as R
 from provspark.plans.catalog import query
 from provspark.plans.fixtures import Evidence
+from provspark.session import cut_lineage
 
 # Shared oracle fragments ---------------------------------------------------------------------------------------------
 
@@ -67,7 +68,7 @@ def matches_of(ev: Evidence, carrying=None):
     local = ev.local_match.select("query_id", "neighbor_id", "inliers")
     if carrying is not None:
         keep = carrying.select("image_id").distinct()
-        registry = registry.join(keep, "image_id", "left_semi")
+        registry = cut_lineage(ev.spark, registry.join(keep, "image_id", "left_semi"), "narrowed")
         local = local.join(keep.withColumnRenamed("image_id", "neighbor_id"), "neighbor_id", "left_semi")
     pairs = N.with_local_matches(hash_pairs_of(ev, registry), local)
     return N.add_distances(pairs, queries_of(ev), registry).withColumn("has_local", F.col("inliers").isNotNull())
