@@ -140,8 +140,8 @@ def signed_measures(facts: DataFrame) -> DataFrame:
 def fact_matches(results: DataFrame, sums: DataFrame) -> DataFrame:
     """Signed-manifest status per query after looking at other neighbors' facts.
 
-    ``results(query_id, status, summary)``: NOT AVAILABLE and ERROR pass through without matches. ``sums`` are the
-    tier sums of ``signed_measures``.
+    ``results(query_id, status, summary, ...)``: NOT AVAILABLE and ERROR pass through without matches, further columns
+    unchanged. ``sums`` are the tier sums of ``signed_measures``.
     """
     found = sums.select("query_id", _all("same_facts", "similar_facts").alias("match_count"))
     out = found.join(results, "query_id")
@@ -149,8 +149,9 @@ def fact_matches(results: DataFrame, sums: DataFrame) -> DataFrame:
     n = F.when(closed, F.lit(0).cast("bigint")).otherwise(F.col("match_count"))
     similar = (F.col("status") == "NOT FOUND") & (n > 0)
     text = F.concat(F.lit("Found "), n, F.lit(" visually similar image"), T.plural(n), F.lit(" with C2PA metadata."))
+    extra = [c for c in results.columns if c not in ("query_id", "status", "summary")]
     return out.select(
-        "query_id", F.when(similar, "SIMILAR").otherwise(F.col("status")).alias("status"),
+        "query_id", *extra, F.when(similar, "SIMILAR").otherwise(F.col("status")).alias("status"),
         F.when(similar, text).otherwise(F.col("summary")).alias("summary"), n.alias("match_count"),
         (n > 0).alias("has_distant_matches"),
     )

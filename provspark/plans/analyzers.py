@@ -54,16 +54,16 @@ class AnalyzerSpec:
 
 
 def _signed(inp: Inputs) -> DataFrame:
-    tool = M.manifest_active(inp.manifests).withColumnRenamed("image_id", "query_id")
-    base = inp.queries.select("query_id").join(tool, "query_id", "left")
-    results = base.select(
+    ids = inp.queries.select("query_id")
+    asked = inp.manifests.join(ids.withColumnRenamed("query_id", "image_id"), "image_id", "left_semi")
+    tool = M.manifest_active(asked).withColumnRenamed("image_id", "query_id")
+    results = ids.join(tool, "query_id", "left").select(
         "query_id", F.coalesce("status", F.lit("NOT FOUND")).alias("status"),
-        F.coalesce("summary", F.lit(M.NO_MANIFEST)).alias("summary"),
+        F.coalesce("summary", F.lit(M.NO_MANIFEST)).alias("summary"), "signer", "origin_label", "provenance_depth",
     )
     out = C.fact_matches(results, inp.sums(C.signed_measures(inp.facts), ["facts"]))
-    head = tool.select("query_id", "signer", "origin_label", "provenance_depth")
     data = F.to_json(F.struct("signer", "origin_label", "provenance_depth", "match_count", "has_distant_matches"))
-    return out.join(head, "query_id", "left").select("query_id", "status", "summary", data.alias("data"))
+    return out.select("query_id", "status", "summary", data.alias("data"))
 
 
 def _watermark(inp: Inputs) -> DataFrame:

@@ -8,6 +8,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from provspark.session import spread
+
+# Derived tables whose rows are expensive to work on: their source is spread over the cores when it has few splits.
+_HEAVY_ROWS = ("fx_manifest", "fx_data_url")
+
 SOURCE_TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
     "benchmark labels conversations"
@@ -548,7 +553,10 @@ class Evidence:
             # The derivations hold JSON braces, so inputs are bound through views with one-off names.
             for dep in deps:
                 view = f"pv_{dep}_{id(self):x}"
-                self._get(dep).createOrReplaceTempView(view)
+                source = self._get(dep)
+                if name in _HEAVY_ROWS:
+                    view, source = f"{view}_spread", spread(source)
+                source.createOrReplaceTempView(view)
                 text = text.replace("{" + dep + "}", view)
             self._built[name] = self.spark.sql(text)
         return self._built[name]

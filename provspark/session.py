@@ -63,3 +63,12 @@ def cut_lineage(spark: SparkSession, df, name: str):
     path = work_folder(spark, name)
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df):
+    """Spread a table stored in fewer splits than the session has cores, for work that is heavy per row.
+
+    Tables of any size to speak of have more splits than cores and come back as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -33,10 +33,14 @@ def vote_outcomes(events: DataFrame) -> DataFrame:
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        # Most groups hold one or two rows, so plain lists are used instead of frame operations.
         current = state.get if state.exists else (None, -1, -1)
-        rows = pd.concat(list(batches)).sort_values(["ts_us", "event_id"])
-        out = []
-        for ts_us, event_id, choice in zip(rows["ts_us"], rows["event_id"], rows["choice"]):
+        rows = []
+        for batch in batches:
+            rows += zip(batch["ts_us"].tolist(), batch["event_id"].tolist(), batch["choice"].tolist())
+        rows.sort()
+        ids, choices, before, states = [], [], [], []
+        for ts_us, event_id, choice in rows:
             previous, at, last_id = current
             if (ts_us, event_id) <= (at, last_id):
                 status = "stale"
@@ -44,11 +48,16 @@ def vote_outcomes(events: DataFrame) -> DataFrame:
                 status = "recorded"
             else:
                 status = "unchanged" if previous == choice else "updated"
-            out.append((key[0], key[1], event_id, choice, previous, status))
+            ids.append(event_id)
+            choices.append(choice)
+            before.append(previous)
+            states.append(status)
             if status != "stale":
-                current = (choice, int(ts_us), int(event_id))
+                current = (choice, ts_us, event_id)
         state.update(current)
-        yield pd.DataFrame(out, columns=["image_id", "voter_id", "event_id", "choice", "previous", "status"])
+        yield pd.DataFrame({
+            "image_id": key[0], "voter_id": key[1], "event_id": ids, "choice": choices, "previous": before, "status": states,
+        })
 
     valid = events.filter(F.col("choice").isin(*VOTE_CHOICES)).select(
         "image_id", "voter_id", "event_id", "choice", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us")
