@@ -189,7 +189,8 @@ def sums_from_pairs(queries: DataFrame, neighbors: DataFrame, measures: DataFram
     cols = [
         F.sum(F.when(cond, F.col(m)).otherwise(0)).alias(f"{tier}_{m}") for tier, cond in tiers.items() for m in [*names, "n"]
     ]
-    sums = rows.groupBy("query_id").agg(*cols, F.count_if("has_local").alias("local_n"))
+    found = [F.sum(F.when(F.col("has_local"), F.col(m)).otherwise(0)).alias(f"local_{m}") for m in [*names, "n"]]
+    sums = rows.groupBy("query_id").agg(*cols, *found)
     return queries.select("query_id").join(sums, "query_id", "left").na.fill(0)
 
 
@@ -200,7 +201,8 @@ def neighbor_sums(queries: DataFrame, registry: DataFrame, measures: DataFrame,
     """Sums of ``measures(image_id, *names)`` over the neighbors of each query, without listing the neighbors.
 
     Output per query: for each measure, and for the count ``n`` of neighbors that have a row, the value of the image
-    itself (``self_*``), of others at distance 0 (``same_*``) and of the rest (``similar_*``), and ``local_n``.
+    itself (``self_*``), of others at distance 0 (``same_*``) and of the rest (``similar_*``); and, among all these, of
+    those that also or only matched geometrically (``local_*``).
 
     A wavelet hash may be shared by very many images, and then the pairs of queries and neighbors explode. So measures
     are summed per distinct whash first and only distinct words are matched. What is close by phash but not by whash
@@ -267,18 +269,18 @@ def neighbor_sums(queries: DataFrame, registry: DataFrame, measures: DataFrame,
         *[(F.coalesce(f"similar_{m}", zero) - F.when(off, own_value(m)).otherwise(zero)).alias(f"similar_{m}") for m in ms],
     )
     if local is None:
-        return out.withColumn("local_n", F.lit(0).cast("bigint"))
+        return out.withColumns({f"local_{m}": zero.cast("bigint") for m in ms})
     # Geometric matches are listed pairs; only those that no hash found add to the sums.
     lm = local.select("query_id", F.col("neighbor_id").alias("image_id")).distinct().join(q, "query_id").join(carry, "image_id").filter(
         F.col("image_id") != F.col("registry_id"))
     by_hash = F.coalesce(H.distance(F.col("qp"), F.col("rp")) <= phash_max, F.lit(False)) | F.coalesce(
         H.distance(F.col("qw"), F.col("rw")) <= whash_max, F.lit(False))
     extra = lm.groupBy("query_id").agg(
-        *[F.sum(F.when(by_hash, 0).otherwise(F.col(m))).alias(f"l_{m}") for m in ms], F.count("*").alias("local_n")
+        *[F.sum(F.when(by_hash, 0).otherwise(F.col(m))).alias(f"l_{m}") for m in ms], *[F.sum(m).alias(f"g_{m}") for m in ms]
     )
     out = out.join(extra, "query_id", "left")
     return out.select(
         "query_id", *sum_columns(ms)[:2 * len(ms)],
         *[(F.col(f"similar_{m}") + F.coalesce(f"l_{m}", zero)).alias(f"similar_{m}") for m in ms],
-        F.coalesce("local_n", zero).alias("local_n"),
+        *[F.coalesce(f"g_{m}", zero).cast("bigint").alias(f"local_{m}") for m in ms],
     )

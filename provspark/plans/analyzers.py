@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +16,7 @@ from provspark.operators import consensus as C
 from provspark.operators import manifests as M
 from provspark.operators import metadata as MD
 from provspark.operators import neighbors as N
+from provspark.session import cut_lineage
 
 # Texts, statuses and the report version.
 REPORT_VERSION = "1.1"
@@ -40,8 +41,22 @@ class Inputs:
     manifests: DataFrame     # image_id (= query id), manifest_json; a query without a row has no manifest
     chunks: DataFrame        # image_id (= query id), key, value
 
-    def sums(self, measures: DataFrame, names: list[str]) -> DataFrame:
-        return N.neighbor_sums(self.queries, self.registry, measures, names, self.local)
+    _sums: DataFrame | None = field(default=None, repr=False)
+
+    def sums(self, names: list[str], count: str) -> DataFrame:
+        """Tier sums of some measures with ``count`` as the number of neighbors; all come from one pass over the hashes."""
+        if self._sums is None:
+            votes = self.votes.withColumn("has_votes", F.lit(1))
+            reports = C.reported(self.reports).withColumn("has_reports", F.lit(1))
+            signed = C.signed_measures(self.facts).withColumn("has_facts", F.lit(1))
+            measures = votes.join(reports, "image_id", "full").join(signed, "image_id", "full").na.fill(0)
+            every = [*C.VOTE_MEASURES, *C.REPORT_MEASURES, "facts", "has_votes", "has_reports", "has_facts"]
+            sums = N.neighbor_sums(self.queries, self.registry, measures, every, self.local)
+            self._sums = cut_lineage(sums.sparkSession, sums, "evidence-sums")
+        tiers = ("self", "same", "similar", "local")
+        return self._sums.select(
+            "query_id", *[f"{t}_{m}" for t in tiers for m in names], *[F.col(f"{t}_{count}").alias(f"{t}_n") for t in tiers]
+        )
 
 
 @dataclass(frozen=True)
@@ -61,13 +76,13 @@ def _signed(inp: Inputs) -> DataFrame:
         "query_id", F.coalesce("status", F.lit("NOT FOUND")).alias("status"),
         F.coalesce("summary", F.lit(M.NO_MANIFEST)).alias("summary"), "signer", "origin_label", "provenance_depth",
     )
-    out = C.fact_matches(results, inp.sums(C.signed_measures(inp.facts), ["facts"]))
+    out = C.fact_matches(results, inp.sums(["facts"], "has_facts"))
     data = F.to_json(F.struct("signer", "origin_label", "provenance_depth", "match_count", "has_distant_matches"))
     return out.select("query_id", "status", "summary", data.alias("data"))
 
 
 def _watermark(inp: Inputs) -> DataFrame:
-    out = C.watermark_score(inp.sums(C.reported(inp.reports), C.REPORT_MEASURES))
+    out = C.watermark_score(inp.sums(C.REPORT_MEASURES, "has_reports"))
     data = F.to_json(F.struct("score", "contested", "total_detected", "total_not_detected", "similar_count"))
     return out.select("query_id", "status", "summary", data.alias("data"))
 
@@ -87,7 +102,7 @@ def _metadata(inp: Inputs) -> DataFrame:
 
 
 def _human(inp: Inputs) -> DataFrame:
-    out = C.human_consensus(inp.sums(inp.votes, C.VOTE_MEASURES))
+    out = C.human_consensus(inp.sums(C.VOTE_MEASURES, "has_votes"))
     data = F.to_json(F.struct("vote_real", "vote_edited", "vote_ai", "total_votes", "distant_match_count", "local_match_count"))
     return out.select("query_id", "status", "summary", data.alias("data"))
 

@@ -200,6 +200,12 @@ def test_analyzers(spark, small):
     assert {(r.status, r.summary) for r in rows.filter("slug = 'broken' and query_id <> 3").collect()} == {("ERROR", "no such input")}
     assert {r.status for r in rows.filter("slug = 'tineye' and query_id <> 3").collect()} == {"MANUAL"}
     assert A.run_analyzer(inp, "human").count() == n
+    # The shared sums give each analyzer what its own query computes.
+    import __spark_entry__ as entry
+
+    for slug, query in (("human", "human_consensus"), ("synthid", "watermark_score")):
+        alone = {tuple(r) for r in entry.queries()[query](spark, small).select("query_id", "status", "summary").collect()}
+        assert {tuple(r) for r in A.run_analyzer(inp, slug).select("query_id", "status", "summary").collect()} == alone
     with pytest.raises(KeyError):
         A.run_analyzer(inp, "nope")
 
