@@ -196,14 +196,19 @@ def manifest_active(stores: DataFrame) -> DataFrame:
         F.col("status") == "NOT FOUND", NO_MANIFEST
     ).otherwise(UNREADABLE)
 
+    # Missing or empty ingredients are depth 0; a value that is no list has no depth.
+    raw = F.get_json_object("active_text", "$.ingredients")
+    depth = F.when(F.col("m.ingredients").isNotNull(), F.size("m.ingredients")).when(
+        F.coalesce(raw, F.lit("")).isin("", "{}", "0", "false"), 0
+    )
+
     def when_ok(c: Column) -> Column:
         return F.when(ok, c)
 
     return rows.select(
         "image_id", "status", summary.alias("summary"), when_ok(signer).alias("signer"),
         when_ok(_text(F.col("m.claim_generator"))).alias("tool"),
-        # No ingredients, or something that is no list, counts as depth 0.
-        when_ok(F.size(F.coalesce("m.ingredients", F.array().cast("array<map<string,string>>")))).cast("bigint").alias("provenance_depth"),
+        when_ok(depth).cast("bigint").alias("provenance_depth"),
         when_ok(F.col("manifest_label")).alias("manifest_label"),
         when_ok(F.col("manifest_count").cast("bigint")).alias("manifest_count"),
         when_ok(_text(F.col("m.title"))).alias("manifest_title"), when_ok(_text(F.col("m.format"))).alias("manifest_format"),

@@ -60,6 +60,8 @@ def test_store_statuses(table):
     got = {r.image_id: (r.status, r.signer) for r in M.manifest_active(st).collect()}
     assert got == {0: ("ERROR", None), 1: ("NOT FOUND", None), 2: ("NOT FOUND", None), 3: ("FOUND", "Tool"), 4: ("FOUND", "Unknown signer"),
                    5: ("FOUND", "Unknown signer")}
+    depths = {r.image_id: r.provenance_depth for r in M.manifest_active(st).collect()}
+    assert depths == {0: None, 1: None, 2: None, 3: 0, 4: 0, 5: None}
 
 
 @pytest.mark.parametrize("name,shown", [
