@@ -77,8 +77,10 @@ def spans_of(text: Column, pattern: str, group: int = 0) -> Column:
 
 def span_text(kinds: list[tuple[str, Column]]) -> Column:
     """``kind:start:end`` by start, then kind as listed, comma-joined; the columns are arrays of structs with start, end."""
-    tagged = [F.transform(c, lambda s, i=i, k=k: F.struct(s["start"].alias("start"), F.lit(i).alias("kind"), s["end"].alias("end"), F.lit(k).alias("name")))
-              for i, (k, c) in enumerate(kinds)]
+    def tag(i: int, kind: str, spans: Column) -> Column:
+        return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(i).alias("kind"), s["end"].alias("end"), F.lit(kind).alias("name")))
+
+    tagged = [tag(i, k, c) for i, (k, c) in enumerate(kinds)]
     every = F.array_sort(reduce(lambda a, b: F.concat(a, b), tagged))
     return F.array_join(F.transform(every, lambda s: F.concat_ws(":", s["name"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 

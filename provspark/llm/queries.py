@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provspark.llm import shards
+from provspark.llm import secrets, shards
 from provspark.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,3 +28,8 @@ def query(name: str, sql: str | None = None):
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard_documents(read(spark, sf_dir, "documents")).select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op4_secret_ledger", secrets.SQL)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.secrets_of(read(spark, sf_dir, "documents").select("doc_id", "text")))
