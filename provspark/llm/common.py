@@ -105,3 +105,35 @@ def mix64(h: np.ndarray) -> np.ndarray:
         h *= np.uint64(0x94D049BB133111EB)
         h ^= h >> np.uint64(31)
     return h
+
+
+class WordHash(dict):
+    """64-bit hashes of word bytes; kept for frequent words, forgotten when too many have been seen."""
+
+    LIMIT = 300_000
+
+    def __missing__(self, word: bytes) -> int:
+        import xxhash
+
+        if len(self) >= self.LIMIT:
+            self.clear()
+        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        return value
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
+def in_chunks(batch, text: str, limit: int = 2_000_000):
+    """Slices (from, to, texts) of an Arrow batch with about ``limit`` characters each; null texts are None."""
+    column = batch.column(batch.schema.get_field_index(text))
+    start, size, texts = 0, 0, []
+    for i in range(batch.num_rows):
+        t = column[i].as_py()
+        texts.append(t)
+        size += len(t) if t else 0
+        if size >= limit:
+            yield start, i + 1, texts
+            start, size, texts = i + 1, 0, []
+    if texts:
+        yield start, batch.num_rows, texts

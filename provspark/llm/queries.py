@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provspark.llm import secrets, shards
+from provspark.llm import leaks, secrets, shards
 from provspark.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,3 +33,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_secret_ledger", secrets.SQL)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.secrets_of(read(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+@query("op8_spaced_seed_leaks")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
