@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provspark.llm import leaks, secrets, shards
+from provspark.llm import jaccard, leaks, secrets, shards
 from provspark.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,3 +38,8 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_spaced_seed_leaks")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+@query("op3_shingle_jaccard")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(read(spark, sf_dir, "documents"))
