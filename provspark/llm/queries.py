@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provspark.llm import jaccard, leaks, secrets, shards
+from provspark.llm import jaccard, leaks, pii, secrets, shards
 from provspark.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,3 +43,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_shingle_jaccard")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+@query("op9_boosted_pii")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.personal_data(read(spark, sf_dir, "documents").select("doc_id", "text")))
