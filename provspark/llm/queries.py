@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provspark.llm import jaccard, leaks, pii, secrets, shards
-from provspark.llm.common import read
+from provspark.llm import jaccard, leaks, pii, quality, secrets, shards
+from provspark.llm.common import read, remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -48,3 +48,10 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_boosted_pii")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.personal_data(read(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+@query("op2_bradley_terry")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, read(spark, sf_dir, "labels"))
+    return quality.scored(docs, model).select("doc_id", (remainder(F.col("doc_id"), quality.FOLDS) == 0).alias("held_out"), "score", "predicted")
