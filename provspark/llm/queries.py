@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provspark.llm import jaccard, leaks, pii, quality, secrets, shards
+from provspark.llm import html, jaccard, leaks, neighbours, pii, quality, secrets, shards
 from provspark.llm.common import read, remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,3 +55,13 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.train(docs, read(spark, sf_dir, "labels"))
     return quality.scored(docs, model).select("doc_id", (remainder(F.col("doc_id"), quality.FOLDS) == 0).alias("held_out"), "score", "predicted")
+
+
+@query("op6_projection_forest")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(read(spark, sf_dir, "embeddings"))
+
+
+@query("op1_block_labeller")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extracted(read(spark, sf_dir, "pages"))
