@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provspark.llm import html, jaccard, leaks, neighbours, pii, quality, secrets, shards
+from provspark.llm import html, jaccard, leaks, mixing, neighbours, pii, quality, secrets, shards
 from provspark.llm.common import read, remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,3 +65,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_block_labeller")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extracted(read(spark, sf_dir, "pages"))
+
+
+@query("op5_context_mixing")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.scored(read(spark, sf_dir, "documents").select("doc_id", "text"))
