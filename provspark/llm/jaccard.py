@@ -5,10 +5,11 @@
    holds fewer shingles of other sets than that cannot be linked and leave; with ``l`` a twentieth of the set, a passage
    that many documents share does not keep them.
 3. The others meet in tiles: one shingle of the prefix and one band of sizes (a factor of 1.25), reached by its own sets
-   and those of the band below. First each set is held against one pivot, the set that it shares most tiles with as
-   their least; a group of copies of any size is settled by that in linear work.
+   and those of the band below. In a few rounds each component of a tile is held against one pivot, the least set that
+   it meets most; groups of copies of any size are settled by that in linear work.
 4. Where a tile still holds more than one component, blocks of its sets are compared by hashed bitmaps: half of
-   ``n + m - bits that differ`` bounds the overlap from above. What passes is intersected exactly.
+   ``n + m - bits that differ`` bounds the overlap from above. What passes is intersected exactly, the most promising
+   pairs in a first round, then all that are still in different components.
 """
 
 from __future__ import annotations
@@ -23,8 +24,10 @@ from pyspark.sql import functions as F
 from provspark.llm.common import Scratch, WordHash, in_chunks, mix64, words_of
 
 SHINGLE = 5
-#: Bits of a set's signature, sets in a block of a tile, members that meet one copy of a pivot.
-SIGNATURE, BLOCK, SALT_ROWS = 2048, 256, 512
+#: Bits of a set's signature for each shingle (up to a power of two), sets in a block of a tile, members that meet one copy of a pivot.
+SIGNATURE, BLOCK, SALT_ROWS = 8, 256, 512
+#: Passes of the prefix filter, rounds of pivots, partners in the round before the last, which takes all.
+FILTERS, PIVOT_ROUNDS, FEW = 1, 2, 2
 #: Bits of the bitmap of texts whose sets are built a second time (8 MB, whatever the input).
 BITS = 1 << 26
 
@@ -89,6 +92,24 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ["doc_id", "t64", "n", "sid", "s64", "keys"])
 
 
+def signature(s: np.ndarray) -> bytes:
+    """Bitmap of the shingles' hashes, as wide as the least power of two of SIGNATURE bits a shingle; 64 at least."""
+    width = max(64, 1 << (SIGNATURE * len(s) - 1).bit_length())
+    bits = np.zeros(width, np.uint8)
+    bits[(s >> np.uint64(8)) & np.uint64(width - 1)] = 1
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def folded(bits: bytes, width: int) -> np.ndarray:
+    """The bitmap at a smaller width in bytes: halves laid over each other."""
+    return np.bitwise_or.reduce(np.frombuffer(bits, np.uint8).reshape(-1, width)).view(np.uint64)
+
+
+def may_link(n: np.ndarray, m: int, differ: np.ndarray) -> np.ndarray:
+    """By how much the bound of the overlap, half of what the sizes and differing bits leave, exceeds the least one (times 9)."""
+    return 9 * ((n + m - differ) // 2) - 4 * (n + m)
+
+
 def _arrays(bitmap):
     """sid, n, shingles, bits of the texts whose hash is in the bitmap; each set once in a task."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,9 +122,7 @@ def _arrays(bitmap):
                 for s in shingle_sets(texts, cache):
                     if len(s) and (sid := _sid(s)) not in seen:
                         seen.add(sid)
-                        bits = np.zeros(SIGNATURE, np.uint8)
-                        bits[(s >> np.uint64(20)).astype(np.int64) % SIGNATURE] = 1
-                        out.append((sid, len(s), s.view(np.int64), np.packbits(bits).tobytes()))
+                        out.append((sid, len(s), s.view(np.int64), signature(s)))
                 if out:
                     sid, n, s, bits = zip(*out, strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array(sid, pa.binary()), pa.array(n, pa.int64()), pa.array(s, pa.list_(pa.int64())), pa.array(bits, pa.binary())], ["sid", "n", "shingles", "bits"])
@@ -111,66 +130,87 @@ def _arrays(bitmap):
     return run
 
 
-def _held_against_pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (pivot, salt, member first the pivot itself): pairs whose exact intersection links them."""
-    group, pivot = None, None
-    for batch in batches:
-        out = []
-        names, salts, sids = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
-        arrays = batch.column(3)
-        for i, (p, salt, sid) in enumerate(zip(names, salts, sids, strict=True)):
-            own = arrays[i].values.to_numpy(zero_copy_only=False)
-            if (p, salt) != group:
-                group, pivot = (p, salt), own if sid == p else None
-            elif pivot is not None and sid != p:
-                common = len(np.intersect1d(pivot, own, assume_unique=True))
-                if 100 * common >= 80 * (len(pivot) + len(own) - common):
+def _held_against_pivots(exact: bool):
+    """Rows (pivot, salt, sid, set) sorted with the pivot itself first: pairs that are linked, or that bitmaps let through."""
+    def linked(a, b) -> bool:
+        common = len(np.intersect1d(a, b, assume_unique=True))
+        return 100 * common >= 80 * (len(a) + len(b) - common)
+
+    def possible(a, b) -> bool:
+        width = min(len(a["bits"]), len(b["bits"]))
+        differ = np.bitwise_count(folded(a["bits"], width) ^ folded(b["bits"], width)).sum(dtype=np.int64)
+        return 5 * min(a["n"], b["n"]) >= 4 * max(a["n"], b["n"]) and may_link(a["n"], b["n"], differ) >= 0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, pivot = None, None
+        for batch in batches:
+            out = []
+            names, salts, sids = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            sets = batch.column(3)
+            for i, (p, salt, sid) in enumerate(zip(names, salts, sids, strict=True)):
+                own = sets[i].values.to_numpy(zero_copy_only=False) if exact else sets[i].as_py()
+                if (p, salt) != group:
+                    group, pivot = (p, salt), own if sid == p else None
+                elif pivot is not None and sid != p and (linked if exact else possible)(pivot, own):
                     out.append((p, sid))
-        a, b = zip(*out, strict=True) if out else ([], [])
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["x", "y"])
+            a, b = zip(*out, strict=True) if out else ([], [])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["pivot", "sid"])
+
+    return run
 
 
-def verified(pairs: DataFrame, arrays: DataFrame) -> DataFrame:
-    """Linked pairs (x, y) among ``pairs(pivot, sid)``: members travel to copies of their pivot, which is sent once per salt."""
+def held(pairs: DataFrame, arrays: DataFrame, exact: bool) -> DataFrame:
+    """The pairs (pivot, sid) that pass; members travel to copies of their pivot, which is sent once per salt."""
     sized = pairs.groupBy("pivot").agg(F.count("*").alias("members"))
     salted = pairs.join(sized, "pivot").withColumn("salts", (F.col("members") / SALT_ROWS).cast("int") + 1) \
         .withColumn("salt", F.pmod(F.xxhash64("sid"), F.col("salts")).cast("int"))
     copies = salted.select("pivot", "salt").distinct().select("pivot", "salt", F.col("pivot").alias("sid"))
-    rows = salted.select("pivot", "salt", "sid").unionByName(copies).join(arrays.select("sid", "shingles"), "sid")
-    rows = rows.withColumn("first", F.col("sid") != F.col("pivot")).select("pivot", "salt", "sid", "shingles", "first")
-    sorted_rows = rows.repartition("pivot", "salt").sortWithinPartitions("pivot", "salt", "first")
-    return sorted_rows.select("pivot", "salt", "sid", "shingles").mapInArrow(_held_against_pivots, "x binary, y binary").distinct()
+    what = F.col("shingles") if exact else F.struct("n", "bits")
+    rows = salted.select("pivot", "salt", "sid").unionByName(copies).join(arrays.select("sid", what.alias("set")), "sid")
+    rows = rows.select("pivot", "salt", "sid", "set", (F.col("sid") != F.col("pivot")).alias("member"))
+    sorted_rows = rows.repartition("pivot", "salt").sortWithinPartitions("pivot", "salt", "member")
+    return sorted_rows.select("pivot", "salt", "sid", "set").mapInArrow(_held_against_pivots(exact), "pivot binary, sid binary").distinct()
 
 
-def _tile_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by tile: pairs of different components that the sizes and bitmaps let through. A tile holds two blocks."""
+def _tile_pairs(few: bool):
+    """Rows sorted by tile: pairs of different components that the sizes and bitmaps let through. A tile holds two blocks.
+
+    ``few``: each set's FEW most promising partners only; a round of all follows.
+    """
     def compare(rows: list[tuple]) -> list[tuple]:
         side, comp, sid = np.array([r[1] for r in rows]), np.array([r[2] for r in rows], object), [r[3] for r in rows]
         home, n = np.array([r[4] for r in rows]), np.array([r[5] for r in rows], np.int64)
-        bits = np.frombuffer(b"".join(r[6] for r in rows), np.uint64).reshape(len(rows), -1)
+        width = min(len(r[6]) for r in rows)
+        bits = np.stack([folded(r[6], width) for r in rows])
         one = len(set(side)) == 1
         out = []
         for i in range(len(rows)):
             js = np.arange(i + 1, len(rows)) if one else np.flatnonzero(side != side[i]) if side[i] == side[0] else np.zeros(0, int)
             js = js[(comp[js] != comp[i]) & (home[js] | home[i]) & (5 * np.minimum(n[js], n[i]) >= 4 * np.maximum(n[js], n[i]))]
             if len(js):
-                most = (n[js] + n[i] - np.bitwise_count(bits[js] ^ bits[i]).sum(1, dtype=np.int64)) // 2
-                out += [(min(sid[i], sid[j]), max(sid[i], sid[j])) for j in js[9 * most >= 4 * (n[js] + n[i])]]
+                room = may_link(n[js], n[i], np.bitwise_count(bits[js] ^ bits[i]).sum(1, dtype=np.int64))
+                js, room = js[room >= 0], room[room >= 0]
+                js = js[np.argsort(-room, kind="stable")[:FEW]] if few else js
+                out += [(min(sid[i], sid[j]), max(sid[i], sid[j])) for j in js]
         return out
 
-    tile, rows = None, []
-    for batch in batches:
-        out = []
-        for r in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-            if r[0] != tile:
-                out += compare(rows) if rows else []
-                tile, rows = r[0], []
-            rows.append(r)
-        a, b = zip(*out, strict=True) if out else ([], [])
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["pivot", "sid"])
-    out = compare(rows) if rows else []
-    a, b = zip(*out, strict=True) if out else ([], [])
-    yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["pivot", "sid"])
+    def batch_of(pairs: list[tuple]) -> pa.RecordBatch:
+        a, b = zip(*set(pairs), strict=True) if pairs else ([], [])
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["pivot", "sid"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile, rows = None, []
+        for batch in batches:
+            out = []
+            for r in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if r[0] != tile:
+                    out += compare(rows) if rows else []
+                    tile, rows = r[0], []
+                rows.append(r)
+            yield batch_of(out)
+        yield batch_of(compare(rows) if rows else [])
+
+    return run
 
 
 def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -201,49 +241,84 @@ def _text_bitmap(hashes: DataFrame) -> np.ndarray:
     return bitmap.view(np.uint8)
 
 
-def set_links(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """(members, links): doc_id, n, sid of every row of ``docs(doc_id, text)``; sid, comp of the sets that are linked."""
-    spark = docs.sparkSession
-    texts = docs.select("doc_id", F.xxhash64("text").alias("t64"), F.col("text").cast("string").alias("text"))
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    members = scratch.put(texts.mapInArrow(_sets, f"doc_id {kind}, t64 long, n long, sid binary, s64 long, keys array<long>"), "sets")
-    keyed = members.where("keys is not null")
-    rows = keyed.select("sid", "s64", "n", "t64", F.posexplode("keys").alias("pos", "h"))
+def _active_tiles(members: DataFrame, keys: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(active, tiles): sid, t64 of the sets that may be linked; tile, sid, n, home of the tiles where they meet."""
+    rows = keys.select("s64", F.posexplode("keys").alias("pos", "h"), "cores")
+    rows = rows.select("h", "s64", (F.col("pos") < F.col("cores")).alias("core"))
     shared = rows.groupBy("h").agg(F.min("s64").alias("lo"), F.max("s64").alias("hi")).where("lo <> hi").select("h")
-    met = scratch.put(rows.select("sid", "n", "h", "pos").join(shared, "h"), "met")
+    met = scratch.put(rows.join(shared, "h"), "met")
+    scratch.drop("keys")
     # A set may have been built in several tasks; its shingles count that often.
-    built = keyed.groupBy("sid").agg(F.count("*").alias("times"), F.min("t64").alias("t64"))
-    need = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * 4 / 5) / 20))
-    active = met.groupBy("sid", "n").agg(F.count("*").alias("c")).join(built, "sid").where(F.col("c") >= need * F.col("times")).select("sid", "t64")
-    active = scratch.put(active, "active")
+    built = scratch.put(members.where("keyed").groupBy("s64").agg(F.count("*").alias("times"), F.min("n").alias("n")), "built")
+    need = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * 4 / 5) / 20)) * F.col("times")
+    left = met
+    for k in range(FILTERS):
+        if k:  # only shingles that two of the remaining sets share count
+            again = left.groupBy("h").agg(F.min("s64").alias("lo"), F.max("s64").alias("hi")).where("lo <> hi").select("h")
+            left = left.join(again, "h")
+        enough = left.groupBy("s64").agg(F.count("*").alias("c")).join(built, "s64").where(F.col("c") >= need).select("s64", "n")
+        left = scratch.put(left.join(enough.select("s64"), "s64"), f"left{k}")
+    active = scratch.put(members.where("keyed").join(left.select("s64").distinct(), "s64").groupBy("sid").agg(F.min("t64").alias("t64"), F.min("s64").alias("s64"), F.min("n").alias("n")), "active")
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.25)))
-    core = F.col("pos") < F.col("n") - F.ceil(F.col("n") * 4 / 5) + 1
-    tiles = met.where(core).join(active.select("sid"), "sid").select("sid", "n", F.explode(F.array(
+    tiles = left.where("core").join(active.select("s64", "sid", "n"), "s64").select("sid", "n", F.explode(F.array(
         F.struct(F.xxhash64("h", band).alias("tile"), F.lit(True).alias("home")), F.struct(F.xxhash64("h", band + 1).alias("tile"), F.lit(False).alias("home")))).alias("t")) \
         .select("sid", "n", "t.tile", "t.home").distinct()
-    tiles = scratch.put(tiles, "tiles")
-    scratch.drop("met")
-    bitmap = spark.sparkContext.broadcast(_text_bitmap(active))
-    arrays = scratch.put(texts.select("t64", "text").mapInArrow(_arrays(bitmap), "sid binary, n long, shingles array<long>, bits binary"), "arrays")
-    # Pivots: the least set of a tile; each set is held against the one that it meets most.
-    least = tiles.groupBy("tile").agg(F.min("sid").alias("pivot"), F.max("sid").alias("last")).where("pivot <> last").select("tile", "pivot")
-    votes = tiles.join(least, "tile").where("sid <> pivot").groupBy("sid", "pivot").agg(F.count("*").alias("c"))
-    first = scratch.put(verified(votes.groupBy("sid").agg(F.max_by("pivot", F.struct("c", "pivot")).alias("pivot")), arrays), "links1")
-    labels = components(first, scratch, "comp1")
-    # Tiles that hold more than one component.
-    named = tiles.join(labels, "sid", "left").select("tile", "sid", "home", F.coalesce("comp", "sid").alias("comp"))
+    alone = tiles.groupBy("tile").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo <> hi").select("tile")
+    return active, scratch.put(tiles.join(alone, "tile"), "tiles")
+
+
+def _mixed(tiles: DataFrame, labels: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """(rows, mixed): tiles' rows with their component; tiles with more than one, equal ones once, with their size."""
+    if labels is None:
+        named = tiles.withColumn("comp", F.col("sid"))
+    else:
+        named = tiles.join(labels, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
     mixed = named.groupBy("tile").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("rows"), F.bit_xor(F.xxhash64("sid", "home")).alias("same")).where("a <> b")
-    mixed = mixed.groupBy("rows", "same").agg(F.min("tile").alias("tile")).select("tile", (F.col("rows") / BLOCK).cast("int").alias("more"))  # equal tiles once
-    open_rows = named.join(mixed, "tile").withColumn("block", F.pmod(F.xxhash64("sid"), F.col("more") + 1).cast("int"))
-    spread = open_rows.select("tile", "sid", "home", "comp", "block", F.explode(F.sequence(F.lit(0), F.col("more"))).alias("other"))
+    return named, mixed.groupBy("rows", "same").agg(F.min("tile").alias("tile")).select("tile", (F.col("rows") / BLOCK).cast("int").alias("more"))
+
+
+def _pivot_pairs(tiles: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """One pair for each component of a mixed tile at most: its least set there and the pivot that it meets most."""
+    named, mixed = _mixed(tiles, labels)
+    least = named.join(mixed, "tile").groupBy("tile", "comp").agg(F.min("sid").alias("sid"))
+    pivot = least.groupBy("tile").agg(F.min("sid").alias("pivot"))
+    votes = least.join(pivot, "tile").where("sid <> pivot").groupBy("sid", "pivot").agg(F.count("*").alias("c"))
+    return votes.groupBy("sid").agg(F.max_by("pivot", F.struct("c", "pivot")).alias("pivot"))
+
+
+def _block_pairs(tiles: DataFrame, labels: DataFrame | None, arrays: DataFrame, few: bool) -> DataFrame:
+    """Pairs of different components that pass sizes and bitmaps, blocks of a tile against blocks."""
+    named, mixed = _mixed(tiles, labels)
+    rows = named.join(mixed, "tile").withColumn("block", F.pmod(F.xxhash64("sid"), F.col("more") + 1).cast("int"))
+    spread = rows.select("tile", "sid", "home", "comp", "block", F.explode(F.sequence(F.lit(0), F.col("more"))).alias("other"))
     spread = spread.select(F.xxhash64("tile", F.least("block", "other"), F.greatest("block", "other")).alias("tile"), "block", "comp", "sid", "home")
     signed = spread.join(arrays.groupBy("sid").agg(F.first("n").alias("n"), F.first("bits").alias("bits")), "sid").select("tile", "block", "comp", "sid", "home", "n", "bits")
-    candidates = scratch.put(signed.repartition("tile").sortWithinPartitions("tile").mapInArrow(_tile_pairs, "pivot binary, sid binary").distinct(), "candidates")
-    if candidates.isEmpty():
-        return members, labels
-    second = verified(candidates, arrays)
-    edges = second.unionByName(labels.select(F.col("sid").alias("x"), F.col("comp").alias("y")).where("x <> y"))
-    return members, components(edges, scratch, "comp2")
+    return signed.repartition("tile").sortWithinPartitions("tile").mapInArrow(_tile_pairs(few), "pivot binary, sid binary").distinct()
+
+
+def set_links(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(members, labels): doc_id, n, sid of every row of ``docs(doc_id, text)``; sid, comp of the sets that are linked."""
+    spark = docs.sparkSession
+    texts = docs.select("doc_id", F.xxhash64("text").alias("t64"), F.col("text").cast("string").alias("text"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    both = scratch.put(texts.mapInArrow(_sets, f"doc_id {kind}, t64 long, n long, sid binary, s64 long, keys array<long>"), "keys")
+    members = scratch.put(both.select("doc_id", "t64", "n", "sid", "s64", F.col("keys").isNotNull().alias("keyed")), "members")
+    keys = both.where("keys is not null").select("s64", "keys", (F.col("n") - F.ceil(F.col("n") * 4 / 5) + 1).alias("cores"))
+    active, tiles = _active_tiles(members, keys, scratch)
+    bitmap = spark.sparkContext.broadcast(_text_bitmap(active))
+    arrays = texts.select("t64", "text").mapInArrow(_arrays(bitmap), "sid binary, n long, shingles array<long>, bits binary")
+    arrays = scratch.put(arrays.join(active.select("sid"), "sid", "left_semi"), "arrays")
+    labels = None
+    for k, how in enumerate(("pivot",) * PIVOT_ROUNDS + ("few", "few", "all")):
+        pairs = held(_pivot_pairs(tiles, labels), arrays, False) if how == "pivot" else _block_pairs(tiles, labels, arrays, how == "few")
+        pairs = scratch.put(pairs, f"pairs{k}")
+        if how != "pivot" and pairs.isEmpty():
+            break
+        links = held(pairs, arrays, True).select(F.col("pivot").alias("x"), F.col("sid").alias("y"))
+        if labels is not None:
+            links = links.unionByName(labels.select(F.col("sid").alias("x"), F.col("comp").alias("y")).where("x <> y"))
+        labels = components(links, scratch, f"comp{k}")
+    return members, active.select("sid", F.col("sid").alias("comp")).limit(0) if labels is None else labels
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
