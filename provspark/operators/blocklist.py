@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -11,32 +10,13 @@ from pyspark.sql import functions as F
 
 from provspark.functions import texts as X
 
-# Globs with a plain host ("*://*.host/*" or "*://host/*") are looked up by host; others are scanned.
-# Patterns tried one by one: most in one list, and how many share a compiled alternation.
-SCAN_LIST_MAX = 4_000
-ALTERNATION = 200
+# Globs with a plain host ("*://*.host/*" or "*://host/*") are looked up by host, others by a piece of GRAM characters
+# that all their matches contain. Matchers without such a piece are tried on all URLs, in up to PACKS packs.
+GRAM = 4
+PACKS = 64
 _HOST_GLOB = r"^\*://(?:\*\.)?([a-z0-9\-]+(?:\.[a-z0-9\-]+)+)/\*$"
 
 
-def _glob_to_regex(glob: Column) -> Column:
-    """Anchored Java pattern of a shell glob: ``*`` any text, ``?`` one character, ``[...]`` and ``[!...]`` sets."""
-    parts = F.regexp_extract_all(glob, F.lit(r"(\[!?\]?[^\]]*\]|[\s\S])"), F.lit(1))
-
-    def one(p: Column) -> Column:
-        body = F.replace(F.substring(p, 2, 1 << 20), F.lit("\\"), F.lit("\\\\"))
-        body = F.regexp_replace(F.regexp_replace(body, r"&&", r"&\\&"), r"^([!]?)\^", r"$1\\^")
-        body = F.regexp_replace(body, r"(?<=.)\[", r"\\[")
-        return (
-            F.when(p == "*", ".*").when(p == "?", ".")
-            .when((F.length(p) > 1) & p.startswith("[!"), F.concat(F.lit("[^"), F.regexp_replace(body, "^!", "")))
-            .when(F.length(p) > 1, F.concat(F.lit("["), body))
-            .when(p.rlike(r"^[A-Za-z0-9_/:]$"), p)
-            .otherwise(F.concat(F.lit("\\"), p))
-        )
-
-    return F.concat(F.lit("(?s)^(?:"), F.array_join(F.transform(parts, one), ""), F.lit(")$"))
-
-
 def parse(lines: DataFrame) -> DataFrame:
     """``(kind, pattern, ignore_case)`` of list lines ``(line)``: globs start with ``*``, regexes with ``/``."""
     stripped = lines.withColumn("line", X.strip(F.col("line")))
@@ -73,7 +53,7 @@ def valid_only(patterns: DataFrame) -> DataFrame:
 
 
 def compiled(patterns: DataFrame) -> DataFrame:
-    """Distinct Java regexes; a subdomain glob also yields its form for the bare domain."""
+    """Distinct matchers ``(kind, pattern, ignore_case)``; a subdomain glob also yields its form for the bare domain."""
     globs = patterns.filter("kind = 'glob'").select("pattern")
     apex = globs.filter(F.col("pattern").contains("*://*.")).select(
         F.concat(
@@ -81,58 +61,139 @@ def compiled(patterns: DataFrame) -> DataFrame:
             F.expr("substring(pattern, instr(pattern, '*://*.') + 6)"),
         ).alias("pattern")
     )
-    as_regex = globs.union(apex).select(_glob_to_regex(F.col("pattern")).alias("regex"))
-    regexes = patterns.filter("kind = 'regex'").select(
-        F.concat(F.when(F.col("ignore_case"), "(?i)").otherwise(""), F.replace(F.col("pattern"), F.lit("(?P<"), F.lit("(?<")))
-        .alias("regex")
-    )
-    return as_regex.union(regexes).distinct()
+    as_globs = globs.union(apex).select(F.lit("glob").alias("kind"), "pattern", F.lit(False).alias("ignore_case"))
+    return as_globs.union(patterns.filter("kind = 'regex'").select("kind", "pattern", "ignore_case")).distinct()
 
 
 def blocklist_join(urls: DataFrame, patterns: DataFrame) -> DataFrame:
-    """Rows of ``urls(url, ...)`` matched by at least one pattern (semi join).
+    """Rows of ``urls(url, ...)`` matched by at least one pattern (semi join). The same steps serve a list of any size.
 
-    Plain domain globs, the bulk of such lists, are found by an equi-join on the text before a slash and its
-    suffixes after a dot; the few other patterns are tried one by one on what is left.
+    Plain domain globs, the bulk of such lists, are found by an equi-join on the text before a slash and its suffixes
+    after a dot. Other patterns meet the URLs that hold a piece of text which all their matches contain; only patterns
+    without such a piece are tried on all URLs that are left, in packs.
     """
     host = F.regexp_extract("pattern", _HOST_GLOB, 1)
     is_host = (F.col("kind") == "glob") & (host != "")
     hosts = patterns.filter(is_host).select(
         host.alias("host"), F.col("pattern").startswith("*://*.").alias("sub")
     ).distinct()
-    rest = compiled(patterns.filter(~is_host))
 
     distinct = urls.select("url").filter("url <> ''").distinct()
     # "*://*.h/*": some text ending in ".h" (or "://h") stands before a "/" after a "://"; "*://h/*": exactly "://h/".
     by_host = _host_tokens(distinct).join(hosts, "host").filter(F.col("sub") | F.col("whole")).select("url").distinct()
     left = distinct.join(by_host, "url", "left_anti")
-    return urls.join(by_host.union(_scan(left, rest)), "url", "left_semi")
+    rest = _with_pieces(compiled(patterns.filter(~is_host)))
+    by_piece = _by_piece(left, rest.filter(F.size("grams") > 0))
+    by_pack = _by_pack(left, rest.filter(F.size("grams") == 0))
+    return urls.join(by_host.union(by_piece).union(by_pack).distinct(), "url", "left_semi")
 
 
-def _scan(urls: DataFrame, patterns: DataFrame) -> DataFrame:
-    """Rows of ``urls`` that match one of ``patterns(regex)``.
+def _with_pieces(matchers: DataFrame) -> DataFrame:
+    """Add ``grams``: the pieces of ``GRAM`` characters of the longest text, lower-cased, that each match must contain.
 
-    The size of the list is checked first. A short list becomes alternations compiled once per task, with no join at
-    all; a longer one, and patterns with back-references, are joined in broadcast slices of bounded size.
+    Such text is read off the top level of the parsed pattern. Under ignore-case only ASCII counts, without the letters
+    that some other character folds to.
     """
-    plain = patterns.filter(~F.col("regex").rlike(r"\\[1-9k]"))
-    listed = [r[0] for r in plain.limit(SCAN_LIST_MAX + 1).collect()]
-    if len(listed) <= SCAN_LIST_MAX:
-        joined, out = patterns.filter(F.col("regex").rlike(r"\\[1-9k]")), [urls.limit(0)]
-        if listed:
-            tests = [
-                F.col("url").rlike("|".join(f"(?:{p})" for p in listed[i:i + ALTERNATION]))
-                for i in range(0, len(listed), ALTERNATION)
-            ]
-            out.append(urls.filter(reduce(lambda a, b: a | b, tests)))
-    else:
-        joined, out = patterns, [urls.limit(0)]
-    slices = -(-joined.count() // SCAN_LIST_MAX)
-    numbered = joined.withColumn("_slice", F.pmod(F.xxhash64("regex"), F.lit(slices)))
-    for i in range(slices):
-        part = F.broadcast(numbered.filter(F.col("_slice") == i).select("regex"))
-        out.append(urls.join(part, F.expr("url rlike regex"), "left_semi"))
-    return reduce(DataFrame.union, out)
+    gram = GRAM
+
+    @F.pandas_udf("array<string>")
+    def grams(kind: pd.Series, pattern: pd.Series, ignore_case: pd.Series) -> pd.Series:
+        import fnmatch
+        from re import _parser
+
+        def longest(k: str, p: str, fold: bool) -> str:
+            parsed = _parser.parse(fnmatch.translate(p) if k == "glob" else p, re.IGNORECASE if fold else 0)
+            fold = fold or bool(parsed.state.flags & re.IGNORECASE)
+            runs, run = [""], ""
+
+            def walk(items) -> None:
+                nonlocal run
+                for op, value in items:
+                    name = str(op)
+                    if name == "LITERAL" and not (fold and (value > 127 or chr(value).lower() in "ksi")):
+                        run += chr(value)
+                        continue
+                    if name == "SUBPATTERN" and not (value[1] & re.IGNORECASE):
+                        walk(value[3])
+                        continue
+                    if name == "AT":
+                        continue
+                    runs.append(run)
+                    run = ""
+
+            walk(parsed)
+            runs.append(run)
+            return max(runs, key=len)
+
+        def pieces(k: str, p: str, fold: bool) -> list[str]:
+            # Lower-casing may change lengths or depend on what stands around; only ASCII is cut into pieces.
+            try:
+                text = re.split(r"[^\x00-\x7f]+", longest(k, p, fold))
+            except re.error:  # the planner may ask before invalid patterns are dropped
+                return []
+            return sorted({t[i:i + gram].lower() for t in text for i in range(len(t) - gram + 1)})
+
+        return pd.Series([pieces(*row) for row in zip(kind, pattern, ignore_case)], dtype=object)
+
+    return matchers.withColumn("grams", grams("kind", "pattern", "ignore_case"))
+
+
+def _ascii_lower(url: Column) -> Column:
+    return F.translate(url, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def _by_piece(urls: DataFrame, matchers: DataFrame) -> DataFrame:
+    """URLs that a matcher with pieces matches: each matcher is looked up by the piece that fewest URLs hold."""
+    size = F.length("url")
+    cut = urls.filter(size >= GRAM).select("url", F.explode(F.array_distinct(F.transform(
+        F.sequence(F.lit(1), size - GRAM + 1), lambda i: F.substr(_ascii_lower(F.col("url")), i, F.lit(GRAM))))).alias("gram"))
+    frequency = cut.groupBy("gram").agg(F.count("*").alias("n"))
+    wanted = matchers.select("kind", "pattern", "ignore_case", F.explode("grams").alias("gram"))
+    # A piece that no URL holds leaves its matcher without matches.
+    rarest = wanted.join(frequency, "gram", "left").groupBy("kind", "pattern", "ignore_case").agg(
+        F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r")).filter("r.n > 0")
+    pairs = cut.join(rarest.select(F.col("r.gram").alias("gram"), "kind", "pattern", "ignore_case"), "gram")
+    return pairs.filter(_matches()(F.col("url"), F.col("kind"), F.col("pattern"), F.col("ignore_case"))).select("url").distinct()
+
+
+def _by_pack(urls: DataFrame, matchers: DataFrame) -> DataFrame:
+    """URLs that a matcher without pieces matches: packs of matchers against all URLs."""
+    slot = F.pmod(F.xxhash64("kind", "pattern", "ignore_case"), F.lit(PACKS))
+    packs = matchers.groupBy(slot.alias("pack")).agg(F.array_sort(F.collect_list(F.struct("kind", "pattern", "ignore_case"))).alias("m"))
+
+    @F.pandas_udf("boolean")
+    def any_of(url: pd.Series, kinds: pd.Series, patterns: pd.Series, folds: pd.Series) -> pd.Series:
+        import fnmatch
+        from functools import lru_cache
+
+        @lru_cache(maxsize=4096)
+        def test(k: str, p: str, fold: bool):
+            try:
+                return re.compile(fnmatch.translate(p)).match if k == "glob" else re.compile(p, re.IGNORECASE if fold else 0).search
+            except re.error:  # the planner may ask before invalid patterns are dropped
+                return lambda u: None
+
+        return pd.Series([any(test(*m)(u) for m in zip(k, p, f)) for u, k, p, f in zip(url, kinds, patterns, folds)], dtype=bool)
+
+    return urls.crossJoin(packs).filter(any_of(F.col("url"), F.col("m.kind"), F.col("m.pattern"), F.col("m.ignore_case"))).select("url").distinct()
+
+
+def _matches():
+    @F.pandas_udf("boolean")
+    def matches(url: pd.Series, kind: pd.Series, pattern: pd.Series, ignore_case: pd.Series) -> pd.Series:
+        import fnmatch
+        from functools import lru_cache
+
+        @lru_cache(maxsize=4096)
+        def test(k: str, p: str, fold: bool):
+            try:
+                return re.compile(fnmatch.translate(p)).match if k == "glob" else re.compile(p, re.IGNORECASE if fold else 0).search
+            except re.error:  # the planner may ask before invalid patterns are dropped
+                return lambda u: None
+
+        return pd.Series([bool(test(k, p, f)(u)) for u, k, p, f in zip(url, kind, pattern, ignore_case)], dtype=bool)
+
+    return matches
 
 
 def _host_tokens(urls: DataFrame) -> DataFrame:

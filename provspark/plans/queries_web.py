@@ -180,9 +180,7 @@ def blocklist_source(ev):
 
 def listed_of(ev):
     """Back-link matches found on the block list."""
-    # The parsed list is small and read several times, so it is written once like any other loaded list.
-    patterns = cut_lineage(ev.spark, BK.valid_only(BK.parse(ev.blocklist_line.select("line"))), "patterns")
-    return BK.blocklist_join(ev.web_match, patterns)
+    return BK.blocklist_join(ev.web_match, BK.valid_only(BK.parse(ev.blocklist_line.select("line"))))
 
 
 LISTED = PATTERNS + """,
@@ -204,8 +202,7 @@ listed AS MATERIALIZED (
 """)
 def matcher_protocol(ev):
     matchers = BK.compiled(BK.valid_only(BK.parse(ev.blocklist_line.select("line"))))
-    kind = F.when(F.col("regex").startswith("(?s)^(?:"), "glob").otherwise("regex")
-    return matchers.groupBy(kind.alias("kind")).agg(F.count("*").alias("matchers"))
+    return matchers.groupBy("kind").agg(F.count("*").alias("matchers"))
 
 
 @query("blocklist_join", "fx_web_match fx_blocklist_line", "WITH " + LISTED + "SELECT image_id, ord, url FROM listed")

@@ -192,8 +192,25 @@ def test_blocklist_against_python(spark):
     assert got == {u for u in urls if u and _python_match(u, lines)}
 
 
-def test_long_lists_use_slices(spark, monkeypatch):
-    monkeypatch.setattr(BK, "SCAN_LIST_MAX", 3)
+PYTHON_ONLY = ["/{id}/", "/[[]x|aa/", "/(?P<n>a)(?P=n)/", "/(?P<n>x)1?/", "/(?P<n>b)b/", "/(?x)zz #c/", "/aa/", "/\\d\\w{2}é/i", "/(?i)KELVIN/", "/spec[io]al.+end$/", "/^..$/", "/(?:one|two)three/", "*[!a]x?", "*://*.h.example/*"]
+
+
+def test_patterns_that_only_python_accepts_beside_any_number_of_others(spark):
+    urls = ["http://h/{id}", "http://q/aa", "http://[x", "http://1/bb", "zz", "http://r/9abÉ", "kelKvin", "KELVIN", "special x end", "specoal end", "ab", "onethree", "two-three", "twothree", "bxy", "axy", "", "http://a.h.example/b", "ſpecial x end"]
+    lines = "\n".join(PYTHON_ONLY)
+    want = {u for u in urls if u and _python_match(u, lines)}
+    assert {"http://h/{id}", "http://q/aa", "http://1/bb", "zz", "onethree"} <= want
+    table = spark.createDataFrame([(u,) for u in urls], "url string")
+
+    def matched(more):
+        patterns = BK.valid_only(BK.parse(spark.createDataFrame([(x,) for x in PYTHON_ONLY + more], "line string")))
+        return {r.url for r in BK.blocklist_join(table, patterns).collect()}
+
+    assert matched([]) == want
+    assert matched([f"*/never-{i}?*" for i in range(5_000)] + [f"/absent{i}[0-9]/" for i in range(5_000)]) == want
+
+
+def test_glob_lists(spark):
     rows = [(f"*/page-{i}?*",) for i in range(20)]
     patterns = BK.parse(spark.createDataFrame(rows, "line string"))
     urls = spark.createDataFrame([("http://a/page-3x",), ("http://a/page-19",), ("http://a/page-7zz",), ("http://b/",)], "url string")
