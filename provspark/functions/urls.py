@@ -122,8 +122,11 @@ def data_url_encode(mime: Column, content: Column) -> Column:
     return F.concat(F.lit("data:"), mime, F.lit(";base64,"), F.regexp_replace(F.base64(content), r"[\r\n]", ""))
 
 
-def data_url_parts(url: Column, max_bytes: int) -> dict[str, Column]:
-    """Media type, bytes and error of a ``data:`` URL; the first failing check is the error."""
+def data_url_parts(url: Column, max_bytes: int | None = None) -> dict[str, Column]:
+    """Media type, bytes and error of a ``data:`` URL; the first failing check is the error.
+
+    ``max_bytes`` marks larger content with an error; the bytes stay beside it.
+    """
     path = F.regexp_extract(url, r"(?s)^[dD][aA][tT][aA]:([^?#]*)", 1)
     cut = F.instr(path, ",")
     header = F.substr(path, F.lit(1), cut - 1)
@@ -142,10 +145,12 @@ def data_url_parts(url: Column, max_bytes: int) -> dict[str, Column]:
     error = (
         F.when(cut == 0, "Invalid data URL.")
         .when(is_base64 & ~strict, "Invalid base64 data URL.")
-        .when(F.octet_length(content) > max_bytes, "Provided data URL is too large.")
     )
+    malformed = error
+    if max_bytes is not None:
+        error = error.when(F.octet_length(content) > max_bytes, "Provided data URL is too large.")
     return {
-        "media_type": F.when(error.isNull(), media),
-        "content": F.when(error.isNull(), content),
+        "media_type": F.when(malformed.isNull(), media),
+        "content": F.when(malformed.isNull(), content),
         "error": error,
     }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -75,13 +75,14 @@ def domain_counts(matches: DataFrame, top: int = TOP_DOMAINS) -> DataFrame:
 
 
 def category_counts(matches: DataFrame) -> DataFrame:
-    """Matches per image and domain category, with their order (at most five categories)."""
+    """Matches per image and domain category, with their order."""
     counts = (
         matches.select("image_id", _dom().alias("d")).filter("d <> ''")
         .select("image_id", U.domain_category(F.col("d")).alias("category"))
         .groupBy("image_id", "category").agg(F.count("*").alias("matches"))
     )
-    return top_per_key(counts, ["image_id"], [F.desc("matches"), F.asc("category")], 5, "rank")
+    order = Window.partitionBy("image_id").orderBy(F.desc("matches"), F.asc("category"))
+    return counts.withColumn("rank", F.row_number().over(order))  # a row for each of few categories
 
 
 def timeline_counts(images: DataFrame, matches: DataFrame) -> DataFrame:

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from provspark.functions import urls as U
 from provspark.operators.skew import sliced_row_number
-from provspark.session import cut_lineage
 
 DAY_SECONDS = 86_400
 
@@ -32,32 +31,27 @@ def newest_first(matches: DataFrame) -> DataFrame:
     )
 
 
-def url_lookup(inputs: DataFrame, sources: DataFrame, images: DataFrame, limit: int | None = None) -> DataFrame:
+def url_lookup(inputs: DataFrame, sources: DataFrame, images: DataFrame) -> DataFrame:
     """Matches per distinct input URL, newest first; inputs without any stay with ``match_count`` 0.
 
-    ``images(image_id, created_at, ...)`` carries the payload. ``limit`` marks a request with more inputs than that
-    as refused (no rows), as the public endpoint does; by default any number is served.
+    ``images(image_id, created_at, ...)`` carries the payload. Any number of inputs is served.
     """
     candidates = url_candidates(inputs)
-    if limit is not None:
-        size = inputs.agg((F.count("*") <= limit).alias("_fits"))
-        candidates = candidates.crossJoin(F.broadcast(size)).filter("_fits").drop("_fits")
     hits = (
         candidates.join(sources.select("image_id", F.col("url").alias("candidate_url")).distinct(), "candidate_url")
         .groupBy("input_url", "image_id").agg(F.sort_array(F.collect_set("candidate_url")).alias("matched_source_urls"))
     )
-    # Ranking and counting read the matches three times, so they are written first.
-    payload = cut_lineage(inputs.sparkSession, hits.join(images, "image_id"), "lookup-matches")
-    ranked = newest_first(payload)
+    ranked = newest_first(hits.join(images, "image_id"))
     counts = ranked.groupBy("input_url").agg(F.count("*").alias("match_count"))
     base = candidates.select("input_url").distinct().join(counts, "input_url", "left").na.fill(0, ["match_count"])
     return base.join(ranked, "input_url", "left")
 
 
-def triage(error_of: DataFrame, max_bytes: int = 20 * 1024 * 1024) -> DataFrame:
+def triage(error_of: DataFrame, max_bytes: int | None = None) -> DataFrame:
     """Add ``error`` to crawl-log rows: the text of the first failing check, null for a usable image.
 
-    Columns: ``url, status, content_type, declared_length, actual_length``; a null status is a failed request.
+    Columns: ``url, status, content_type, declared_length, actual_length``; a null status is a failed request. With
+    ``max_bytes``, larger images are an error too.
     """
     text = F.coalesce(F.col("content_type"), F.lit(""))
     declared = F.when(F.trim("declared_length").rlike("^[+-]?[0-9]+$"), F.trim("declared_length").try_cast("bigint"))
@@ -67,9 +61,9 @@ def triage(error_of: DataFrame, max_bytes: int = 20 * 1024 * 1024) -> DataFrame:
         .when(F.col("status").isNull(), "Failed to download image from URL.")
         .when(F.col("status") != 200, "Image URL returned a non-200 status code.")
         .when(~text.contains("image"), "URL does not point to an image.")
-        .when(declared > max_bytes, too_large)
-        .when(F.col("actual_length") > max_bytes, too_large)
     )
+    if max_bytes is not None:
+        error = error.when(declared > max_bytes, too_large).when(F.col("actual_length") > max_bytes, too_large)
     return error_of.withColumn("error", error)
 
 

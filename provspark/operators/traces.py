@@ -11,7 +11,6 @@ from provspark.session import cut_lineage
 
 # Order of match methods, list sizes and labels.
 METHOD_ORDER = {"hybrid": 0, "local": 1, "hash": 2}
-SHOWN_FACTS = 3
 SHOWN_SOURCES = 3
 DETECTOR_LABELS = {"google_about_this_image": "Google", "openai_verify": "OpenAI"}
 DAY_SECONDS = 86_400
@@ -79,15 +78,15 @@ def distant_traces(neighbors: DataFrame, carried: DataFrame) -> DataFrame:
 
 
 def direct_traces(images: DataFrame, facts: DataFrame, votes: DataFrame, by_detector: DataFrame,
-                  metadata_status: DataFrame) -> DataFrame:
+                  metadata_status: DataFrame, shown_facts: int | None = None) -> DataFrame:
     """Up to four items per image: signed facts, votes, reports, AI metadata, each with text and details.
 
-    ``metadata_status(image_id, status, finding_count)``.
+    ``metadata_status(image_id, status, finding_count)``. Details list all signed facts, or the first ``shown_facts``.
     """
     signed = facts.filter("analyzer = 'c2pa'")
     n_facts = signed.groupBy("image_id").agg(F.count("*").alias("n"))
     first = (
-        top_per_key(signed, ["image_id"], [F.asc("data")], SHOWN_FACTS, "rn")
+        (signed if shown_facts is None else top_per_key(signed, ["image_id"], [F.asc("data")], shown_facts, "rn"))
         .groupBy("image_id").agg(F.array_sort(F.collect_list("data")).alias("details"))
     )
     none = F.array().cast("array<string>")

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from provspark.session import spread
 
 # Derived tables whose rows are expensive to work on: their source is spread over the cores when it has few splits.
 _HEAVY_ROWS = ("fx_manifest", "fx_data_url")
@@ -554,8 +553,8 @@ class Evidence:
             for dep in deps:
                 view = f"pv_{dep}_{id(self):x}"
                 source = self._get(dep)
-                if name in _HEAVY_ROWS:
-                    view, source = f"{view}_spread", spread(source)
+                if name in _HEAVY_ROWS:  # heavy for each row, and single-file inputs come in few splits
+                    view, source = f"{view}_spread", source.repartition(self.spark.sparkContext.defaultParallelism)
                 source.createOrReplaceTempView(view)
                 text = text.replace("{" + dep + "}", view)
             self._built[name] = self.spark.sql(text)

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from provspark.operators import ledger as L
 from provspark.operators import metadata as MD
 from provspark.operators import quotas as Q
 from provspark.operators import traces as TC
@@ -83,7 +84,7 @@ def direct_of(ev):
 
 
 @query("direct_traces", "fx_registry fx_fact fx_vote_event fx_report_event fx_metadata", "WITH " + VOTES + "," + REPORTS + "," + FACTS + "," + FINDINGS + """,
-    c AS (SELECT image_id, count(*) AS n, string_agg(data, ' | ' ORDER BY data) FILTER (rn <= 3) AS d FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY data) AS rn FROM facts WHERE analyzer = 'c2pa') GROUP BY image_id),
+    c AS (SELECT image_id, count(*) AS n, string_agg(data, ' | ' ORDER BY data) AS d FROM facts WHERE analyzer = 'c2pa' GROUP BY image_id),
     h AS (SELECT *, vote_real + vote_edited + vote_ai AS n FROM votes),
     s AS (SELECT image_id, sum(total)::BIGINT AS n, sum(detected)::BIGINT AS d, sum(not_detected)::BIGINT AS x,
                  string_agg(CASE detector WHEN 'openai_verify' THEN 'OpenAI' ELSE 'Google' END || ': ' || detected || ' detected / ' || not_detected || ' not detected', ' | ' ORDER BY detector) AS l FROM by_detector GROUP BY image_id),
@@ -283,9 +284,10 @@ def _event_stream(ev):
     return S.read_events(ev.spark, ev.sf_dir, "events.parquet", ev.table("events").schema)
 
 
-@query("stream_vote_state", "fx_vote_event", """
+@query("stream_vote_state", "fx_vote_event fx_registry", """
     SELECT image_id, count(CASE WHEN choice = 'real' THEN 1 END) AS vote_real, count(CASE WHEN choice = 'edited' THEN 1 END) AS vote_edited, count(CASE WHEN choice = 'ai' THEN 1 END) AS vote_ai
-    FROM (SELECT image_id, voter_id, arg_max(choice, (ts, event_id)) AS choice FROM fx_vote_event WHERE choice IN ('real', 'edited', 'ai') GROUP BY image_id, voter_id)
+    FROM (SELECT image_id, voter_id, arg_max(choice, (ts, event_id)) AS choice FROM fx_vote_event WHERE choice IN ('real', 'edited', 'ai')
+          AND image_id IN (SELECT image_id FROM fx_registry) GROUP BY image_id, voter_id)
     GROUP BY image_id
 """)
 def stream_vote_state(ev):
@@ -296,8 +298,8 @@ def stream_vote_state(ev):
         .when(F.col("event_type") == "purchase", "ai").otherwise("unsure").alias("choice"),
     )
     path = work_folder(ev.spark, "votes")
-    S.run_to_files(S.vote_outcomes(events), f"{path}/out", f"{path}/checkpoint")
-    return S.counts_from_outcomes(ev.spark.read.schema(S.VOTE_OUTCOME).parquet(f"{path}/out"))
+    S.run_updates_to_files(S.vote_states(events, ev.registry), f"{path}/out", f"{path}/checkpoint")
+    return L.vote_counts(S.latest_states(ev.spark, f"{path}/out"))
 
 
 @query("stream_donations", "", """
@@ -312,6 +314,27 @@ def stream_donations(ev):
     return ev.spark.table(name)
 
 
+_STREAM_RULES = (Q.Quota("key_hour", 2, 3600, True), Q.Quota("all_hour", 12, 3600, False))
+_SETTLED = "(w + 1) * 3600 <= (SELECT epoch(date_trunc('milliseconds', max(ts))) - 600 FROM events)"
+
+
+@query("stream_quota_flags", "", f"""
+    WITH r AS (SELECT event_id, user_id AS key, ts, CAST(floor(epoch(ts) / 3600) AS BIGINT) AS w FROM events)
+    SELECT 'key_hour' AS quota, event_id, key AS request_key, CAST(key AS VARCHAR) AS scope, w * 3600 AS window_start_s FROM (
+      SELECT *, row_number() OVER (PARTITION BY key, w ORDER BY ts, event_id) AS rn FROM r) WHERE rn > 2 AND {_SETTLED}
+    UNION ALL
+    SELECT 'all_hour', event_id, key, 'global', w * 3600 FROM (
+      SELECT *, row_number() OVER (PARTITION BY w ORDER BY ts, event_id) AS rn FROM r) WHERE rn > 12 AND {_SETTLED}
+""")
+def stream_quota_flags(ev):
+    path, parts = work_folder(ev.spark, "flags"), []
+    for q in _STREAM_RULES:
+        requests = _event_stream(ev).select("event_id", F.col("user_id").alias("key"), "ts")
+        S.run_to_files(S.quota_flags(requests, q), f"{path}/{q.name}", f"{path}/{q.name}-checkpoint")
+        parts.append(ev.spark.read.schema("quota string, event_id bigint, request_key bigint, scope string, window_start_s bigint").parquet(f"{path}/{q.name}"))
+    return parts[0].unionByName(parts[1])
+
+
 @query("stream_quota_counts", "", """
     SELECT user_id AS key, w * 3600 AS window_start_s, count(*) AS requests FROM (SELECT user_id, CAST(floor(epoch(ts) / 3600) AS BIGINT) AS w FROM events)
     WHERE (w + 1) * 3600 <= (SELECT epoch(date_trunc('milliseconds', max(ts))) - 600 FROM events) GROUP BY user_id, w

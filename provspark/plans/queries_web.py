@@ -78,7 +78,7 @@ def search_links(ev):
                       FROM (SELECT page_id, regexp_extract(url, '^data:([^?#]*)', 1) AS path FROM fx_data_url))))
 """)
 def data_url_decode(ev):
-    parts = U.data_url_parts(F.col("url"), 20 * 1024 * 1024)
+    parts = U.data_url_parts(F.col("url"))
     return ev.data_url.select(
         "page_id", parts["media_type"].alias("media_type"), F.hex(parts["content"]).alias("content_hex"),
         parts["error"].alias("error"),
@@ -117,9 +117,7 @@ TRIAGED = """
 triaged AS (SELECT *, CASE WHEN NOT regexp_matches(lower(url), '^https?:') THEN 'Only HTTP/HTTPS URLs are supported.'
       WHEN status IS NULL THEN 'Failed to download image from URL.'
       WHEN status <> 200 THEN 'Image URL returned a non-200 status code.'
-      WHEN NOT contains(coalesce(content_type, ''), 'image') THEN 'URL does not point to an image.'
-      WHEN TRY_CAST(declared_length AS BIGINT) > 20971520 THEN 'Downloaded image is too large.'
-      WHEN actual_length > 20971520 THEN 'Downloaded image is too large.' END AS error FROM fx_fetch_log)
+      WHEN NOT contains(coalesce(content_type, ''), 'image') THEN 'URL does not point to an image.' END AS error FROM fx_fetch_log)
 """
 
 
@@ -150,13 +148,10 @@ def prefer_full_res(ev):
 
 @query("url_list_source", "fx_url_line", """
     WITH rows_ AS (SELECT batch_id, pos, trim(line) AS url FROM fx_url_line WHERE trim(line) <> ''),
-    sizes AS (SELECT batch_id, count(*) AS n FROM rows_ GROUP BY batch_id),
-    fits AS (SELECT r.* FROM rows_ r JOIN sizes s ON r.batch_id = s.batch_id WHERE n <= 10)
+    fits AS (SELECT * FROM rows_)
     SELECT batch_id, min(pos) AS pos, url, NULL AS error, NULL AS label FROM fits WHERE url LIKE 'http://%' OR url LIKE 'https://%' GROUP BY batch_id, url
     UNION ALL
     SELECT batch_id, pos, url, 'Invalid URL format', substr(url, 1, 60) FROM fits WHERE NOT (url LIKE 'http://%' OR url LIKE 'https://%')
-    UNION ALL
-    SELECT batch_id, NULL, NULL, 'Maximum 10 URLs per batch.', NULL FROM sizes WHERE n > 10
 """)
 def url_list_source(ev):
     return TL.url_batches(ev.url_line.select("batch_id", "pos", "line"))
@@ -246,12 +241,12 @@ def url_lookup(ev):
 
 @query("lookup_order", "fx_source fx_registry", """
     SELECT url AS input_url, image_id, row_number() OVER (PARTITION BY url ORDER BY created_at DESC, image_id DESC) AS match_rank
-    FROM (SELECT DISTINCT CASE WHEN url LIKE 'https://pbs%' THEN url ELSE substr(url, 1, 14) END AS url, s.image_id, created_at
+    FROM (SELECT DISTINCT coalesce(nullif(regexp_extract(url, '^[a-z]+://[^/]*'), ''), url) AS url, s.image_id, created_at
           FROM fx_source s JOIN fx_registry r ON s.image_id = r.image_id)
 """)
 def lookup_order(ev):
-    # Many images per key, so the order within a key matters: scheme and first letters of the host stand in for the URL.
-    key = F.when(F.col("url").startswith("https://pbs"), F.col("url")).otherwise(F.substring("url", 1, 14))
+    # Scheme and host are the key: many images for each, so the order within a key matters.
+    key = F.coalesce(F.nullif(F.regexp_extract("url", "^[a-z]+://[^/]*", 0), F.lit("")), F.col("url"))
     rows = ev.source.select("image_id", key.alias("input_url")).distinct().join(ev.registry.select("image_id", "created_at"), "image_id")
     return LK.newest_first(rows).select("input_url", "image_id", "match_rank")
 

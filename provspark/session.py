@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
-from functools import lru_cache
 
 from pyspark.sql import SparkSession
 
@@ -22,10 +22,14 @@ RUNTIME_CONF = {
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings to a session and return it."""
+    """A session over the same context with the runtime settings; the caller's own session keeps its settings."""
+    own = spark.newSession()
+    for key, value in spark.conf.getAll.items():
+        if key.startswith("spark.sql.") and spark.conf.isModifiable(key):
+            own.conf.set(key, value)
     for key, value in RUNTIME_CONF.items():
-        spark.conf.set(key, value)
-    return spark
+        own.conf.set(key, value)
+    return own
 
 
 def local_session(app: str = "provspark", cpus: int | str = 8, shuffle_partitions: int = 8) -> SparkSession:
@@ -38,24 +42,34 @@ def local_session(app: str = "provspark", cpus: int | str = 8, shuffle_partition
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="provspark-"))  # one JVM: its folder is shared by definition
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    return tune(spark)
+    for key, value in RUNTIME_CONF.items():
+        spark.conf.set(key, value)
+    return spark
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared folder the cluster names in ``spark.checkpoint.dir``.
+    """A fresh path under the shared folder that the cluster names in ``spark.checkpoint.dir``; without it, an error.
 
-    Only when that setting is absent (tests, a laptop) a local temporary folder stands in for it.
+    The folder is deleted when the driver program ends.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or _local_stand_in()
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    atexit.register(_delete, spark, path)
+    return path
 
 
-@lru_cache(maxsize=1)
-def _local_stand_in() -> str:
-    return tempfile.mkdtemp(prefix="provspark-")
+def _delete(spark: SparkSession, path: str) -> None:
+    try:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # the context has stopped, and with it the way to the folder
+        pass
 
 
 def cut_lineage(spark: SparkSession, df, name: str):
@@ -63,12 +77,3 @@ def cut_lineage(spark: SparkSession, df, name: str):
     path = work_folder(spark, name)
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def spread(df):
-    """Spread a table stored in fewer splits than the session has cores, for work that is heavy per row.
-
-    Tables of any size to speak of have more splits than cores and come back as they are.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from provspark.functions import texts as X
 
-# Batch cap, texts, length of the label of a refused line.
-MAX_BATCH_URLS = 10
+# Texts, length of the label of a refused line.
 INVALID_URL = "Invalid URL format"
 LABEL_CHARS = 60
 
@@ -24,16 +23,17 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(F.col("_metadata.file_path").alias("batch_id"), pos.alias("pos"), F.col("value").alias("line"))
 
 
-def url_batches(lines: DataFrame, cap: int | None = MAX_BATCH_URLS) -> DataFrame:
+def url_batches(lines: DataFrame, cap: int | None = None) -> DataFrame:
     """URLs to process per batch of ``lines(batch_id, pos, line)``.
 
-    Lines are trimmed and blank ones dropped. A batch over ``cap`` lines is refused as a whole (one row). Lines that are
-    no http(s) URL keep an error row; of equal URLs the first is kept. Sort by ``pos`` for the given order.
+    Lines are trimmed and blank ones dropped. Lines that are no http(s) URL keep an error row; of equal URLs the first is
+    kept. Sort by ``pos`` for the given order. With a ``cap``, a batch of more lines is refused as a whole (one row).
     """
     rows = lines.select("batch_id", "pos", X.strip(F.col("line")).alias("url")).filter("url <> ''")
-    sizes = rows.groupBy("batch_id").agg(F.count("*").alias("n"))
-    limit = F.lit(True) if cap is None else F.col("n") <= cap
-    fits = rows.join(sizes.filter(limit).select("batch_id"), "batch_id", "left_semi")
+    fits, over = rows, None
+    if cap is not None:
+        over = rows.groupBy("batch_id").agg(F.count("*").alias("n")).filter(F.col("n") > cap)
+        fits = rows.join(over, "batch_id", "left_anti")
     good = F.col("url").rlike("^https?://")
     bad_rows = fits.filter(~good).select(
         "batch_id", "pos", "url", F.lit(INVALID_URL).alias("error"), F.substring("url", 1, LABEL_CHARS).alias("label")
@@ -41,7 +41,9 @@ def url_batches(lines: DataFrame, cap: int | None = MAX_BATCH_URLS) -> DataFrame
     kept = fits.filter(good).groupBy("batch_id", "url").agg(F.min("pos").alias("pos")).select(
         "batch_id", "pos", "url", F.lit(None).cast("string").alias("error"), F.lit(None).cast("string").alias("label")
     )
-    refused = sizes.filter(~limit).select(
+    if over is None:
+        return kept.unionByName(bad_rows)
+    refused = over.select(
         "batch_id", F.lit(None).cast(lines.schema["pos"].dataType).alias("pos"), F.lit(None).cast("string").alias("url"),
         F.lit(f"Maximum {cap} URLs per batch.").alias("error"), F.lit(None).cast("string").alias("label"),
     )

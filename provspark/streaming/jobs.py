@@ -2,20 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from provspark.functions import texts as X
 from provspark.operators.ledger import VOTE_CHOICES
+from provspark.operators.quotas import Quota
 
-VOTE_OUTCOME = (
-    "image_id bigint, voter_id string, event_id bigint, choice string, previous string, status string"
-)
+VOTE_STATE = "image_id bigint, voter_id string, choice string, ts timestamp, event_id bigint"
 
 
 def read_events(spark: SparkSession, folder: str, glob: str, schema, files_per_trigger: int | None = None) -> DataFrame:
@@ -26,55 +21,44 @@ def read_events(spark: SparkSession, folder: str, glob: str, schema, files_per_t
     return reader.parquet(folder)
 
 
-def vote_outcomes(events: DataFrame) -> DataFrame:
-    """Outcome of each valid vote event against the state of its (image, voter): the newest choice and its time.
+def vote_states(events: DataFrame, known_images: DataFrame) -> DataFrame:
+    """Newest valid choice of each (image, voter) of known images, in update mode.
 
-    An event older than the state changes nothing and is reported as ``stale``. State is one row per key.
+    The registry is joined as a table, so an event counts if its image is known when the event is read. The state is one
+    row per key, held and combined by Spark's own aggregation.
     """
+    valid = events.filter(F.col("choice").isin(*VOTE_CHOICES)).join(known_images.select("image_id"), "image_id", "left_semi")
+    newest = F.max(F.struct(F.col("ts").cast("timestamp").alias("ts"), "event_id", "choice")).alias("s")
+    return valid.groupBy("image_id", "voter_id").agg(newest).select("image_id", "voter_id", "s.choice", "s.ts", "s.event_id")
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        # Most groups hold one or two rows, so plain lists are used instead of frame operations.
-        current = state.get if state.exists else (None, -1, -1)
-        rows = []
-        for batch in batches:
-            rows += zip(batch["ts_us"].tolist(), batch["event_id"].tolist(), batch["choice"].tolist())
-        rows.sort()
-        ids, choices, before, states = [], [], [], []
-        for ts_us, event_id, choice in rows:
-            previous, at, last_id = current
-            if (ts_us, event_id) <= (at, last_id):
-                status = "stale"
-            elif previous is None:
-                status = "recorded"
-            else:
-                status = "unchanged" if previous == choice else "updated"
-            ids.append(event_id)
-            choices.append(choice)
-            before.append(previous)
-            states.append(status)
-            if status != "stale":
-                current = (choice, ts_us, event_id)
-        state.update(current)
-        yield pd.DataFrame({
-            "image_id": key[0], "voter_id": key[1], "event_id": ids, "choice": choices, "previous": before, "status": states,
-        })
-
-    valid = events.filter(F.col("choice").isin(*VOTE_CHOICES)).select(
-        "image_id", "voter_id", "event_id", "choice", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us")
-    )
-    return valid.groupBy("image_id", "voter_id").applyInPandasWithState(
-        step, VOTE_OUTCOME, "choice string, ts_us bigint, event_id bigint", "append", GroupStateTimeout.NoTimeout
-    )
+
+def run_updates_to_files(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """Process everything available; each batch's changed rows replace the folder of that batch, so a repeated batch changes nothing."""
+    def store(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    query = stream.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(store).start()
+    query.awaitTermination()
+
+
+def latest_states(spark: SparkSession, path: str) -> DataFrame:
+    """The newest row of each (image, voter) among the updates of all batches."""
+    rows = spark.read.schema(VOTE_STATE).parquet(f"{path}/batch=*")
+    return rows.groupBy("image_id", "voter_id").agg(F.max_by("choice", F.struct("ts", "event_id")).alias("choice"))
 
 
-def counts_from_outcomes(outcomes: DataFrame) -> DataFrame:
-    """Vote counts as the sum of what each outcome changed: plus its choice, minus the one it replaced."""
-    def delta(kind: str):
-        plus = F.when((F.col("choice") == kind) & F.col("status").isin("recorded", "updated"), 1).otherwise(0)
-        minus = F.when((F.col("previous") == kind) & (F.col("status") == "updated"), 1).otherwise(0)
-        return F.sum(plus - minus).alias(f"vote_{kind}")
+def quota_flags(requests: DataFrame, quota: Quota, delay: str = "10 minutes") -> DataFrame:
+    """Requests ``(event_id, key, ts)`` above a quota, per window final once the watermark has passed it.
 
-    return outcomes.groupBy("image_id").agg(*[delta(k) for k in VOTE_CHOICES])
+    The requests of a scope and window meet as a sorted array, of which the first ``limit`` are allowed. A window that is
+    global gathers all its requests; choose its seconds so that they fit one task, or run the batch form.
+    """
+    scope = F.col("key").cast("string") if quota.per_key else F.lit("global")
+    timed = requests.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
+    window = timed.groupBy(scope.alias("scope"), F.window("ts", f"{quota.seconds} seconds").alias("w"))
+    all_ = window.agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", F.col("key").alias("request_key")))).alias("r"))
+    over = all_.select("scope", "w", F.explode(F.slice("r", quota.limit + 1, F.greatest(F.size("r") - quota.limit, F.lit(0)))).alias("r"))
+    return over.select(F.lit(quota.name).alias("quota"), "r.event_id", "r.request_key", "scope", F.unix_seconds("w.start").alias("window_start_s"))
 
 
 def donation_stream(payments: DataFrame) -> DataFrame:

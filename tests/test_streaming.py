@@ -28,16 +28,15 @@ def test_votes_in_many_files(spark, tmp_path):
     parts[1].coalesce(1).write.parquet(str(tmp_path / "in" / "p9"))
     stream = S.read_events(spark, str(tmp_path / "in" / "*"), "*.parquet", parts[0].schema, files_per_trigger=1)
     out, ck = str(tmp_path / "out"), str(tmp_path / "ck")
-    S.run_to_files(S.vote_outcomes(stream), out, ck)
+    known = parts[0].select("image_id").where("image_id <> 5").distinct()
+    S.run_updates_to_files(S.vote_states(stream, known), out, ck)
     events = parts[0].union(parts[1]).union(parts[2]).union(parts[3])
-    known = events.select("image_id").distinct()
     want = {tuple(r) for r in L.vote_counts(L.current_votes(events, known)).collect()}
-    outcomes = spark.read.schema(S.VOTE_OUTCOME).parquet(out)
-    assert {tuple(r) for r in S.counts_from_outcomes(outcomes).collect()} == want
-    # A restart with nothing new adds nothing.
-    n = outcomes.count()
-    S.run_to_files(S.vote_outcomes(stream), out, ck)
-    assert spark.read.schema(S.VOTE_OUTCOME).parquet(out).count() == n
+    assert {tuple(r) for r in L.vote_counts(S.latest_states(spark, out)).collect()} == want
+    assert {r[0] for r in want} == {1, 2, 3, 4}
+    # A restart with nothing new changes nothing.
+    S.run_updates_to_files(S.vote_states(stream, known), out, ck)
+    assert {tuple(r) for r in L.vote_counts(S.latest_states(spark, out)).collect()} == want
 
 
 def test_donations(spark, tmp_path):
@@ -59,8 +58,3 @@ def test_late_requests_are_dropped(spark, tmp_path):
     S.run_to_files(S.quota_counts(stream, 3600), out, ck)
     got = sorted((r.window_start_s, r.requests) for r in spark.read.schema("key bigint, window_start_s bigint, requests bigint").parquet(out).collect())
     assert got == [(0, 2), (3600, 1), (7200, 1)]
-
-
-def test_counts_from_outcomes(table):
-    out = table(S.VOTE_OUTCOME, (1, "a", 1, "real", None, "recorded"), (1, "a", 2, "ai", "real", "updated"), (1, "a", 3, "ai", "ai", "unchanged"), (1, "b", 0, "real", "ai", "stale"))
-    assert [tuple(r) for r in S.counts_from_outcomes(out).collect()] == [(1, 0, 0, 1)]
