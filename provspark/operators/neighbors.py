@@ -5,7 +5,8 @@ two words within the distance are sure to share (``functions.hashing.block_masks
 those keys, and the distance is the residual condition. Three points keep it exact and even:
 
 * a pair that shares several keys is kept only under the first of them, so no distinct over pairs is needed;
-* a key that holds too many words is split by further keys over its remaining bits, where the same argument holds;
+* keys are as selective as ``kept`` says: of a 64-bit word cut into ``distance + kept`` blocks a key reads ``kept``, about
+  21 bits at 2, 27 at 3 for 4 flips; one more suits a registry some hundred times larger. The plan is the same at all sizes;
 * the join runs over distinct words and fans back out to images afterwards, so copies cost nothing inside it.
 """
 
@@ -15,10 +16,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from provspark.functions import hashing as H
-from provspark.session import cut_lineage
-
-# A key with more distinct registry words than this is split further.
-HOT_BUCKET = 4096
 
 
 def _first_shared(x: Column, masks: list[int]) -> Column:
@@ -34,92 +31,41 @@ def _keyed(words: DataFrame, col: str, masks: list[int]) -> DataFrame:
     return words.select(col, F.posexplode(keys).alias("band", "bucket"))
 
 
-def _second_level(masks: list[int], max_distance: int) -> list[list[int]]:
-    """Per first-level mask: masks over the bits it leaves free."""
-    out = []
-    for mask in masks:
-        free = [b for b in range(64) if not mask >> b & 1]
-        out.append(H.block_masks(max_distance, 2, free))
-    return out
-
-
-def hamming_pairs(left: DataFrame, right: DataFrame, max_distance: int, kept: int = 2,
-                  hot_bucket: int | None = HOT_BUCKET) -> DataFrame:
+def hamming_pairs(left: DataFrame, right: DataFrame, max_distance: int, kept: int = 2) -> DataFrame:
     """All pairs ``(a, b, dist)`` of ``left.a`` and ``right.b`` (distinct words) within ``max_distance`` bits."""
     masks = H.block_masks(max_distance, kept)
     lk, rk = _keyed(left.select("a"), "a", masks), _keyed(right.select("b"), "b", masks)
-
     diff = F.col("a").bitwiseXOR(F.col("b"))
     near = (F.bit_count(diff) <= max_distance) & (_first_shared(diff, masks) == F.col("band"))
-
-    def meet(x: DataFrame, y: DataFrame, keys: list[str], condition: Column) -> DataFrame:
-        right_keys = [F.col(k).alias(f"{k}_b") for k in keys]
-        on = condition
-        for k in keys:
-            on = on & (F.col(k) == F.col(f"{k}_b"))
-        return x.join(y.select("b", *right_keys), on).select("a", "b", F.bit_count(diff).alias("dist"))
-
-    if hot_bucket is None:
-        return meet(lk, rk, ["band", "bucket"], near)
-
-    # A bucket with few registry words costs each query word few candidates, however many query words it holds.
-    hot = (
-        rk.groupBy("band", "bucket").agg(F.count("*").alias("n")).filter(F.col("n") > hot_bucket)
-        .select("band", "bucket")
-    )
-    cold_pairs = meet(
-        lk.join(hot, ["band", "bucket"], "left_anti"), rk.join(hot, ["band", "bucket"], "left_anti"),
-        ["band", "bucket"], near,
-    )
-
-    second = _second_level(masks, max_distance)
-    table = F.array(*[F.array(*[F.lit(H.signed64(m)) for m in sub]) for sub in second])
-
-    def split(keyed: DataFrame, col: str) -> DataFrame:
-        subs = F.transform(F.element_at(table, F.col("band") + 1), lambda m: F.col(col).bitwiseAND(m))
-        return keyed.join(hot, ["band", "bucket"], "left_semi").select(
-            col, "band", "bucket", F.posexplode(subs).alias("sub", "subvalue")
-        )
-
-    shared = F.transform(F.element_at(table, F.col("band") + 1), lambda m: diff.bitwiseAND(m))
-    first_sub = F.array_position(shared, F.lit(0).cast("bigint")) == (F.col("sub") + 1)
-    hot_pairs = meet(split(lk, "a"), split(rk, "b"), ["band", "bucket", "sub", "subvalue"], near & first_sub)
-    return cold_pairs.unionByName(hot_pairs)
+    met = lk.join(rk.withColumnsRenamed({"band": "band_b", "bucket": "bucket_b"}),
+                  (F.col("band") == F.col("band_b")) & (F.col("bucket") == F.col("bucket_b")) & near)
+    return met.select("a", "b", F.bit_count(diff).alias("dist"))
 
 
 def hash_neighbors(queries: DataFrame, registry: DataFrame, phash_max: int = H.PHASH_MAX_DISTANCE,
-                   whash_max: int = H.WHASH_MAX_DISTANCE, kept: int = 2,
-                   hot_bucket: int | None = HOT_BUCKET) -> DataFrame:
+                   whash_max: int = H.WHASH_MAX_DISTANCE, kept: int = 2) -> DataFrame:
     """For each query image every registry image close by phash or by whash, itself included.
 
     ``queries(query_id, phash, whash)`` x ``registry(image_id, phash, whash)`` ->
     ``(query_id, neighbor_id, phash_distance, whash_distance)``. A candidate whose phash is unusable never matches; an
     unusable whash is ignored.
-
-    Both sides are read by several branches, so their decoded words are written once, 24 bytes an image. The size of
-    the written registry then tells whether any key can be hot at all.
     """
-    spark = queries.sparkSession
     q = queries.select(
         "query_id", H.decode_hash(F.col("phash")).alias("qp"), H.decode_hash(F.col("whash")).alias("qw")
     ).filter("qp is not null")
-    q = cut_lineage(spark, q, "query-words")
     r = registry.select(
         F.col("image_id").alias("neighbor_id"), H.decode_hash(F.col("phash")).alias("rp"),
         H.decode_hash(F.col("whash")).alias("rw"),
     ).filter("rp is not null")
-    r = cut_lineage(spark, r, "registry-words")
-    if hot_bucket is not None and r.count() <= hot_bucket:
-        hot_bucket = None
 
     p_pairs = hamming_pairs(
         q.select(F.col("qp").alias("a")).distinct(), r.select(F.col("rp").alias("b")).distinct(),
-        phash_max, kept, hot_bucket,
+        phash_max, kept,
     )
     w_pairs = hamming_pairs(
         q.filter("qw is not null").select(F.col("qw").alias("a")).distinct(),
         r.filter("rw is not null").select(F.col("rw").alias("b")).distinct(),
-        whash_max, kept, hot_bucket,
+        whash_max, kept,
     )
     by_phash = (
         q.join(p_pairs, F.col("qp") == F.col("a")).join(r, F.col("rp") == F.col("b"))
@@ -196,8 +142,7 @@ def sums_from_pairs(queries: DataFrame, neighbors: DataFrame, measures: DataFram
 
 def neighbor_sums(queries: DataFrame, registry: DataFrame, measures: DataFrame, names: list[str],
                   local: DataFrame | None = None, phash_max: int = H.PHASH_MAX_DISTANCE,
-                  whash_max: int = H.WHASH_MAX_DISTANCE, kept: int = 2,
-                  hot_bucket: int | None = HOT_BUCKET) -> DataFrame:
+                  whash_max: int = H.WHASH_MAX_DISTANCE, kept: int = 2) -> DataFrame:
     """Sums of ``measures(image_id, *names)`` over the neighbors of each query, without listing the neighbors.
 
     Output per query: for each measure, and for the count ``n`` of neighbors that have a row, the value of the image
@@ -210,17 +155,14 @@ def neighbor_sums(queries: DataFrame, registry: DataFrame, measures: DataFrame,
     one of the two and moved to ``self``. Needs a registry with unique phash and ``queries(query_id, registry_id,
     phash, whash)`` whose registry row has the query's phash.
     """
-    spark = queries.sparkSession
     ms = [*names, "n"]
-    q = cut_lineage(spark, queries.select(
+    q = queries.select(
         "query_id", "registry_id", H.decode_hash(F.col("phash")).alias("qp"), H.decode_hash(F.col("whash")).alias("qw")
-    ), "query-words")
-    carry = cut_lineage(spark, registry.join(measures, "image_id").select(
+    )
+    carry = registry.join(measures, "image_id").select(
         "image_id", H.decode_hash(F.col("phash")).alias("rp"), H.decode_hash(F.col("whash")).alias("rw"),
         *[F.col(m).cast("bigint").alias(m) for m in names], F.lit(1).cast("bigint").alias("n"),
-    ).filter("rp is not null"), "carrying-words")
-    if hot_bucket is not None and carry.count() <= hot_bucket:
-        hot_bucket = None
+    ).filter("rp is not null")
 
     def split(cond: Column) -> list[Column]:
         return [F.sum(F.when(cond, F.col(m)).otherwise(0)).alias(f"same_{m}") for m in ms] + [
@@ -233,18 +175,20 @@ def neighbor_sums(queries: DataFrame, registry: DataFrame, measures: DataFrame,
 
     per_whash = carry.filter("rw is not null").groupBy(F.col("rw").alias("b")).agg(*[F.sum(m).alias(m) for m in ms])
     w_pairs = hamming_pairs(words.filter("qw is not null").select(F.col("qw").alias("a")).distinct(), per_whash.select("b"),
-                            whash_max, kept, hot_bucket)
+                            whash_max, kept)
     by_whash = w_pairs.join(per_whash, "b").groupBy(F.col("a").alias("qw")).agg(*split(F.col("dist") == 0))
 
     p_pairs = hamming_pairs(words.select(F.col("qp").alias("a")).distinct(), carry.select(F.col("rp").alias("b")).distinct(),
-                            phash_max, kept, hot_bucket)
+                            phash_max, kept)
     far_by_whash = F.coalesce(H.distance(F.col("qw"), F.col("rw")) > whash_max, F.lit(True))
     by_phash = (
         words.join(p_pairs, F.col("qp") == F.col("a")).join(carry, F.col("rp") == F.col("b")).filter(far_by_whash)
         .groupBy("qp", "qw").agg(*split(F.col("dist") == 0))
     )
     per_word = (
-        words.join(by_whash.withColumnsRenamed({c: f"w_{c}" for c in tiers}), "qw", "left")
+        # Words without a usable whash have no sums by whash; a key of their own each keeps them apart.
+        words.withColumn("wk", F.coalesce("qw", F.xxhash64("qp"))).withColumn("usable", F.col("qw").isNotNull())
+        .join(by_whash.withColumnsRenamed({"qw": "b_qw", **{c: f"w_{c}" for c in tiers}}), (F.col("wk") == F.col("b_qw")) & F.col("usable"), "left")
         .join(by_phash.withColumnsRenamed({"qp": "p_qp", "qw": "p_qw", **{c: f"p_{c}" for c in tiers}}),
               (F.col("qp") == F.col("p_qp")) & F.col("qw").eqNullSafe(F.col("p_qw")), "left")
         .select("qp", "qw", *[(F.coalesce(f"w_{c}", F.lit(0)) + F.coalesce(f"p_{c}", F.lit(0))).alias(c) for c in tiers])

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +18,8 @@ from provspark.operators import consensus as C
 from provspark.operators import manifests as M
 from provspark.operators import metadata as MD
 from provspark.operators import neighbors as N
-from provspark.session import cut_lineage
+
+LOG = logging.getLogger(__name__)
 
 # Texts, statuses and the report version.
 REPORT_VERSION = "1.1"
@@ -51,8 +54,7 @@ class Inputs:
             signed = C.signed_measures(self.facts).withColumn("has_facts", F.lit(1))
             measures = votes.join(reports, "image_id", "full").join(signed, "image_id", "full").na.fill(0)
             every = [*C.VOTE_MEASURES, *C.REPORT_MEASURES, "facts", "has_votes", "has_reports", "has_facts"]
-            sums = N.neighbor_sums(self.queries, self.registry, measures, every, self.local)
-            self._sums = cut_lineage(sums.sparkSession, sums, "evidence-sums")
+            self._sums = N.neighbor_sums(self.queries, self.registry, measures, every, self.local)
         tiers = ("self", "same", "similar", "local")
         return self._sums.select(
             "query_id", *[f"{t}_{m}" for t in tiers for m in names], *[F.col(f"{t}_{count}").alias(f"{t}_n") for t in tiers]
@@ -121,7 +123,8 @@ BATCH_ANALYZERS = tuple(s for s in ANALYZERS if s.slug != EVIDENCE_EXCLUDED)
 def _run(spec: AnalyzerSpec, order: int, inputs: Inputs) -> DataFrame:
     try:
         rows = spec.transform(inputs)
-    except Exception as exc:  # a transform that cannot be planned is an error of that analyzer alone
+    except AnalysisException as exc:  # tables that an analyzer cannot read are an error of that analyzer alone
+        LOG.warning("analyzer %s cannot be planned: %s", spec.slug, exc)
         rows = inputs.queries.select(
             "query_id", F.lit("ERROR").alias("status"), F.lit(str(exc)).alias("summary"), F.lit("{}").alias("data")
         )

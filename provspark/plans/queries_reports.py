@@ -15,7 +15,7 @@ from provspark.plans.catalog import query
 from provspark.plans.queries_community import FACTS, REPORTS, VOTES, by_detector_of, facts_of, reports_of, votes_of
 from provspark.plans.queries_evidence import FINDINGS
 from provspark.plans.queries_matching import MATCHES, matches_of, queries_of
-from provspark.session import cut_lineage, work_folder
+from provspark.session import work_folder
 from provspark.sources import tables as TB
 from provspark.streaming import jobs as S
 
@@ -65,8 +65,7 @@ distant AS MATERIALIZED (
 
 
 def distant_of(ev):
-    # Read for narrowing the registry and for the traces themselves: written once.
-    carried = cut_lineage(ev.spark, TC.carried_evidence(votes_of(ev), facts_of(ev), reports_of(ev)), "carried")
+    carried = TC.carried_evidence(votes_of(ev), facts_of(ev), reports_of(ev))
     return TC.distant_traces(matches_of(ev, carried), carried)
 
 
@@ -226,7 +225,6 @@ def report_export(ev):
         F.col("query_id").alias("analysis_id"), "rank", F.col("neighbor_id").alias("image_id"), F.col("neighbor_phash").alias("phash"),
         "hash_display", "distance", "match_method", "c2pa_facts", "total_votes", "detected", "not_detected",
     )
-    distant = cut_lineage(ev.spark, distant, "report-matches")
     return A.report_lines(analyses, matrix, direct_of(ev), distant, "2026-01-01T00:00:00Z")
 
 

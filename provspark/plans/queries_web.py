@@ -11,7 +11,6 @@ from provspark.operators import blocklist as BK
 from provspark.operators import lookup as LK
 from provspark.plans.catalog import query
 from provspark.plans.queries_community import VERDICT, verdicts_of
-from provspark.session import cut_lineage
 from provspark.sources import payloads as P
 from provspark.sources import text_lists as TL
 

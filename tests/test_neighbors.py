@@ -1,6 +1,7 @@
 """The hash join against brute force, with and without split buckets, and its plan."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -44,12 +45,12 @@ def _brute(q, r):
     return out
 
 
-@pytest.mark.parametrize("kept,hot", [(1, None), (2, None), (2, 1), (3, 5)])
-def test_equals_brute_force(spark, kept, hot):
+@pytest.mark.parametrize("kept", [1, 2, 3])
+def test_equals_brute_force(spark, kept):
     q, r = _rows(150, 7), _rows(220, 11) + [(1000 + i, p, w) for i, p, w in _rows(60, 7)]
     qs = spark.createDataFrame(q, "query_id bigint, phash string, whash string")
     rs = spark.createDataFrame(r, "image_id bigint, phash string, whash string")
-    got = N.hash_neighbors(qs, rs, kept=kept, hot_bucket=hot).collect()
+    got = N.hash_neighbors(qs, rs, kept=kept).collect()
     assert len(got) == len(set(got))
     assert {tuple(x) for x in got} == _brute(q, r)
 
@@ -68,9 +69,22 @@ def test_unusable_hashes(spark):
 def test_plan_has_no_cartesian_product(spark):
     rs = spark.createDataFrame(_rows(50, 3), "image_id bigint, phash string, whash string")
     qs = rs.withColumnRenamed("image_id", "query_id")
-    for hot in (None, 1):
-        plan = N.hash_neighbors(qs, rs, hot_bucket=hot)._jdf.queryExecution().executedPlan().toString()
-        assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan and "Python" not in plan
+    plan = N.hash_neighbors(qs, rs)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan and "Python" not in plan
+
+
+def test_plan_is_the_same_at_all_sizes_and_runs_no_job(spark):
+    def shape(n):
+        rs = spark.range(n).select(F.col("id").alias("image_id"), F.lpad(F.hex("id"), 16, "0").alias("phash"), F.lit("00000000000000ff").alias("whash"))
+        spark.sparkContext.setJobGroup(f"size-{n}", "plan")
+        plan = N.hash_neighbors(rs.withColumnRenamed("image_id", "query_id"), rs)._jdf.queryExecution().optimizedPlan().toString()
+        assert not spark.sparkContext.statusTracker().getJobIdsForGroup(f"size-{n}")
+        return [re.findall(r"[A-Z]\w+", line)[:1] for line in plan.splitlines()]
+
+    try:
+        assert shape(1_000) == shape(1_000_000)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 
 
 @pytest.mark.parametrize("k,kept", [(4, 1), (4, 2), (3, 2), (4, 3)])
@@ -121,8 +135,7 @@ def test_unique_under_repeat(spark):
     assert {(r.neighbor_id, r.n) for r in out} == {(1, 40), (2, 40)}
 
 
-@pytest.mark.parametrize("hot", [None, 2])
-def test_sums_equal_pairs(spark, hot):
+def test_sums_equal_pairs(spark):
     """Sums over word groups against sums over listed pairs, with shared whashes and first-seen whashes that differ."""
     rng = random.Random(9)
     rows = _rows(160, 21)
@@ -144,9 +157,9 @@ def test_sums_equal_pairs(spark, hot):
     ls = spark.createDataFrame(local, "query_id bigint, neighbor_id bigint").withColumn("inliers", F.lit(20))
     ls = ls.join(qs.select("query_id", "registry_id"), "query_id").filter("neighbor_id <> registry_id").drop("registry_id")
     ms = spark.createDataFrame([(i, rng.randint(0, 5), rng.randint(0, 5)) for i, _, _ in registry if rng.random() < 0.7], "image_id bigint, x bigint, y bigint")
-    pairs = N.add_distances(N.with_local_matches(N.hash_neighbors(qs, rs, hot_bucket=hot), ls), qs, rs).withColumn("has_local", F.col("inliers").isNotNull())
+    pairs = N.add_distances(N.with_local_matches(N.hash_neighbors(qs, rs), ls), qs, rs).withColumn("has_local", F.col("inliers").isNotNull())
     want = N.sums_from_pairs(qs, pairs, ms, ["x", "y"])
-    got = N.neighbor_sums(qs, rs, ms, ["x", "y"], ls, hot_bucket=hot)
+    got = N.neighbor_sums(qs, rs, ms, ["x", "y"], ls)
     cols = sorted(want.columns)
     assert sorted(got.columns) == cols
     a = sorted(tuple(r) for r in got.select(*cols).collect())
