@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import math
 import re
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,9 +32,9 @@ SAMPLES = 2
 SHIFT = 20.0
 UNIT = re.compile(r" ?[^ \n]+|\n| ")
 SPACE = "▁"
-LONGEST = 16
-TYPES = 200_000
-TEXT_CHARS = 2_000_000
+TYPES = 150_000
+TEXT_CHARS = 1_000_000
+HASH = 0x9E3779B97F4A7C15
 
 
 class Vocabulary:
@@ -63,14 +62,49 @@ class Vocabulary:
                 self.ids[text] = i
                 self.weight[text] = -math.log(min(-p.get_score(i), float(n)) + SHIFT)
         self.byte_weight = -math.log(n + SHIFT)
+        self.weights = np.zeros(n)
+        # Every beginning of a piece by its hash, with the piece's id, or -1 where it is none.
+        begun: dict[int, int] = {}
+        for text, i in self.ids.items():
+            self.weights[i], h = self.weight[text], 0
+            for c in text:
+                h = (h + ord(c) + 1) * HASH % (1 << 64)
+                begun.setdefault(h, -1)
+            begun[h] = i
+        self.hashes = np.array(sorted(begun), np.uint64)
+        self.found = np.array([begun[h] for h in self.hashes.tolist()], np.int64)
+
+    def lookup(self, hashes: np.ndarray) -> np.ndarray:
+        """Ids of pieces, -1 for a beginning only, -2 for neither."""
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == hashes, self.found[at], -2)
 
     def decode(self, ids) -> str:
         return b"".join([self.raw[i] for i in ids]).decode("utf-8", "surrogatepass")[1:]
 
 
+class Grown:
+    """A flat array that is added to at its end."""
+
+    def __init__(self, kind):
+        self.data, self.size = np.zeros(1024, kind), 0
+
+    def extend(self, values: np.ndarray) -> None:
+        if self.size + len(values) > len(self.data):
+            wider = np.zeros(max(2 * len(self.data), self.size + len(values)), self.data.dtype)
+            wider[:self.size] = self.data[:self.size]
+            self.data = wider
+        self.data[self.size:self.size + len(values)] = values
+        self.size += len(values)
+
+    @property
+    def view(self) -> np.ndarray:
+        return self.data[:self.size]
+
+
 class Lattices:
     """Lattices of distinct words in flat arrays. Node numbers are global; an edge's key is its node plus the share of the
-    node's probability up to its end, so that one binary search draws an edge at any node."""
+    node's probability up to its end, so a number in a node's unit interval picks an edge."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
@@ -79,58 +113,101 @@ class Lattices:
     def clear(self) -> None:
         self.base: dict[str, int] = {}
         self.nodes = 0
-        self.key, self.log, self.share = array("d"), array("d"), array("d")
-        self.target, self.first, self.count, self.pool = array("q"), array("q"), array("i"), array("i")
+        self.key, self.log, self.share = Grown(np.float64), Grown(np.float64), Grown(np.float64)
+        self.target, self.first, self.count, self.pool = Grown(np.int64), Grown(np.int64), Grown(np.int32), Grown(np.int32)
+        self.head, self.tail = Grown(np.int64), Grown(np.int64)  # first and last edge of a node
 
     def __len__(self) -> int:
         return len(self.base)
 
-    def add(self, word: str) -> int:
-        ids, weight, n = self.v.ids, self.v.weight, len(word)
-        after = [-math.inf] * n + [0.0]
-        edges: list[list] = [[] for _ in range(n)]
-        for i in range(n - 1, -1, -1):
-            row = edges[i]
-            for j in range(i + 1, min(n, i + LONGEST) + 1):
-                piece = word[i:j]
-                if (k := ids.get(piece)) is not None:
-                    row.append((j, weight[piece] + after[j], (k,)))
-            if word[i] not in ids:
-                raw = word[i].encode("utf-8", "surrogatepass")
-                row.append((i + 1, self.v.byte_weight * len(raw) + after[i + 1], tuple(self.v.byte_ids[b] for b in raw)))
-            top = max(e[1] for e in row)
-            after[i] = top + math.log(sum(math.exp(e[1] - top) for e in row))
-        start = self.nodes
-        for i, row in enumerate(edges):
-            done, total = 0.0, after[i]
-            for k, (j, w, pieces) in enumerate(row):
-                q = math.exp(w - total)
-                done = 1.0 if k == len(row) - 1 else min(done + q, 1.0)
-                self.key.append(start + i + done)
-                self.log.append(w - total)
-                self.share.append(1.0 if len(row) == 1 else q)
-                self.target.append(start + j if j < n else -1)
-                self.first.append(len(self.pool))
-                self.count.append(len(pieces))
-                self.pool.extend(pieces)
-        self.nodes += n
-        self.base[word] = start
-        return start
-
     def starts(self, words: list[str]) -> np.ndarray:
-        get, add = self.base.get, self.add
-        return np.array([s if (s := get(w)) is not None else add(w) for w in words], np.int64)
+        base = self.base
+        if new := {w for w in words if w not in base}:
+            self._add(sorted(new))
+        return np.fromiter(map(base.__getitem__, words), np.int64, len(words))
+
+    def _add(self, words: list[str]) -> None:
+        """Edges of all words, then sums over all paths to the ends, node by node from the ends."""
+        by_bytes = self.v.byte_ids
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        begin = np.cumsum(sizes) - sizes
+        self.base.update(zip(words, (self.nodes + begin).tolist(), strict=True))
+        node = int(sizes.sum())
+        ends = np.repeat(begin + sizes, sizes)
+        chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        # Pieces from every node at once, a character longer each time, as long as some piece begins like this.
+        at, hashed = np.arange(node), np.zeros(node, np.uint64)
+        found, size = [], 0
+        while len(at):
+            with np.errstate(over="ignore"):
+                hashed = (hashed + chars[at + size] + np.uint64(1)) * np.uint64(HASH)
+            size += 1
+            k = self.v.lookup(hashed)
+            if size == 1:
+                raw_at = np.flatnonzero(k < 0)
+            hit = k >= 0
+            found.append((at[hit], np.full(int(hit.sum()), size), k[hit]))
+            on = (k > -2) & (at + size < ends[at])
+            at, hashed = at[on], hashed[on]
+        found.append((raw_at, np.ones(len(raw_at), np.int64), np.full(len(raw_at), -1)))
+        src, far, ids = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.argsort(src * 32 + far, kind="stable")
+        src, ids = src[order], ids[order]
+        dst = src + far[order]
+        raws = {int(e): chr(int(chars[src[e]])).encode("utf-8", "surrogatepass") for e in np.flatnonzero(ids < 0)}
+        left = ends - np.arange(node)  # characters from a node to its word's end
+        weight = self.v.weights[ids]
+        count = np.ones(len(ids), np.int32)
+        for e, raw in raws.items():
+            weight[e], count[e] = self.v.byte_weight * len(raw), len(raw)
+        after = np.zeros(node + 1)
+        last = dst == ends[src]
+        order = np.argsort(left[src], kind="stable")
+        far = left[src][order]
+        cuts = np.searchsorted(far, np.arange(1, int(left.max()) + 2))
+        total = np.empty(len(ids))
+        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            if hi > lo:
+                e = order[lo:hi]
+                value = weight[e] + np.where(last[e], 0.0, after[dst[e]])
+                total[e] = value
+                heads = np.flatnonzero(np.concatenate([[True], src[e][1:] != src[e][:-1]]))
+                top = np.maximum.reduceat(value, heads)
+                widths = np.diff(np.append(heads, hi - lo))
+                after[src[e][heads]] = top + np.log(np.add.reduceat(np.exp(value - np.repeat(top, widths)), heads))
+        log = total - after[src]
+        share = np.exp(log)
+        heads = np.flatnonzero(np.concatenate([[True], src[1:] != src[:-1]]))
+        widths = np.diff(np.append(heads, len(src)))
+        share[heads[widths == 1]] = 1.0
+        run = np.cumsum(share)
+        done = np.minimum(run - np.repeat(run[heads] - share[heads], widths), 1.0)
+        done[np.append(heads[1:], len(src)) - 1] = 1.0
+        self.head.extend(self.key.size + heads)
+        self.tail.extend(self.key.size + heads + widths - 1)
+        self.key.extend(self.nodes + src + done)
+        self.log.extend(log)
+        self.share.extend(share)
+        self.target.extend(np.where(last, -1, self.nodes + dst))
+        self.first.extend(self.pool.size + np.cumsum(count) - count)
+        self.count.extend(count)
+        if raws:
+            flat = np.repeat(ids, count)
+            at = np.cumsum(count) - count
+            for e, raw in raws.items():
+                flat[at[e]:at[e] + len(raw)] = [by_bytes[b] for b in raw]
+            ids = flat
+        self.pool.extend(ids)
+        self.nodes += node
 
     def arrays(self):
-        view = lambda a, kind: np.frombuffer(a, kind).copy() if len(a) else np.zeros(0, kind)
-        return (view(self.key, np.float64), view(self.log, np.float64), view(self.share, np.float64), view(self.target, np.int64),
-                view(self.first, np.int64), view(self.count, np.int32), view(self.pool, np.int32))
+        return tuple(x.view for x in (self.key, self.log, self.share, self.target, self.first, self.count, self.pool, self.head, self.tail))
 
 
 def uniform(key: np.ndarray, draw: int, index: np.ndarray) -> np.ndarray:
     """Numbers in (0, 1) that depend on the row's key, the draw and the place."""
     with np.errstate(over="ignore"):
-        h = mix64(key + mix64(index.astype(np.uint64) * np.uint64(64) + np.uint64(draw)))
+        h = mix64(key + (index.astype(np.uint64) * np.uint64(64) + np.uint64(draw)) * np.uint64(HASH))
     return ((h >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0 ** -53
 
 
@@ -151,7 +228,12 @@ class Sampler:
         at, who, steps = node, np.arange(len(node)), []
         while len(who):
             x = at + uniform(key[who], draw, (place[who] << 20) + len(steps))
-            edge = np.minimum(np.searchsorted(self.key, x, "left"), len(self.key) - 1)
+            edge, low = self.tail[at], self.head[at]
+            open_ = np.flatnonzero(edge > low)
+            while len(open_):  # from the longest piece down to the one whose share holds x
+                open_ = open_[self.key[edge[open_] - 1] >= x[open_]]
+                edge[open_] -= 1
+                open_ = open_[edge[open_] > low[open_]]
             if forced is not None and not steps:
                 edge = np.where(forced >= 0, forced, edge)
             steps.append((who, edge))
@@ -191,9 +273,9 @@ class Sampler:
         units = [UNIT.findall(" " + t) if t else [] for t in texts]
         n_words = np.fromiter(map(len, units), np.int64, len(units))
         start = self.lattices.starts([w for u in units for w in u])
-        self.key, self.log, self.share, self.target, self.first, self.count, self.pool = self.lattices.arrays()
+        self.key, self.log, self.share, self.target, self.first, self.count, self.pool, self.head, self.tail = self.lattices.arrays()
         docs = len(texts)
-        keys = keys.astype(np.int64).view(np.uint64)
+        keys = mix64(keys.astype(np.int64).view(np.uint64))
         word_end = np.cumsum(n_words)
         word_doc = np.repeat(np.arange(docs), n_words)
         word_place = np.arange(len(start)) - np.repeat(word_end - n_words, n_words)
