@@ -2,14 +2,14 @@
 
 1. Every text becomes its sorted set of 64-bit shingle hashes; texts with equal sets are one set from here on.
 2. In hash order, the first ``n - ceil(0.8 n) + l`` shingles of two linked sets share at least ``l``. Sets whose prefix
-   holds fewer shingles of other sets than that cannot be linked and leave; with ``l`` a twentieth of the set, a passage
-   that many documents share does not keep them.
-3. The others meet in tiles: one shingle of the prefix and one band of sizes (a factor of 1.25), reached by its own sets
-   and those of the band below. In a few rounds each component of a tile is held against one pivot, the least set that
-   it meets most; groups of copies of any size are settled by that in linear work.
-4. Where a tile still holds more than one component, blocks of its sets are compared by hashed bitmaps: half of
-   ``n + m - bits that differ`` bounds the overlap from above. What passes is intersected exactly, the most promising
-   pairs in a first round, then all that are still in different components.
+   holds fewer shingles of other sets than that cannot be linked and leave: once with ``l`` a twentieth of the set, then,
+   among those left, with two fifths, so that a passage that many documents share does not keep them.
+3. Sets that share a shingle of the prefix are candidates; their connected parts, found over one pivot per shingle, are
+   cut into tiles: a band of sizes (a factor of 1.25) with the band below, in blocks of bounded size, block against
+   block. Every pair that may be linked meets in one tile, whatever number of shingles it shares.
+4. In a tile hashed bitmaps come first: half of ``n + m - bits that differ`` bounds the overlap from above. Sets with a
+   partner that passes meet again with their sorted arrays, which are intersected exactly, most promising pairs first;
+   pairs that links found before in the tile connect already are skipped, so a tile yields fewer links than sets.
 """
 
 from __future__ import annotations
@@ -18,16 +18,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from provspark.llm.common import Scratch, WordHash, in_chunks, mix64, words_of
 
 SHINGLE = 5
-#: Bits of a set's signature for each shingle (up to a power of two), sets in a block of a tile, members that meet one copy of a pivot.
-SIGNATURE, BLOCK, SALT_ROWS = 8, 256, 512
-#: Passes of the prefix filter, rounds of pivots, partners in the round before the last, which takes all.
-FILTERS, PIVOT_ROUNDS, FEW = 1, 2, 2
+#: Bits of a set's signature for each shingle (up to a power of two), sets in a block of a tile.
+SIGNATURE, BLOCK = 8, 256
+#: Shares of a set by which the prefixes of the first and second filter are longer than the plain one.
+FIRST, SECOND = 0.05, 0.4
 #: Bits of the bitmap of texts whose sets are built a second time (8 MB, whatever the input).
 BITS = 1 << 26
 
@@ -65,7 +65,7 @@ def _ceil80(n: int) -> int:
 
 
 def prefix_size(n: int) -> int:
-    return n - _ceil80(n) + max(1, n // 20)
+    return n - _ceil80(n) + max(1, int(n * FIRST))
 
 
 def _sid(s: np.ndarray) -> bytes:
@@ -111,7 +111,7 @@ def may_link(n: np.ndarray, m: int, differ: np.ndarray) -> np.ndarray:
 
 
 def _arrays(bitmap):
-    """sid, n, shingles, bits of the texts whose hash is in the bitmap; each set once in a task."""
+    """sid, s64, n, shingles, bits of the texts whose hash is in the bitmap; each set once in a task."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, seen, known = WordHash(), set(), bitmap.value
         for batch in batches:
@@ -122,99 +122,83 @@ def _arrays(bitmap):
                 for s in shingle_sets(texts, cache):
                     if len(s) and (sid := _sid(s)) not in seen:
                         seen.add(sid)
-                        out.append((sid, len(s), s.view(np.int64), signature(s)))
+                        out.append((sid, int.from_bytes(sid[:8], "little", signed=True), len(s), s.view(np.int64), signature(s)))
                 if out:
-                    sid, n, s, bits = zip(*out, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(sid, pa.binary()), pa.array(n, pa.int64()), pa.array(s, pa.list_(pa.int64())), pa.array(bits, pa.binary())], ["sid", "n", "shingles", "bits"])
+                    sid, s64, n, s, bits = zip(*out, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(sid, pa.binary()), pa.array(s64, pa.int64()), pa.array(n, pa.int64()), pa.array(s, pa.list_(pa.int64())), pa.array(bits, pa.binary())], ["sid", "s64", "n", "shingles", "bits"])
 
     return run
 
 
-def _held_against_pivots(exact: bool):
-    """Rows (pivot, salt, sid, set) sorted with the pivot itself first: pairs that are linked, or that bitmaps let through."""
-    def linked(a, b) -> bool:
-        common = len(np.intersect1d(a, b, assume_unique=True))
-        return 100 * common >= 80 * (len(a) + len(b) - common)
-
-    def possible(a, b) -> bool:
-        width = min(len(a["bits"]), len(b["bits"]))
-        differ = np.bitwise_count(folded(a["bits"], width) ^ folded(b["bits"], width)).sum(dtype=np.int64)
-        return 5 * min(a["n"], b["n"]) >= 4 * max(a["n"], b["n"]) and may_link(a["n"], b["n"], differ) >= 0
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, pivot = None, None
-        for batch in batches:
-            out = []
-            names, salts, sids = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            sets = batch.column(3)
-            for i, (p, salt, sid) in enumerate(zip(names, salts, sids, strict=True)):
-                own = sets[i].values.to_numpy(zero_copy_only=False) if exact else sets[i].as_py()
-                if (p, salt) != group:
-                    group, pivot = (p, salt), own if sid == p else None
-                elif pivot is not None and sid != p and (linked if exact else possible)(pivot, own):
-                    out.append((p, sid))
-            a, b = zip(*out, strict=True) if out else ([], [])
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["pivot", "sid"])
-
-    return run
-
-
-def held(pairs: DataFrame, arrays: DataFrame, exact: bool) -> DataFrame:
-    """The pairs (pivot, sid) that pass; members travel to copies of their pivot, which is sent once per salt."""
-    sized = pairs.groupBy("pivot").agg(F.count("*").alias("members"))
-    salted = pairs.join(sized, "pivot").withColumn("salts", (F.col("members") / SALT_ROWS).cast("int") + 1) \
-        .withColumn("salt", F.pmod(F.xxhash64("sid"), F.col("salts")).cast("int"))
-    copies = salted.select("pivot", "salt").distinct().select("pivot", "salt", F.col("pivot").alias("sid"))
-    what = F.col("shingles") if exact else F.struct("n", "bits")
-    rows = salted.select("pivot", "salt", "sid").unionByName(copies).join(arrays.select("sid", what.alias("set")), "sid")
-    rows = rows.select("pivot", "salt", "sid", "set", (F.col("sid") != F.col("pivot")).alias("member"))
-    sorted_rows = rows.repartition("pivot", "salt").sortWithinPartitions("pivot", "salt", "member")
-    return sorted_rows.select("pivot", "salt", "sid", "set").mapInArrow(_held_against_pivots(exact), "pivot binary, sid binary").distinct()
-
-
-def _tile_pairs(few: bool):
-    """Rows sorted by tile: pairs of different components that the sizes and bitmaps let through. A tile holds two blocks.
-
-    ``few``: each set's FEW most promising partners only; a round of all follows.
-    """
-    def compare(rows: list[tuple]) -> list[tuple]:
-        side, comp, sid = np.array([r[1] for r in rows]), np.array([r[2] for r in rows], object), [r[3] for r in rows]
-        home, n = np.array([r[4] for r in rows]), np.array([r[5] for r in rows], np.int64)
-        width = min(len(r[6]) for r in rows)
-        bits = np.stack([folded(r[6], width) for r in rows])
-        one = len(set(side)) == 1
+def _tile_groups(batches: Iterator[pa.RecordBatch], found) -> Iterator[list]:
+    """``found(rows)`` for the rows of each tile; rows come sorted by tile, their first column, and are yielded by batch."""
+    tile, rows = None, []
+    for batch in batches:
         out = []
-        for i in range(len(rows)):
-            js = np.arange(i + 1, len(rows)) if one else np.flatnonzero(side != side[i]) if side[i] == side[0] else np.zeros(0, int)
-            js = js[(comp[js] != comp[i]) & (home[js] | home[i]) & (5 * np.minimum(n[js], n[i]) >= 4 * np.maximum(n[js], n[i]))]
-            if len(js):
-                room = may_link(n[js], n[i], np.bitwise_count(bits[js] ^ bits[i]).sum(1, dtype=np.int64))
-                js, room = js[room >= 0], room[room >= 0]
-                js = js[np.argsort(-room, kind="stable")[:FEW]] if few else js
-                out += [(min(sid[i], sid[j]), max(sid[i], sid[j])) for j in js]
+        for r in zip(*[c if pa.types.is_list(c.type) else c.to_pylist() for c in batch.columns], strict=True):
+            if r[0] != tile:
+                out += found(rows) if rows else []
+                tile, rows = r[0], []
+            rows.append(r)
+        yield out
+    yield found(rows) if rows else []
+
+
+def _partners(rows: list[tuple], bits: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(i, js, room): what sizes and bitmaps let through among rows (tile, block, home, sid, n, ...); j comes after i."""
+    side, home, n = np.array([r[1] for r in rows]), np.array([r[2] for r in rows]), np.array([r[4] for r in rows], np.int64)
+    width = min(map(len, bits))
+    table = np.stack([folded(b, width) for b in bits])
+    one = len(set(side.tolist())) == 1
+    for i in range(len(rows)):
+        js = np.arange(i + 1, len(rows))
+        js = js[(home[js] | home[i]) & (5 * np.minimum(n[js], n[i]) >= 4 * np.maximum(n[js], n[i])) & (one | (side[js] != side[i]))]
+        if len(js):
+            room = may_link(n[js], n[i], np.bitwise_count(table[js] ^ table[i]).sum(1, dtype=np.int64))
+            if len(js := js[ok := room >= 0]):
+                yield i, js, room[ok]
+
+
+def _promising(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sets that have a partner in a tile, by bitmaps: (tile, block, home, sid, n, bits) -> sid."""
+    def found(rows: list[tuple]) -> list[bytes]:
+        out = set()
+        for i, js, _ in _partners(rows, [r[5] for r in rows]):
+            out |= {i, *js.tolist()}
+        return [rows[i][3] for i in out]
+
+    for sids in _tile_groups(batches, found):
+        yield pa.RecordBatch.from_arrays([pa.array(sids, pa.binary())], ["sid"])
+
+
+def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links that connect what is linked in a tile: (tile, block, home, sid, n, shingles) -> x, y."""
+    def found(rows: list[tuple]) -> list[tuple]:
+        sets = [r[5].values.to_numpy(zero_copy_only=False).view(np.uint64) for r in rows]
+        pairs = [(-int(v), i, int(j)) for i, js, room in _partners(rows, [signature(s) for s in sets]) for j, v in zip(js, room, strict=True)]
+        group, out = list(range(len(rows))), []
+
+        def root(i: int) -> int:
+            while group[i] != i:
+                group[i] = i = group[group[i]]
+            return i
+
+        for _, i, j in sorted(pairs):
+            a, b = root(i), root(j)
+            if a != b:
+                common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if 100 * common >= 80 * (len(sets[i]) + len(sets[j]) - common):
+                    group[a] = b
+                    out.append((rows[i][3], rows[j][3]))
         return out
 
-    def batch_of(pairs: list[tuple]) -> pa.RecordBatch:
-        a, b = zip(*set(pairs), strict=True) if pairs else ([], [])
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["pivot", "sid"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tile, rows = None, []
-        for batch in batches:
-            out = []
-            for r in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if r[0] != tile:
-                    out += compare(rows) if rows else []
-                    tile, rows = r[0], []
-                rows.append(r)
-            yield batch_of(out)
-        yield batch_of(compare(rows) if rows else [])
-
-    return run
+    for links in _tile_groups(batches, found):
+        a, b = zip(*links, strict=True) if links else ([], [])
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["x", "y"])
 
 
 def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """sid, comp (least sid reachable) of all ends of ``edges(x, y)``: least label of the neighbours, then label of the label."""
+    """sid, comp (least one reachable) of all ends of ``edges(x, y)``: least label of the neighbours, then label of the label."""
     both = scratch.put(edges.select("x", "y").union(edges.select("y", "x")).distinct(), f"{name}_edges")
     labels = both.groupBy(F.col("x").alias("sid")).agg(F.least(F.col("sid"), F.min("y")).alias("comp"))
     labels = scratch.put(labels, f"{name}_0")
@@ -241,59 +225,44 @@ def _text_bitmap(hashes: DataFrame) -> np.ndarray:
     return bitmap.view(np.uint8)
 
 
-def _active_tiles(members: DataFrame, keys: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """(active, tiles): sid, t64 of the sets that may be linked; tile, sid, n, home of the tiles where they meet."""
-    rows = keys.select("s64", F.posexplode("keys").alias("pos", "h"), "cores")
-    rows = rows.select("h", "s64", (F.col("pos") < F.col("cores")).alias("core"))
+def _enough(rows: DataFrame, built: DataFrame, share: float) -> DataFrame:
+    """s64, n of the sets of ``rows(s64, h)`` of which enough shingles are also those of another set.
+
+    ``rows`` hold the first ``n - ceil(0.8 n) + l`` shingles with ``l = share * n``. A linked set has ``ceil(0.8 n)``
+    shingles at least, so the smaller of the two numbers ``l`` is the least that is shared. A set may have been built in
+    several tasks (``built(s64, times, n)``); its shingles count that often.
+    """
+    need = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * 4 / 5) * share)) * F.col("times")
+    return rows.groupBy("s64").agg(F.count("*").alias("c")).join(built, "s64").where(F.col("c") >= need).select("s64", "n")
+
+
+def _met(rows: DataFrame) -> DataFrame:
+    """The rows of ``rows(s64, h, ...)`` whose shingle is held by two different sets."""
     shared = rows.groupBy("h").agg(F.min("s64").alias("lo"), F.max("s64").alias("hi")).where("lo <> hi").select("h")
-    met = scratch.put(rows.join(shared, "h"), "met")
-    scratch.drop("keys")
-    # A set may have been built in several tasks; its shingles count that often.
-    built = scratch.put(members.where("keyed").groupBy("s64").agg(F.count("*").alias("times"), F.min("n").alias("n")), "built")
-    need = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * 4 / 5) / 20)) * F.col("times")
-    left = met
-    for k in range(FILTERS):
-        if k:  # only shingles that two of the remaining sets share count
-            again = left.groupBy("h").agg(F.min("s64").alias("lo"), F.max("s64").alias("hi")).where("lo <> hi").select("h")
-            left = left.join(again, "h")
-        enough = left.groupBy("s64").agg(F.count("*").alias("c")).join(built, "s64").where(F.col("c") >= need).select("s64", "n")
-        left = scratch.put(left.join(enough.select("s64"), "s64"), f"left{k}")
-    active = scratch.put(members.where("keyed").join(left.select("s64").distinct(), "s64").groupBy("sid").agg(F.min("t64").alias("t64"), F.min("s64").alias("s64"), F.min("n").alias("n")), "active")
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.25)))
-    tiles = left.where("core").join(active.select("s64", "sid", "n"), "s64").select("sid", "n", F.explode(F.array(
-        F.struct(F.xxhash64("h", band).alias("tile"), F.lit(True).alias("home")), F.struct(F.xxhash64("h", band + 1).alias("tile"), F.lit(False).alias("home")))).alias("t")) \
-        .select("sid", "n", "t.tile", "t.home").distinct()
-    alone = tiles.groupBy("tile").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo <> hi").select("tile")
-    return active, scratch.put(tiles.join(alone, "tile"), "tiles")
-
-
-def _mixed(tiles: DataFrame, labels: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """(rows, mixed): tiles' rows with their component; tiles with more than one, equal ones once, with their size."""
-    if labels is None:
-        named = tiles.withColumn("comp", F.col("sid"))
-    else:
-        named = tiles.join(labels, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
-    mixed = named.groupBy("tile").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("rows"), F.bit_xor(F.xxhash64("sid", "home")).alias("same")).where("a <> b")
-    return named, mixed.groupBy("rows", "same").agg(F.min("tile").alias("tile")).select("tile", (F.col("rows") / BLOCK).cast("int").alias("more"))
-
-
-def _pivot_pairs(tiles: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """One pair for each component of a mixed tile at most: its least set there and the pivot that it meets most."""
-    named, mixed = _mixed(tiles, labels)
-    least = named.join(mixed, "tile").groupBy("tile", "comp").agg(F.min("sid").alias("sid"))
-    pivot = least.groupBy("tile").agg(F.min("sid").alias("pivot"))
-    votes = least.join(pivot, "tile").where("sid <> pivot").groupBy("sid", "pivot").agg(F.count("*").alias("c"))
-    return votes.groupBy("sid").agg(F.max_by("pivot", F.struct("c", "pivot")).alias("pivot"))
-
-
-def _block_pairs(tiles: DataFrame, labels: DataFrame | None, arrays: DataFrame, few: bool) -> DataFrame:
-    """Pairs of different components that pass sizes and bitmaps, blocks of a tile against blocks."""
-    named, mixed = _mixed(tiles, labels)
-    rows = named.join(mixed, "tile").withColumn("block", F.pmod(F.xxhash64("sid"), F.col("more") + 1).cast("int"))
-    spread = rows.select("tile", "sid", "home", "comp", "block", F.explode(F.sequence(F.lit(0), F.col("more"))).alias("other"))
-    spread = spread.select(F.xxhash64("tile", F.least("block", "other"), F.greatest("block", "other")).alias("tile"), "block", "comp", "sid", "home")
-    signed = spread.join(arrays.groupBy("sid").agg(F.first("n").alias("n"), F.first("bits").alias("bits")), "sid").select("tile", "block", "comp", "sid", "home", "n", "bits")
-    return signed.repartition("tile").sortWithinPartitions("tile").mapInArrow(_tile_pairs(few), "pivot binary, sid binary").distinct()
+    return rows.join(shared, "h")
+
+
+def _parts(met: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """s64, part of the sets ``sets(s64, n)`` that share a shingle of ``met`` with one another, in bands of like size."""
+    band = _band(F.col("n"))
+    tiles = met.where("core").join(sets, "s64").select("s64", F.explode(F.array(F.xxhash64("h", band), F.xxhash64("h", band + 1))).alias("tile"))
+    pivots = tiles.groupBy("tile").agg(F.min("s64").alias("pivot"), F.max("s64").alias("last")).where("pivot <> last").select("tile", "pivot")
+    edges = tiles.join(pivots, "tile").where("s64 <> pivot").select(F.col("s64").alias("x"), F.col("pivot").alias("y")).distinct()
+    return components(edges, scratch, "parts").select(F.col("sid").alias("s64"), F.col("comp").alias("part"))
+
+
+def _band(n: Column) -> Column:
+    return F.floor(F.log(n.cast("double")) / F.log(F.lit(1.25)))
+
+
+def _tiles(sets: DataFrame) -> DataFrame:
+    """tile, block, home, sid for ``sets(sid, n, part)``: each part by bands of sizes, blocks against blocks."""
+    banded = sets.select("sid", "part", F.explode(F.array(F.struct(_band(F.col("n")).alias("band"), F.lit(True).alias("home")), F.struct((_band(F.col("n")) + 1).alias("band"), F.lit(False).alias("home")))).alias("b")) \
+        .select("sid", "b.home", F.xxhash64("part", "b.band").alias("tile"))
+    held = banded.groupBy("tile").agg(F.count("*").alias("rows"), F.max("home").alias("any")).where("any and rows > 1").select("tile", (F.col("rows") / BLOCK).cast("int").alias("more"))
+    rows = banded.join(held, "tile").withColumn("block", F.pmod(F.xxhash64("sid"), F.col("more") + 1).cast("int"))
+    spread = rows.select("tile", "block", "home", "sid", F.explode(F.sequence(F.lit(0), F.col("more"))).alias("other"))
+    return spread.select(F.xxhash64("tile", F.least("block", "other"), F.greatest("block", "other")).alias("tile"), "block", "home", "sid")
 
 
 def set_links(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
@@ -304,21 +273,29 @@ def set_links(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     both = scratch.put(texts.mapInArrow(_sets, f"doc_id {kind}, t64 long, n long, sid binary, s64 long, keys array<long>"), "keys")
     members = scratch.put(both.select("doc_id", "t64", "n", "sid", "s64", F.col("keys").isNotNull().alias("keyed")), "members")
     keys = both.where("keys is not null").select("s64", "keys", (F.col("n") - F.ceil(F.col("n") * 4 / 5) + 1).alias("cores"))
-    active, tiles = _active_tiles(members, keys, scratch)
+    rows = keys.select("s64", F.posexplode("keys").alias("pos", "h"), "cores").select("h", "s64", (F.col("pos") < F.col("cores")).alias("core"))
+    met = scratch.put(_met(rows), "met")
+    scratch.drop("keys")
+    built = members.where("keyed").groupBy("s64").agg(F.count("*").alias("times"), F.min("n").alias("n"), F.min("t64").alias("t64"))
+    built = scratch.put(built, "built")
+    active = scratch.put(_enough(met, built.drop("t64"), FIRST).join(built.select("s64", "t64"), "s64"), "active")
     bitmap = spark.sparkContext.broadcast(_text_bitmap(active))
-    arrays = texts.select("t64", "text").mapInArrow(_arrays(bitmap), "sid binary, n long, shingles array<long>, bits binary")
-    arrays = scratch.put(arrays.join(active.select("sid"), "sid", "left_semi"), "arrays")
-    labels = None
-    for k, how in enumerate(("pivot",) * PIVOT_ROUNDS + ("few", "few", "all")):
-        pairs = held(_pivot_pairs(tiles, labels), arrays, False) if how == "pivot" else _block_pairs(tiles, labels, arrays, how == "few")
-        pairs = scratch.put(pairs, f"pairs{k}")
-        if how != "pivot" and pairs.isEmpty():
-            break
-        links = held(pairs, arrays, True).select(F.col("pivot").alias("x"), F.col("sid").alias("y"))
-        if labels is not None:
-            links = links.unionByName(labels.select(F.col("sid").alias("x"), F.col("comp").alias("y")).where("x <> y"))
-        labels = components(links, scratch, f"comp{k}")
-    return members, active.select("sid", F.col("sid").alias("comp")).limit(0) if labels is None else labels
+    arrays = scratch.put(texts.select("t64", "text").mapInArrow(_arrays(bitmap), "sid binary, s64 long, n long, shingles array<long>, bits binary"), "arrays")
+    # The same test again over more than half of the shingles, among the sets that are left.
+    longer = (F.col("n") - F.ceil(F.col("n") * 4 / 5) + F.greatest(F.lit(1), F.floor(F.col("n") * SECOND))).cast("int")
+    more = arrays.select("s64", F.explode(F.slice("shingles", F.lit(1), longer)).alias("h"))
+    again = arrays.groupBy("s64").agg(F.count("*").alias("times"), F.min("n").alias("n"))
+    likely = scratch.put(_enough(_met(more), again, SECOND), "likely")
+    parts = _parts(met, likely, scratch)
+    grouped = arrays.groupBy("s64", "sid").agg(F.first("n").alias("n")).join(parts, "s64").select("sid", "n", "part")
+    grouped = scratch.put(grouped, "grouped")
+    by_bits = arrays.groupBy("sid").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
+    first = _tiles(grouped).join(by_bits, "sid").select("tile", "block", "home", "sid", "n", "bits").repartition("tile").sortWithinPartitions("tile")
+    some = scratch.put(first.mapInArrow(_promising, "sid binary").distinct(), "promising")
+    exact = arrays.join(some, "sid", "left_semi").groupBy("sid").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles"))
+    second = _tiles(grouped.join(some, "sid", "left_semi")).join(exact, "sid").select("tile", "block", "home", "sid", "n", "shingles").repartition("tile").sortWithinPartitions("tile")
+    links = second.mapInArrow(_linked, "x binary, y binary")
+    return members, components(links, scratch, "links")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
