@@ -91,7 +91,10 @@ def watermark_score(sums: DataFrame) -> DataFrame:
         F.when(manual, "MANUAL").when(score == 0, "CHECKED").when(score < DETECTED_SCORE, "REPORTED").otherwise("DETECTED")
     )
     contested = (sd > 0) & (sn > 0) & (sn >= sd) & (sn <= CONTRADICTION_RATIO * sd)
-    return out.withColumns({"contested": contested, "status": status, "summary": summary}).drop("report_images")
+    # The state shown for each status, and the note to reports that are few.
+    state = F.lower(status)
+    caveat = F.when(status == "REPORTED", "Verify this yourself; SynthID checks are provider-specific and can vary across different copies of an image.")
+    return out.withColumns({"contested": contested, "status": status, "summary": summary, "display_state": state, "caveat": caveat}).drop("report_images")
 
 
 def detector_measures(by_detector: DataFrame) -> tuple[DataFrame, list[str]]:

@@ -6,15 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from provspark.functions import boxes as B
+from provspark.session import cut_lineage
 
-MAX_DEPTH = 3
 
-
-def containment_closure(events: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def containment_closure(events: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Links after replaying save events ``(link_id, parent_id, child_id, box)`` in ``link_id`` order.
 
-    Every save stores the direct link and up to ``max_depth - 1`` links to ancestors, following at each step the
-    first link that made the current image a child *before* this save. Boxes are composed on the way up; ancestors
+    Every save stores the direct link and links to all ancestors, following at each step the first link that made the
+    current image a child *before* this save; the walk ends at the root, or where an image would come a second time. With
+    ``max_depth`` it ends after that many links instead. Each level is a join of the walks that go on with the first
+    links; boxes are clamped on every step, so levels cannot be skipped, and there are as many joins as the longest walk
+    has links. Without ``max_depth`` levels are written, as the end has to be seen. Boxes are composed on the way up; ancestors
     contribute their stored six-decimal box. Output ``(parent_id, child_id, box, depth)``, one row per distinct link.
     """
     direct = events.select("link_id", "parent_id", "child_id", B.normalize(F.col("box")).alias("box")).filter(
@@ -26,12 +28,22 @@ def containment_closure(events: DataFrame, max_depth: int = MAX_DEPTH) -> DataFr
         .select(F.col("child_id").alias("a_child"), F.col("a.link_id").alias("a_link"), F.col("a.parent_id").alias("a_parent"),
                 F.col("a.box").alias("a_box"))
     )
-    level = direct.select("link_id", "child_id", F.col("parent_id").alias("at"), "box")
+    level = direct.select("link_id", "child_id", F.col("parent_id").alias("at"), "box", F.array("child_id", "parent_id").alias("seen"))
     links = [level.select(F.col("at").alias("parent_id"), "child_id", "box", F.lit(1).alias("depth"))]
-    for depth in range(2, max_depth + 1):
-        level = level.join(first, (F.col("at") == F.col("a_child")) & (F.col("a_link") < F.col("link_id"))).select(
-            "link_id", "child_id", F.col("a_parent").alias("at"), B.compose(F.col("a_box"), F.col("box")).alias("box")
+    depth = 1
+    while max_depth is None or depth < max_depth:
+        depth += 1
+        onward = level.join(first, (F.col("at") == F.col("a_child")) & (F.col("a_link") < F.col("link_id")))
+        if max_depth is None:
+            onward = onward.filter(~F.array_contains("seen", F.col("a_parent")))
+        level = onward.select(
+            "link_id", "child_id", F.col("a_parent").alias("at"), B.compose(F.col("a_box"), F.col("box")).alias("box"),
+            F.array_append("seen", F.col("a_parent")).alias("seen"),
         )
+        if max_depth is None:
+            level = cut_lineage(events.sparkSession, level, "walks")
+            if level.isEmpty():
+                break
         links.append(level.select(F.col("at").alias("parent_id"), "child_id", "box", F.lit(depth).alias("depth")))
     out = links[0]
     for more in links[1:]:

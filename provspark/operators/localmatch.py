@@ -10,12 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from provspark.functions import boxes as B
+from provspark.operators.skew import sliced_row_number, top_per_key
 
 # Feature version, extractors and match tuning.
 FEATURE_VERSION = 1
 EXTRACTORS = ("orb", "akaze")
 ORB_MIN_KEYPOINTS = 140
-MAX_CANDIDATES = 200
 RATIO_TEST = 0.72
 MIN_GOOD_MATCHES = 24
 MIN_INLIERS = 16
@@ -55,24 +55,30 @@ def feature_select(features: DataFrame, akaze_fallback: bool = True) -> DataFram
     return chosen.select("image_id", "extractor", n.cast("bigint").alias("keypoint_count"))
 
 
-def candidate_budget(queries: DataFrame, usable: DataFrame, budget: int = MAX_CANDIDATES,
+def _descriptor_keys(keypoints: DataFrame, image: str) -> DataFrame:
+    """Distinct (image, part, value) of the eight 32-bit parts of an image's descriptors."""
+    low = F.lit(0xFFFFFFFF)
+    parts = F.array(*[x for d in ("d0", "d1", "d2", "d3") for x in (F.shiftrightunsigned(d, 32), F.col(d).bitwiseAND(low))])
+    return keypoints.select(F.col("image_id").alias(image), F.posexplode(parts).alias("part", "value")).filter("value is not null").distinct()
+
+
+def local_candidates(queries: DataFrame, keypoints: DataFrame, usable: DataFrame, budget: int | None = None,
                      enabled: bool = True) -> DataFrame:
-    """The first ``budget`` images with usable features, by id, for each query image, itself left out.
+    """Images worth matching with each query image: those that share a 32-bit part of some descriptor with it.
 
-    The list is the same for every query but for itself, so it is read once as a top-n of ``budget + 1`` ids.
+    ``queries(query_id, registry_id)`` x ``keypoints(image_id, d0..d3)`` of images with ``usable(image_id)`` features ->
+    ``(query_id, candidate_id, shared, candidate_rank)``, most shared parts first, then by id. By pigeonhole every two
+    descriptors within seven bits share a part. ``budget`` keeps so many candidates of a query; by default all stay.
     """
-    budget = max(1, budget)
     ids = usable.select(F.col("image_id").alias("candidate_id")).distinct()
     if not enabled:
         ids = ids.limit(0)
-    first = ids.orderBy("candidate_id").limit(budget + 1)
-    # Position by counting smaller ids within the bounded list.
-    packed = first.agg(F.array_sort(F.collect_list("candidate_id")).alias("ids"))
-    q = queries.select("query_id", "registry_id").crossJoin(F.broadcast(packed))
-    others = F.filter("ids", lambda i: i != F.col("registry_id"))
-    return q.select("query_id", F.posexplode(F.slice(others, 1, budget)).alias("pos", "candidate_id")).select(
-        "query_id", "candidate_id", (F.col("pos") + 1).cast("bigint").alias("candidate_rank")
-    )
+    mine = queries.select("query_id", "registry_id").join(_descriptor_keys(keypoints, "registry_id"), "registry_id")
+    theirs = _descriptor_keys(keypoints, "candidate_id").join(ids, "candidate_id", "left_semi")
+    shared = mine.join(theirs, ["part", "value"]).filter("candidate_id <> registry_id").groupBy("query_id", "candidate_id").agg(F.count("*").alias("shared"))
+    if budget is not None:
+        return top_per_key(shared, ["query_id"], [F.desc("shared"), F.asc("candidate_id")], max(1, budget), "candidate_rank").withColumn("candidate_rank", F.col("candidate_rank").cast("bigint"))
+    return sliced_row_number(shared, ["query_id"], [-F.floor(F.col("shared") / 8)], [F.desc("shared"), F.asc("candidate_id")], "candidate_rank")
 
 
 def _blocks(keypoints: DataFrame) -> DataFrame:

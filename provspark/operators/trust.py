@@ -81,10 +81,12 @@ def _lookup(values: dict[str, str], col: str) -> Column:
 def trust_assessment(stores: DataFrame, as_of: Column, compat: bool = False) -> DataFrame:
     """Timestamp type, trust tier, certificate state, durability, caveats, summary and severity per manifest.
 
-    ``stores(image_id, manifest_json, cert_not_after)``; ``as_of`` is the moment certificates are judged at. By default
+    ``stores(image_id, manifest_json, cert_not_after)``, with ``cert_issuer_cn`` if the reader gives it; ``as_of`` is the moment certificates are judged at. By default
     a code that says "untrusted" does not count as "trusted" and wins over trusted ones; ``compat`` restores the plain
     substring rule, under which it does count.
     """
+    if "cert_issuer_cn" not in stores.columns:
+        stores = stores.withColumn("cert_issuer_cn", F.lit(None).cast("string"))
     rows = M.with_codes(M.found(M.parse_stores(stores, "signature", *M.CODE_PARTS)))
 
     def has(*parts: str) -> Column:
@@ -134,7 +136,8 @@ def trust_assessment(stores: DataFrame, as_of: Column, compat: bool = False) ->
         "image_id", "trust_tier", _lookup(TRUST_LABELS, "trust_tier").alias("trust_label"),
         "timestamp_type", _lookup(TIMESTAMP_LABELS, "timestamp_type").alias("timestamp_label"),
         "durability", _lookup(DURABILITY_LABELS, "durability").alias("durability_label"),
-        "cert_expired", "cert_revoked", "cert_days_until_expiry",
+        "cert_expired", "cert_revoked", F.date_format("cert_not_after", "yyyy-MM-dd'T'HH:mm:ss").alias("cert_expiry_date"),
+        "cert_days_until_expiry", "cert_issuer_cn",
         F.concat(_lookup(SUMMARY_BY_TIER, "trust_tier"), F.lit(" · "), _lookup(SUMMARY_BY_DURABILITY, "durability")).alias("summary_line"),
-        severity.alias("overall_severity"), caveats.alias("caveats"),
+        severity.alias("overall_severity"), caveats.alias("caveats"), (F.size(caveats) > 0).alias("has_caveats"),
     )

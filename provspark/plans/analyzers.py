@@ -85,7 +85,7 @@ def _signed(inp: Inputs) -> DataFrame:
 
 def _watermark(inp: Inputs) -> DataFrame:
     out = C.watermark_score(inp.sums(C.REPORT_MEASURES, "has_reports"))
-    data = F.to_json(F.struct("score", "contested", "total_detected", "total_not_detected", "similar_count"))
+    data = F.to_json(F.struct("display_state", "score", "contested", "self_detected", "self_not_detected", "total_detected", "total_not_detected", "similar_count", "caveat"))
     return out.select("query_id", "status", "summary", data.alias("data"))
 
 

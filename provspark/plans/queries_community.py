@@ -219,7 +219,9 @@ def human_consensus(ev):
            WHEN score = 0 THEN 'Checked by ' || (total_detected + total_not_detected) || ' user' || CASE WHEN total_detected + total_not_detected = 1 THEN '' ELSE 's' END || ', not detected on this version.'
            WHEN score < 4 THEN total_detected || ' user' || CASE WHEN total_detected = 1 THEN '' ELSE 's' END || ' reported detecting SynthID'
              || CASE WHEN self_detected = 0 AND total_detected > 0 THEN ' on a similar image.' ELSE '.' END
-           ELSE 'SynthID detected by ' || total_detected || ' user' || CASE WHEN total_detected = 1 THEN '' ELSE 's' END || '.' END AS summary
+           ELSE 'SynthID detected by ' || total_detected || ' user' || CASE WHEN total_detected = 1 THEN '' ELSE 's' END || '.' END AS summary,
+      CASE WHEN score = 0 AND n = 0 THEN 'manual' WHEN score = 0 THEN 'checked' WHEN score < 4 THEN 'reported' ELSE 'detected' END AS display_state,
+      CASE WHEN score <> 0 AND score < 4 THEN 'Verify this yourself; SynthID checks are provider-specific and can vary across different copies of an image.' END AS caveat
     FROM num
 """)
 def watermark_score(ev):

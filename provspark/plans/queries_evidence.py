@@ -176,7 +176,8 @@ def _certs(ev):
     """Manifests with certificate end dates as a certificate reader would deliver them, some missing."""
     days = F.col("image_id") % 1000 - 500
     end = F.timestamp_seconds(F.lit(1767225600) + days * 86400 + 3600)
-    return ev.manifest.withColumn("cert_not_after", F.when(F.col("image_id") % 3 != 0, end))
+    issuer = F.when(F.col("image_id") % 5 != 0, F.concat(F.lit("CA "), F.col("image_id") % 7))
+    return ev.manifest.withColumn("cert_not_after", F.when(F.col("image_id") % 3 != 0, end)).withColumn("cert_issuer_cn", issuer)
 
 
 def _sql_case(values: dict, col: str) -> str:
@@ -199,6 +200,8 @@ def _trust_oracle(compat: bool) -> str:
     base AS (SELECT image_id, CASE WHEN tt THEN 'rfc3161' WHEN tm THEN 'rfc3161_unverified' WHEN coalesce(tim, '') <> '' THEN 'clock_only' ELSE 'none' END AS timestamp_type,
                     CASE WHEN ct THEN 'trust_list' WHEN cu THEN 'untrusted' ELSE 'unverified' END AS trust_tier, rv AS cert_revoked,
                     CASE WHEN ex THEN true WHEN image_id % 3 <> 0 THEN 0 > (image_id % 1000 - 500) * 86400 + 3600 END AS cert_expired,
+                    CASE WHEN image_id % 3 <> 0 THEN strftime(make_timestamp((1767225600 + (image_id % 1000 - 500) * 86400 + 3600) * 1000000), '%Y-%m-%dT%H:%M:%S') END AS cert_expiry_date,
+                    CASE WHEN image_id % 5 <> 0 THEN 'CA ' || (image_id % 7) END AS cert_issuer_cn,
                     CASE WHEN image_id % 3 <> 0 THEN image_id % 1000 - 500 END AS cert_days_until_expiry FROM flags),
     dur AS (SELECT *, CASE WHEN cert_revoked THEN 'revoked' WHEN timestamp_type = 'rfc3161' AND cert_expired THEN 'expired_with_tsa' WHEN cert_expired THEN 'expired_no_tsa'
                            WHEN timestamp_type = 'rfc3161' THEN 'durable' ELSE 'at_risk' END AS durability FROM base)
@@ -207,7 +210,7 @@ def _trust_oracle(compat: bool) -> str:
            {_sql_case(TR.SUMMARY_BY_TIER, 'trust_tier')} || ' · ' || {_sql_case(TR.SUMMARY_BY_DURABILITY, 'durability')} AS summary_line,
            CASE WHEN durability IN ('expired_no_tsa', 'revoked') THEN 'error' WHEN trust_tier IN ('untrusted', 'unverified') OR durability = 'at_risk' THEN 'warning'
                 WHEN durability = 'durable' THEN 'good' ELSE 'info' END AS overall_severity,
-           {caveats} AS caveats
+           {caveats} AS caveats, {caveats} <> '' AS has_caveats
     FROM dur
     """
 

@@ -104,10 +104,10 @@ direct AS (SELECT link_id, parent_id, child_id, {_clamp('l')} AS l, {_clamp('t')
 first_parent AS (SELECT * EXCLUDE (rn) FROM (SELECT child_id AS c, link_id AS a_link, parent_id AS a_parent, round(l, 6) AS al, round(t, 6) AS at_, round(w, 6) AS aw, round(h, 6) AS ah,
                  row_number() OVER (PARTITION BY child_id ORDER BY link_id) AS rn FROM direct WHERE parent_id <> child_id) WHERE rn = 1),
 walk AS (
-  SELECT link_id, child_id, parent_id AS cur, l, t, w, h, 1 AS depth FROM direct
+  SELECT link_id, child_id, parent_id AS cur, l, t, w, h, 1 AS depth, [child_id, parent_id] AS seen FROM direct
   UNION ALL
-  SELECT k.link_id, k.child_id, a.a_parent, {_clamp('a.al + k.l * a.aw')}, {_clamp('a.at_ + k.t * a.ah')}, {_clamp('k.w * a.aw')}, {_clamp('k.h * a.ah')}, k.depth + 1
-  FROM walk k JOIN first_parent a ON k.cur = a.c AND a.a_link < k.link_id WHERE k.depth < 3)
+  SELECT k.link_id, k.child_id, a.a_parent, {_clamp('a.al + k.l * a.aw')}, {_clamp('a.at_ + k.t * a.ah')}, {_clamp('k.w * a.aw')}, {_clamp('k.h * a.ah')}, k.depth + 1, list_append(k.seen, a.a_parent)
+  FROM walk k JOIN first_parent a ON k.cur = a.c AND a.a_link < k.link_id WHERE NOT list_contains(k.seen, a.a_parent))
 """
 
 
@@ -248,14 +248,15 @@ def feature_select(ev):
     return LM.feature_select(LM.feature_valid(ev.feature_row))
 
 
-@query("candidate_budget", "fx_feature_row fx_submission fx_registry", """
-    WITH u AS (SELECT DISTINCT image_id FROM fx_feature_row WHERE feature_version = 1 AND extractor IN ('orb', 'akaze') AND width > 0 AND height > 0)
-    SELECT query_id, image_id AS candidate_id, candidate_rank FROM (
-      SELECT s.image_id AS query_id, u.image_id, row_number() OVER (PARTITION BY s.image_id ORDER BY u.image_id) AS candidate_rank
-      FROM fx_submission s JOIN fx_registry r ON s.phash = r.phash, u WHERE u.image_id <> r.image_id) WHERE candidate_rank <= 200
+@query("candidate_budget", "fx_feature_row fx_submission fx_registry fx_keypoint", """
+    WITH u AS (SELECT DISTINCT image_id FROM fx_feature_row WHERE feature_version = 1 AND extractor IN ('orb', 'akaze') AND width > 0 AND height > 0),
+    k AS (SELECT DISTINCT image_id, unnest([0, 1, 2, 3, 4, 5, 6, 7]) AS part, unnest([substr(d0, 1, 8), substr(d0, 9), substr(d1, 1, 8), substr(d1, 9), substr(d2, 1, 8), substr(d2, 9), substr(d3, 1, 8), substr(d3, 9)]) AS value FROM fx_keypoint),
+    n AS (SELECT s.image_id AS query_id, b.image_id AS candidate_id, count(*) AS shared FROM fx_submission s JOIN fx_registry r ON s.phash = r.phash
+          JOIN k a ON a.image_id = r.image_id JOIN k b ON a.part = b.part AND a.value = b.value AND b.image_id <> r.image_id JOIN u ON u.image_id = b.image_id GROUP BY ALL)
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY shared DESC, candidate_id) AS candidate_rank FROM n
 """)
 def candidate_budget(ev):
-    return LM.candidate_budget(queries_of(ev), LM.feature_valid(ev.feature_row))
+    return LM.local_candidates(queries_of(ev), keypoints_of(ev), LM.feature_valid(ev.feature_row))
 
 
 # Pixels --------------------------------------------------------------------------------------------------------------

@@ -71,10 +71,10 @@ def _replay(events):
     return set(stored)
 
 
-def _closure(spark, events):
+def _closure(spark, events, depth=3):
     rows = [(i, p, c, list(b)) for i, (p, c, b) in enumerate(events)]
     df = spark.createDataFrame(rows, "link_id bigint, parent_id bigint, child_id bigint, box array<double>")
-    return {(r.parent_id, r.child_id, tuple(r.box)) for r in CT.containment_closure(df).collect()}
+    return {(r.parent_id, r.child_id, tuple(r.box)) for r in CT.containment_closure(df, depth).collect()}
 
 
 def test_closure_half_of_half(spark):
@@ -176,13 +176,16 @@ def test_feature_select(table):
     assert plain == {(1, "orb"), (2, "orb"), (3, "orb")}
 
 
-def test_candidate_budget(table):
-    q = table("query_id bigint, registry_id bigint", (1, 2), (2, 99))
-    f = table("image_id bigint", *[(i,) for i in range(1, 9)])
-    got = LM.candidate_budget(q, f, budget=3).orderBy("query_id", "candidate_rank").collect()
-    assert [(r.query_id, r.candidate_id) for r in got] == [(1, 1), (1, 3), (1, 4), (2, 1), (2, 2), (2, 3)]
-    assert LM.candidate_budget(q, f, enabled=False).count() == 0
-    assert LM.candidate_budget(q, f, budget=0).count() == 2
+def test_local_candidates(table):
+    q = table("query_id bigint, registry_id bigint", (1, 10), (2, 11))
+    kp = table("image_id bigint, kp_idx int, d0 bigint, d1 bigint, d2 bigint, d3 bigint", (10, 0, 1 << 40, 2, 3, 4), (10, 1, 9, 9, 9, 9), (11, 0, 1 << 40, 2, 3, 5),
+               (12, 0, 77 << 32, 88, 3, 99), (13, 0, -1, -2, -3, -4), (14, 0, 9, 9, 9, 9))
+    f = table("image_id bigint", *[(i,) for i in (10, 11, 12, 13)])
+    got = {(r.query_id, r.candidate_id): (r.shared, r.candidate_rank) for r in LM.local_candidates(q, kp, f).collect()}
+    assert got[(1, 11)] == (7, 1) and (1, 13) not in got and (1, 10) not in got and (1, 14) not in got
+    assert {k[1] for k in got if k[0] == 2} == {10, 12}
+    assert {(r.query_id, r.candidate_id) for r in LM.local_candidates(q, kp, f, budget=1).collect()} == {(1, 11), (2, 10)}
+    assert LM.local_candidates(q, kp, f, enabled=False).count() == 0
 
 
 def _image(bottom=0, top=0, left=0, right=400):
@@ -218,3 +221,11 @@ def test_crop_quality(table):
     assert (got[1].entropy, got[1].contrast, got[1].accepted) == (0.0, 0.0, False)
     assert got[2].entropy == pytest.approx(8.0) and got[2].accepted
     assert got[3].entropy == pytest.approx(1.0) and got[3].contrast == pytest.approx(10.0)
+
+
+def test_closure_goes_to_the_root_and_ends_on_cycles(spark):
+    half = (0., 0., .5, .5)
+    chain = _closure(spark, [(i, i + 1, half) for i in range(1, 7)], None)
+    assert {(p, c) for p, c, _ in chain if c == 7} == {(p, 7) for p in range(1, 7)}
+    ring = _closure(spark, [(2, 1, half), (1, 2, half), (1, 3, half)], None)
+    assert {(p, c) for p, c, _ in ring} == {(2, 1), (1, 2), (1, 3), (2, 3)}
