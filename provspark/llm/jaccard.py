@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from provspark.llm.common import Scratch, WordHash, in_chunks, mix64, words_of
 
 SHINGLE = 5
-#: Bits of a set's signature for each shingle (up to a power of two), sets in a block of a tile.
-SIGNATURE, BLOCK = 8, 256
+#: Bits of a set's signature for each shingle (up to a power of two), shingles in a block of a tile (8 MB).
+SIGNATURE, BLOCK = 8, 1_000_000
 #: Shares of a set by which the prefixes of the first and second filter are longer than the plain one.
 FIRST, SECOND = 0.05, 0.4
 #: Bits of the bitmap of texts whose sets are built a second time (8 MB, whatever the input).
@@ -257,9 +257,9 @@ def _band(n: Column) -> Column:
 
 def _tiles(sets: DataFrame) -> DataFrame:
     """tile, block, home, sid for ``sets(sid, n, part)``: each part by bands of sizes, blocks against blocks."""
-    banded = sets.select("sid", "part", F.explode(F.array(F.struct(_band(F.col("n")).alias("band"), F.lit(True).alias("home")), F.struct((_band(F.col("n")) + 1).alias("band"), F.lit(False).alias("home")))).alias("b")) \
-        .select("sid", "b.home", F.xxhash64("part", "b.band").alias("tile"))
-    held = banded.groupBy("tile").agg(F.count("*").alias("rows"), F.max("home").alias("any")).where("any and rows > 1").select("tile", (F.col("rows") / BLOCK).cast("int").alias("more"))
+    banded = sets.select("sid", "n", "part", F.explode(F.array(F.struct(_band(F.col("n")).alias("band"), F.lit(True).alias("home")), F.struct((_band(F.col("n")) + 1).alias("band"), F.lit(False).alias("home")))).alias("b")) \
+        .select("sid", "n", "b.home", F.xxhash64("part", "b.band").alias("tile"))
+    held = banded.groupBy("tile").agg(F.count("*").alias("rows"), F.sum("n").alias("size"), F.max("home").alias("any")).where("any and rows > 1").select("tile", (F.col("size") / BLOCK).cast("int").alias("more"))
     rows = banded.join(held, "tile").withColumn("block", F.pmod(F.xxhash64("sid"), F.col("more") + 1).cast("int"))
     spread = rows.select("tile", "block", "home", "sid", F.explode(F.sequence(F.lit(0), F.col("more"))).alias("other"))
     return spread.select(F.xxhash64("tile", F.least("block", "other"), F.greatest("block", "other")).alias("tile"), "block", "home", "sid")

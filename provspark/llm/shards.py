@@ -2,8 +2,8 @@
 
 Documents with equal texts are linked. Members of a group on the same shard are interchangeable, so what moves is a
 cell (group, shard, count); a group of any size is 16 cells at most and no link is ever listed. A round is three
-aggregations: neighbours' shards per group, wishes per (target shard, priority bucket), loads per shard. The last two
-have a fixed number of rows and meet on the driver, which opens as many buckets as the quota of a shard allows. A last
+aggregations: neighbours' shards per group, wishes per (target shard, bucket, own shard), loads per shard. The last two
+have a fixed number of rows and meet on the driver, which opens as many buckets as the quotas of the shards allow. A last
 exact step levels the counts, unlinked documents first, and numbers the slots by counting sort.
 """
 
@@ -16,8 +16,8 @@ from provspark.llm.common import Scratch
 
 SHARDS = 16
 ROUNDS = 4
-#: Buckets of priority in a round, and of the counting sort of slots.
-BUCKETS = 1024
+#: Buckets of wishes in a round, and of the counting sort of slots.
+WISHES, BUCKETS = 256, 1024
 #: How far a shard may exceed its even share while labels move; the last step takes it back.
 SLACK = 0.05
 
@@ -78,17 +78,25 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS,
         # The shard with most neighbours, among equals the home of the group's hash.
         best = cells.groupBy("grp").agg(F.max(F.struct("n", F.pmod(F.col("shard") - home, F.lit(shards)).alias("d"))).alias("b")) \
             .select("grp", F.pmod(F.col("b.d") + home, F.lit(shards)).cast("int").alias("target"))
-        wish = cells.join(best, "grp").withColumn("bucket", F.pmod(F.xxhash64("grp", F.lit(k)), F.lit(BUCKETS)).cast("int"))
-        asked = wish.where("shard <> target").groupBy("target", "bucket").agg(F.sum("n").alias("n")).orderBy("target", "bucket").collect()
-        opened: dict[tuple, int] = {}
-        room = [cap - load_k[s] for s in range(shards)]  # what leaves in this round makes room in the next
+        wish = cells.join(best, "grp").withColumn("bucket", F.pmod(F.xxhash64("grp", F.lit(k)), F.lit(WISHES)).cast("int"))
+        asked = wish.where("shard <> target").groupBy("target", "bucket", "shard").agg(F.sum("n").alias("n")).orderBy("target", "bucket", "shard").collect()
+        wishes: dict[tuple, list] = {}
         for r in asked:
-            if r["n"] <= room[r["target"]]:
-                room[r["target"]] -= r["n"]
-                opened[(r["target"], r["bucket"])] = 1
+            wishes.setdefault((r["target"], r["bucket"]), []).append((r["shard"], r["n"]))
+        room, opened, more = [cap - load_k[s] for s in range(shards)], set(), True
+        while more:  # what leaves a shard makes room there, so buckets that did not fit may fit in the next pass
+            more = False
+            for (target, bucket), sources in wishes.items():
+                n = sum(x for _, x in sources)
+                if (target, bucket) not in opened and n <= room[target]:
+                    opened.add((target, bucket))
+                    more = True
+                    room[target] -= n
+                    for source, x in sources:
+                        room[source] += x
         if not opened:
             break
-        grants = spark.createDataFrame([(t, b) for t, b in opened], "target int, bucket int")  # shards x BUCKETS rows at most
+        grants = spark.createDataFrame(sorted(opened), "target int, bucket int")  # shards x WISHES rows at most
         moved = wish.join(F.broadcast(grants.withColumn("go", F.lit(True))), ["target", "bucket"], "left") \
             .select("grp", F.when(F.col("go"), F.col("target")).otherwise(F.col("shard")).alias("shard"), "n")
         cells = scratch.put(moved.groupBy("grp", "shard").agg(F.sum("n").alias("n")), f"cells{k}")
