@@ -32,8 +32,8 @@ SAMPLES = 2
 SHIFT = 20.0
 UNIT = re.compile(r" ?[^ \n]+|\n| ")
 SPACE = "▁"
-TYPES = 150_000
-TEXT_CHARS = 1_000_000
+TYPES = 80_000
+TEXT_CHARS = 400_000
 HASH = 0x9E3779B97F4A7C15
 
 
@@ -91,7 +91,7 @@ class Grown:
 
     def extend(self, values: np.ndarray) -> None:
         if self.size + len(values) > len(self.data):
-            wider = np.zeros(max(2 * len(self.data), self.size + len(values)), self.data.dtype)
+            wider = np.zeros(max(len(self.data) * 5 // 4, self.size + len(values)), self.data.dtype)
             wider[:self.size] = self.data[:self.size]
             self.data = wider
         self.data[self.size:self.size + len(values)] = values
@@ -114,8 +114,8 @@ class Lattices:
         self.base: dict[str, int] = {}
         self.nodes = 0
         self.key, self.log, self.share = Grown(np.float64), Grown(np.float64), Grown(np.float64)
-        self.target, self.first, self.count, self.pool = Grown(np.int64), Grown(np.int64), Grown(np.int32), Grown(np.int32)
-        self.head, self.tail = Grown(np.int64), Grown(np.int64)  # first and last edge of a node
+        self.target, self.first, self.count, self.pool = Grown(np.int32), Grown(np.int32), Grown(np.int32), Grown(np.int32)
+        self.head, self.tail = Grown(np.int32), Grown(np.int32)  # first and last edge of a node
 
     def __len__(self) -> int:
         return len(self.base)
