@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from provspark.llm.common import in_chunks
 
-TRAIN_PAGES, LAYOUTS, STEPS, BATCH, RATE = 400, 1, 360, 24, 0.01
+TRAIN_PAGES, LAYOUTS, STEPS, BATCH, RATE = 400, 3, 400, 24, 0.01
 PATH, WORDS, FIGURES, HIDDEN = 128, 64, 8, 20
 
 # HTML's elements.
@@ -274,7 +274,7 @@ def laid_out(texts: list[str], others: list[str], rng: np.random.Generator) -> t
             box += ("." + pick(("box", "wrap", "list", "inner", "block", "top", "left", "right", "area")),)
         leaf = pick(((), ("p",), ("ul", "li"), ("ul", "li", "a"), ("div",), ("h2",), ("label",), ("span",)))
         for _ in range(rng.integers(1, 6)):
-            text = pick(texts) if rng.random() < 0.35 else pick(others)
+            text = pick(texts) if rng.random() < 0.5 else pick(others)
             rows.append(Block(("html", "body", *base, *box, *leaf), text, len(text) if "a" in leaf else 0))
             y.append(0)
 
