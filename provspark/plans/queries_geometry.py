@@ -99,9 +99,10 @@ def crop_box_struct(ev):
 
 # Containment ---------------------------------------------------------------------------------------------------------
 
+# Boxes are rounded as decimals: a half at the seventh place goes up, whatever its binary form.
 CLOSURE = f"""
 direct AS (SELECT link_id, parent_id, child_id, {_clamp('l')} AS l, {_clamp('t')} AS t, {_clamp('w')} AS w, {_clamp('h')} AS h FROM fx_link_event),
-first_parent AS (SELECT * EXCLUDE (rn) FROM (SELECT child_id AS c, link_id AS a_link, parent_id AS a_parent, round(l, 6) AS al, round(t, 6) AS at_, round(w, 6) AS aw, round(h, 6) AS ah,
+first_parent AS (SELECT * EXCLUDE (rn) FROM (SELECT child_id AS c, link_id AS a_link, parent_id AS a_parent, CAST(round(CAST(CAST(l AS VARCHAR) AS DECIMAL(38, 22)), 6) AS DOUBLE) AS al, CAST(round(CAST(CAST(t AS VARCHAR) AS DECIMAL(38, 22)), 6) AS DOUBLE) AS at_, CAST(round(CAST(CAST(w AS VARCHAR) AS DECIMAL(38, 22)), 6) AS DOUBLE) AS aw, CAST(round(CAST(CAST(h AS VARCHAR) AS DECIMAL(38, 22)), 6) AS DOUBLE) AS ah,
                  row_number() OVER (PARTITION BY child_id ORDER BY link_id) AS rn FROM direct WHERE parent_id <> child_id) WHERE rn = 1),
 walk AS (
   SELECT link_id, child_id, parent_id AS cur, l, t, w, h, 1 AS depth, [child_id, parent_id] AS seen FROM direct
@@ -113,7 +114,7 @@ walk AS (
 
 @query("containment_closure", "fx_link_event", "WITH RECURSIVE " + CLOSURE + """
     SELECT parent_id, child_id, "left", top, width, height, CAST(min(depth) AS BIGINT) AS depth FROM (
-      SELECT cur AS parent_id, child_id, round(l, 6) AS "left", round(t, 6) AS top, round(w, 6) AS width, round(h, 6) AS height, depth FROM walk WHERE cur <> child_id)
+      SELECT cur AS parent_id, child_id, CAST(round(CAST(CAST(l AS VARCHAR) AS DECIMAL(38, 22)), 6) AS DOUBLE) AS "left", CAST(round(CAST(CAST(t AS VARCHAR) AS DECIMAL(38, 22)), 6) AS DOUBLE) AS top, CAST(round(CAST(CAST(w AS VARCHAR) AS DECIMAL(38, 22)), 6) AS DOUBLE) AS width, CAST(round(CAST(CAST(h AS VARCHAR) AS DECIMAL(38, 22)), 6) AS DOUBLE) AS height, depth FROM walk WHERE cur <> child_id)
     GROUP BY ALL
 """)
 def containment_closure(ev):
