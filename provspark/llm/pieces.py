@@ -87,7 +87,7 @@ class Grown:
     """A flat array that is added to at its end."""
 
     def __init__(self, kind):
-        self.data, self.size = np.zeros(1024, kind), 0
+        self.data, self.size = np.zeros(1 << 20, kind), 0  # pages that are not written cost nothing
 
     def extend(self, values: np.ndarray) -> None:
         if self.size + len(values) > len(self.data):
@@ -151,7 +151,7 @@ class Lattices:
             at, hashed = at[on], hashed[on]
         found.append((raw_at, np.ones(len(raw_at), np.int64), np.full(len(raw_at), -1)))
         src, far, ids = (np.concatenate(x) for x in zip(*found, strict=True))
-        order = np.argsort(src * 32 + far, kind="stable")
+        order = np.argsort(src * 32 + far)
         src, ids = src[order], ids[order]
         dst = src + far[order]
         raws = {int(e): chr(int(chars[src[e]])).encode("utf-8", "surrogatepass") for e in np.flatnonzero(ids < 0)}
@@ -162,7 +162,7 @@ class Lattices:
             weight[e], count[e] = self.v.byte_weight * len(raw), len(raw)
         after = np.zeros(node + 1)
         last = dst == ends[src]
-        order = np.argsort(left[src], kind="stable")
+        order = np.argsort(left.astype(np.int16)[src], kind="stable") if left.max() < 32_000 else np.argsort(left[src], kind="stable")
         far = left[src][order]
         cuts = np.searchsorted(far, np.arange(1, int(left.max()) + 2))
         total = np.empty(len(ids))
