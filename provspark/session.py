@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import SparkSession
 
@@ -42,7 +43,6 @@ def local_session(app: str = "provspark", cpus: int | str = 8, shuffle_partition
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="provspark-"))  # one JVM: its folder is shared by definition
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -54,16 +54,24 @@ def local_session(app: str = "provspark", cpus: int | str = 8, shuffle_partition
 def work_folder(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared folder that the cluster names in ``spark.checkpoint.dir``; without it, an error.
 
-    The folder is deleted when the driver program ends.
+    Only a session of one JVM (``local``) may lack the setting, as in tests: a folder of its machine is shared by all its
+    tasks. The path is deleted when the driver program ends.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        base = _single_machine_folder()
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     atexit.register(_delete, spark, path)
     return path
 
 
+@lru_cache(maxsize=1)
+def _single_machine_folder() -> str:
+    return tempfile.mkdtemp(prefix="provspark-")
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     try:
         where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

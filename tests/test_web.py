@@ -237,3 +237,13 @@ def test_triage(table, row, error):
 @pytest.mark.parametrize("amount,cents", [("10.005", 1001), ("5", 500), ("", 0), (None, 0), ("ten", 0), ("-1.50", -150)])
 def test_cents(one, amount, cents):
     assert one(X.amount_to_cents, "a string", amount) == cents
+
+
+def test_shared_folder_or_error():
+    from types import SimpleNamespace
+
+    from provspark.session import work_folder
+
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        work_folder(cluster, "x")
