@@ -1,10 +1,13 @@
 """Balanced label propagation: linked documents move towards their neighbours' shards under capacity quotas.
 
 Documents with equal texts are linked. Members of a group on the same shard are interchangeable, so what moves is a
-cell (group, shard, count); a group of any size is 16 cells at most and no link is ever listed. A round is three
-aggregations: neighbours' shards per group, wishes per (target shard, bucket, own shard), loads per shard. The last two
-have a fixed number of rows and meet on the driver, which opens as many buckets as the quotas of the shards allow. A last
-exact step levels the counts, unlinked documents first, and numbers the slots by counting sort.
+cell (group, shard, count); a group of any size is 16 cells at most and no link is ever listed. Unlinked documents have
+no neighbours and give way, so a shard's quota is its even share less the linked rows on it. Groups above a
+``1 / LARGE`` of a shard, of which there are ``shards * LARGE`` at most, are placed one by one on the driver, the largest first. A
+round for the others is three aggregations: neighbours' shards per group, wishes per (target shard, bucket, own shard),
+loads per shard. The last two have a fixed number of rows and meet on the driver, which grants each wish as far as the
+quotas of the shards allow. A last exact step levels the counts, unlinked documents first, and numbers the slots by
+counting sort.
 """
 
 from __future__ import annotations
@@ -18,8 +21,8 @@ SHARDS = 16
 ROUNDS = 4
 #: Buckets of wishes in a round, and of the counting sort of slots.
 WISHES, BUCKETS = 256, 1024
-#: How far a shard may exceed its even share while labels move; the last step takes it back.
-SLACK = 0.05
+#: A group of more than this part of a shard is placed by itself.
+LARGE = 256
 
 
 def _table(values: dict, *keys: Column, default) -> Column:
@@ -44,7 +47,55 @@ def _dense(rows: DataFrame, part: Column, order: list[Column], name: str) -> Dat
     return bucketed.join(F.broadcast(offsets), ["_part", "_bucket"]).withColumn(name, F.col("_before") + within - 1).drop("_part", "_bucket", "_before")
 
 
-def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, slack: float = SLACK) -> DataFrame:
+def _placed(groups: dict[bytes, dict[int, int]], room: list[int]) -> list[tuple[bytes, int, int]]:
+    """(group, shard, count) of large groups given their rows per shard; takes from ``room``. A group goes whole to the
+    shard with most of it among those that can hold it; one that no shard can hold fills the emptiest shards first."""
+    out = []
+    for grp, cells in sorted(groups.items(), key=lambda x: (-sum(x[1].values()), x[0])):
+        left = sum(cells.values())
+        while left:
+            fits = [s for s, r in enumerate(room) if r >= left]
+            s = max(fits, key=lambda s: (cells.get(s, 0), room[s])) if fits else max(range(len(room)), key=lambda s: (room[s], cells.get(s, 0)))
+            n = min(left, room[s])
+            out.append((grp, s, n))
+            room[s] -= n
+            left -= n
+    return out
+
+
+def _granted(asked: dict[tuple[int, int], dict[int, int]], load: list[int], quota: list[int]) -> dict[tuple[int, int, int], int]:
+    """Rows that may move by (target, bucket, source), of those asked for by (target, bucket) and source.
+
+    All wishes count as granted at first, so that shards can exchange rows whatever room they have; then shards above
+    their quota give rows back, to sources with most room first, until none is above it by what it was granted.
+    ``load`` becomes the load after the moves.
+    """
+    size = len(load)
+    stacks: dict[tuple[int, int], list] = {}
+    for (target, bucket), sources in sorted(asked.items()):
+        for source, n in sources.items():
+            stacks.setdefault((target, source), []).append([bucket, n])
+            load[target] += n
+            load[source] -= n
+    while True:
+        over = [t for t in range(size) if load[t] > quota[t] and any((t, s) in stacks for s in range(size))]
+        if not over:
+            break
+        t = max(over, key=lambda t: load[t] - quota[t])
+        s = min((s for s in range(size) if (t, s) in stacks), key=lambda s: load[s] - quota[s])
+        last, excess, room = stacks[t, s][-1], load[t] - quota[t], quota[s] - load[s]
+        n = min(last[1], excess, room if room > 0 else excess)
+        last[1] -= n
+        load[t] -= n
+        load[s] += n
+        if not last[1]:
+            stacks[t, s].pop()
+            if not stacks[t, s]:
+                del stacks[t, s]
+    return {(target, bucket, source): n for (target, source), wishes in stacks.items() for bucket, n in wishes}
+
+
+def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, size, text_crc32, shard, slot for every row of ``docs(doc_id, text)``; law ``rows``.
 
     Shards' row counts differ by one at most. Equal texts lie on one shard as far as capacity allows: a group larger
@@ -59,49 +110,58 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS,
     base = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("grp"))
     base = scratch.put(base, "base")
     total = base.count()
-    share = total / shards
     groups = scratch.put(base.groupBy("grp").agg(F.count("*").alias("n")).where("n > 1"), "groups")
     # Every row starts where its id hashes to; the rows of groups are counted into cells, which then move.
     home = F.pmod(F.xxhash64("grp", F.lit(1)), F.lit(shards)).cast("int")
     start = F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(shards)).cast("int")
-    alone = base.join(groups, "grp", "left_anti").select(start.alias("shard")).groupBy("shard").count().collect()
-    load = [0] * shards
-    for r in alone:
-        load[r["shard"]] = r["count"]
-    cells = base.join(groups, "grp").groupBy("grp", start.alias("shard")).agg(F.count("*").alias("n"))
-    cells = scratch.put(cells, "cells0")
-    cap = int(share * (1 + slack)) + 1
+    cells = base.join(groups.select("grp"), "grp").groupBy("grp", start.alias("shard")).agg(F.count("*").alias("n"))
+    every = scratch.put(cells, "cells")
+    large = F.broadcast(groups.where(F.col("n") * LARGE * shards > total).select("grp"))  # fewer than shards x LARGE rows
+    found: dict[bytes, dict[int, int]] = {}
+    for r in every.join(large, "grp").collect():
+        found.setdefault(bytes(r["grp"]), {})[r["shard"]] = r["n"]
+    quota = _even(total, shards)
+    placed = spark.createDataFrame(_placed(found, quota), "grp binary, shard int, n long")  # the quotas shrink by what is placed
+    cells = every.join(large, "grp", "left_anti")
     for k in range(1, rounds + 1):
-        load_k = list(load)
+        load = [0] * shards
         for r in cells.groupBy("shard").agg(F.sum("n").alias("n")).collect():
-            load_k[r["shard"]] += r["n"]
-        # The shard with most neighbours, among equals the home of the group's hash.
-        best = cells.groupBy("grp").agg(F.max(F.struct("n", F.pmod(F.col("shard") - home, F.lit(shards)).alias("d"))).alias("b")) \
-            .select("grp", F.pmod(F.col("b.d") + home, F.lit(shards)).cast("int").alias("target"))
+            load[r["shard"]] += r["n"]
+        if k == 1:  # afterwards shards are full that had to give back
+            full = [s for s in range(shards) if load[s] > 2 * quota[s]]
+        # The shard with most neighbours, among equals the home of the group's hash. Scattered groups pass by full
+        # shards; those that lie on full shards alone go to another, and so do whole ones as far as their shard is above its quota.
+        above = F.array(*[F.lit(max(0.0, 1 - quota[s] / load[s]) if load[s] else 0.0) for s in range(shards)])
+        free = [s for s in range(shards) if s not in full] or list(range(shards))
+        other = F.get(F.array(*map(F.lit, free)), F.pmod(F.xxhash64("grp", F.lit(1)), F.lit(len(free))).cast("int"))
+        best = cells.groupBy("grp").agg(F.max(F.struct(F.col("shard").isin(free).alias("free"), "n", F.pmod(F.col("shard") - home, F.lit(shards)).alias("d"))).alias("b"), F.count("*").alias("cells")) \
+            .withColumn("at", F.pmod(F.col("b.d") + home, F.lit(shards)).cast("int"))
+        leaves = (F.col("cells") > 1) | (F.pmod(F.xxhash64("grp", F.lit(-k)), F.lit(1 << 20)) < F.get(above, "at") * (1 << 20))
+        best = best.select("grp", F.when(~F.col("b.free") & leaves, other).otherwise(F.col("at")).cast("int").alias("target"))
         wish = cells.join(best, "grp").withColumn("bucket", F.pmod(F.xxhash64("grp", F.lit(k)), F.lit(WISHES)).cast("int"))
-        asked = wish.where("shard <> target").groupBy("target", "bucket", "shard").agg(F.sum("n").alias("n")).orderBy("target", "bucket", "shard").collect()
-        wishes: dict[tuple, list] = {}
-        for r in asked:
-            wishes.setdefault((r["target"], r["bucket"]), []).append((r["shard"], r["n"]))
-        room, opened, more = [cap - load_k[s] for s in range(shards)], set(), True
-        while more:  # what leaves a shard makes room there, so buckets that did not fit may fit in the next pass
-            more = False
-            for (target, bucket), sources in wishes.items():
-                n = sum(x for _, x in sources)
-                if (target, bucket) not in opened and n <= room[target]:
-                    opened.add((target, bucket))
-                    more = True
-                    room[target] -= n
-                    for source, x in sources:
-                        room[source] += x
-        if not opened:
+        asked: dict[tuple[int, int], dict[int, int]] = {}
+        for r in wish.where("shard <> target").groupBy("target", "bucket", "shard").agg(F.sum("n").alias("n")).collect():
+            asked.setdefault((r["target"], r["bucket"]), {})[r["shard"]] = r["n"]
+        granted = _granted(asked, load, quota)
+        if not granted:
             break
-        grants = spark.createDataFrame(sorted(opened), "target int, bucket int")  # shards x WISHES rows at most
-        moved = wish.join(F.broadcast(grants.withColumn("go", F.lit(True))), ["target", "bucket"], "left") \
-            .select("grp", F.when(F.col("go"), F.col("target")).otherwise(F.col("shard")).alias("shard"), "n")
+        full = [s for s in range(shards) if load[s] >= quota[s]]
+        # shards x WISHES x shards rows at most; of a wish granted in part, the first groups in one order move.
+        grants = F.broadcast(spark.createDataFrame([(*key, n, n == asked[key[:2]][key[2]]) for key, n in sorted(granted.items())], "target int, bucket int, shard int, go long, whole boolean"))
+        wish = wish.join(grants, ["target", "bucket", "shard"], "left")
+        before = F.sum("n").over(Window.partitionBy("target", "bucket", "shard").orderBy("grp").rowsBetween(Window.unboundedPreceding, -1))
+        some = wish.where("not whole").withColumn("go", F.greatest(F.lit(0), F.least(F.col("n"), F.col("go") - F.coalesce(before, F.lit(0)))))
+        rest = wish.where("whole is null or whole").withColumn("go", F.when(F.col("whole"), F.col("n")).otherwise(0))
+        parts = F.explode(F.array(F.struct(F.col("target").alias("shard"), F.col("go").alias("n")), F.struct("shard", (F.col("n") - F.col("go")).alias("n"))))
+        moved = rest.select("grp", "shard", "target", "n", "go").unionByName(some.select("grp", "shard", "target", "n", "go")).select("grp", parts.alias("p")).select("grp", "p.shard", "p.n").where("n > 0")
         cells = scratch.put(moved.groupBy("grp", "shard").agg(F.sum("n").alias("n")), f"cells{k}")
-        scratch.drop(f"cells{k - 1}")
-    return _level(base, groups, cells, total, shards, start, scratch)
+        if k > 1:
+            scratch.drop(f"cells{k - 1}")
+    return _level(base, groups, cells.select("grp", "shard", "n").unionByName(placed), total, shards, start, scratch)
+
+
+def _even(total: int, shards: int) -> list[int]:
+    return [total // shards + (s < total % shards) for s in range(shards)]
 
 
 def _level(base: DataFrame, groups: DataFrame, cells: DataFrame, total: int, shards: int, start: Column, scratch: Scratch) -> DataFrame:
@@ -118,7 +178,7 @@ def _level(base: DataFrame, groups: DataFrame, cells: DataFrame, total: int, sha
     rows = scratch.put(linked.unionByName(single), "rows")
     ranked = _dense(rows, F.col("shard"), [F.col("doc_id"), F.col("text_crc32"), F.col("size")], "rank")
     load = {r["shard"]: r["count"] for r in rows.groupBy("shard").count().collect()}
-    even = [total // shards + (s < total % shards) for s in range(shards)]
+    even = _even(total, shards)
     over = {s: max(0, load.get(s, 0) - even[s]) for s in range(shards)}
     ahead, at = {}, 0
     for s in range(shards):

@@ -2,6 +2,7 @@
 
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import plain
@@ -273,6 +274,33 @@ def test_shards_pull_copies_together(spark):
     assert {r["count"] for r in hot} == {100}
 
 
+def test_shards_hold_large_groups_together(spark):
+    """A group of a third of all rows, of 1 % and of a tenth to two fifths of a shard, beside pairs and single rows."""
+    third, parts = 10_667, {"2 %": 40, "10 %": 200, "1 % of all": 320, "20 %": 400, "40 %": 800, "5 %": 100}
+    docs = ["third"] * third + [k for k, n in parts.items() for _ in range(n)] + [f"pair {i // 2}" for i in range(6000)]
+    docs += [f"alone {i}" for i in range(32_000 - len(docs))]
+    rows = shards.shard_documents(make(spark, list(enumerate(docs)))).select("doc_id", "shard").collect()
+    on = {}
+    for r in rows:
+        on.setdefault(docs[r.doc_id], set()).add(r.shard)
+    assert len(on["third"]) == 6
+    assert {k: len(on[k]) for k in parts} == dict.fromkeys(parts, 1)
+    pairs = [len(s) for t, s in on.items() if t.startswith("pair")]
+    assert sum(pairs) == len(pairs)
+    counts = Counter(r.shard for r in rows)
+    assert set(counts.values()) == {2000} and len(counts) == 16
+
+
+def test_shards_without_single_rows_keep_groups(spark):
+    """No row is free to give way: shards exchange parts of their wishes."""
+    rows = shards.shard_documents(make(spark, [(i, f"text {i // 4}") for i in range(32_000)])).select("doc_id", "shard").collect()
+    on = {}
+    for r in rows:
+        on.setdefault(r.doc_id // 4, set()).add(r.shard)
+    assert sum(map(len, on.values())) < 1.1 * len(on)
+    assert set(Counter(r.shard for r in rows).values()) == {2000}
+
+
 def test_quality_holds_out_and_ranks(spark, small):
     big = small[:-5] + "0.01"
     documents, labels = spark.read.parquet(f"{big}/documents.parquet"), spark.read.parquet(f"{big}/labels.parquet")
