@@ -207,6 +207,35 @@ def test_mixing_is_a_distribution_and_learns(spark, small):
     assert -rows[0] * 3.3219 / rows[1] < 4.5  # bits a byte; eight without learning
 
 
+def test_mixing_counts_the_texts_its_weights_learn_from(spark):
+    """A word of the end of a long text that only the weights learn from is known to the tables."""
+    r = random.Random(3)
+    fresh = lambda n: "".join(r.choice("abcdefghij ") for _ in range(n))
+    used = [i for i in range(20_000) if plain.crc(i) % mixing.FOLDS != mixing.HELD]
+    apart = [i for i in used if plain.crc(i) % mixing.DEV == 0][:3]
+    rest = [i for i in used if plain.crc(i) % mixing.DEV][:60]
+    held = [i for i in range(20_000) if plain.crc(i) % mixing.FOLDS == mixing.HELD][:2]
+    rare = "ZQXWVKY-" * 4
+    rows = [(i, fresh(9_000) + " ".join([rare] * 20)) for i in apart] + [(i, fresh(300)) for i in rest] + [(held[0], " ".join([rare] * 3)), (held[1], "RLOPMNTU-" * 10)]
+    bits = {x.doc_id: x.bits_per_byte for x in mixing.scored(make(spark, rows)).collect()}
+    assert bits[held[0]] < 3 < bits[held[1]]
+
+
+def test_mixing_weights_learn_from_every_text(spark):
+    """Sums over the parts of a table equal those over all of its texts, whatever their number."""
+    rng = np.random.default_rng(1)
+    tables = [rng.normal(0, 2, 1 << s).astype(np.float32) for s in mixing.SLOTS], rng.integers(0, 8, 1 << mixing.SLOTS[-1]).astype(np.int8)
+    lines = [f"{i} some words {i * i % 97} " * 3 for i in range(700)]
+    parts, plainly = mixing.Model.of(*tables), mixing.Model.of(*tables)
+    mixing.fit(spark.createDataFrame([(t,) for t in lines], "text string").repartition(5), parts)
+    keys, words = mixing.grams(*mixing.byte_stream(lines))
+    for _ in range(mixing.WEIGHT_ROUNDS):
+        plainly.step_weights(plainly.weight_sums(keys, words, np.ones(len(keys), int)))
+    for _ in range(mixing.REFINE_ROUNDS):
+        plainly.step_refine(plainly.refine_sums(keys, words, np.ones(len(keys), int)))
+    assert np.allclose(parts.weights, plainly.weights, atol=1e-3) and np.allclose(parts.refine, plainly.refine, atol=1e-3)
+
+
 def test_mixing_long_and_empty(spark, nothing):
     assert mixing.scored(nothing).count() == 0
     rows = mixing.scored(make(spark, [(2, "x" * 200_000), (None, None), (2, "")])).collect()
