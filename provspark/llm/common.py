@@ -137,3 +137,17 @@ def in_chunks(batch, text: str, limit: int = 2_000_000):
             start, size, texts = i + 1, 0, []
     if texts:
         yield start, batch.num_rows, texts
+
+
+def spread_join(many: DataFrame, one: DataFrame, key: str, rows: str, spread: Column, parts: int = 64, share: int = 1000) -> DataFrame:
+    """``many`` left-joined with ``one`` (a stored table, one row per ``key``) without a task that holds a hot key.
+
+    ``one[rows]`` is the number of rows of ``many`` with the key. Keys with more than a ``share``-th of all rows, of
+    which there are fewer than ``share`` whatever the input, are broadcast and dealt over ``parts`` by ``spread``.
+    """
+    total = one.agg(F.sum(rows)).first()[0] or 0
+    hot = F.broadcast(one.where(F.col(rows) > total / share).select(key, F.lit(True).alias("_hot")))
+    salted = many.join(hot, key, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(parts))).otherwise(0).cast("int")).drop("_hot")
+    last = F.when(F.col("_hot"), parts - 1).otherwise(0)
+    copies = one.drop(rows).join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), last))).drop("_hot")
+    return salted.join(copies, [key, "_salt"], "left").drop("_salt")

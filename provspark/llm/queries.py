@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provspark.llm import html, jaccard, leaks, mixing, neighbours, pieces, pii, quality, secrets, shards
+from provspark.llm import align, html, jaccard, leaks, mixing, neighbours, pieces, pii, quality, secrets, shards
 from provspark.llm.common import read, remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,3 +75,8 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_gumbel_pieces")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.sampled(read(spark, sf_dir, "documents").select("doc_id", "text"), pieces.model_bytes())
+
+
+@query("op12_token_alignment")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.aligned(read(spark, sf_dir, "documents").select("doc_id", "text"))[0]
