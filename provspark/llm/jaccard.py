@@ -130,7 +130,7 @@ def _arrays(bitmap):
     return run
 
 
-def _tile_groups(batches: Iterator[pa.RecordBatch], found) -> Iterator[list]:
+def tile_groups(batches: Iterator[pa.RecordBatch], found) -> Iterator[list]:
     """``found(rows)`` for the rows of each tile; rows come sorted by tile, their first column, and are yielded by batch."""
     tile, rows = None, []
     for batch in batches:
@@ -167,7 +167,7 @@ def _promising(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out |= {i, *js.tolist()}
         return [rows[i][3] for i in out]
 
-    for sids in _tile_groups(batches, found):
+    for sids in tile_groups(batches, found):
         yield pa.RecordBatch.from_arrays([pa.array(sids, pa.binary())], ["sid"])
 
 
@@ -192,7 +192,7 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     out.append((rows[i][3], rows[j][3]))
         return out
 
-    for links in _tile_groups(batches, found):
+    for links in tile_groups(batches, found):
         a, b = zip(*links, strict=True) if links else ([], [])
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["x", "y"])
 
@@ -216,7 +216,7 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
             return labels
 
 
-def _text_bitmap(hashes: DataFrame) -> np.ndarray:
+def text_bitmap(hashes: DataFrame) -> np.ndarray:
     """Fixed-size bitmap of ``hashes(t64)``: at most BITS / 64 rows reach the driver."""
     words = hashes.select(F.col("t64").bitwiseAND(BITS - 1).alias("s")).groupBy(F.shiftright("s", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63 as int))")).alias("bits"))
     bitmap = np.zeros(BITS // 64, np.int64)
@@ -279,7 +279,7 @@ def set_links(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     built = members.where("keyed").groupBy("s64").agg(F.count("*").alias("times"), F.min("n").alias("n"), F.min("t64").alias("t64"))
     built = scratch.put(built, "built")
     active = scratch.put(_enough(met, built.drop("t64"), FIRST).join(built.select("s64", "t64"), "s64"), "active")
-    bitmap = spark.sparkContext.broadcast(_text_bitmap(active))
+    bitmap = spark.sparkContext.broadcast(text_bitmap(active))
     arrays = scratch.put(texts.select("t64", "text").mapInArrow(_arrays(bitmap), "sid binary, s64 long, n long, shingles array<long>, bits binary"), "arrays")
     # The same test again over more than half of the shingles, among the sets that are left.
     longer = (F.col("n") - F.ceil(F.col("n") * 4 / 5) + F.greatest(F.lit(1), F.floor(F.col("n") * SECOND))).cast("int")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provspark.llm import align, html, jaccard, leaks, mixing, neighbours, pieces, pii, quality, secrets, shards, trie
+from provspark.llm import align, html, jaccard, leaks, minhash, mixing, neighbours, pieces, pii, quality, secrets, shards, trie
 from provspark.llm.common import read, remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,3 +85,8 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_prefix_trie", trie.SQL)
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.trie(read(spark, sf_dir, "conversations"))
+
+
+@query("op13_bottom_k")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read(spark, sf_dir, "documents"))
