@@ -15,6 +15,7 @@ import base64
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -65,7 +66,7 @@ class ByteBpe:
                 self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, text: str, raw: bytes) -> list[int]:
-        if self.fast and max(raw) <= SETTLED:
+        if self.fast and (raw.isascii() or np.frombuffer(raw, np.uint8).max() <= SETTLED):
             return self.fast.encode_ordinary(text)
         return self.slow.encode(text, add_special_tokens=False).ids
 
@@ -100,18 +101,27 @@ def _digits() -> tuple[np.ndarray, np.ndarray]:
 
 def align(a: np.ndarray, a_ends: np.ndarray, b: np.ndarray, b_ends: np.ndarray, text_ends: np.ndarray):
     """(groups, links, written groups, pair codes of the links) per text; ids and ends of all texts laid end to end."""
-    ends = np.union1d(a_ends, b_ends)
-    links = a[np.searchsorted(a_ends, ends)].astype(np.int64) * SIDE + b[np.searchsorted(b_ends, ends)]
-    common = np.intersect1d(a_ends, b_ends, assume_unique=True)
+    mark = np.zeros(text_ends[-1] + 1, np.uint8)
+    mark[a_ends] = 1
+    mark[b_ends] += 2
+    ends = np.flatnonzero(mark)
+    at = mark[ends]
+    common = ends[at == 3]
+    before = [np.cumsum(at & bit != 0) - (at & bit != 0) for bit in (1, 2)]
+    links = a[before[0]] * SIDE + b[before[1]]
     # Tokens by group, A before B; what follows a token: "," inside a side, "|" after the last A, ";" after the last B.
-    group = np.concatenate([np.searchsorted(common, a_ends), np.searchsorted(common, b_ends)])
-    closes = np.concatenate([np.isin(a_ends, common, assume_unique=True), np.isin(b_ends, common, assume_unique=True)])
-    side = np.repeat([0, 1], [len(a), len(b)])
-    order = np.lexsort((side, group))
-    ids, closes, side = np.concatenate([a, b])[order], closes[order], side[order]
     digits, counts = _digits()
-    out, used = digits[ids], counts[ids].copy()
-    out[:, 5] = np.where(closes, np.where(side == 0, ord("|"), ord(";")), ord(","))
+    closes = [mark[a_ends] == 3, mark[b_ends] == 3]
+    group = [np.cumsum(c) - c for c in closes]
+    sizes = [np.cumsum(np.bincount(g, minlength=len(common))) for g in group]
+    places = [np.arange(len(a)) + np.concatenate([[0], sizes[1]])[group[0]], np.arange(len(b)) + sizes[0][group[1]]]
+    ids = np.empty(len(a) + len(b), np.int64)
+    follows = np.full(len(ids), ord(","), np.uint8)
+    for side, (own, place, close) in enumerate(zip((a, b), places, closes, strict=True)):
+        ids[place] = own
+        follows[place[close]] = b"|;"[side]
+    out, used = digits[ids], counts[ids]
+    out[:, 5] = follows
     tokens = np.searchsorted(a_ends, text_ends, side="right") + np.searchsorted(b_ends, text_ends, side="right")
     used[tokens - 1, 5] = False
     written = out[used].tobytes()
@@ -136,7 +146,7 @@ def _aligned(a_path: str, a_ranks: str | None, b_path: str):
                 columns = {c: [0] * n for c in ("n_a", "n_b", "n_groups", "n_links")}
                 sha, pairs, times = [""] * n, [[]] * n, [[]] * n
                 if good:
-                    flat = [np.fromiter((x for i in good for x in ids[i]), np.int64) for ids in (a, b)]
+                    flat = [np.fromiter(chain.from_iterable(ids[i] for i in good), np.int64) for ids in (a, b)]
                     sizes = [np.array([len(t) for t in side.bytes]) for side in (first, second)]
                     text_ends = np.cumsum([len(whole[i]) for i in good])
                     groups, links, strings, codes = align(flat[0], np.cumsum(sizes[0][flat[0]]), flat[1], np.cumsum(sizes[1][flat[1]]), text_ends)

@@ -7,7 +7,8 @@
    28 of 64 have a chance of 2e-9 for a pair at exactly 0.8, less above. A set therefore enters only the lists of its rarest
    values, all but 27, and none if fewer than 28 of its values are in other sketches at all: texts that share common
    words or a passage do not meet.
-3. Each set is compared with one pivot, the least set of the lists it shares most of. What passes is linked.
+3. Each set meets one pivot, the least set of most of its first lists. If the union of their sketches lets them pass,
+   the full sets are compared and linked.
 4. Lists whose sets are not all connected by then are tiles, cut into blocks of bounded size. In a tile all pairs of sets
    that are not connected, of sizes that may link, are estimated from the union of their sketches; sets with a partner
    that passes meet again with their full sets. A pair is looked at only in the list of its first common value.
@@ -28,8 +29,8 @@ from provspark.llm.jaccard import BITS, components, text_bitmap, tile_groups
 
 #: Words of a shingle, values of a sketch, least number of them that linked sets share.
 SHINGLE, K, SHARED = 2, 64, 28
-#: Sets in a block of a tile.
-BLOCK = 1000
+#: Sets in a block of a tile; of its values a set looks for a pivot in the lists of so many.
+BLOCK, PIVOTS = 1000, 12
 
 
 def shingle_sets(texts: list[str | None], cache: WordHash, width: int = SHINGLE) -> list[np.ndarray]:
@@ -62,7 +63,7 @@ def _sid(s: np.ndarray) -> bytes:
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, t64, text) -> doc_id, t64, n, sid, sketch; a sketch only for the first row of a set in this task."""
+    """(doc_id, t64, text) -> doc_id, t64, n, sid, s64, sketch; a sketch only for the first row of a set in this task."""
     cache, seen = WordHash(), set()
     for batch in batches:
         for begin, end, texts in in_chunks(batch, "text"):
@@ -73,7 +74,9 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 sketches.append(None if sid is None or sid in seen else s[:K].view(np.int64))
                 seen.add(sid)
             rows = batch.slice(begin, end - begin)
-            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(sids, pa.binary()), pa.array(sketches, pa.list_(pa.int64()))], ["doc_id", "t64", "n", "sid", "sketch"])
+            yield pa.RecordBatch.from_arrays([
+                rows.column(0), rows.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(sids, pa.binary()),
+                pa.array([None if s is None else int.from_bytes(s[:8], "little", signed=True) for s in sids], pa.int64()), pa.array(sketches, pa.list_(pa.int64()))], ["doc_id", "t64", "n", "sid", "s64", "sketch"])
 
 
 def _full_sets(bitmap):
@@ -171,6 +174,16 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.binary()), pa.array([y for _, y in out], pa.binary())], ["x", "y"])
 
 
+def _estimated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(sid, pivot, n, sketch, n of pivot, sketch of pivot) -> sid, pivot of those that may link."""
+    for batch in batches:
+        n, m = batch.column(2).to_numpy(), batch.column(4).to_numpy()
+        s, t = ([x.values.to_numpy(zero_copy_only=False).view(np.uint64) for x in batch.column(i)] for i in (3, 5))
+        sizes = 5 * np.minimum(n, m) >= 4 * np.maximum(n, m)
+        keep = [ok and bool(may_link(int(n[i]), s[i], m[i:i + 1], t[i][None])[0]) for i, ok in enumerate(sizes.tolist())]
+        yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(sid, pivot, shingles, of_pivot) -> x, y of the linked ones."""
     for batch in batches:
@@ -190,51 +203,72 @@ def _bands(rows: DataFrame) -> DataFrame:
 
 
 def posted_values(sets: DataFrame, scratch: Scratch) -> DataFrame:
-    """sid, n, posted for the sets of ``sets(sid, n, sketch)`` that may have a partner."""
-    values = sets.select("sid", "n", F.explode("sketch").alias("v"))
+    """s64, posted for the sets of ``sets(s64, n, sketch)`` that may have a partner, rarest values first.
+
+    s64 is half of a set's id. Two sets that agree on it count as one here: it then posts what both would, or more.
+    """
+    values = sets.select("s64", F.explode("sketch").alias("v"))
     lists = values.groupBy("v").agg(F.count("*").alias("rows")).where("rows > 1")
     lists = scratch.put(lists.withColumn("df", F.col("rows")), "lists")
-    known = spread_join(values, lists, "v", "rows", F.col("sid")).where("df is not null")
-    held = known.groupBy("sid", "n").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("held"))
-    return held.where(F.size("held") >= least_shared(F.col("n"))).select("sid", "n", F.expr("transform(held, x -> x.v)").alias("held")) \
-        .select("sid", "n", F.slice("held", F.lit(1), F.size("held") - least_shared(F.col("n")) + 1).alias("posted"))
+    known = spread_join(values, lists, "v", "rows", F.col("s64")).where("df is not null")
+    held = known.groupBy("s64").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("held"))
+    least = sets.groupBy("s64").agg(F.min(least_shared(F.col("n"))).alias("least"))
+    return held.join(least, "s64").where(F.size("held") >= F.col("least")).select("s64", F.expr("transform(held, x -> x.v)").alias("held"), "least") \
+        .select("s64", F.slice("held", F.lit(1), F.size("held") - F.col("least") + 1).alias("posted"))
 
 
 def set_links(texts: DataFrame, sets: DataFrame, scratch: Scratch, block: int = BLOCK) -> DataFrame:
-    """x, y: links that connect all linked sets of ``sets(sid, n, sketch, t64)``, whose texts are among ``texts(t64, text)``."""
+    """x, y: links that connect all linked sets of ``sets(sid, s64, n, sketch, t64)``, whose texts are among ``texts(t64, text)``."""
     spark = texts.sparkSession
-    posted = scratch.put(posted_values(sets, scratch), "posted")
-    tiles = scratch.put(_bands(posted.select("sid", "n", F.explode("posted").alias("v"))), "tiles")
-    pivots = tiles.groupBy("tile").agg(F.min("sid").alias("pivot"), F.count("*").alias("rows")).where("rows > 1")
-    pivots = scratch.put(pivots, "pivots")
-    near = scratch.put(spread_join(tiles.select("sid", "tile"), pivots, "tile", "rows", F.col("sid")).where("sid <> pivot").groupBy("sid", "pivot").count(), "near")
-    stars = near.groupBy("sid").agg(F.max_by("pivot", F.struct("count", "pivot")).alias("pivot"))
-    stars = scratch.put(stars, "stars")
-    met = scratch.put(near.select("sid").union(near.select("pivot")).distinct().join(sets.select("sid", "t64"), "sid"), "met_sets")
-    bitmap = spark.sparkContext.broadcast(text_bitmap(met))
-    full = texts.select("t64", "text").mapInArrow(_full_sets(bitmap), "sid binary, shingles array<long>")
-    full = scratch.put(full.join(met.select("sid"), "sid", "left_semi").groupBy("sid").agg(F.first("shingles").alias("shingles")), "full")
-    of_pivots = stars.groupBy("pivot").agg(F.count("*").alias("rows")).join(full.select(F.col("sid").alias("pivot"), F.col("shingles").alias("of_pivot")), "pivot")
-    of_pivots = scratch.put(of_pivots, "of_pivots")
-    pairs = spread_join(stars.join(full, "sid"), of_pivots, "pivot", "rows", F.col("sid")).select("sid", "pivot", "shingles", "of_pivot")
+    posted = scratch.put(sets.select("sid", "s64", "n", "t64").join(posted_values(sets, scratch), "s64").drop("s64"), "posted")
+    scratch.drop("lists")
+    lists = posted.select("sid", F.explode(F.slice("posted", 1, PIVOTS)).alias("v"))
+    pivots = scratch.put(lists.groupBy("v").agg(F.min("sid").alias("pivot"), F.count("*").alias("rows")).where("rows > 1"), "pivots")
+    near = spread_join(lists, pivots, "v", "rows", F.col("sid")).where("sid <> pivot").groupBy("sid", "pivot").count()
+    stars = scratch.put(near.groupBy("sid").agg(F.max_by("pivot", F.struct("count", "pivot")).alias("pivot")), "stars")
+    stars = beside(stars, sets.select("sid", "n", "sketch"), ["n", "sketch"], scratch, "star_sketches")
+    stars = scratch.put(stars.mapInArrow(_estimated, "sid binary, pivot binary"), "likely_stars")
+    met = scratch.put(stars.select("sid").union(stars.select("pivot")).distinct().join(posted.select("sid", "t64"), "sid"), "star_sets")
+    full = full_sets(texts, met, scratch, "star_full")
+    pairs = beside(stars, full, ["shingles"], scratch, "pivots_full")
     first = scratch.put(pairs.mapInArrow(_compared, "x binary, y binary"), "first")
-    labels = components(first, scratch, "stars")
-    # Lists whose sets are not connected by that.
-    placed = scratch.put(tiles.join(labels, "sid", "left").withColumn("comp", F.coalesce("comp", "sid")), "placed")
-    open_tiles = placed.groupBy("tile").agg(F.count("*").alias("rows"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("home").alias("any")) \
-        .where("any and lo <> hi").select("tile", "rows", F.floor(F.col("rows") / block).cast("int").alias("more"))
-    open_tiles = scratch.put(open_tiles, "open")
-    rows = spread_join(placed, open_tiles, "tile", "rows", F.col("sid")).where("more is not null")
+    scratch.drop("star_full")
+    scratch.drop("pivots_full")
+    # Lists whose sets are not connected by that; what a list holds is told apart by 64 bits of the components' ids.
+    labelled = posted.join(components(first, scratch, "stars"), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
+    labelled = scratch.put(labelled, "labelled")
+    kinds = labelled.select(F.explode("posted").alias("v"), F.xxhash64("comp").alias("kind")).groupBy("v").agg(F.count("*").alias("rows"), F.min("kind").alias("lo"), F.max("kind").alias("hi"))
+    open_lists = scratch.put(kinds.where("lo <> hi").select("v", "rows", F.lit(True).alias("open")), "open_lists")
+    rows = spread_join(labelled.select("sid", "n", F.explode("posted").alias("v")), open_lists, "v", "rows", F.col("sid")).where("open")
+    tiles = scratch.put(_bands(rows).select("tile", "v", "home", "sid", "n"), "open_tiles")
+    held = tiles.groupBy("tile").agg(F.count("*").alias("rows"), F.max("home").alias("any")).where("any and rows > 1").select("tile", "rows", F.floor(F.col("rows") / block).cast("int").alias("more"))
+    rows = spread_join(tiles, scratch.put(held, "held"), "tile", "rows", F.col("sid")).where("more is not null")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("sid"), F.col("more") + 1).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("more"))))
-    rows = rows.withColumn("tile", F.xxhash64("tile", F.least("block", "other"), F.greatest("block", "other"))).drop("other", "more", "n")
-    rows = scratch.put(rows.join(posted, "sid").join(sets.select("sid", "sketch"), "sid").select(TILE), "open_rows")
+    rows = rows.withColumn("tile", F.xxhash64("tile", F.least("block", "other"), F.greatest("block", "other"))).select("tile", "v", "block", "home", "sid")
+    rows = scratch.put(rows.join(labelled.drop("t64"), "sid").join(sets.select("sid", "sketch"), "sid").select(TILE), "open_rows")
     dealt = lambda df: df.repartition("tile").sortWithinPartitions("tile")
     some = scratch.put(dealt(rows).mapInArrow(_promising, "tile long, sid binary"), "promising")
-    exact = rows.join(some, ["tile", "sid"], "left_semi").join(full, "sid").select(*TILE, "shingles")
-    second = scratch.put(dealt(exact).mapInArrow(_links, "x binary, y binary"), "second")
+    exact = rows.join(some, ["tile", "sid"], "left_semi")
+    met = scratch.put(some.select("sid").distinct().join(posted.select("sid", "t64"), "sid"), "open_sets")
+    full = full_sets(texts, met, scratch, "open_full")
+    second = scratch.put(dealt(exact.join(full, "sid").select(*TILE, "shingles")).mapInArrow(_links, "x binary, y binary"), "second")
     return first.union(second)
 
 
+def beside(stars: DataFrame, known: DataFrame, columns: list[str], scratch: Scratch, name: str) -> DataFrame:
+    """sid, pivot, then ``columns`` of ``known`` for sid and for pivot; a pivot may have any number of sets."""
+    pivots = stars.groupBy("pivot").agg(F.count("*").alias("rows")).join(known.select(F.col("sid").alias("pivot"), *[F.col(c).alias(f"{c}_p") for c in columns]), "pivot")
+    both = spread_join(stars.join(known, "sid"), scratch.put(pivots, name), "pivot", "rows", F.col("sid"))
+    return both.select("sid", "pivot", *columns, *[f"{c}_p" for c in columns])
+
+
+def full_sets(texts: DataFrame, met: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """sid, shingles of the sets of ``met(sid, t64)``, from the texts that a bitmap of fixed size lets through."""
+    bitmap = texts.sparkSession.sparkContext.broadcast(text_bitmap(met))
+    full = texts.select("t64", "text").mapInArrow(_full_sets(bitmap), "sid binary, shingles array<long>")
+    return scratch.put(full.join(met.select("sid"), "sid", "left_semi").groupBy("sid").agg(F.first("shingles").alias("shingles")), name)
+
+
 def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs(doc_id, text)``; component_id is the least doc_id
     reachable, and ``kept`` tells whether it is the row's own.
@@ -247,8 +281,11 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "minhash")
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select("doc_id", F.xxhash64("text").alias("t64"), F.col("text").cast("string").alias("text"))
-    keyed = scratch.put(texts.mapInArrow(_sketches, f"doc_id {kind}, t64 long, n long, sid binary, sketch array<long>"), "sketches")
-    sets = scratch.put(keyed.where("sketch is not null").groupBy("sid").agg(F.max("n").alias("n"), F.first("sketch").alias("sketch"), F.min("t64").alias("t64")), "sets")
+    both = scratch.put(texts.mapInArrow(_sketches, f"doc_id {kind}, t64 long, n long, sid binary, s64 long, sketch array<long>"), "sketches")
+    keyed = scratch.put(both.select("doc_id", "n", "sid"), "members")
+    sets = both.where("sketch is not null").groupBy("sid", "s64").agg(F.max("n").alias("n"), F.first("sketch").alias("sketch"), F.min("t64").alias("t64"))
+    sets = scratch.put(sets, "sets")
+    scratch.drop("sketches")
     labels = components(set_links(texts, sets, scratch, block), scratch, "links")
     by_set = keyed.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows"))
     by_set = scratch.put(by_set.join(labels, "sid", "left").withColumn("comp", F.coalesce("comp", "sid")), "by_set")
