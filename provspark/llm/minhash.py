@@ -126,14 +126,15 @@ def _candidates(rows: list[dict]) -> Iterator[tuple[int, int]]:
     kinds = {c: i for i, c in enumerate(dict.fromkeys(r["comp"] for r in rows))}
     comp = np.array([kinds[r["comp"]] for r in rows])
     home, block = np.array([r["home"] for r in rows]), np.array([r["block"] for r in rows])
-    posted = [set(r["posted"].values.to_pylist()) for r in rows]
-    one, v = len(set(block.tolist())) == 1, rows[0]["v"]
+    # Values with a list, least first as unsigned numbers; ``v`` as well.
+    posted = [table[i, np.flatnonzero(r["posted"] >> np.arange(K) & 1)] for i, r in enumerate(rows)]
+    one, v = len(set(block.tolist())) == 1, np.int64(rows[0]["v"]).view(np.uint64)
     for i in range(len(rows)):
         js = np.arange(i + 1, len(rows))
         ok = (comp[js] != comp[i]) & (home[js] | home[i]) & (5 * np.minimum(n[js], n[i]) >= 4 * np.maximum(n[js], n[i])) & (one | (block[js] != block[i]))
         if len(js := js[ok]):
             for j in js[may_link(int(n[i]), table[i, :min(K, n[i])], n[js], table[js])].tolist():
-                if min(posted[i] & posted[j]) == v:
+                if np.intersect1d(posted[i], posted[j], assume_unique=True)[0] == v:
                     yield i, j
 
 
@@ -240,15 +241,18 @@ def set_links(texts: DataFrame, sets: DataFrame, scratch: Scratch, block: int =
     kinds = labelled.select(F.explode("posted").alias("v"), F.xxhash64("comp").alias("kind")).groupBy("v").agg(F.count("*").alias("rows"), F.min("kind").alias("lo"), F.max("kind").alias("hi"))
     open_lists = scratch.put(kinds.where("lo <> hi").select("v", "rows", F.lit(True).alias("open")), "open_lists")
     rows = spread_join(labelled.select("sid", "n", F.explode("posted").alias("v")), open_lists, "v", "rows", F.col("sid")).where("open")
-    tiles = scratch.put(_bands(rows).select("tile", "v", "home", "sid", "n"), "open_tiles")
+    tiles = scratch.put(_bands(rows).select("tile", "v", "home", "sid"), "open_tiles")
     held = tiles.groupBy("tile").agg(F.count("*").alias("rows"), F.max("home").alias("any")).where("any and rows > 1").select("tile", "rows", F.floor(F.col("rows") / block).cast("int").alias("more"))
     rows = spread_join(tiles, scratch.put(held, "held"), "tile", "rows", F.col("sid")).where("more is not null")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("sid"), F.col("more") + 1).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("more"))))
     rows = rows.withColumn("tile", F.xxhash64("tile", F.least("block", "other"), F.greatest("block", "other"))).select("tile", "v", "block", "home", "sid")
-    rows = scratch.put(rows.join(labelled.drop("t64"), "sid").join(sets.select("sid", "sketch"), "sid").select(TILE), "open_rows")
+    rows = scratch.put(rows, "open_rows")
+    # Which of a sketch's values have a list, as bits.
+    bits = F.expr("aggregate(transform(sketch, (x, i) -> if(array_contains(posted, x), shiftleft(1L, i), 0L)), 0L, (a, b) -> a | b)")
+    known = labelled.select("sid", "n", "comp", "posted").join(sets.select("sid", "sketch"), "sid").select("sid", "n", "comp", bits.alias("posted"), "sketch")
     dealt = lambda df: df.repartition("tile").sortWithinPartitions("tile")
-    some = scratch.put(dealt(rows).mapInArrow(_promising, "tile long, sid binary"), "promising")
-    exact = rows.join(some, ["tile", "sid"], "left_semi")
+    some = scratch.put(dealt(rows.join(known, "sid").select(TILE)).mapInArrow(_promising, "tile long, sid binary"), "promising")
+    exact = rows.join(some, ["tile", "sid"], "left_semi").join(known, "sid")
     met = scratch.put(some.select("sid").distinct().join(posted.select("sid", "t64"), "sid"), "open_sets")
     full = full_sets(texts, met, scratch, "open_full")
     second = scratch.put(dealt(exact.join(full, "sid").select(*TILE, "shingles")).mapInArrow(_links, "x binary, y binary"), "second")
