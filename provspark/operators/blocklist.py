@@ -3,17 +3,17 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from provspark.functions import texts as X
 
-# Globs with a plain host ("*://*.host/*" or "*://host/*") are looked up by host, others by a piece of GRAM characters
-# that all their matches contain. Matchers without such a piece are tried on all URLs, in up to PACKS packs.
-GRAM = 4
-PACKS = 64
+# Globs with a plain host ("*://*.host/*" or "*://host/*") are looked up by host, others by a text that all their matches
+# contain. One automaton of such texts holds so many characters at most; a longer list takes several.
+AUTOMATON_CHARS = 16_000_000
 _HOST_GLOB = r"^\*://(?:\*\.)?([a-z0-9\-]+(?:\.[a-z0-9\-]+)+)/\*$"
 
 
@@ -65,12 +65,14 @@ def compiled(patterns: DataFrame) -> DataFrame:
     return as_globs.union(patterns.filter("kind = 'regex'").select("kind", "pattern", "ignore_case")).distinct()
 
 
-def blocklist_join(urls: DataFrame, patterns: DataFrame) -> DataFrame:
+def blocklist_join(urls: DataFrame, patterns: DataFrame, automaton_chars: int = AUTOMATON_CHARS) -> DataFrame:
     """Rows of ``urls(url, ...)`` matched by at least one pattern (semi join). The same steps serve a list of any size.
 
     Plain domain globs, the bulk of such lists, are found by an equi-join on the text before a slash and its suffixes
-    after a dot. Other patterns meet the URLs that hold a piece of text which all their matches contain; only patterns
-    without such a piece are tried on all URLs that are left, in packs.
+    after a dot. Of every other pattern a literal that all its matches contain goes into an Aho-Corasick automaton. One
+    pass of the automaton over a URL finds the patterns that may match, and only these are tried, with Python's ``re``;
+    patterns without a literal are tried on every URL. The list is counted first and cut into as many automata as keep
+    each within ``automaton_chars``; each is sent to the tasks, and all read the distinct URLs in one pass.
     """
     host = F.regexp_extract("pattern", _HOST_GLOB, 1)
     is_host = (F.col("kind") == "glob") & (host != "")
@@ -80,31 +82,46 @@ def blocklist_join(urls: DataFrame, patterns: DataFrame) -> DataFrame:
 
     distinct = urls.select("url").filter("url <> ''").distinct()
     # "*://*.h/*": some text ending in ".h" (or "://h") stands before a "/" after a "://"; "*://h/*": exactly "://h/".
-    by_host = _host_tokens(distinct).join(hosts, "host").filter(F.col("sub") | F.col("whole")).select("url").distinct()
-    left = distinct.join(by_host, "url", "left_anti")
-    rest = _with_pieces(compiled(patterns.filter(~is_host)))
-    by_piece = _by_piece(left, rest.filter(F.size("grams") > 0))
-    by_pack = _by_pack(left, rest.filter(F.size("grams") == 0))
-    return urls.join(by_host.union(by_piece).union(by_pack).distinct(), "url", "left_semi")
+    by_host = _host_tokens(distinct).join(hosts, "host").filter(F.col("sub") | F.col("whole")).select("url")
+    rest = with_literals(compiled(patterns.filter(~is_host)))
+    return urls.join(by_host.union(_by_automata(distinct, rest, automaton_chars)), "url", "left_semi")
 
 
-def _with_pieces(matchers: DataFrame) -> DataFrame:
-    """Add ``grams``: the pieces of ``GRAM`` characters of the longest text, lower-cased, that each match must contain.
-
-    Such text is read off the top level of the parsed pattern. Under ignore-case only ASCII counts, without the letters
-    that some other character folds to.
-    """
-    gram = GRAM
-
-    @F.pandas_udf("array<string>")
-    def grams(kind: pd.Series, pattern: pd.Series, ignore_case: pd.Series) -> pd.Series:
-        import fnmatch
-        from re import _parser
+def _literal_finder():
+    # Local, so that it travels to the workers by value and they need not import this package.
+    def literal_of(kind: str, pattern: str, ignore_case: bool) -> str:
+        """The longest text, lower-cased, that each match of a matcher must contain; empty if there is none.
+
+        Lower-casing may change lengths or depend on what stands around, so only ASCII counts; under ignore-case without the
+        letters that some other character folds to. A glob's texts stand between ``*``, ``?`` and ``[...]``, a regex's at the top
+        level of its parsed form.
+        """
+        runs, run = [""], ""
+        if kind == "glob":
+            i = 0
+            while i < len(pattern):
+                c = pattern[i]
+                i += 1
+                if c == "[":
+                    # The first character of a set may be "]" itself; without an end, "[" stands for itself.
+                    start = i + 1 if pattern[i:i + 1] == "!" else i
+                    end = pattern.find("]", start + 1)
+                    if end >= 0:
+                        c, i = "*", end + 1
+                if c in "*?":
+                    runs.append(run)
+                    run = ""
+                else:
+                    run += c
+            runs.append(run)
+        else:
+            from re import _parser
 
-        def longest(k: str, p: str, fold: bool) -> str:
-            parsed = _parser.parse(fnmatch.translate(p) if k == "glob" else p, re.IGNORECASE if fold else 0)
-            fold = fold or bool(parsed.state.flags & re.IGNORECASE)
-            runs, run = [""], ""
+            try:
+                parsed = _parser.parse(pattern, re.IGNORECASE if ignore_case else 0)
+            except re.error:  # the planner may ask before invalid patterns are dropped
+                return ""
+            fold = ignore_case or bool(parsed.state.flags & re.IGNORECASE)
 
             def walk(items) -> None:
                 nonlocal run
@@ -112,88 +129,87 @@ def _with_pieces(matchers: DataFrame) -> DataFrame:
                     name = str(op)
                     if name == "LITERAL" and not (fold and (value > 127 or chr(value).lower() in "ksi")):
                         run += chr(value)
-                        continue
-                    if name == "SUBPATTERN" and not (value[1] & re.IGNORECASE):
+                    elif name == "SUBPATTERN" and not (value[1] & re.IGNORECASE):
                         walk(value[3])
-                        continue
-                    if name == "AT":
-                        continue
-                    runs.append(run)
-                    run = ""
+                    elif name != "AT":
+                        runs.append(run)
+                        run = ""
 
             walk(parsed)
             runs.append(run)
-            return max(runs, key=len)
+        return max((t for r in runs for t in re.split(r"[^\x00-\x7f]+", r)), key=len).lower()
 
-        def pieces(k: str, p: str, fold: bool) -> list[str]:
-            # Lower-casing may change lengths or depend on what stands around; only ASCII is cut into pieces.
-            try:
-                text = re.split(r"[^\x00-\x7f]+", longest(k, p, fold))
-            except re.error:  # the planner may ask before invalid patterns are dropped
-                return []
-            return sorted({t[i:i + gram].lower() for t in text for i in range(len(t) - gram + 1)})
+    return literal_of
 
-        return pd.Series([pieces(*row) for row in zip(kind, pattern, ignore_case)], dtype=object)
 
-    return matchers.withColumn("grams", grams("kind", "pattern", "ignore_case"))
+literal_of = _literal_finder()
 
 
-def _ascii_lower(url: Column) -> Column:
-    return F.translate(url, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+def with_literals(matchers: DataFrame) -> DataFrame:
+    """Matchers with their ``literal``."""
+    find = literal_of
 
+    @F.pandas_udf("string")
+    def literals(kind: pd.Series, pattern: pd.Series, ignore_case: pd.Series) -> pd.Series:
+        return pd.Series([find(*row) for row in zip(kind, pattern, ignore_case)], dtype=object)
 
-def _by_piece(urls: DataFrame, matchers: DataFrame) -> DataFrame:
-    """URLs that a matcher with pieces matches: each matcher is looked up by the piece that fewest URLs hold."""
-    size = F.length("url")
-    cut = urls.filter(size >= GRAM).select("url", F.explode(F.array_distinct(F.transform(
-        F.sequence(F.lit(1), size - GRAM + 1), lambda i: F.substr(_ascii_lower(F.col("url")), i, F.lit(GRAM))))).alias("gram"))
-    frequency = cut.groupBy("gram").agg(F.count("*").alias("n"))
-    wanted = matchers.select("kind", "pattern", "ignore_case", F.explode("grams").alias("gram"))
-    # A piece that no URL holds leaves its matcher without matches.
-    rarest = wanted.join(frequency, "gram", "left").groupBy("kind", "pattern", "ignore_case").agg(
-        F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r")).filter("r.n > 0")
-    pairs = cut.join(rarest.select(F.col("r.gram").alias("gram"), "kind", "pattern", "ignore_case"), "gram")
-    return pairs.filter(_matches()(F.col("url"), F.col("kind"), F.col("pattern"), F.col("ignore_case"))).select("url").distinct()
+    return matchers.withColumn("literal", literals("kind", "pattern", "ignore_case"))
 
 
-def _by_pack(urls: DataFrame, matchers: DataFrame) -> DataFrame:
-    """URLs that a matcher without pieces matches: packs of matchers against all URLs."""
-    slot = F.pmod(F.xxhash64("kind", "pattern", "ignore_case"), F.lit(PACKS))
-    packs = matchers.groupBy(slot.alias("pack")).agg(F.array_sort(F.collect_list(F.struct("kind", "pattern", "ignore_case"))).alias("m"))
+def _by_automata(urls: DataFrame, matchers: DataFrame, chars: int) -> DataFrame:
+    """URLs that one of ``matchers(kind, pattern, ignore_case, literal)`` matches."""
+    size = F.length("pattern") + F.length("literal") + 16
+    total = matchers.agg(F.sum(size)).first()[0] or 0
+    shards = -(-total // chars)
+    spark = urls.sparkSession
+    found = urls.limit(0)
+    for shard in range(shards):
+        rows = matchers.filter(F.pmod(F.xxhash64("kind", "pattern", "ignore_case"), F.lit(shards)) == shard).toArrow()
+        listed = spark.sparkContext.broadcast([tuple(r.values()) for r in rows.to_pylist()])
+        hit = urls.filter(_on_list(listed)("url"))
+        found = found.union(hit) if shard else hit
+    return found
 
+
+def _on_list(listed):
+    """Column function: whether one of the broadcast matchers matches a URL."""
     @F.pandas_udf("boolean")
-    def any_of(url: pd.Series, kinds: pd.Series, patterns: pd.Series, folds: pd.Series) -> pd.Series:
+    def on_list(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         import fnmatch
         from functools import lru_cache
 
-        @lru_cache(maxsize=4096)
-        def test(k: str, p: str, fold: bool):
-            try:
-                return re.compile(fnmatch.translate(p)).match if k == "glob" else re.compile(p, re.IGNORECASE if fold else 0).search
-            except re.error:  # the planner may ask before invalid patterns are dropped
-                return lambda u: None
-
-        return pd.Series([any(test(*m)(u) for m in zip(k, p, f)) for u, k, p, f in zip(url, kinds, patterns, folds)], dtype=bool)
+        import ahocorasick
 
-    return urls.crossJoin(packs).filter(any_of(F.col("url"), F.col("m.kind"), F.col("m.pattern"), F.col("m.ignore_case"))).select("url").distinct()
+        lower = {i: i + 32 for i in range(65, 91)}
+        automaton, always, by_literal = ahocorasick.Automaton(), [], {}
+        for kind, pattern, fold, literal in listed.value:
+            (by_literal.setdefault(literal, []) if literal else always).append((kind, pattern, fold))
+        for literal, tried in by_literal.items():
+            automaton.add_word(literal, tried)
+        automaton.make_automaton()
 
-
-def _matches():
-    @F.pandas_udf("boolean")
-    def matches(url: pd.Series, kind: pd.Series, pattern: pd.Series, ignore_case: pd.Series) -> pd.Series:
-        import fnmatch
-        from functools import lru_cache
-
-        @lru_cache(maxsize=4096)
+        @lru_cache(maxsize=65_536)
         def test(k: str, p: str, fold: bool):
             try:
                 return re.compile(fnmatch.translate(p)).match if k == "glob" else re.compile(p, re.IGNORECASE if fold else 0).search
             except re.error:  # the planner may ask before invalid patterns are dropped
                 return lambda u: None
 
-        return pd.Series([bool(test(k, p, f)(u)) for u, k, p, f in zip(url, kind, pattern, ignore_case)], dtype=bool)
-
-    return matches
+        def matched(url: str) -> bool:
+            if any(test(*m)(url) for m in always):
+                return True
+            seen = set()
+            for _, tried in automaton.iter(url.translate(lower)) if by_literal else ():
+                if id(tried) not in seen:
+                    seen.add(id(tried))
+                    if any(test(*m)(url) for m in tried):
+                        return True
+            return False
+
+        for urls in batches:
+            yield urls.map(matched, na_action="ignore").fillna(False).astype(bool)
+
+    return on_list
 
 
 def _host_tokens(urls: DataFrame) -> DataFrame:

@@ -211,6 +211,33 @@ def test_patterns_that_only_python_accepts_beside_any_number_of_others(spark):
     assert matched([f"*/never-{i}?*" for i in range(5_000)] + [f"/absent{i}[0-9]/" for i in range(5_000)]) == want
 
 
+@pytest.mark.parametrize("kind,pattern,fold,literal", [
+    ("glob", "*adserver*", False, "adserver"), ("glob", "*/page-12?*", False, "/page-12"), ("glob", "*://*.foobar.*/barbaz*", False, ".foobar."),
+    ("glob", "*a[x]]long*", False, "]long"), ("glob", "*[!]]tail", False, "tail"), ("glob", "*[open", False, "[open"), ("glob", "*", False, ""), ("glob", "*Größe-ABC*", False, "e-abc"),
+    ("regex", r"abc\.def(ghi)?x", False, "abc.def"), ("regex", "one|two", False, ""), ("regex", "asking", True, "ng"), ("regex", "[bad", False, ""), ("regex", "(?i)ad", False, "ad"),
+])
+def test_literal_of(kind, pattern, fold, literal):
+    assert BK.literal_of(kind, pattern, fold) == literal
+
+
+def test_every_glob_of_the_fixture_has_a_literal(spark):
+    from provspark.plans.fixtures import Evidence
+
+    globs = BK.compiled(BK.valid_only(BK.parse(Evidence(spark, "/root/testdata/sf0.001").blocklist_line.select("line")))).filter("kind = 'glob'")
+    for r in globs.collect():
+        runs = [t for t in r.pattern.replace("?", "*").split("*") if len(t) >= 4 and "[" not in t]
+        assert len(BK.literal_of("glob", r.pattern, False)) >= max(map(len, runs), default=0)
+
+
+@pytest.mark.parametrize("chars", [40, 300, BK.AUTOMATON_CHARS])
+def test_one_and_many_automata_agree(spark, chars):
+    lines = PYTHON_ONLY + [f"*/page-{i}?*" for i in range(12)] + ["*adserver*", "*track[0-9]er*"]
+    urls = ["http://a/page-3x", "http://a/page-19", "http://x/ADSERVER", "http://x/adserver1", "track5er", "trackXer", "zz", "ab", "nothing here", "KELVIN"] * 2
+    patterns = BK.valid_only(BK.parse(spark.createDataFrame([(x,) for x in lines], "line string")))
+    got = sorted(r.url for r in BK.blocklist_join(spark.createDataFrame([(u,) for u in urls], "url string"), patterns, chars).collect())
+    assert got == sorted(u for u in urls if _python_match(u, "\n".join(lines)))
+
+
 def test_glob_lists(spark):
     rows = [(f"*/page-{i}?*",) for i in range(20)]
     patterns = BK.parse(spark.createDataFrame(rows, "line string"))
