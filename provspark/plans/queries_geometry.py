@@ -114,7 +114,7 @@ walk AS (
 
 @query("containment_closure", "fx_link_event", "WITH RECURSIVE " + CLOSURE + """
     SELECT parent_id, child_id, "left", top, width, height, CAST(min(depth) AS BIGINT) AS depth FROM (
-      SELECT cur AS parent_id, child_id, CAST(round(CAST(CAST(l AS VARCHAR) AS DECIMAL(38, 22)), 6) AS DOUBLE) AS "left", CAST(round(CAST(CAST(t AS VARCHAR) AS DECIMAL(38, 22)), 6) AS DOUBLE) AS top, CAST(round(CAST(CAST(w AS VARCHAR) AS DECIMAL(38, 22)), 6) AS DOUBLE) AS width, CAST(round(CAST(CAST(h AS VARCHAR) AS DECIMAL(38, 22)), 6) AS DOUBLE) AS height, depth FROM walk WHERE cur <> child_id)
+      SELECT cur AS parent_id, child_id, CAST(round(CAST(CAST(l + 1e-10 AS VARCHAR) AS DECIMAL(38, 22)), 6) AS DOUBLE) AS "left", CAST(round(CAST(CAST(t + 1e-10 AS VARCHAR) AS DECIMAL(38, 22)), 6) AS DOUBLE) AS top, CAST(round(CAST(CAST(w + 1e-10 AS VARCHAR) AS DECIMAL(38, 22)), 6) AS DOUBLE) AS width, CAST(round(CAST(CAST(h + 1e-10 AS VARCHAR) AS DECIMAL(38, 22)), 6) AS DOUBLE) AS height, depth FROM walk WHERE cur <> child_id)
     GROUP BY ALL
 """)
 def containment_closure(ev):

@@ -229,3 +229,55 @@ def test_closure_goes_to_the_root_and_ends_on_cycles(spark):
     assert {(p, c) for p, c, _ in chain if c == 7} == {(p, 7) for p in range(1, 7)}
     ring = _closure(spark, [(2, 1, half), (1, 2, half), (1, 3, half)], None)
     assert {(p, c) for p, c, _ in ring} == {(2, 1), (1, 2), (1, 3), (2, 3)}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_closure_by_jumps_equals_walks(spark, seed):
+    """Chains, trees, walks that come back to their child, and cycles."""
+    rng = random.Random(seed)
+    n = (14, 40, 200, 12)[seed]
+    rows = []
+    for i in range(3 * n):
+        p, c = rng.sample(range(n), 2)
+        if seed != 3 and rng.random() < 0.9:
+            p, c = sorted((p, c))
+        if seed == 2:
+            p, c = max(0, c - rng.randint(1, 2)), c
+        rows.append((i, p, c, [rng.choice([0., .1, .25, .4]), rng.choice([0., .3, .5]), rng.choice([.5, .75, .9]), rng.choice([1., .6])]))
+    stored, want = {}, {}
+    for link, p, c, box in rows:
+        at, b, seen, depth = p, box, [c, p], 1
+        while True:
+            if at != c:
+                want.setdefault((at, c), []).append((depth, b))
+            up = stored.get(at)
+            if up is None or up[0] in seen:
+                break
+            o = [round(v, 6) for v in up[1]]
+            b = [min(1., o[0] + b[0] * o[2]), min(1., o[1] + b[1] * o[3]), b[2] * o[2], b[3] * o[3]]
+            at = up[0]
+            seen.append(at)
+            depth += 1
+        if p != c:
+            stored.setdefault(c, (p, box))
+    got = {}
+    for r in CT.containment_closure(spark.createDataFrame(rows, "link_id bigint, parent_id bigint, child_id bigint, box array<double>")).collect():
+        got.setdefault((r.parent_id, r.child_id), []).append((r.depth, r.box))
+    assert got.keys() == want.keys()
+    for key, boxes in want.items():
+        near = lambda a, b: all(abs(x - y) < 2e-6 for x, y in zip(a, b))
+        assert all(any(near(a, b) for _, b in got[key]) for _, a in boxes) and all(any(near(a, b) for _, b in boxes) for _, a in got[key])
+        assert min(d for d, _ in boxes) == min(d for d, _ in got[key])
+
+
+def test_closure_of_a_long_chain(spark):
+    n = 10_000
+    # The chain is saved from its upper end; only its lowest link is saved again, after all others, and walks to the root.
+    rows = spark.range(1, n + 1).selectExpr("id as link_id", "id - 1 as parent_id", "id as child_id", "array(0.0D, 0.5D, 1.0D, 1.0D) as box")
+    first, circling = CT._jumps(CT.cut_lineage(spark, rows.selectExpr("child_id as a_child", "link_id as a_link", "parent_id as a_parent", "box as a_box"), "first"))
+    assert circling is None and len(first) == 14
+    walks = spark.createDataFrame([(n + 1, n + 1, n, [0.25, 0.25, 0.5, 0.5], 1)], "link_id bigint, child_id bigint, at bigint, box array<double>, depth int")
+    for i in reversed(range(len(first))):
+        walks = CT._jumped(walks, first[i], 2 ** i)
+    got = {r.at: (r.depth, r.box) for r in walks.collect()}
+    assert got == {at: (n + 1 - at, [0.25, 0.25 if at == n else 0.75 if at == n - 1 else 1.0, 0.5, 0.5]) for at in range(n + 1)}
