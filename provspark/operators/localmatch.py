@@ -6,11 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from provspark.functions import boxes as B
 from provspark.operators.skew import sliced_row_number, top_per_key
+from provspark.session import cut_lineage
 
 # Feature version, extractors and match tuning.
 FEATURE_VERSION = 1
@@ -217,3 +219,142 @@ def pair_geometry_gate(pairs: DataFrame, correspondences: DataFrame, features: D
         unless(early, "query_coverage", F.lit(0.0)), unless(early, "candidate_coverage", F.lit(0.0)),
         unless(early, "support", F.lit(0.0)), F.when(~early, F.col("box")).alias("box"),
     )
+
+
+# One flow: candidates, descriptor matching, homography, gate ---------------------------------------------------------
+
+# Tables of sampled descriptor bits, bits of a key, and the keys a candidate has to share. With 24 true matches at 50 of
+# 256 differing bits some 7 keys are shared; two images of 1500 keypoints share 0.8 by chance.
+TABLES, KEY_BITS, MIN_SHARED = 48, 32, 3
+# Fixed value: distance in pixels up to which a match agrees with a homography. Samples drawn for each pair.
+REPROJECTION = 3.0
+SAMPLES = 1000
+
+
+def _sampled_keys(keypoints: DataFrame, image: str, probe: bool) -> DataFrame:
+    """``(image, key)``: for each table the sampled bits of every descriptor, as ``probe`` with up to one flipped; a row may repeat."""
+    tables, bits = TABLES, KEY_BITS
+
+    # Local, so that it travels to the workers by value and they need not import this package.
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rng = np.random.default_rng(7)
+        places = [np.sort(rng.choice(256, bits, replace=False)) for _ in range(tables)]
+        flips = np.array([0] + [1 << b for b in range(bits)] if probe else [0], np.int64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                words = np.stack([part.column(i).to_numpy() for i in range(1, 5)], axis=1)
+                on = np.unpackbits(np.ascontiguousarray(words).view(np.uint8), axis=1)
+                value = np.stack([np.ascontiguousarray(np.packbits(on[:, p], axis=1)).view(">u4")[:, 0].astype(np.int64) | t << 32 for t, p in enumerate(places)], axis=1)
+                every = (value[:, :, None] ^ flips).reshape(len(value), -1)
+                images = np.repeat(part.column(0).to_numpy(), every.shape[1])
+                yield pa.RecordBatch.from_arrays([pa.array(images), pa.array(every.ravel())], [image, "key"])
+
+    whole = keypoints.filter("d0 is not null and d1 is not null and d2 is not null and d3 is not null")
+    rows = whole.select(F.col("image_id").cast("bigint").alias("image_id"), *[F.col(d).cast("bigint").alias(d) for d in ("d0", "d1", "d2", "d3")])
+    return rows.mapInArrow(keys, f"{image} bigint, key bigint")
+
+
+def probed_candidates(queries: DataFrame, keypoints: DataFrame, usable: DataFrame, min_shared: int = MIN_SHARED) -> DataFrame:
+    """``(query_id, candidate_id, shared)`` by multi-probe hashing of sampled descriptor bits.
+
+    ``queries(query_id, registry_id)`` name the images whose keypoints are looked up; candidates are the images of
+    ``usable(image_id)``. A key is 32 sampled bits of a descriptor; a query's descriptors are looked up as they are and
+    with any one of those bits flipped. Repeated descriptors of an image count once. Pairs that share ``min_shared`` keys stay.
+    """
+    mine = _sampled_keys(keypoints.join(queries.select(F.col("query_id").alias("image_id")), "image_id", "left_semi"), "query_id", True)
+    theirs = _sampled_keys(keypoints.join(usable.select("image_id"), "image_id", "left_semi"), "candidate_id", False).distinct()
+    # Probes are many more than keys: a hash table of each partition of keys spares sorting them.
+    met = mine.join(theirs.hint("shuffle_hash"), "key").filter("query_id <> candidate_id")
+    shared = met.groupBy("query_id", "candidate_id").agg(F.count_distinct("key").alias("shared")).filter(F.col("shared") >= min_shared)
+    return shared.join(queries.select("query_id", "registry_id"), "query_id").filter("candidate_id <> registry_id").drop("registry_id")
+
+
+def homographies(correspondences: DataFrame, samples: int = SAMPLES) -> DataFrame:
+    """``correspondences(query_id, candidate_id, qx, qy, cx, cy)`` with ``is_inlier`` and ``h``, nine doubles or null.
+
+    The homography of four matches drawn at random, ``samples`` times for each pair of images, that most matches agree
+    with, fitted once more to all of those. Draws depend on the pair only. A pair with fewer than four matches in general
+    position, or too few for the gate, has none. A group is the matches of one pair: at most the keypoints of an image.
+    """
+    limit, least = REPROJECTION, MIN_GOOD_MATCHES
+
+    def fit(rows: pd.DataFrame) -> pd.DataFrame:
+        def frame(p: np.ndarray) -> np.ndarray:
+            scale = np.sqrt(2) / max(1e-9, np.sqrt(((p - p.mean(0)) ** 2).sum(1)).mean())
+            return np.array([[scale, 0, -scale * p[:, 0].mean()], [0, scale, -scale * p[:, 1].mean()], [0, 0, 1]])
+
+        def lift(p: np.ndarray) -> np.ndarray:
+            return np.concatenate([p, np.ones((len(p), 1))], axis=1)
+
+        def equations(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            zero = np.zeros_like(a)
+            top = np.concatenate([a, zero, -b[..., :1] * a], axis=-1)
+            return np.concatenate([top, np.concatenate([zero, a, -b[..., 1:2] * a], axis=-1)], axis=-2)
+
+        def agree(h: np.ndarray) -> np.ndarray:
+            to = a @ np.swapaxes(h, -1, -2)
+            with np.errstate(all="ignore"):
+                off = np.sqrt(((to[..., :2] / to[..., 2:] - b[:, :2]) ** 2).sum(-1)) * unit
+            return np.nan_to_num(off, nan=np.inf) <= limit
+
+        out = rows.assign(is_inlier=False, h=None)
+        n = len(rows)
+        if n < max(4, least):
+            return out
+        source, target = rows[["qx", "qy"]].to_numpy(float), rows[["cx", "cy"]].to_numpy(float)
+        fa, fb = frame(source), frame(target)
+        a, b, unit = lift(source) @ fa.T, lift(target) @ fb.T, 1 / fb[0, 0]
+        rng = np.random.default_rng([int(rows["query_id"].iloc[0]) & 0xFFFFFFFF, int(rows["candidate_id"].iloc[0]) & 0xFFFFFFFF])
+        order = np.lexsort((target[:, 1], target[:, 0], source[:, 1], source[:, 0]))
+        four = order[rng.random((samples, n)).argsort(axis=1)[:, :4]]
+        system = equations(a[four], b[four])
+        sound = np.abs(np.linalg.det(system[:, :, :8])) > 1e-9
+        if not sound.any():
+            return out
+        drawn = np.linalg.solve(system[sound][:, :, :8], -system[sound][:, :, 8:])[:, :, 0]
+        drawn = np.concatenate([drawn, np.ones((len(drawn), 1))], axis=1).reshape(-1, 3, 3)
+        counts = np.concatenate([agree(part).sum(1) for part in np.array_split(drawn, -(-len(drawn) * n // 200_000))])
+        best = drawn[counts.argmax()]
+        inliers = agree(best)
+        for _ in range(3):
+            again = np.linalg.svd(equations(a[inliers], b[inliers]))[2][-1].reshape(3, 3) if inliers.sum() >= 4 else best
+            now = agree(again)
+            if now.sum() < inliers.sum():
+                break
+            best, inliers = again, now
+        h = np.linalg.inv(fb) @ best @ fa
+        if abs(h[2, 2]) < 1e-12:
+            return out
+        flat = (h / h[2, 2]).ravel().tolist()
+        return rows.assign(is_inlier=inliers, h=[flat] * n)
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in correspondences.schema) + ", is_inlier boolean, h array<double>"
+    return correspondences.groupBy("query_id", "candidate_id").applyInPandas(fit, schema)
+
+
+def local_matches(queries: DataFrame, keypoints: DataFrame, features: DataFrame, registry: DataFrame, min_shared: int = MIN_SHARED) -> DataFrame:
+    """Registry images that match each query image geometrically, from descriptors to verdict.
+
+    ``queries(query_id, registry_id)``; ``keypoints(image_id, kp_idx, d0..d3, x, y)``; ``features(image_id, extractor, width,
+    height, keypoint_count)``, one row per image; ``registry(image_id)``. Candidates by probed keys, good matches by descriptor,
+    a homography for each pair and the gate. Output ``(query_id, neighbor_id, extractor, good_matches, inliers,
+    inlier_ratio, homography_found, box)`` of the pairs that pass; an image is never its own neighbor.
+    """
+    usable = features.join(registry.select("image_id"), "image_id", "left_semi")
+    pairs = probed_candidates(queries, keypoints, usable, min_shared)
+    kind = features.select("image_id", "extractor")
+    pairs = pairs.join(kind.select(F.col("image_id").alias("query_id"), F.col("extractor").alias("q_ex")), "query_id") \
+        .join(kind.select(F.col("image_id").alias("candidate_id"), F.col("extractor").alias("c_ex")), "candidate_id").filter("q_ex = c_ex")
+    pairs = cut_lineage(pairs.sparkSession, pairs.select("query_id", "candidate_id"), "local_pairs")
+
+    def at(image: str, index: str, x: str, y: str) -> DataFrame:
+        return keypoints.select(F.col("image_id").alias(image), F.col("kp_idx").alias(index), F.col("x").alias(x), F.col("y").alias(y))
+
+    good = descriptor_match(pairs, keypoints).join(at("query_id", "query_idx", "qx", "qy"), ["query_id", "query_idx"]) \
+        .join(at("candidate_id", "train_idx", "cx", "cy"), ["candidate_id", "train_idx"])
+    fitted = cut_lineage(pairs.sparkSession, homographies(good.select("query_id", "candidate_id", "qx", "qy", "cx", "cy")), "local_fits")
+    h = fitted.filter("h is not null").groupBy("query_id", "candidate_id").agg(F.first("h").alias("h"))
+    gate = pair_geometry_gate(pairs.join(h, ["query_id", "candidate_id"], "left"), fitted, features)
+    return gate.filter("passed").select("query_id", F.col("candidate_id").alias("neighbor_id"), "extractor", "good_matches", "inliers",
+                                        F.round("inlier_ratio", 4).alias("inlier_ratio"), "homography_found", "box")

@@ -253,6 +253,31 @@ _fx(
     """,
 )
 
+# Images in pairs of an original and a smaller copy: 64 keypoints each, 32 of 256 bits of a descriptor differ, an eighth of
+# the copy's keypoints lie elsewhere, and in every fifth pair all of them do.
+_fx(
+    "fx_copy_keypoint",
+    "customer",
+    """
+    SELECT image_id, kp_idx, side,
+           CASE WHEN side = 1 AND kp_idx % 3 = 0 THEN translate(d0, '0123456789abcdef', '1032547698badcfe') ELSE d0 END AS d0,
+           CASE WHEN side = 1 AND kp_idx % 3 < 2 THEN translate(d1, '0123456789abcdef', '1032547698badcfe') ELSE d1 END AS d1,
+           CASE WHEN side = 1 AND kp_idx % 3 > 0 THEN translate(d2, '0123456789abcdef', '1032547698badcfe') ELSE d2 END AS d2,
+           CASE WHEN side = 1 AND kp_idx % 3 = 2 THEN translate(d3, '0123456789abcdef', '1032547698badcfe') ELSE d3 END AS d3,
+           CASE WHEN side = 0 THEN x WHEN pair_no % 5 = 4 THEN CAST(c_custkey * 5477 * kp_idx % 600 AS DOUBLE)
+                ELSE x / 2 + 40 + CASE WHEN kp_idx % 8 = 3 THEN 90 ELSE 0 END END AS x,
+           CASE WHEN side = 0 THEN y WHEN pair_no % 5 = 4 THEN CAST(c_custkey * 3331 * (kp_idx + 7) % 440 AS DOUBLE)
+                ELSE y / 2 + 30 + CASE WHEN kp_idx % 8 = 3 THEN kp_idx ELSE 0 END END AS y
+    FROM (SELECT c_custkey, side, pair_no, kp_idx, 2 * pair_no + side AS image_id,
+                 substr(a, 1, 16) AS d0, substr(a, 17) AS d1, substr(b, 1, 16) AS d2, substr(b, 17) AS d3,
+                 CAST(c_custkey * 37 % 600 AS DOUBLE) AS x, CAST(c_custkey * 91 % 440 AS DOUBLE) AS y
+          FROM (SELECT c_custkey, CAST(floor((c_custkey - 1) / 64) AS BIGINT) AS pair_no, (c_custkey - 1) % 64 AS kp_idx,
+                       md5(CONCAT('a', CAST(c_custkey AS STRING))) AS a, md5(CONCAT('b', CAST(c_custkey AS STRING))) AS b
+                FROM {customer}) k
+          CROSS JOIN (SELECT 0 AS side UNION ALL SELECT 1 AS side) s) w
+    """,
+)
+
 _fx(
     "fx_image_features",
     "fx_keypoint",

@@ -6,12 +6,14 @@ from pyspark.sql import functions as F
 
 from provspark.functions import boxes as B
 from provspark.functions import hashing as H
+from provspark.operators import consensus as C
 from provspark.operators import containment as CT
 from provspark.operators import localmatch as LM
+from provspark.operators import neighbors as N
 from provspark.operators import pixels as PX
 from provspark.plans.catalog import query
 from provspark.plans.queries_community import FACTS, VOTES, facts_of, votes_of
-from provspark.plans.queries_matching import queries_of
+from provspark.plans.queries_matching import HASH_PAIRS, queries_of
 
 
 def _links(ev):
@@ -304,3 +306,44 @@ def banner_rows(ev):
         "image_id", "has_overlay", F.round("confidence", 6).alias("confidence"), F.round(F.col("crop_box")[1], 6).alias("top"),
         F.round(F.col("crop_box")[3], 6).alias("height"), "method",
     )
+
+
+# Every pair of copies but each fifth: all keypoints match, seven of eight agree with the transform.
+COPIES = """
+copies AS (SELECT k.image_id AS query_id, k.image_id + CASE WHEN k.image_id % 2 = 0 THEN 1 ELSE -1 END AS neighbor_id, count(*) AS good_matches, count(CASE WHEN kp_idx % 8 <> 3 THEN 1 END) AS inliers
+           FROM fx_copy_keypoint k WHERE CAST(floor(k.image_id / 2) AS BIGINT) % 5 <> 4 GROUP BY k.image_id HAVING count(*) >= 24),
+found AS (SELECT c.* FROM copies c JOIN fx_submission s ON s.image_id = c.query_id JOIN fx_registry r ON r.phash = s.phash AND r.image_id <> c.neighbor_id
+          WHERE c.neighbor_id IN (SELECT image_id FROM fx_registry))
+"""
+
+
+def copy_matches_of(ev):
+    """Local matches of the submissions by the whole flow, from descriptors on."""
+    words = [H.decode_hash(F.col(d)).alias(d) for d in ("d0", "d1", "d2", "d3")]
+    keypoints = ev.copy_keypoint.select("image_id", "kp_idx", *words, "x", "y")
+    features = keypoints.groupBy("image_id").agg(F.count("*").alias("keypoint_count")).select(
+        "image_id", F.lit("orb").alias("extractor"), F.lit(640).alias("width"), F.lit(480).alias("height"), "keypoint_count")
+    queries = queries_of(ev).join(features, F.col("query_id") == F.col("image_id"), "left_semi")
+    return LM.local_matches(queries, keypoints, features, ev.registry)
+
+
+@query("local_matches", "fx_submission fx_registry fx_copy_keypoint", "WITH " + COPIES + """
+    SELECT query_id, neighbor_id, 'orb' AS extractor, good_matches, inliers, round(inliers::DOUBLE / good_matches, 4) AS inlier_ratio, true AS homography_found,
+           CASE WHEN query_id % 2 = 0 THEN 0.0625::DOUBLE ELSE 0.0::DOUBLE END AS "left", CASE WHEN query_id % 2 = 0 THEN 0.0625::DOUBLE ELSE 0.0::DOUBLE END AS top,
+           CASE WHEN query_id % 2 = 0 THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END AS width, CASE WHEN query_id % 2 = 0 THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END AS height
+    FROM found
+""")
+def local_matches(ev):
+    return copy_matches_of(ev).select("query_id", "neighbor_id", "extractor", "good_matches", "inliers", "inlier_ratio", "homography_found", *_four("box"))
+
+
+@query("local_match_votes", "fx_submission fx_registry fx_copy_keypoint fx_vote_event", "WITH " + COPIES + "," + HASH_PAIRS + "," + VOTES + """,
+    both_ AS (SELECT query_id, neighbor_id, max(h) AS h, max(l) AS l FROM (SELECT query_id, neighbor_id, 1 AS h, 0 AS l FROM hash_pairs UNION ALL SELECT query_id, neighbor_id, 0, 1 FROM found) GROUP BY ALL)
+    SELECT s.image_id AS query_id, CAST(coalesce(sum(vote_real), 0) AS BIGINT) AS vote_real, CAST(coalesce(sum(vote_edited), 0) AS BIGINT) AS vote_edited, CAST(coalesce(sum(vote_ai), 0) AS BIGINT) AS vote_ai,
+           count(v.image_id) AS match_count, count(CASE WHEN l = 1 THEN v.image_id END) AS local_match_count
+    FROM fx_submission s LEFT JOIN both_ b ON b.query_id = s.image_id LEFT JOIN votes v ON v.image_id = b.neighbor_id GROUP BY s.image_id
+""")
+def local_match_votes(ev):
+    """The community roll-up with local matches from the flow."""
+    sums = N.neighbor_sums(queries_of(ev), ev.registry, votes_of(ev), C.VOTE_MEASURES, copy_matches_of(ev))
+    return C.human_consensus(sums).select("query_id", "vote_real", "vote_edited", "vote_ai", "match_count", "local_match_count")

@@ -281,3 +281,74 @@ def test_closure_of_a_long_chain(spark):
         walks = CT._jumped(walks, first[i], 2 ** i)
     got = {r.at: (r.depth, r.box) for r in walks.collect()}
     assert got == {at: (n + 1 - at, [0.25, 0.25 if at == n else 0.75 if at == n - 1 else 1.0, 0.5, 0.5]) for at in range(n + 1)}
+
+
+# Local matching in one flow ------------------------------------------------------------------------------------------
+
+def _views(rng, image, other, flips, matches, width, height):
+    """Keypoints of an image and of a view of it, scaled and shifted: ``matches`` descriptors differ in ``flips`` bits, the rest are new."""
+    words = rng.integers(-2**63, 2**63 - 1, (64, 4), dtype=np.int64)
+    seen = rng.integers(-2**63, 2**63 - 1, (64, 4), dtype=np.int64)
+    points = rng.random((64, 2)) * [width, height]
+    moved = rng.random((64, 2)) * [width, height]
+    for k in range(matches):
+        bits = np.unpackbits(words[k].view(np.uint8))
+        bits[rng.choice(256, flips, replace=False)] ^= 1
+        seen[k] = np.packbits(bits).view(np.int64)
+        moved[k] = points[k] * 0.8 + [20, 10]
+    rows = [(image, k, *map(int, words[k]), *map(float, points[k])) for k in range(64)]
+    return rows + [(other, k, *map(int, seen[k]), *map(float, moved[k])) for k in range(64)]
+
+
+KEYPOINTS = "image_id bigint, kp_idx bigint, d0 bigint, d1 bigint, d2 bigint, d3 bigint, x double, y double"
+
+
+@pytest.mark.parametrize("flips", [30, 50])
+def test_candidates_by_probing_reach_most_true_pairs(spark, flips):
+    rng = np.random.default_rng(flips)
+    rows = [r for i in range(100) for r in _views(rng, 2 * i, 2 * i + 1, flips, 24, 640, 480)]
+    # Descriptors that very many images share, one of them all zero, are no reason to miss or to add a pair.
+    rows += [(i, 64 + j, *[0 if j else 5] * 4, 1.0, 1.0) for i in range(0, 200, 2) for j in range(3)]
+    keypoints = spark.createDataFrame(rows, KEYPOINTS).repartition(8)
+    queries = spark.createDataFrame([(2 * i, 2 * i) for i in range(100)], "query_id bigint, registry_id bigint")
+    usable = spark.createDataFrame([(2 * i + 1,) for i in range(100)], "image_id bigint")
+    got = {(r.query_id, r.candidate_id) for r in LM.probed_candidates(queries, keypoints, usable).collect()}
+    true = {(2 * i, 2 * i + 1) for i in range(100)}
+    assert len(got & true) >= (100 if flips == 30 else 92)
+    assert len(got - true) <= 20
+
+
+def test_local_matches_from_descriptors_to_verdict(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for i, (flips, matches) in enumerate([(20, 60), (30, 40), (40, 50), (20, 20), (30, 10), (0, 64)]):
+        rows += _views(rng, 2 * i, 2 * i + 1, flips, matches, 640, 480)
+    keypoints = spark.createDataFrame(rows + [(0, 70, None, 1, 1, 1, 5.0, 5.0)], KEYPOINTS)
+    features = spark.createDataFrame([(i, "akaze" if i == 11 else "orb", 640, 480, 64) for i in range(12)], "image_id bigint, extractor string, width int, height int, keypoint_count bigint")
+    queries = spark.createDataFrame([(i, i) for i in range(12)], "query_id bigint, registry_id bigint")
+    registry = spark.createDataFrame([(i,) for i in range(12) if i != 2], "image_id bigint")
+    got = {(r.query_id, r.neighbor_id): r for r in LM.local_matches(queries, keypoints, features, registry).collect()}
+    # Image 2 is not registered, pair 6/7 has too few matches, 10/11 differ in the extractor.
+    assert set(got) == {(0, 1), (1, 0), (2, 3), (4, 5), (5, 4)}
+    r = got[0, 1]
+    assert r.homography_found and r.inliers >= 58 and r.good_matches >= r.inliers and r.inlier_ratio == round(r.inliers / r.good_matches, 4)
+    assert r.box == pytest.approx([20 / 640, 10 / 480, 0.8, 0.8], abs=0.01)
+    assert not LM.local_matches(queries, keypoints, features.limit(0), registry).count()
+
+
+def test_homography_is_the_planted_one_and_the_same_each_time(spark):
+    rng = np.random.default_rng(8)
+    h = np.array([[0.9, 0.1, 12.0], [-0.05, 1.1, 4.0], [1e-4, 2e-4, 1.0]])
+    q = rng.random((80, 2)) * 500
+    to = np.c_[q, np.ones(80)] @ h.T
+    c = to[:, :2] / to[:, 2:]
+    c[50:] = rng.random((30, 2)) * 500
+    rows = [(1, 2, *map(float, q[k]), *map(float, c[k])) for k in range(80)] + [(3, 4, float(k), float(k), 1.0, 1.0) for k in range(40)] + [(5, 6, 1.0, 2.0, 3.0, 4.0)]
+    df = spark.createDataFrame(rows, "query_id bigint, candidate_id bigint, qx double, qy double, cx double, cy double")
+    got = LM.homographies(df).collect()
+    fits = {tuple(r.h) for r in got if r.query_id == 1}
+    assert len(fits) == 1 and np.allclose(np.array(fits.pop()).reshape(3, 3), h, rtol=1e-3, atol=1e-3)
+    assert sum(r.is_inlier for r in got if r.query_id == 1) in range(50, 54)
+    assert all(r.h is None and not r.is_inlier for r in got if r.query_id == 5)
+    again = {(r.qx, r.is_inlier) for r in LM.homographies(df.repartition(5)).collect() if r.query_id == 1}
+    assert again == {(r.qx, r.is_inlier) for r in got if r.query_id == 1}
