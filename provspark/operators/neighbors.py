@@ -228,3 +228,50 @@ def neighbor_sums(queries: DataFrame, registry: DataFrame, measures: DataFrame,
         *[(F.col(f"similar_{m}") + F.coalesce(f"l_{m}", zero)).alias(f"similar_{m}") for m in ms],
         *[F.coalesce(f"g_{m}", zero).cast("bigint").alias(f"local_{m}") for m in ms],
     )
+
+
+def _totals(queries: DataFrame, registry: DataFrame, local: DataFrame | None) -> DataFrame:
+    """``(query_id, n, own_n)``: how many registry images a query matches, and whether its own is among them."""
+    sums = neighbor_sums(queries, registry, registry.select("image_id"), [], local)
+    return sums.select("query_id", (F.col("self_n") + F.col("same_n") + F.col("similar_n")).alias("n"), F.col("self_n").alias("own_n"))
+
+
+def method_counts(queries: DataFrame, registry: DataFrame, local: DataFrame, phash_max: int = H.PHASH_MAX_DISTANCE,
+                  whash_max: int = H.WHASH_MAX_DISTANCE) -> DataFrame:
+    """``(match_method, pairs, self_pairs)`` without listing pairs by hash.
+
+    Pairs by hash are counted over words (``neighbor_sums``: by whash, and by phash what is far by whash). Local pairs are
+    rows of ``local(query_id, neighbor_id)`` already; those that hashes find too are hybrid and come off the hash count.
+    """
+    q = queries.select("query_id", "registry_id", H.decode_hash(F.col("phash")).alias("qp"), H.decode_hash(F.col("whash")).alias("qw"))
+    r = registry.select(F.col("image_id").alias("neighbor_id"), H.decode_hash(F.col("phash")).alias("rp"), H.decode_hash(F.col("whash")).alias("rw"))
+    near = F.coalesce(H.distance(F.col("qp"), F.col("rp")) <= phash_max, F.lit(False)) | F.coalesce(
+        H.distance(F.col("qw"), F.col("rw")) <= whash_max, F.lit(False))
+    own = F.col("neighbor_id") == F.col("registry_id")
+    listed = local.select("query_id", "neighbor_id").distinct().join(q, "query_id").join(r, "neighbor_id").agg(
+        F.count_if(near).alias("hybrid"), F.count_if(near & own).alias("hybrid_self"),
+        F.count_if(~near).alias("local"), F.count_if(~near & own).alias("local_self"))
+    by_hash = _totals(queries, registry, None).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("own_n"), F.lit(0)).alias("own_n"))
+
+    def row(name: str, pairs: Column, own_pairs: Column) -> Column:
+        return F.struct(F.lit(name).alias("match_method"), pairs.cast("bigint").alias("pairs"), own_pairs.cast("bigint").alias("self_pairs"))
+
+    c = F.col
+    rows = F.array(row("hash", c("n") - c("hybrid"), c("own_n") - c("hybrid_self")), row("hybrid", c("hybrid"), c("hybrid_self")),
+                   row("local", c("local"), c("local_self")))
+    return by_hash.crossJoin(listed).select(F.explode(rows).alias("r")).select("r.*").filter("pairs > 0")  # one row each
+
+
+def distant_counts(queries: DataFrame, registry: DataFrame, local: DataFrame, own: Column) -> DataFrame:
+    """``(query_id, distant_match_count)``: matches of a query that are not the image itself, without listing pairs.
+
+    ``own`` is the rule over ``(neighbor_id, is_self_match, registry_id, neighbor_phash, query_phash, neighbor_whash,
+    query_whash)``; it may hold for the registry row of the query's id or phash only, which is one row, so it is asked once
+    for each query. Needs a registry with unique phash.
+    """
+    r = registry.select(F.col("image_id").alias("neighbor_id"), F.col("phash").alias("neighbor_phash"), F.col("whash").alias("neighbor_whash"))
+    self_pair = queries.select("query_id", "registry_id", F.col("phash").alias("query_phash"), F.col("whash").alias("query_whash")) \
+        .join(r, F.col("registry_id") == F.col("neighbor_id")).withColumn("is_self_match", F.lit(True))
+    asked = self_pair.select("query_id", F.coalesce(own, F.lit(False)).cast("int").alias("_own"))
+    totals = _totals(queries, registry, local).filter("n > 0")
+    return totals.join(asked, "query_id", "left").select("query_id", (F.col("n") - F.coalesce("_own", F.lit(0))).cast("bigint").alias("distant_match_count"))

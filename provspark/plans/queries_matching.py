@@ -132,9 +132,7 @@ def neighbor_display(ev):
     SELECT match_method, count(*) AS pairs, count(CASE WHEN is_self_match THEN 1 END) AS self_pairs FROM matches GROUP BY match_method
 """)
 def match_method(ev):
-    return matches_of(ev).groupBy("match_method").agg(
-        F.count("*").alias("pairs"), F.count_if("is_self_match").alias("self_pairs")
-    )
+    return N.method_counts(queries_of(ev), ev.registry, ev.local_match)
 
 
 @query("neighbor_local_struct", "fx_local_match", """
@@ -167,7 +165,7 @@ def self_match_rule(ev):
         F.col("neighbor_phash"), F.col("query_phash"),
         F.when(n % 4 != 2, F.col("neighbor_whash")), F.col("query_whash"),
     )
-    return matches_of(ev).groupBy("query_id").agg(F.count_if(~own).alias("distant_match_count"))
+    return N.distant_counts(queries_of(ev), ev.registry, ev.local_match, own)
 
 
 # Registry ------------------------------------------------------------------------------------------------------------

@@ -165,3 +165,31 @@ def test_sums_equal_pairs(spark):
     a = sorted(tuple(r) for r in got.select(*cols).collect())
     b = sorted(tuple(r) for r in want.select(*cols).collect())
     assert a == b and len(a) == 120
+
+
+def test_counts_by_method_equal_listed_pairs(spark):
+    """Half of the registry shares one whash; counts must equal those over listed pairs and must not list them."""
+    rng = random.Random(12)
+    rows = _rows(120, 8)
+    hot = rows[0][2]
+    first = {}
+    for i, p, w in rows:
+        first.setdefault(p, (i, p, hot if i % 2 else w))
+    registry = list(first.values())
+    queries = [(k, i, p, hot if k % 3 else w) for k, (i, p, w) in enumerate(rng.choice(registry) for _ in range(80))]
+    local = [(rng.randint(0, 79), rng.choice(registry)[0]) for _ in range(50)] + [(0, queries[0][1])]
+    qs = spark.createDataFrame(queries, "query_id bigint, registry_id bigint, phash string, whash string")
+    rs = spark.createDataFrame(registry, "image_id bigint, phash string, whash string").withColumn("created_at", F.current_timestamp())
+    ls = spark.createDataFrame(local, "query_id bigint, neighbor_id bigint").distinct().withColumn("inliers", F.lit(20))
+    listed = N.add_distances(N.with_local_matches(N.hash_neighbors(qs, rs), ls), qs, rs)
+    want = {tuple(r) for r in listed.groupBy("match_method").agg(F.count("*"), F.count_if("is_self_match")).collect()}
+    assert {tuple(r) for r in N.method_counts(qs, rs, ls).collect()} == want
+    assert listed.count() > 3 * (len(queries) + len(registry) + len(local))
+
+    no_self = ls.join(qs.select("query_id", "registry_id"), "query_id").filter("neighbor_id <> registry_id").drop("registry_id")
+    listed = N.add_distances(N.with_local_matches(N.hash_neighbors(qs, rs), no_self), qs, rs)
+    n = F.col("neighbor_id")
+    own = H.is_self_match(F.when(n % 3 == 0, F.col("is_self_match")), F.when(n % 3 == 1, n), F.col("registry_id"), F.col("neighbor_phash"),
+                          F.col("query_phash"), F.when(n % 4 != 2, F.col("neighbor_whash")), F.col("query_whash"))
+    want = {tuple(r) for r in listed.groupBy("query_id").agg(F.count_if(~own)).collect()}
+    assert {tuple(r) for r in N.distant_counts(qs, rs, no_self, own).collect()} == want
