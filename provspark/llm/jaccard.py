@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from provspark.llm.common import Scratch, WordHash, in_chunks, mix64, words_of
+from provspark.llm.common import Scratch, WordHash, in_chunks, mix64, spread_join, words_of
 
 SHINGLE = 5
 #: Bits of a set's signature for each shingle (up to a power of two), shingles in a block of a tile (8 MB).
@@ -312,10 +312,25 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the least of its component, all columns; rows without a doc_id stay.
+    """One row of each component of ``docs``, all columns: that of the least doc_id, then of the least text hash.
 
-    Rows that repeat a kept doc_id stay with it only if their text has its set; rows are otherwise kept whole.
+    Rows are told apart by doc_id and text, so a repeated doc_id (or a null one) loses only the texts that are copies. A
+    null doc_id is kept only if its component has no other. Of rows that repeat both doc_id and text one stays. Rows without
+    words stay as they are.
     """
-    near = near_duplicates(docs).where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("_c"))
-    gone = near.where("doc_id <> _c").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    scratch = Scratch(docs.sparkSession, "one_of_each")
+    members, labels = set_links(docs.select("doc_id", "text"), scratch)
+    named = members.select("doc_id", "t64", "sid").join(labels, "sid", "left").withColumn("comp", F.coalesce("comp", "sid")).where("comp is not null")
+    keys = scratch.put(named.groupBy("comp", "doc_id", "t64").agg(F.count("*").alias("times")), "keys")
+    first = keys.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t64")).alias("first"), F.count("*").alias("rows"))
+    ruled = spread_join(keys, scratch.put(first, "first"), "comp", "rows", F.col("t64"))
+    is_first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("t64") == F.col("first.t64"))
+    ruled = scratch.put(ruled.select(F.col("doc_id").alias("_d"), F.col("t64").alias("_h"), "times", is_first.alias("stays")), "ruled")
+    text = F.xxhash64("text")
+    same = docs["doc_id"].eqNullSafe(F.col("_d")) & (text == F.col("_h"))
+    left = docs.join(ruled.where("not stays").select("_d", "_h"), same, "left_anti")
+    again = ruled.where("stays and times > 1").select("_d", "_h")
+    if not again.limit(1).count():
+        return left
+    repeated = left.join(again, same, "left_semi").withColumn("_t", text).dropDuplicates(["doc_id", "_t"]).drop("_t")
+    return left.join(again, same, "left_anti").unionByName(repeated)

@@ -5,7 +5,7 @@ the median along the difference of two of its unit vectors. A query opens leaves
 boundary first, until ``LEAVES`` are open. In a leaf all rows are scored exactly in double precision, so what is
 approximate is only which rows are looked at.
 
-Equal vectors are one class that is looked at once; with its six least ids it serves every query without loss. Leaves
+Vectors of equal direction are one class that is looked at once; with its six least ids it serves every query without loss. Leaves
 above ``CHUNK`` rows are cut into chunks, each of which meets the leaf's queries.
 
 Vectors that are null, zero or hold null or non-finite components take no part; shorter ones count as padded with zeros.
@@ -100,6 +100,16 @@ def _units(column: pa.Array, width: int) -> np.ndarray:
         return scaled / np.sqrt((scaled * scaled).sum(1, keepdims=True))
 
 
+def _unit_rows(width: int):
+    """(id, v) -> the same with unit vectors; what differs by a power of two is equal from here on."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            unit = _units(batch.column(1), width) + 0.0
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(np.arange(len(unit) + 1, dtype=np.int32) * width), pa.array(unit.ravel()))], ["id", "v"])
+
+    return run
+
+
 def _valid(v: Column) -> Column:
     return F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
 
@@ -125,7 +135,8 @@ def _route(forest, width: int, queries: bool):
 
 
 def _scored(width: int, keep: int):
-    """Rows (tile, query, rep, v) sorted by tile with queries first: each query's best rows in every batch of the tile."""
+    """Rows (tile, query, rep, v) sorted by tile with queries first: each query's ``keep`` best rows in every
+    batch of the tile, and those that tie with the last of them."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tile, names, asked = None, [], []
         for batch in batches:
@@ -144,8 +155,8 @@ def _scored(width: int, keep: int):
                 elif names:
                     score = np.concatenate(asked) @ unit[lo:hi].T
                     n = min(keep, hi - lo)
-                    top = np.argpartition(-score, n - 1, axis=1)[:, :n]
-                    out.append((np.repeat(np.concatenate(names), n), rep[lo:hi][top].ravel(), np.take_along_axis(score, top, 1).ravel()))
+                    row, top = np.nonzero(score >= np.partition(score, -n, axis=1)[:, -n:-n + 1 or None])
+                    out.append((np.concatenate(names)[row], rep[lo:hi][top], score[row, top]))
             a, b, s = (np.concatenate(x) for x in zip(*out, strict=True)) if out else ([], [], [])
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(s, pa.float64())], ["query", "rep", "score"])
 
@@ -166,10 +177,10 @@ def nearest(vectors: DataFrame, every: int = 50, vec: str = "embedding", key: st
     width = rows.agg(F.max(F.size("v"))).first()[0]
     if width is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    kind = rows.schema["v"].dataType.simpleString()
     zero = F.lit(0).cast(rows.schema["v"].dataType.elementType)
     padded = F.when(F.size("v") < width, F.concat("v", F.array_repeat(zero, F.lit(width) - F.size("v")))).otherwise(F.col("v"))
-    rows = scratch.put(rows.select("id", padded.alias("v")).withColumn("same", F.xxhash64("v")), "rows")
+    unit = rows.select("id", padded.alias("v")).mapInArrow(_unit_rows(width), "id long, v array<double>")
+    rows = scratch.put(unit.withColumn("same", F.xxhash64("v")), "rows")
     # Spark keeps row_number() <= n per task before it shuffles, so a class of any size sends few rows.
     number = F.row_number().over(Window.partitionBy("same", "v").orderBy("id"))
     least = rows.dropDuplicates(["id", "same", "v"]).withColumn("n", number).where(F.col("n") <= k + 1)
@@ -178,7 +189,7 @@ def nearest(vectors: DataFrame, every: int = 50, vec: str = "embedding", key: st
     asked = rows.where(F.col("id") % every == 0).select("id", "same", "v").distinct()
     asked = scratch.put(asked.join(classes.select("same", "v", "rep"), ["same", "v"]).select(F.col("id").alias("query_id"), "rep"), "asked")
     forest = spark.sparkContext.broadcast(fit(classes, width))  # at most SAMPLE / LEAF nodes a tree
-    schema = f"rep long, v {kind}, tree int, leaf int"
+    schema = "rep long, v array<double>, tree int, leaf int"
     placed = scratch.put(classes.select("rep", "v").mapInArrow(_route(forest, width, False), schema), "placed")
     open_ = classes.join(asked.select("rep").distinct(), "rep", "left_semi").select("rep", "v").mapInArrow(_route(forest, width, True), schema)
     chunks = F.broadcast(placed.groupBy("tree", "leaf").agg((F.count("*") / CHUNK).cast("int").alias("more")))  # a row for each leaf
@@ -186,9 +197,9 @@ def nearest(vectors: DataFrame, every: int = 50, vec: str = "embedding", key: st
     wanted = open_.join(chunks, ["tree", "leaf"]).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("more").cast("long")))) \
         .select(F.xxhash64("tree", "leaf", "part").alias("tile"), F.lit(True).alias("query"), "rep", "v")
     tiles = salted.unionByName(wanted).repartition("tile").sortWithinPartitions("tile", F.desc("query"))
-    found = tiles.mapInArrow(_scored(width, k + 3), "query long, rep long, score double").groupBy("query", "rep").agg(F.max("score").alias("score"))
-    first = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "rep"))
-    found = found.withColumn("n", first).where(F.col("n") <= k + 3).drop("n")
+    found = tiles.mapInArrow(_scored(width, k + 1), "query long, rep long, score double").groupBy("query", "rep").agg(F.max("score").alias("score"))
+    # The query's own class may be one of them; ties with the last one all stay until ids decide.
+    found = found.withColumn("n", F.rank().over(Window.partitionBy("query").orderBy(F.desc("score")))).where(F.col("n") <= k + 1).drop("n")
     pairs = asked.join(found.withColumnRenamed("rep", "found"), F.col("rep") == F.col("query")).select("query_id", F.col("found").alias("rep"), "score")
     ranked = pairs.join(ids, "rep").where("vec_id <> query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))

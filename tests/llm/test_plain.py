@@ -70,11 +70,24 @@ def test_near_duplicates(docs, texts):
 def test_one_of_each(docs, texts):
     kept = jaccard.one_of_each(docs)
     assert kept.columns == docs.columns
-    want = {}
-    for (d, _), (_, c) in zip(texts, plain.near_duplicates(texts)):
-        if d is not None:
-            want[d] = min(c, want.get(d, c))
-    assert {r.doc_id for r in kept.collect()} == {d for d, c in want.items() if d == c} | {None}
+    # Components over row numbers, as ids repeat or are null.
+    part = [c for _, c in plain.near_duplicates([(i, t) for i, (_, t) in enumerate(texts)])]
+    least, of_text = {}, {}
+    for i, (d, t) in enumerate(texts):
+        if plain.words(t):
+            least[part[i]] = min(least.get(part[i], (True, 0)), (d is None, d or 0))
+            of_text[t] = part[i]
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    worded = [(d, t) for d, t in got if plain.words(t)]
+    assert sorted((of_text[t], (d is None, d or 0)) for d, t in worded) == sorted(least.items())
+    assert Counter(x for x in got if not plain.words(x[1])) == Counter(x for x in texts if not plain.words(x[1]))
+
+
+def test_one_of_each_loses_no_text_of_a_repeated_id(spark):
+    a, b = ("alpha beta gamma delta epsilon zeta " * 3).strip(), "quite another text of its own with enough words"
+    rows = [(1, a), (2, a), (2, b), (2, b), (None, a), (None, "a third text that nobody else has at all"), (None, "a third text that nobody else has at all"), (5, None), (5, None)]
+    got = jaccard.one_of_each(make(spark, rows)).select("doc_id", "text").collect()
+    assert Counter((r.doc_id, r.text) for r in got) == Counter([(1, a), (2, b), (None, rows[5][1]), (5, None), (5, None)])
 
 
 def test_signature_bounds_overlap():
@@ -269,6 +282,16 @@ def test_neighbours_of_a_small_table_are_exact(spark):
     assert [(r.query_id, r.rank, r.vec_id) for r in two] == [(50, 1, 7)]
 
 
+def test_scaled_copies_tie_to_the_smaller_id(spark):
+    rng = np.random.default_rng(0)
+    rows = [(1000 + i, rng.normal(size=16).tolist()) for i in range(200)]
+    base = rows[3][1]
+    rows += [(50, base)] + [(i, [x * 2.0 ** (i % 9 - 4) for x in base]) for i in range(1, 59) if i != 50]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    got = neighbours.nearest(table).where("query_id = 50").orderBy("rank").collect()
+    assert [(r.vec_id, round(r.score, 12)) for r in got] == [(i, 1.0) for i in range(1, 6)]
+
+
 def test_recall(spark, small):
     table = spark.read.parquet(f"{small[:-5]}0.1/embeddings.parquet")
     rows = [(r.vec_id, r.embedding) for r in table.collect()]
