@@ -76,16 +76,18 @@ def _signed(inp: Inputs) -> DataFrame:
     tool = M.manifest_active(asked).withColumnRenamed("image_id", "query_id")
     results = ids.join(tool, "query_id", "left").select(
         "query_id", F.coalesce("status", F.lit("NOT FOUND")).alias("status"),
-        F.coalesce("summary", F.lit(M.NO_MANIFEST)).alias("summary"), "signer", "origin_label", "provenance_depth",
+        F.coalesce("summary", F.lit(M.NO_MANIFEST)).alias("summary"), "signer", "tool", "origin_label", "provenance_depth",
+        "manifest_label", "manifest_count", "manifest_title", "manifest_format",
     )
     out = C.fact_matches(results, inp.sums(["facts"], "has_facts"))
-    data = F.to_json(F.struct("signer", "origin_label", "provenance_depth", "match_count", "has_distant_matches"))
+    data = F.to_json(F.struct("signer", "tool", "origin_label", "provenance_depth", "manifest_label", "manifest_count", "manifest_title",
+                              "manifest_format", "match_count", "has_distant_matches"))
     return out.select("query_id", "status", "summary", data.alias("data"))
 
 
 def _watermark(inp: Inputs) -> DataFrame:
     out = C.watermark_score(inp.sums(C.REPORT_MEASURES, "has_reports"))
-    data = F.to_json(F.struct("display_state", "score", "contested", "self_detected", "self_not_detected", "total_detected", "total_not_detected", "similar_count", "caveat"))
+    data = F.to_json(F.struct("display_state", "score", "contested", "self_detected", "self_not_detected", "total_detected", "total_not_detected", "similar_count", (F.col("similar_count") > 0).alias("has_distant_matches"), "caveat"))
     return out.select("query_id", "status", "summary", data.alias("data"))
 
 
@@ -105,7 +107,7 @@ def _metadata(inp: Inputs) -> DataFrame:
 
 def _human(inp: Inputs) -> DataFrame:
     out = C.human_consensus(inp.sums(C.VOTE_MEASURES, "has_votes"))
-    data = F.to_json(F.struct("vote_real", "vote_edited", "vote_ai", "total_votes", "distant_match_count", "local_match_count"))
+    data = F.to_json(F.struct("vote_real", "vote_edited", "vote_ai", "total_votes", "match_count", "distant_match_count", "local_match_count", "matches_summary"))
     return out.select("query_id", "status", "summary", data.alias("data"))
 
 

@@ -11,7 +11,7 @@ from provspark.operators import metadata as MD
 from provspark.operators import quotas as Q
 from provspark.operators import traces as TC
 from provspark.plans import analyzers as A
-from provspark.plans.catalog import query
+from provspark.plans.catalog import ORACLES, query
 from provspark.plans.queries_community import FACTS, REPORTS, VOTES, by_detector_of, facts_of, reports_of, votes_of
 from provspark.plans.queries_evidence import FINDINGS
 from provspark.plans.queries_matching import MATCHES, matches_of, queries_of
@@ -109,13 +109,49 @@ def inputs_of(ev, queries=None):
     )
 
 
-@query("analyzer_registry")
+def _json(fields: str) -> str:
+    """JSON text of the named columns without nulls."""
+    return "json_merge_patch('{}', json_object(" + ", ".join(f"'{f}', {f}" for f in fields.split()) + "))::VARCHAR"
+
+
+def _analyzer_rows(slugs: str) -> str:
+    """Rows of the analyzers from the SQL of what they summarise, with texts and names written out."""
+    parts = {
+        "c2pa": f"""SELECT query_id, 'c2pa' AS slug, 'Digital Signature (C2PA)' AS name, CASE WHEN st = 'NOT FOUND' AND match_count > 0 THEN 'SIMILAR' ELSE st END AS status,
+                CASE WHEN st = 'NOT FOUND' AND match_count > 0 THEN 'Found ' || match_count || ' visually similar image' || CASE WHEN match_count = 1 THEN '' ELSE 's' END || ' with C2PA metadata.' ELSE su END AS summary,
+                {_json('signer tool origin_label provenance_depth manifest_label manifest_count manifest_title manifest_format match_count has_distant_matches')} AS data
+            FROM (SELECT *, match_count > 0 AS has_distant_matches FROM (
+              SELECT s.image_id AS query_id, coalesce(m.status, 'NOT FOUND') AS st, coalesce(m.summary, 'No C2PA signature found.') AS su, m.* EXCLUDE (image_id, status, summary),
+                     CASE WHEN coalesce(m.status, '') IN ('ERROR', 'NOT AVAILABLE') THEN 0 ELSE coalesce(c.n, 0) END AS match_count
+              FROM fx_submission s LEFT JOIN ({ORACLES['manifest_active']}) m ON m.image_id = s.image_id
+              LEFT JOIN (SELECT query_id, count(*) AS n FROM matches x JOIN facts f ON x.neighbor_id = f.image_id AND f.analyzer = 'c2pa' WHERE NOT is_self_match GROUP BY query_id) c ON c.query_id = s.image_id))""",
+        "synthid": f"""SELECT query_id, 'synthid' AS slug, 'SynthID Watermark' AS name, status, summary,
+                {_json('display_state score contested self_detected self_not_detected total_detected total_not_detected similar_count has_distant_matches caveat')} AS data
+            FROM (SELECT *, similar_count > 0 AS has_distant_matches FROM ({ORACLES['watermark_score']}))""",
+        "tineye": """SELECT image_id AS query_id, 'tineye' AS slug, 'TinEye Reverse Search' AS name, 'MANUAL' AS status, 'Search for this image across the web.' AS summary,
+                '{"allow_manual_refresh":true}' AS data FROM fx_submission""",
+        "exif": f"""SELECT s.image_id AS query_id, 'exif' AS slug, 'AI Metadata (EXIF)' AS name, coalesce(status, 'NOT FOUND') AS status, coalesce(summary, 'No AI EXIF metadata detected.') AS summary,
+                '{{"finding_count":' || coalesce(finding_count, 0) || '}}' AS data FROM fx_submission s LEFT JOIN ({ORACLES['ai_metadata_status']}) m ON m.image_id = s.image_id""",
+        "human": f"""SELECT query_id, 'human' AS slug, 'Human Consensus' AS name, status, summary,
+                {_json('vote_real vote_edited vote_ai total_votes match_count distant_match_count local_match_count matches_summary')} AS data FROM ({ORACLES['human_consensus']})""",
+    }
+    picked = [f"SELECT *, CAST({i} AS BIGINT) AS ord FROM ({parts[s]})" for i, s in enumerate(slugs.split())]
+    return "WITH " + MATCHES + "," + FACTS + ", rows_ AS (" + " UNION ALL BY NAME ".join(picked) + ")"
+
+
+_RUN_ON = "fx_submission fx_registry fx_local_match fx_fact"
+
+
+@query("analyzer_registry", _RUN_ON, _analyzer_rows("c2pa synthid tineye exif human") + """
+    SELECT query_id, ord, slug, name, CASE WHEN query_id % 50 = 3 THEN 'ERROR' ELSE status END AS status,
+           CASE WHEN query_id % 50 = 3 THEN 'Analysis expired. Please re-run.' ELSE summary END AS summary, CASE WHEN query_id % 50 = 3 THEN '{}' ELSE data END AS data FROM rows_
+""")
 def analyzer_registry(ev):
     expired = ev.submission.filter("image_id % 50 = 3").select(F.col("image_id").alias("query_id"))
     return A.run_analyzers(inputs_of(ev), expired=expired)
 
 
-@query("batch_analyzers")
+@query("batch_analyzers", _RUN_ON, _analyzer_rows("c2pa synthid exif human") + "SELECT query_id, ord, slug, name, status, summary, data FROM rows_")
 def batch_analyzers(ev):
     return A.run_analyzers(inputs_of(ev), A.BATCH_ANALYZERS)
 
