@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provspark.functions import boxes as B
+from provspark.functions import hashing as H
 from provspark.functions import texts as X
 from provspark.functions import urls as U
 from provspark.operators import consensus as C
@@ -244,9 +245,12 @@ def metadata_merge(base: DataFrame, updates: DataFrame) -> DataFrame:
 
 # Report --------------------------------------------------------------------------------------------------------------
 
-def report_lines(analyses: DataFrame, matrix: DataFrame, direct: DataFrame, distant: DataFrame, generated_at: str) -> DataFrame:
+def report_lines(analyses: DataFrame, matrix: DataFrame, direct: DataFrame, distant: DataFrame, generated_at: str, app_version: str) -> DataFrame:
     """Provenance reports as JSON lines ``(analysis_id, section, ord, line)``.
 
+    ``matrix(analysis_id, ord, name, slug, status, summary, data)`` are rows as the analyzers give them, or as stored.
+    ``distant(analysis_id, rank, ...)`` is read twice; a caller to whom it is dear hands in a written table.
+
     Each analysis has one ``report`` line: head, hashes, analyzers, direct traces and search links, all of bounded
     size, and the number of distant matches. Distant matches, of which there may be any number, follow as one line
     each in rank order. ``analyses`` columns: analysis_id, created_s, source, mime, width, height, crop_box, phash,
@@ -269,7 +273,7 @@ def report_lines(analyses: DataFrame, matrix: DataFrame, direct: DataFrame, dist
         lambda a: a.dropFields("ord"),
     )
     head = F.to_json(F.struct(
-        F.lit(REPORT_VERSION).alias("report_version"), F.lit(generated_at).alias("generated_at"),
+        F.lit(REPORT_VERSION).alias("report_version"), F.lit(app_version).alias("app_version"), F.lit(generated_at).alias("generated_at"),
         F.struct(
             F.col("analysis_id").alias("id"), X.iso_utc(F.col("created_s")).alias("created_at"), "source", "mime",
             F.struct("width", "height").alias("dimensions"), B.as_struct(F.col("crop_box")).alias("crop_box"),
@@ -290,3 +294,14 @@ def report_lines(analyses: DataFrame, matrix: DataFrame, direct: DataFrame, dist
 def write_reports(lines: DataFrame, path: str) -> None:
     """Write report lines as JSON text, one folder per section."""
     lines.select("line", "section").write.mode("overwrite").partitionBy("section").text(path)
+
+
+def report_matches(distant: DataFrame) -> DataFrame:
+    """What a report shows of each distant trace, for ``report_lines``; from ``distant_traces`` with distances."""
+    return distant.select(
+        F.col("query_id").alias("analysis_id"), "rank", F.col("neighbor_id").alias("image_id"),
+        F.col("neighbor_phash").alias("phash"), F.col("neighbor_whash").alias("whash"),
+        X.iso_utc(F.unix_seconds("neighbor_created_at")).alias("created_at"), "phash_distance", "whash_distance", "distance", "hash_display",
+        "match_method", H.method_label(F.col("match_method")).alias("match_method_label"), "c2pa_facts", "vote_real", "vote_edited", "vote_ai",
+        "total_votes", "detected", "not_detected",
+    )

@@ -15,7 +15,7 @@ from provspark.plans.catalog import ORACLES, query
 from provspark.plans.queries_community import FACTS, REPORTS, VOTES, by_detector_of, facts_of, reports_of, votes_of
 from provspark.plans.queries_evidence import FINDINGS
 from provspark.plans.queries_matching import MATCHES, matches_of, queries_of
-from provspark.session import work_folder
+from provspark.session import cut_lineage, work_folder
 from provspark.sources import tables as TB
 from provspark.streaming import jobs as S
 
@@ -246,7 +246,45 @@ def metadata_merge(ev):
     return merged.select("analysis_id", F.explode("metadata").alias("key", "value"))
 
 
-@query("report_export")
+# The report as the test data give it, from the analyzers' rows, direct items and distant traces of the SQL above.
+EXPORT = _analyzer_rows("c2pa synthid tineye exif human") + "," + DISTANT.removeprefix(MATCHES + ",").replace("," + FACTS, "", 1) + "," + FINDINGS + """,
+direct AS (
+  SELECT image_id, list({'kind': kind, 'title': title, 'summary': summary, 'details': details} ORDER BY ord) AS items FROM (
+    SELECT image_id, 0 AS ord, 'c2pa' AS kind, 'Direct C2PA' AS title, count(*) || ' direct C2PA fact' || CASE WHEN count(*) = 1 THEN '' ELSE 's' END || '.' AS summary, list(data ORDER BY data) AS details
+    FROM facts WHERE analyzer = 'c2pa' GROUP BY image_id
+    UNION ALL SELECT image_id, 1, 'human', 'Direct Consensus', n || ' vote' || CASE WHEN n = 1 THEN '' ELSE 's' END || ': ' || vote_real || ' real / ' || vote_edited || ' edited / ' || vote_ai || ' AI.', []
+    FROM (SELECT *, vote_real + vote_edited + vote_ai AS n FROM votes)
+    UNION ALL SELECT image_id, 2, 'synthid', 'Direct SynthID Reports', sum(total) || ' report' || CASE WHEN sum(total) = 1 THEN '' ELSE 's' END || ': ' || sum(detected) || ' detected / ' || sum(not_detected) || ' not detected.',
+      list(CASE detector WHEN 'openai_verify' THEN 'OpenAI' ELSE 'Google' END || ': ' || detected || ' detected / ' || not_detected || ' not detected' ORDER BY detector) FROM by_detector GROUP BY image_id
+    UNION ALL SELECT image_id, 3, 'exif', 'Direct AI Metadata', count(*) || ' metadata finding' || CASE WHEN count(*) = 1 THEN '' ELSE 's' END || '.', [] FROM finds GROUP BY image_id)
+  GROUP BY image_id),
+subject AS (SELECT s.image_id AS id, s.phash, s.whash, r.image_id AS registry_id, CASE WHEN s.image_id % 3 <> 0 THEN 'https%3A%2F%2Fimg.example%2F' || s.phash END AS enc
+            FROM fx_submission s JOIN fx_registry r ON r.phash = s.phash)
+SELECT id AS analysis_id, 'report' AS section, CAST(0 AS BIGINT) AS ord, json_object(
+    'report_version', '1.1', 'app_version', '2.0', 'generated_at', '2026-01-01T00:00:00Z',
+    'analysis', json_object('id', id, 'created_at', strftime(TIMESTAMP '2024-01-01' + to_hours(id), '%Y-%m-%dT%H:%M:%SZ'), 'source', 'url', 'mime', 'image/png',
+      'dimensions', json_object('width', 640, 'height', 480),
+      'crop_box', CASE WHEN id % 2 = 0 THEN json_object('left', 0.0::DOUBLE, 'top', 0.1::DOUBLE, 'width', 1.0::DOUBLE, 'height', 0.9::DOUBLE) END),
+    'hashes', json_object('phash', phash, 'whash', whash, 'registry_id', registry_id),
+    'analyzers', (SELECT to_json(list({'name': name, 'slug': slug, 'status': status, 'summary': summary, 'data': data} ORDER BY ord)) FROM rows_ WHERE rows_.query_id = id),
+    'direct_traces', coalesce((SELECT to_json(items) FROM direct WHERE direct.image_id = registry_id), '[]'::JSON),
+    'distant_match_count', (SELECT count(*) FROM distant WHERE distant.query_id = id),
+    'tools', to_json([{'name': 'Reverse Image Search', 'links': CASE WHEN enc IS NOT NULL THEN [
+        {'label': 'Google', 'url': 'https://lens.google.com/upload?url=' || enc}, {'label': 'Bing', 'url': 'https://www.bing.com/images/search?view=detailv2&iss=sbi&form=SBIHMP&q=imgurl:' || enc},
+        {'label': 'TinEye', 'url': 'https://tineye.com/search?url=' || enc}]
+      ELSE [{'label': 'Google', 'url': 'https://images.google.com/'}, {'label': 'Bing', 'url': 'https://www.bing.com/visualsearch'}] END}]))::VARCHAR AS line
+FROM subject
+UNION ALL
+SELECT d.query_id, 'distant_match', d.rank, json_object(
+    'rank', d.rank, 'image_id', d.neighbor_id, 'phash', m.n_phash, 'whash', m.n_whash, 'created_at', strftime(m.n_created, '%Y-%m-%dT%H:%M:%SZ'),
+    'phash_distance', m.pd, 'whash_distance', m.wd, 'distance', d.distance, 'hash_display', CASE WHEN wd <= pd THEN n_whash || ' (whash)' ELSE n_phash || ' (phash)' END,
+    'match_method', d.match_method, 'match_method_label', CASE d.match_method WHEN 'hybrid' THEN 'Hybrid (hash + local)' WHEN 'local' THEN 'Local geometric' ELSE 'Hash' END,
+    'c2pa_facts', d.c2pa_facts, 'vote_real', v.vote_real, 'vote_edited', v.vote_edited, 'vote_ai', v.vote_ai, 'total_votes', d.total_votes, 'detected', d.detected, 'not_detected', d.not_detected)::VARCHAR
+FROM distant d JOIN matches m ON m.query_id = d.query_id AND m.neighbor_id = d.neighbor_id LEFT JOIN votes v ON v.image_id = d.neighbor_id
+"""
+
+
+@query("report_export", "fx_submission fx_registry fx_local_match fx_fact fx_vote_event fx_report_event fx_metadata", EXPORT)
 def report_export(ev):
     reg = queries_of(ev)
     analyses = reg.select(
@@ -256,12 +294,9 @@ def report_export(ev):
         "phash", "whash", "registry_id",
         F.when(F.col("query_id") % 3 != 0, F.concat(F.lit("https://img.example/"), "phash")).alias("public_url"),
     )
-    matrix = A.analyzer_matrix(analyses, stored_of(ev))
-    distant = distant_of(ev).select(
-        F.col("query_id").alias("analysis_id"), "rank", F.col("neighbor_id").alias("image_id"), F.col("neighbor_phash").alias("phash"),
-        "hash_display", "distance", "match_method", "c2pa_facts", "total_votes", "detected", "not_detected",
-    )
-    return A.report_lines(analyses, matrix, direct_of(ev), distant, "2026-01-01T00:00:00Z")
+    rows = A.run_analyzers(inputs_of(ev)).withColumnRenamed("query_id", "analysis_id")
+    distant = cut_lineage(ev.spark, A.report_matches(distant_of(ev)), "distant")
+    return A.report_lines(analyses, rows, direct_of(ev), distant, "2026-01-01T00:00:00Z", "2.0")
 
 
 @query("load_tables", "fx_registry fx_vote_event fx_report_event fx_fact fx_source fx_link_event fx_keypoint fx_payment", "WITH " + VOTES + """
