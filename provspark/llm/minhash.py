@@ -12,11 +12,12 @@
 4. Lists whose sets are not all connected by then are tiles, cut into blocks of bounded size. In a tile all pairs of sets
    that are not connected, of sizes that may link, are estimated from the union of their sketches; sets with a partner
    that passes meet again with their full sets. A pair is looked at only in the list of its first common value.
-   Nothing is emitted per pair but links, and of those at most one less than sets in a tile.
+   The first look takes the upper halves of the values, with a margin that lets all pass which whole values would. Nothing is emitted per pair but links, and of those at most one less than sets in a tile.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +32,8 @@ from provspark.llm.jaccard import BITS, components, text_bitmap, tile_groups
 SHINGLE, K, SHARED = 2, 64, 28
 #: Sets in a block of a tile; of its values a set looks for a pivot in the lists of so many.
 BLOCK, PIVOTS = 1000, 12
+#: A band of sizes is a factor of 1.25 to this power wide. Ranks that upper halves of values may be wrong by.
+WIDTH, SLACK = 4, 2
 
 
 def shingle_sets(texts: list[str | None], cache: WordHash, width: int = SHINGLE) -> list[np.ndarray]:
@@ -99,9 +102,10 @@ def linked(s: np.ndarray, t: np.ndarray) -> bool:
     return 100 * common >= 80 * (len(s) + len(t) - common)
 
 
-def may_link(n: int, s: np.ndarray, ns: np.ndarray, sketches: np.ndarray) -> np.ndarray:
+def may_link(n: int, s: np.ndarray, ns: np.ndarray, sketches: np.ndarray, slack: int = 0) -> np.ndarray:
     """Which of the sets of size ``ns`` and sketch ``sketches`` (rows, filled up with the largest value) may link with one
-    of size ``n`` and sketch ``s``: exactly if both fit into their sketches, else by the K least values of the union."""
+    of size ``n`` and sketch ``s``: exactly if both fit into their sketches, else by the K least values of the union.
+    Sketches may hold upper halves of the values, which only adds common values, but may move ranks by ``slack``."""
     length = np.minimum(ns, K)
     real = np.arange(sketches.shape[1]) < length[:, None]
     rank = np.searchsorted(s, sketches.ravel(), side="right").reshape(sketches.shape)
@@ -112,29 +116,35 @@ def may_link(n: int, s: np.ndarray, ns: np.ndarray, sketches: np.ndarray) -> np.
         exact = 100 * both >= 80 * (n + ns - both)
         if (ns <= K).all():
             return exact
-    in_union = (common & (np.arange(sketches.shape[1]) + 1 + rank - so_far <= K)).sum(1)
-    estimated = in_union >= SHARED
+    in_union = (common & (np.arange(sketches.shape[1]) + 1 + rank - so_far <= K + slack)).sum(1)
+    estimated = in_union >= SHARED - slack
     return np.where(ns <= K, exact, estimated) if n <= K else estimated
 
 
-def _candidates(rows: list[dict]) -> Iterator[tuple[int, int]]:
-    """Pairs of rows of a tile that may link, are not connected yet and belong to this tile."""
+def _candidates(rows: list[dict], kind: type = np.uint64) -> Iterator[tuple[int, int]]:
+    """Pairs of rows of a tile that may link, are not connected yet and belong to this tile.
+
+    With upper halves of values (``uint32``) these and few others: the tile may then be that of the second common value,
+    as one common half in some ten thousand pairs stands for different values.
+    """
+    slack, firsts = (SLACK, 2) if kind is np.uint32 else (0, 1)
     n = np.array([r["n"] for r in rows], np.int64)
-    table = np.full((len(rows), K), np.iinfo(np.uint64).max, np.uint64)
+    table = np.full((len(rows), K), np.iinfo(kind).max, kind)
     for i, r in enumerate(rows):
-        table[i, :len(r["sketch"])] = r["sketch"].values.to_numpy(zero_copy_only=False).view(np.uint64)
+        table[i, :len(r["sketch"])] = r["sketch"].values.to_numpy(zero_copy_only=False).view(kind)
     kinds = {c: i for i, c in enumerate(dict.fromkeys(r["comp"] for r in rows))}
     comp = np.array([kinds[r["comp"]] for r in rows])
     home, block = np.array([r["home"] for r in rows]), np.array([r["block"] for r in rows])
     # Values with a list, least first as unsigned numbers; ``v`` as well.
     posted = [table[i, np.flatnonzero(r["posted"] >> np.arange(K) & 1)] for i, r in enumerate(rows)]
     one, v = len(set(block.tolist())) == 1, np.int64(rows[0]["v"]).view(np.uint64)
+    v = v >> np.uint64(32) if kind is np.uint32 else v
     for i in range(len(rows)):
         js = np.arange(i + 1, len(rows))
         ok = (comp[js] != comp[i]) & (home[js] | home[i]) & (5 * np.minimum(n[js], n[i]) >= 4 * np.maximum(n[js], n[i])) & (one | (block[js] != block[i]))
         if len(js := js[ok]):
-            for j in js[may_link(int(n[i]), table[i, :min(K, n[i])], n[js], table[js])].tolist():
-                if np.intersect1d(posted[i], posted[j], assume_unique=True)[0] == v:
+            for j in js[may_link(int(n[i]), table[i, :min(K, n[i])], n[js], table[js], slack)].tolist():
+                if v in np.intersect1d(posted[i], posted[j])[:firsts]:
                     yield i, j
 
 
@@ -142,10 +152,10 @@ TILE = ["tile", "v", "block", "home", "sid", "comp", "n", "posted", "sketch"]
 
 
 def _promising(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of a tile that have a partner there: TILE -> tile, sid."""
+    """Rows of a tile that have a partner there: TILE with upper halves of the sketch's values -> tile, sid."""
     def found(rows: list[tuple]) -> list[tuple]:
         rows = [dict(zip(TILE, r, strict=True)) for r in rows]
-        return [(rows[i]["tile"], rows[i]["sid"]) for i in {i for pair in _candidates(rows) for i in pair}]
+        return [(rows[i]["tile"], rows[i]["sid"]) for i in {i for pair in _candidates(rows, np.uint32) for i in pair}]
 
     for out in tile_groups(batches, found):
         yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in out], pa.int64()), pa.array([s for _, s in out], pa.binary())], ["tile", "sid"])
@@ -197,10 +207,15 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _bands(rows: DataFrame) -> DataFrame:
-    """Each row in the band of its size (a factor of 1.25), its home, and in the next one; a list and a band are a tile."""
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.25)))
-    both = F.explode(F.array(F.struct(band.alias("band"), F.lit(True).alias("home")), F.struct((band + 1).alias("band"), F.lit(False).alias("home"))))
-    return rows.withColumn("_b", both).withColumn("home", F.col("_b.home")).withColumn("tile", F.xxhash64("v", "_b.band")).drop("_b")
+    """Each row in the band of its size, its home, and in the next one if a size that it may link with lies there; a list
+    and a band are a tile. Any two sizes that may link meet in the home of the larger."""
+    def band(n: Column) -> Column:
+        return F.floor(F.log(n.cast("double")) / F.lit(WIDTH * math.log(1.25)))
+
+    home, next_ = band(F.col("n")), band(F.col("n") * 1.25)
+    both = F.when(next_ > home, F.array(F.struct(home.alias("band"), F.lit(True).alias("home")), F.struct(next_.alias("band"), F.lit(False).alias("home")))) \
+        .otherwise(F.array(F.struct(home.alias("band"), F.lit(True).alias("home"))))
+    return rows.withColumn("_b", F.explode(both)).withColumn("home", F.col("_b.home")).withColumn("tile", F.xxhash64("v", "_b.band")).drop("_b")
 
 
 def posted_values(sets: DataFrame, scratch: Scratch) -> DataFrame:
@@ -251,7 +266,8 @@ def set_links(texts: DataFrame, sets: DataFrame, scratch: Scratch, block: int =
     bits = F.expr("aggregate(transform(sketch, (x, i) -> if(array_contains(posted, x), shiftleft(1L, i), 0L)), 0L, (a, b) -> a | b)")
     known = labelled.select("sid", "n", "comp", "posted").join(sets.select("sid", "sketch"), "sid").select("sid", "n", "comp", bits.alias("posted"), "sketch")
     dealt = lambda df: df.repartition("tile").sortWithinPartitions("tile")
-    some = scratch.put(dealt(rows.join(known, "sid").select(TILE)).mapInArrow(_promising, "tile long, sid binary"), "promising")
+    halves = known.withColumn("sketch", F.expr("transform(sketch, x -> cast(shiftright(x, 32) as int))"))
+    some = scratch.put(dealt(rows.join(halves, "sid").select(TILE)).mapInArrow(_promising, "tile long, sid binary"), "promising")
     exact = rows.join(some, ["tile", "sid"], "left_semi").join(known, "sid")
     met = scratch.put(some.select("sid").distinct().join(posted.select("sid", "t64"), "sid"), "open_sets")
     full = full_sets(texts, met, scratch, "open_full")
