@@ -399,8 +399,8 @@ def stream_quota_flags(ev):
     path, parts = work_folder(ev.spark, "flags"), []
     for q in _STREAM_RULES:
         requests = _event_stream(ev).select("event_id", F.col("user_id").alias("key"), "ts")
-        S.run_to_files(S.quota_flags(requests, q), f"{path}/{q.name}", f"{path}/{q.name}-checkpoint")
-        parts.append(ev.spark.read.schema("quota string, event_id bigint, request_key bigint, scope string, window_start_s bigint").parquet(f"{path}/{q.name}"))
+        S.run_quota_flags(requests, q, f"{path}/{q.name}", f"{path}/{q.name}-checkpoint")
+        parts.append(S.settled_flags(ev.spark, f"{path}/{q.name}", q))
     return parts[0].unionByName(parts[1])
 
 
