@@ -33,7 +33,7 @@ SHINGLE, K, SHARED = 2, 64, 28
 #: Sets in a block of a tile; of its values a set looks for a pivot in the lists of so many.
 BLOCK, PIVOTS = 1000, 12
 #: A band of sizes is a factor of 1.25 to this power wide. Ranks that upper halves of values may be wrong by.
-WIDTH, SLACK = 4, 2
+WIDTH, SLACK = 1, 2
 
 
 def shingle_sets(texts: list[str | None], cache: WordHash, width: int = SHINGLE) -> list[np.ndarray]:
