@@ -27,6 +27,8 @@ from provspark.llm.common import span_text, spans_of
 TRAIN_ROWS, TREES, DEPTH, RATE = 2_000, 24, 3, 0.3
 PRECISION = 0.9
 CONTEXT = 24
+#: Spans that are replaced in one go.
+RUN = 64
 #: Stand-ins for separators inside a candidate; the first one in a text is replaced by the second beforehand.
 MARK, OTHER = "\ue000", "\ue001"
 SPAN = "struct<start:long,end:long,body:string>"
@@ -263,18 +265,33 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def redacted(found: DataFrame) -> DataFrame:
-    """The rows of ``personal_data`` with every span of the text replaced by its kind in brackets; ``pii`` goes."""
+    """The rows of ``personal_data`` with every span of the text replaced by its kind in brackets; ``pii`` goes.
+
+    Sorted spans are taken ``RUN`` at a time: a run starts where the spans before it end and copies its own stretch of
+    the text only, so that very many spans do not copy a long text each. Of spans that overlap the first one gives the kind.
+    """
     def tagged(kind: str) -> Column:
         return F.transform(f"pii.{kind}", lambda s: F.struct(s["start"].cast("int").alias("start"), s["end"].cast("int").alias("end"), F.lit(f"[{kind.upper()}]").alias("tag")))
 
-    spans = F.array_sort(F.concat(*[tagged(k) for k in (*BASE, *EXTRA)]))
+    rows = found.withColumn("_s", F.array_sort(F.concat(*[tagged(k) for k in (*BASE, *EXTRA)])))
+    runs = F.transform(F.sequence(F.lit(0), F.greatest((F.size("_s") - 1).cast("int"), F.lit(0)), F.lit(RUN)), lambda i: F.slice("_s", i + 1, F.lit(RUN)))
+    ends = F.transform("_r", lambda r: F.array_max(F.transform(r, lambda s: s["end"])))
+    rows = rows.withColumn("_r", runs).withColumn("_e", ends)
+
+    def replaced(run: Column, i: Column) -> Column:
+        begin = F.coalesce(F.array_max(F.slice("_e", F.lit(1), i)), F.lit(0))
+        end = F.greatest(begin, F.element_at("_e", i + 1))
+        stretch = F.substr(F.col("text"), begin + 1, end - begin)
+
+        def step(acc: Column, s: Column) -> Column:
+            ahead = F.substr(acc["of"], acc["at"] - acc["begin"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
+            fresh = F.struct(acc["begin"].alias("begin"), acc["of"].alias("of"), s["end"].alias("at"), F.concat(acc["out"], ahead, s["tag"]).alias("out"))
+            inside = F.struct(acc["begin"].alias("begin"), acc["of"].alias("of"), F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))
+            return F.when(s["start"] >= acc["at"], fresh).otherwise(inside)
 
-    def step(acc: Column, s: Column) -> Column:
-        ahead = F.substr(F.col("text"), acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        fresh = F.struct(s["end"].alias("at"), F.concat(acc["out"], ahead, s["tag"]).alias("out"))
-        inside = F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))
-        return F.when(s["start"] >= acc["at"], fresh).otherwise(inside)
+        start = F.struct(begin.alias("begin"), stretch.alias("of"), begin.alias("at"), F.lit("").alias("out"))
+        return F.aggregate(run, start, step, lambda acc: acc["out"])
 
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    rest = lambda acc: F.concat(acc["out"], F.substr(F.col("text"), acc["at"] + 1, F.length("text")))
-    return found.withColumn("text", F.when(F.size(spans) > 0, F.aggregate(spans, start, step, rest)).otherwise(F.col("text"))).drop("pii")
+    last = F.array_max("_e")
+    out = F.concat(F.array_join(F.transform("_r", replaced), ""), F.substr(F.col("text"), last + 1, F.length("text")))
+    return rows.withColumn("text", F.when(F.size("_s") > 0, out).otherwise(F.col("text"))).drop("pii", "_s", "_r", "_e")
