@@ -17,6 +17,7 @@ from __future__ import annotations
 import html as references
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -47,6 +48,8 @@ BOILERPLATE = ("nav", "menu", "navbar", "header", "masthead", "topbar", "footer"
 MAIN = ("article", "main", "content", "post", "entry", "story", "body", "text", "page", "articlebody", "maincontent", "blog", "prose", "document")
 ELEMENTS = {"nav": "nav", "menu": "nav", "header": "header", "footer": "footer", "aside": "aside", "form": "form", "dialog": "dialog", "sidebar": "aside"}
 
+ASIDE = frozenset("." + n for n in BOILERPLATE) | frozenset(ELEMENTS.values())
+
 _BUCKETS: dict[tuple[str, int], int] = {}
 
 
@@ -67,9 +70,26 @@ def _names(attributes: str) -> list[str]:
     return out
 
 
+class Path:
+    """Open tags of a place in a page, each element a step from the one around it, so that deep pages stay linear.
+
+    ``sums`` counts the hashed tokens of the whole path; ``last`` are its last six tokens, innermost first.
+    """
+
+    __slots__ = ("sums", "last", "main", "aside")
+
+    def __init__(self, above: Path | None = None, tokens: tuple[str, ...] = ()):
+        self.sums = above.sums.copy() if above else np.zeros(PATH, np.float32)
+        for t in tokens:
+            self.sums[_bucket(t, PATH)] += 1.0
+        self.last = (*reversed(tokens), *(above.last if above else ()))[:6]
+        self.main = bool(above and above.main) or any(t in ("article", "main") for t in tokens)
+        self.aside = bool(above and above.aside) or any(t in ASIDE for t in tokens)
+
+
 @dataclass
 class Block:
-    path: tuple[str, ...]
+    path: Path
     text: str
     linked: int
 
@@ -77,20 +97,17 @@ class Block:
 def blocks(page: str | None) -> list[Block]:
     """Leaf blocks of a page with their open tags; text under elements that never show text is left out."""
     page = page or ""
-    stack: list[tuple[str, list[str]]] = []
+    stack: list[tuple[str, Path]] = []
+    top = Path()
     out: list[Block] = []
     parts: list[str] = []
-    linked, hidden = 0, 0
+    linked, hidden, anchors = 0, 0, 0
 
     def flush() -> None:
         nonlocal linked
         text = " ".join("".join(parts).split())
         if text:
-            path = []
-            for name, names in stack:
-                path.append(name)
-                path += ["." + x for x in names]
-            out.append(Block(tuple(path), text, min(linked, len(text))))
+            out.append(Block(stack[-1][1] if stack else top, text, min(linked, len(text))))
         parts.clear()
         linked = 0
 
@@ -99,15 +116,18 @@ def blocks(page: str | None) -> list[Block]:
         if raw and not hidden:
             text = references.unescape(raw)
             parts.append(text)
-            if any(s[0] == "a" for s in stack):
+            if anchors:
                 linked += len(text)
 
     def pop(to: int) -> None:
-        nonlocal hidden
+        nonlocal hidden, anchors
         for name, _ in stack[to:]:
             hidden -= name in NEVER
+            anchors -= name == "a"
+            held[name] -= 1
         del stack[to:]
 
+    held: Counter[str] = Counter()  # open elements by name
     at, n = 0, len(page)
     while at < n:
         m = TAG.search(page, at)
@@ -120,7 +140,7 @@ def blocks(page: str | None) -> list[Block]:
             continue
         name = m[2].lower()
         if m[1]:
-            open_at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), -1)
+            open_at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), -1) if held[name] else -1
             if open_at >= 0:
                 if any(s[0] not in INLINE for s in stack[open_at:]):
                     flush()
@@ -144,8 +164,10 @@ def blocks(page: str | None) -> list[Block]:
             end = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
             at = end.end() if end else n
             continue
-        stack.append((name, _names(m[3])))
+        stack.append((name, Path(stack[-1][1] if stack else top, (name, *("." + x for x in _names(m[3]))))))
         hidden += name in NEVER
+        anchors += name == "a"
+        held[name] += 1
     flush()
     return out
 
@@ -154,8 +176,9 @@ def vectors(page: list[Block]) -> np.ndarray:
     """Path, words and figures of each block."""
     x = np.zeros((len(page), PATH + WORDS + FIGURES), np.float32)
     for i, b in enumerate(page):
-        for k, token in enumerate(reversed(b.path)):
-            x[i, _bucket(token, PATH)] += 1.0 if k < 6 else 0.6
+        x[i, :PATH] = 0.6 * b.path.sums
+        for token in b.path.last:
+            x[i, _bucket(token, PATH)] += 0.4
         words = b.text.lower().split()
         for w in words:
             x[i, PATH + _bucket(w, WORDS)] += 1.0
@@ -225,6 +248,18 @@ def padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return x, mask
 
 
+def like_length(order: list[int], sizes: list[int], most: int = 64, cells: int = 20_000) -> Iterator[list[int]]:
+    """Runs of ``order`` (by size) of at most ``most`` pages and, padded to the longest, ``cells`` blocks; a longer page is alone."""
+    group: list[int] = []
+    for i in order:
+        if group and (len(group) == most or (len(group) + 1) * sizes[i] > cells):
+            yield group
+            group = []
+        group.append(i)
+    if group:
+        yield group
+
+
 def fit(pages: list[tuple[np.ndarray, np.ndarray]], seed: int = 5) -> Labeller:
     rng = np.random.default_rng(seed)
     size = PATH + WORDS + FIGURES
@@ -236,8 +271,12 @@ def fit(pages: list[tuple[np.ndarray, np.ndarray]], seed: int = 5) -> Labeller:
     model = Labeller({k: v.astype(np.float32) for k, v in w.items()})
     pages = [p for p in pages if len(p[1])]
     m, v = {k: np.zeros_like(a) for k, a in model.w.items()}, {k: np.zeros_like(a) for k, a in model.w.items()}
+    pages.sort(key=lambda p: len(p[1]))
     for step in range(1, STEPS + 1 if pages else 1):
-        some = [pages[i] for i in rng.integers(0, len(pages), BATCH)]
+        # Whole pages of like length, so that a long one does not pad all others: neighbours by length, less of them the longer they are.
+        at = int(rng.integers(0, len(pages)))
+        near = np.clip(at + rng.integers(-4 * BATCH, 4 * BATCH + 1, BATCH), 0, len(pages) - 1)
+        some = [pages[i] for i in near[:max(1, min(BATCH, 20_000 // len(pages[at][1])))]]
         x, mask = padded([p[0] for p in some])
         y = np.zeros_like(mask)
         for i, p in enumerate(some):
@@ -254,10 +293,9 @@ def fit(pages: list[tuple[np.ndarray, np.ndarray]], seed: int = 5) -> Labeller:
 
 def taught(page: list[Block]) -> np.ndarray | None:
     """1 for blocks in an article or main element and in no part named as boilerplate; None for pages without either."""
-    if not any(t in ("article", "main") for b in page for t in b.path):
+    if not any(b.path.main for b in page):
         return None
-    aside = {"." + n for n in BOILERPLATE} | set(ELEMENTS.values())
-    return np.array([float(any(t in ("article", "main") for t in b.path) and not any(t in aside for t in b.path)) for b in page], np.float32)
+    return np.array([float(b.path.main and not b.path.aside) for b in page], np.float32)
 
 
 def laid_out(texts: list[str], others: list[str], rng: np.random.Generator) -> tuple[list[Block], np.ndarray]:
@@ -275,7 +313,7 @@ def laid_out(texts: list[str], others: list[str], rng: np.random.Generator) -> t
         leaf = pick(((), ("p",), ("ul", "li"), ("ul", "li", "a"), ("div",), ("h2",), ("label",), ("span",)))
         for _ in range(rng.integers(1, 6)):
             text = pick(texts) if rng.random() < 0.5 else pick(others)
-            rows.append(Block(("html", "body", *base, *box, *leaf), text, len(text) if "a" in leaf else 0))
+            rows.append(Block(Path(tokens=("html", "body", *base, *box, *leaf)), text, len(text) if "a" in leaf else 0))
             y.append(0)
 
     def article() -> None:
@@ -285,14 +323,14 @@ def laid_out(texts: list[str], others: list[str], rng: np.random.Generator) -> t
         if rng.random() < 0.3:
             box += ("div", "." + pick(MAIN))
         if rng.random() < 0.8:
-            rows.append(Block(("html", "body", *outer, *box, pick(("h1", "h1", "h2"))), " ".join(pick(texts).split()[:12]), 0))
+            rows.append(Block(Path(tokens=("html", "body", *outer, *box, pick(("h1", "h1", "h2")))), " ".join(pick(texts).split()[:12]), 0))
             y.append(1)
         for _ in range(rng.integers(1, 12)):
             text = pick(texts)
             leaf = ("p",) if rng.random() < 0.75 else pick((("ul", "li"), ("blockquote",), ("h2",), ("h3",), ("pre",), ("div",), ("p", "b"), ("table", "tr", "td"), ("ol", "li"), ("figure", "figcaption"), ()))
             if leaf in (("h2",), ("h3",), ("ul", "li")) or rng.random() < 0.15:
                 text = " ".join(text.split()[:rng.integers(1, 8)])
-            rows.append(Block(("html", "body", *outer, *box, *leaf), text, 0))
+            rows.append(Block(Path(tokens=("html", "body", *outer, *box, *leaf)), text, 0))
             y.append(1)
             if rng.random() < 0.08:
                 part((*outer, *box))
@@ -310,7 +348,7 @@ def train(pages: DataFrame, seed: int = 3) -> Labeller:
     rng = np.random.default_rng(seed)
     rows, texts, others = [], [], []
     for r in some:
-        page = blocks(r["html"])[:120]
+        page = blocks(r["html"])
         y = taught(page)
         if y is not None:
             rows.append((vectors(page), y))
@@ -324,7 +362,11 @@ def train(pages: DataFrame, seed: int = 3) -> Labeller:
 
 
 def extracted(pages: DataFrame, model: Labeller | None = None) -> DataFrame:
-    """page_id, url, text, n_chars, n_blocks, n_kept for every row of ``pages(page_id, url, html)``; other columns are ignored."""
+    """page_id, url, text, n_chars, n_blocks, n_kept for every row of ``pages(page_id, url, html)``; other columns are ignored.
+
+    A null, empty or tag-only page gives the empty text; repeated pages and pages under null or equal ids give a row each,
+    and equal pages equal texts. Deeply nested and very long pages are read whole.
+    """
     model = model or train(pages)
     held = pages.sparkSession.sparkContext.broadcast(model.w)
 
@@ -336,8 +378,7 @@ def extracted(pages: DataFrame, model: Labeller | None = None) -> DataFrame:
                 x = [vectors(b) for b in cut]
                 text, kept = [""] * len(cut), [0] * len(cut)
                 order = sorted((i for i in range(len(cut)) if cut[i]), key=lambda i: len(cut[i]))
-                for lo in range(0, len(order), 64):  # pages of like length together
-                    group = order[lo:lo + 64]
+                for group in like_length(order, [len(b) for b in cut]):
                     scores = labeller.scores(*padded([x[i] for i in group]))
                     for j, i in enumerate(group):
                         main = [b.text for b, s in zip(cut[i], scores[:, j], strict=False) if s > 0]

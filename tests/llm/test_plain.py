@@ -437,3 +437,46 @@ def test_html(spark, small):
     assert {r.page_id: r.n_chars for r in got if r.page_id in (2, 3, 6)} == {2: 0, 3: 0, 6: 0}
     assert html.extracted(edge.limit(0), model).count() == 0
     assert " ".join(b.text for b in html.blocks("<p>" * 3000 + "x &amp;   y <foo")) == "x & y"
+
+
+def test_deep_and_long_pages_are_cut_in_linear_time():
+    import time
+
+    begin = time.time()
+    deep = html.blocks("<div class='box x'>w" * 20_000)
+    x = html.vectors(deep)
+    assert len(deep) == 20_000 and len(x) == 20_000
+    long = html.blocks("<main>" + "<p>some words</p></b>" * 50_000)
+    assert len(long) == 50_000 and time.time() - begin < 60
+    assert html.taught(long).all() and html.taught(deep) is None
+    few = html.blocks("<article><div class='a b'><ul class=c><li class=d>x")
+    tokens = ["article", "div", ".a", ".b", "ul", ".c", "li", ".d"]
+    want = np.zeros(html.PATH)
+    for k, t in enumerate(reversed(tokens)):
+        want[html._bucket(t, html.PATH)] += 1.0 if k < 6 else 0.6
+    assert np.allclose(html.vectors(few)[0, :html.PATH], want, atol=1e-5)
+
+
+def test_batches_of_pages_hold_a_bounded_number_of_blocks():
+    sizes = [1] * 100 + [300] * 10 + [50_000]
+    groups = list(html.like_length(list(range(len(sizes))), sizes))
+    assert [i for g in groups for i in g] == list(range(len(sizes)))
+    assert all(len(g) == 1 or len(g) <= 64 and len(g) * max(sizes[i] for i in g) <= 20_000 for g in groups) and groups[-1] == [110]
+
+
+def test_redaction_of_very_many_overlapping_spans(spark):
+    rng = np.random.default_rng(1)
+    text = "".join(chr(97 + i % 26) if i % 50 else "é" for i in range(60_000))
+    starts = np.sort(rng.choice(59_000, 3000, replace=False))
+    spans = [(int(a), int(a + rng.integers(1, 60))) for a in starts]
+    kinds = (*pii.BASE, *pii.EXTRA)
+    held = {k: [spans[i] for i in range(len(spans)) if i % len(kinds) == j] for j, k in enumerate(kinds)}
+    fields = ", ".join(f"{k}: array<struct<start: bigint, end: bigint>>" for k in kinds)
+    df = spark.createDataFrame([(1, text, tuple(held[k] for k in kinds)), (2, "plain", tuple([] for _ in kinds))], f"doc_id long, text string, pii struct<{fields}>")
+    out, at = [], 0
+    for a, b, k in sorted((a, b, k.upper()) for k in kinds for a, b in held[k]):
+        if a >= at:
+            out += [text[at:a], f"[{k}]"]
+        at = max(at, b)
+    want = {1: "".join(out) + text[at:], 2: "plain"}
+    assert {r.doc_id: r.text for r in pii.redacted(df).collect()} == want
