@@ -273,14 +273,14 @@ def redacted(found: DataFrame) -> DataFrame:
     def tagged(kind: str) -> Column:
         return F.transform(f"pii.{kind}", lambda s: F.struct(s["start"].cast("int").alias("start"), s["end"].cast("int").alias("end"), F.lit(f"[{kind.upper()}]").alias("tag")))
 
-    rows = found.withColumn("_s", F.array_sort(F.concat(*[tagged(k) for k in (*BASE, *EXTRA)])))
-    runs = F.transform(F.sequence(F.lit(0), F.greatest((F.size("_s") - 1).cast("int"), F.lit(0)), F.lit(RUN)), lambda i: F.slice("_s", i + 1, F.lit(RUN)))
-    ends = F.transform("_r", lambda r: F.array_max(F.transform(r, lambda s: s["end"])))
-    rows = rows.withColumn("_r", runs).withColumn("_e", ends)
+    rows = found.withColumn("_pii_spans", F.array_sort(F.concat(*[tagged(k) for k in (*BASE, *EXTRA)])))
+    runs = F.transform(F.sequence(F.lit(0), F.greatest((F.size("_pii_spans") - 1).cast("int"), F.lit(0)), F.lit(RUN)), lambda i: F.slice("_pii_spans", i + 1, F.lit(RUN)))
+    ends = F.transform("_pii_runs", lambda r: F.array_max(F.transform(r, lambda s: s["end"])))
+    rows = rows.withColumn("_pii_runs", runs).withColumn("_pii_ends", ends)
 
     def replaced(run: Column, i: Column) -> Column:
-        begin = F.coalesce(F.array_max(F.slice("_e", F.lit(1), i)), F.lit(0))
-        end = F.greatest(begin, F.element_at("_e", i + 1))
+        begin = F.coalesce(F.array_max(F.slice("_pii_ends", F.lit(1), i)), F.lit(0))
+        end = F.greatest(begin, F.element_at("_pii_ends", i + 1))
         stretch = F.substr(F.col("text"), begin + 1, end - begin)
 
         def step(acc: Column, s: Column) -> Column:
@@ -292,6 +292,6 @@ def redacted(found: DataFrame) -> DataFrame:
         start = F.struct(begin.alias("begin"), stretch.alias("of"), begin.alias("at"), F.lit("").alias("out"))
         return F.aggregate(run, start, step, lambda acc: acc["out"])
 
-    last = F.array_max("_e")
-    out = F.concat(F.array_join(F.transform("_r", replaced), ""), F.substr(F.col("text"), last + 1, F.length("text")))
-    return rows.withColumn("text", F.when(F.size("_s") > 0, out).otherwise(F.col("text"))).drop("pii", "_s", "_r", "_e")
+    last = F.array_max("_pii_ends")
+    out = F.concat(F.array_join(F.transform("_pii_runs", replaced), ""), F.substr(F.col("text"), last + 1, F.length("text")))
+    return rows.withColumn("text", F.when(F.size("_pii_spans") > 0, out).otherwise(F.col("text"))).drop("pii", "_pii_spans", "_pii_runs", "_pii_ends")
