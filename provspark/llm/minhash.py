@@ -11,8 +11,10 @@
    the full sets are compared and linked.
 4. Lists whose sets are not all connected by then are tiles, cut into blocks of bounded size. In a tile all pairs of sets
    that are not connected, of sizes that may link, are estimated from the union of their sketches; sets with a partner
-   that passes meet again with their full sets. A pair is looked at only in the list of its first common value.
-   The first look takes the upper halves of the values, with a margin that lets all pass which whole values would. Nothing is emitted per pair but links, and of those at most one less than sets in a tile.
+   that passes meet again with their full sets. Links come from the list of a pair's first common value only.
+   A first look takes a bitmap of the sketch, whose common bits bound the common values from above; what has a partner there
+   is looked at with the upper halves of the values, with a margin that lets all pass which whole values would. Nothing is
+   emitted per pair but links, and of those at most one less than sets in a tile.
 """
 
 from __future__ import annotations
@@ -34,6 +36,8 @@ SHINGLE, K, SHARED = 2, 64, 28
 BLOCK, PIVOTS = 1000, 12
 #: A band of sizes is a factor of 1.25 to this power wide. Ranks that upper halves of values may be wrong by.
 WIDTH, SLACK = 1, 2
+#: Bits of a sketch's bitmap.
+SIGNATURE = 512
 
 
 def shingle_sets(texts: list[str | None], cache: WordHash, width: int = SHINGLE) -> list[np.ndarray]:
@@ -121,6 +125,23 @@ def may_link(n: int, s: np.ndarray, ns: np.ndarray, sketches: np.ndarray, slack:
     return np.where(ns <= K, exact, estimated) if n <= K else estimated
 
 
+def bitmaps(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """A row of ``SIGNATURE`` bits, packed, for each sketch: the bits that its values' last digits name."""
+    table = np.zeros((len(offsets) - 1, SIGNATURE), bool)
+    table[np.repeat(np.arange(len(table)), np.diff(offsets)), (values & values.dtype.type(SIGNATURE - 1)).astype(np.int64)] = True
+    return np.packbits(table, axis=1)
+
+
+def may_share(n: int, bits: np.ndarray, ns: np.ndarray, table: np.ndarray, slack: int = 0) -> np.ndarray:
+    """Which of the sets of size ``ns`` and bitmap ``table`` (rows of 64-bit words) share enough retained values with one of
+    size ``n`` for a link. Values that fall on a bit of another one of their sketch may hide, no others: common bits and the
+    hidden values of the sketch that has fewer bound the common values from above."""
+    hidden = np.minimum(ns, K) - np.bitwise_count(table).sum(1, dtype=np.int64)
+    own = min(n, K) - int(np.bitwise_count(bits).sum(dtype=np.int64))
+    most = np.bitwise_count(table & bits).sum(1, dtype=np.int64) + np.minimum(hidden, own)
+    return np.where(np.maximum(ns, n) <= K, 9 * most >= 4 * (n + ns), most >= SHARED - slack)
+
+
 def _candidates(rows: list[dict], kind: type = np.uint64) -> Iterator[tuple[int, int]]:
     """Pairs of rows of a tile that may link, are not connected yet and belong to this tile.
 
@@ -135,17 +156,57 @@ def _candidates(rows: list[dict], kind: type = np.uint64) -> Iterator[tuple[int,
     kinds = {c: i for i, c in enumerate(dict.fromkeys(r["comp"] for r in rows))}
     comp = np.array([kinds[r["comp"]] for r in rows])
     home, block = np.array([r["home"] for r in rows]), np.array([r["block"] for r in rows])
-    # Values with a list, least first as unsigned numbers; ``v`` as well.
-    posted = [table[i, np.flatnonzero(r["posted"] >> np.arange(K) & 1)] for i, r in enumerate(rows)]
+    posted = (np.array([r["posted"] for r in rows], np.int64).view(np.uint64)[:, None] >> np.arange(K, dtype=np.uint64) & np.uint64(1)).astype(bool)
     one, v = len(set(block.tolist())) == 1, np.int64(rows[0]["v"]).view(np.uint64)
-    v = v >> np.uint64(32) if kind is np.uint32 else v
+    # Values with a list that come before this tile's, as unsigned numbers.
+    before = posted & (table < kind(v >> np.uint64(32) if kind is np.uint32 else v))
+    length = np.minimum(n, K)
+    bits = bitmaps(table[np.arange(K) < length[:, None]], np.concatenate([[0], np.cumsum(length)])).view(np.uint64)
     for i in range(len(rows)):
         js = np.arange(i + 1, len(rows))
         ok = (comp[js] != comp[i]) & (home[js] | home[i]) & (5 * np.minimum(n[js], n[i]) >= 4 * np.maximum(n[js], n[i])) & (one | (block[js] != block[i]))
-        if len(js := js[ok]):
+        js = js[ok]
+        if len(js):
+            js = js[may_share(int(n[i]), bits[i], n[js], bits[js], slack)]
+        if len(js) and len(earlier := table[i, before[i]]):
+            at = np.minimum(np.searchsorted(earlier, table[js]), len(earlier) - 1)
+            js = js[(before[js] & (earlier[at] == table[js])).sum(1) < firsts]
+        if len(js):
             for j in js[may_link(int(n[i]), table[i, :min(K, n[i])], n[js], table[js], slack)].tolist():
-                if v in np.intersect1d(posted[i], posted[j])[:firsts]:
-                    yield i, j
+                yield i, j
+
+
+def _signed(at: int):
+    """The sketch, column ``at`` of the rows, becomes its bitmap."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sketch = batch.column(at)
+            values = sketch.flatten().to_numpy(zero_copy_only=False)
+            bits = pa.array([r.tobytes() for r in bitmaps(values, sketch.offsets.to_numpy())], pa.binary())
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(at)], bits], [*batch.schema.names[:at], "bits"])
+
+    return run
+
+
+LOOK = ["tile", "block", "home", "sid", "kind", "n", "bits"]
+
+
+def _noticed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of a tile that have a partner there by bitmaps: LOOK -> tile, sid."""
+    def found(rows: list[tuple]) -> list[tuple]:
+        block, home, kind, n = (np.array([r[i] for r in rows]) for i in (1, 2, 4, 5))
+        table = np.stack([np.frombuffer(r[6], np.uint64) for r in rows])
+        one, seen = (block == block[0]).all(), np.zeros(len(rows), bool)
+        for i in range(len(rows) - 1):
+            later = slice(i + 1, None)
+            js = i + 1 + np.flatnonzero((kind[later] != kind[i]) & (home[later] | home[i]) & (5 * np.minimum(n[later], n[i]) >= 4 * np.maximum(n[later], n[i]))
+                                        & (one | (block[later] != block[i])))
+            if len(js) and len(js := js[may_share(int(n[i]), table[i], n[js], table[js])]):
+                seen[i] = seen[js] = True
+        return [(rows[i][0], rows[i][3]) for i in np.flatnonzero(seen).tolist()]
+
+    for out in tile_groups(batches, found):
+        yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in out], pa.int64()), pa.array([s for _, s in out], pa.binary())], ["tile", "sid"])
 
 
 TILE = ["tile", "v", "block", "home", "sid", "comp", "n", "posted", "sketch"]
@@ -266,8 +327,11 @@ def set_links(texts: DataFrame, sets: DataFrame, scratch: Scratch, block: int =
     bits = F.expr("aggregate(transform(sketch, (x, i) -> if(array_contains(posted, x), shiftleft(1L, i), 0L)), 0L, (a, b) -> a | b)")
     known = labelled.select("sid", "n", "comp", "posted").join(sets.select("sid", "sketch"), "sid").select("sid", "n", "comp", bits.alias("posted"), "sketch")
     dealt = lambda df: df.repartition("tile").sortWithinPartitions("tile")
+    signed = known.select("sid", F.xxhash64("comp").alias("kind"), "n", "sketch").mapInArrow(_signed(3), "sid binary, kind long, n long, bits binary")
+    noticed = scratch.put(dealt(rows.drop("v").join(signed, "sid").select(LOOK)).mapInArrow(_noticed, "tile long, sid binary"), "noticed")
     halves = known.withColumn("sketch", F.expr("transform(sketch, x -> cast(shiftright(x, 32) as int))"))
-    some = scratch.put(dealt(rows.join(halves, "sid").select(TILE)).mapInArrow(_promising, "tile long, sid binary"), "promising")
+    likely = rows.join(noticed, ["tile", "sid"], "left_semi").join(halves, "sid")
+    some = scratch.put(dealt(likely.select(TILE)).mapInArrow(_promising, "tile long, sid binary"), "promising")
     exact = rows.join(some, ["tile", "sid"], "left_semi").join(known, "sid")
     met = scratch.put(some.select("sid").distinct().join(posted.select("sid", "t64"), "sid"), "open_sets")
     full = full_sets(texts, met, scratch, "open_full")

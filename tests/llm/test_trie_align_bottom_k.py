@@ -201,3 +201,6 @@ def test_union_sketch_lets_linked_sets_pass():
             table = np.full((1, minhash.K), np.iinfo(np.uint64).max, np.uint64)
             table[0, :min(minhash.K, len(t))] = t[:minhash.K]
             assert minhash.may_link(len(s), s[:minhash.K], np.array([len(t)]), table)[0] or not minhash.linked(s, t)
+            sketches = [u[:minhash.K] for u in (s, t)]
+            bits = minhash.bitmaps(np.concatenate(sketches), np.cumsum([0, *map(len, sketches)])).view(np.uint64)
+            assert minhash.may_share(len(s), bits[0], np.array([len(t)]), bits[1:])[0] or not minhash.linked(s, t)
