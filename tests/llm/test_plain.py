@@ -480,3 +480,10 @@ def test_redaction_of_very_many_overlapping_spans(spark):
         at = max(at, b)
     want = {1: "".join(out) + text[at:], 2: "plain"}
     assert {r.doc_id: r.text for r in pii.redacted(df).collect()} == want
+
+
+def test_segmentations_of_the_whole_table_give_its_texts_back(spark):
+    from provspark.llm.queries import QUERIES
+
+    rows = QUERIES["op7_gumbel_pieces"](spark, "/root/testdata/sf0.001").select("sample", "gives_text_back").collect()
+    assert {r.sample for r in rows} == {1, 2} and all(r.gives_text_back for r in rows)
