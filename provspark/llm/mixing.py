@@ -6,9 +6,10 @@ side was taken; each gives a log-odds. Weights picked by a gate (the decision's
 combine them, and a table over the combined log-odds and the last byte refines the result. As a text fixes all
 decisions, the bits of all bytes and the end sum to a probability over texts.
 
-The weights and the refinement are fitted on one training text in ``DEV``, all of its bytes, with tables that count the
-other training texts: fixed numbers of Newton rounds, each one pass that sums gradients and curvatures per gate or level.
-Then the tables count these texts too. Scores depend on a text and the model alone.
+The weights and the refinement are fitted on all training texts, all of their bytes. Texts are in one of two halves, and each
+half is coded with tables that count the other one, so no text meets its own counts: fixed numbers of Newton rounds, each
+one pass over either half that sums gradients and curvatures per gate or level. Then the tables count both halves. Scores
+depend on a text and the model alone.
 
 The base score is a unigram with add-one smoothing over all training texts. Counts of the ``HOT`` most frequent tokens
 are looked up where the text is; the others meet their counts in a join, so the vocabulary may have any size.
@@ -40,7 +41,8 @@ POWER = 0x9E3779B97F4A7C15
 POWER_BACK = pow(POWER, -1, 1 << 64)
 #: Slots of each order's table, as powers of two; fixed, so the model's size is too. Slots that travel in one row.
 SLOTS, CHUNK = (16, 18, 19, 20, 22), 8192
-DEV = 53
+#: Texts whose crc32 is a multiple of this are the first half, the others the second.
+DEV = 2
 #: Newton rounds of the weights and of the refinement, ridges towards where they start, which few texts do not overcome, and the largest step.
 WEIGHT_ROUNDS, REFINE_ROUNDS, WEIGHT_RIDGE, REFINE_RIDGE, STEP = 4, 2, 1000.0, 100.0, 0.5
 START = 0.3
@@ -198,14 +200,12 @@ class Model:
                 x, gate = self.inputs(hashes, number, node)
                 p = 1 / (1 + np.exp(-self.mixed(x, gate).astype(np.float64)))
                 miss, curve = often * (side - p), often * p * (1 - p)
-                for o in range(TABLES):
-                    out[o] += np.bincount(gate, weights=miss * x[o], minlength=GATES)
-                    bent = curve * x[o]
-                    for q in range(o, TABLES):
-                        both = np.bincount(gate, weights=bent * x[q], minlength=GATES)
-                        out[TABLES + o * TABLES + q] += both
-                        if q > o:
-                            out[TABLES + q * TABLES + o] += both
+                order = np.argsort(gate.astype(np.uint8), kind="stable")
+                gates, first = np.unique(gate[order], return_index=True)
+                x, miss, curve = x[:, order].astype(np.float64), miss[order], curve[order]
+                for g, a, b in zip(gates.tolist(), first.tolist(), [*first[1:].tolist(), len(order)], strict=True):
+                    out[:TABLES, g] += x[:, a:b] @ miss[a:b]
+                    out[TABLES:, g] += ((x[:, a:b] * curve[a:b]) @ x[:, a:b].T).ravel()
         return out.ravel()
 
     def refine_sums(self, key: np.ndarray, word: np.ndarray, times: np.ndarray) -> np.ndarray:
@@ -246,8 +246,8 @@ def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of a task's counts: (0, token, times) and (order, chunk of slots, packed counts), those of the texts that
-    the weights learn from under orders above ``TABLES``."""
+    """Rows of a task's counts: (0, token, times) and (order, chunk of slots, packed counts), those of the first half of
+    the texts under orders above ``TABLES``."""
     zeros, ones = ([np.zeros(1 << s, np.int32) for s in SLOTS * 2] for _ in range(2))
     tokens: Counter = Counter()
     names = ["kind", "chunk", "token", "times", "counts"]
@@ -338,42 +338,51 @@ def _tables(counted: DataFrame) -> tuple[list[np.ndarray], np.ndarray]:
     return odds, seen
 
 
-def fit(texts: DataFrame, model: Model) -> None:
-    """Newton rounds of the weights, then of the refinement, over all of ``texts(text)``."""
-    tables = texts.sparkSession.sparkContext.broadcast((model.odds, model.seen))
+def fit(texts: DataFrame, model: Model, *others: tuple[DataFrame, Model]) -> None:
+    """Newton rounds of the weights, then of the refinement, over all of ``texts(text)`` with the tables of ``model``.
+
+    ``others`` are further texts with the models whose tables code them; their sums join those of ``texts``.
+    """
+    spark = texts.sparkSession
+    parts = [(t, spark.sparkContext.broadcast((m.odds, m.seen))) for t, m in ((texts, model), *others)]
 
     def round_of(name: str, size: int) -> np.ndarray:
         weights, refine = model.weights, model.refine
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            lm, total = Model(*tables.value, weights, refine), np.zeros(size, np.int64)
-            for batch in batches:
-                for _, _, chunk in in_chunks(batch, "text", TEXT_CHARS):
-                    code, key, word = distinct(*grams(*byte_stream(chunk)))
-                    total += np.rint(getattr(lm, name)(key, word, np.bincount(code)) * UNIT).astype(np.int64)
-            some = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some], pa.int64())], ["place", "total"])
+        def summed(tables):
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                lm, total = Model(*tables.value, weights, refine), np.zeros(size, np.int64)
+                for batch in batches:
+                    for _, _, chunk in in_chunks(batch, "text", TEXT_CHARS):
+                        code, key, word = distinct(*grams(*byte_stream(chunk)))
+                        total += np.rint(getattr(lm, name)(key, word, np.bincount(code)) * UNIT).astype(np.int64)
+                some = np.flatnonzero(total)
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some], pa.int64())], ["place", "total"])
+
+            return run
 
         sums = np.zeros(size)
-        for r in texts.mapInArrow(run, "place int, total long").groupBy("place").agg(F.sum(F.col("total").cast("decimal(38,0)")).alias("total")).collect():
-            sums[r["place"]] = float(r["total"]) / UNIT
+        for t, tables in parts:  # one after the other, so a task holds the tables of one part
+            for r in t.mapInArrow(summed(tables), "place int, total long").groupBy("place").agg(F.sum(F.col("total").cast("decimal(38,0)")).alias("total")).collect():
+                sums[r["place"]] += float(r["total"]) / UNIT
         return sums
 
     for _ in range(WEIGHT_ROUNDS):
         model.step_weights(round_of("weight_sums", (TABLES + TABLES * TABLES) * GATES))
     for _ in range(REFINE_ROUNDS):
         model.step_refine(round_of("refine_sums", 2 * len(model.refine)))
-    tables.unpersist()
+    for _, tables in parts:
+        tables.unpersist()
 
 
 def train(docs: DataFrame, scratch: Scratch) -> tuple[Model, DataFrame]:
     """The model, and token, c of all training tokens."""
     part = docs.select(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("crc"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where(F.col("crc") % FOLDS != HELD)
-    dev = F.col("crc") % DEV == 0
-    counted = scratch.put(part.select("text", dev.alias("dev")).mapInArrow(_count, "kind int, chunk int, token binary, times long, counts binary"), "counted")
+    first = F.col("crc") % DEV == 0
+    counted = scratch.put(part.select("text", first.alias("first")).mapInArrow(_count, "kind int, chunk int, token binary, times long, counts binary"), "counted")
     counts = scratch.put(counted.where("kind = 0").groupBy("token").agg(F.sum("times").alias("c")), "tokens")
     model = Model.of(*_tables(counted.where(F.col("kind") <= TABLES)))
-    fit(scratch.put(part.where(dev).select("text"), "dev"), model)
+    fit(part.where(first).select("text"), model, (part.where(~first).select("text"), Model.of(*_tables(counted.where(F.col("kind") > TABLES)))))
     model.odds, model.seen = _tables(counted)
     model.tokens, model.vocabulary = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     return model, counts

@@ -249,6 +249,24 @@ def test_mixing_weights_learn_from_every_text(spark):
     assert np.allclose(parts.weights, plainly.weights, atol=1e-3) and np.allclose(parts.refine, plainly.refine, atol=1e-3)
 
 
+def test_mixing_fits_every_training_text_apart_from_its_own_counts(spark, monkeypatch):
+    """Both halves are fitted, each with the tables that count the other one; held-out texts with none."""
+    rows = [(i, f"text {chr(0x4E00 + i)} of its own") for i in range(300)]
+    seen = []
+
+    def fit(texts, model, *others):
+        for part, lm in ((texts, model), *others):
+            got = [r.text for r in part.collect()]
+            codes, words = mixing.grams(*mixing.byte_stream(got))
+            known = [lm.odds[3][mixing.slots(mixing.contexts(codes, words)[3], mixing.spread(node), 3)] for _, node, _ in mixing.decisions(codes)]
+            seen.append((got, float(np.mean(np.stack(known) != 0))))
+
+    monkeypatch.setattr(mixing, "fit", fit)
+    mixing.scored(make(spark, rows))
+    assert sorted(t for part, _ in seen for t in part) == sorted(t for i, t in rows if plain.crc(i) % mixing.FOLDS != mixing.HELD)
+    assert len(seen) == 2 and all(0.3 < share < 0.95 for _, share in seen)
+
+
 def test_mixing_long_and_empty(spark, nothing):
     assert mixing.scored(nothing).count() == 0
     rows = mixing.scored(make(spark, [(2, "x" * 200_000), (None, None), (2, "")])).collect()
