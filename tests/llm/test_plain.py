@@ -390,6 +390,33 @@ def test_quality_edges(spark, nothing, docs):
     assert quality.kept(docs, labels).columns == docs.columns
 
 
+def test_quality_minimises_the_loss_of_all_pairs(spark):
+    """More pairs than were ever drawn; the gradient over all of them, listed, is nothing at the fitted weights."""
+    rng = np.random.default_rng(5)
+    y = (rng.random(900) < 0.6).astype(int)
+    x = rng.normal(0, 1, (900, quality.WIDTH)) * (np.arange(quality.WIDTH) % 5) + 0.7 * y[:, None] * (np.arange(quality.WIDTH) % 3 == 0)
+    rows = spark.createDataFrame([(int(b), a.tolist()) for a, b in zip(x, y)], "quality int, x array<double>")
+    model = quality.fit(rows.repartition(5))
+    assert np.allclose(model.mean, x.mean(0), atol=1e-5) and np.allclose(model.scale, x.std(0) + 1e-3, atol=1e-5)
+    z, s = (x - model.mean) / model.scale, model.strength(x)
+    p = 1 / (1 + np.exp(s[y == 1][:, None] - s[y == 0][None, :]))
+    gradient = (p.mean(0) @ z[y == 0]) / (y == 0).sum() - (p.mean(1) @ z[y == 1]) / (y == 1).sum() + quality.DECAY * model.weights
+    assert np.abs(gradient).max() < 1e-3 < np.abs(z[y == 0].mean(0) - z[y == 1].mean(0)).max() / 2
+    share = (y == 0).mean()
+    least = min(((s >= c) != (y == 1)).sum() for c in np.quantile(s, np.clip(share * np.linspace(0.7, 1.3, 121), 0, 1)))
+    assert ((s >= model.cut) != (y == 1)).sum() <= least + 1 and abs(model.spread - s.std()) < 1e-3
+    again = quality.fit(rows.repartition(2))
+    assert (model.weights == again.weights).all() and model.cut == again.cut
+
+
+def test_quality_learns_from_every_labelled_row(spark, monkeypatch):
+    rows = [(i, f"{i} words") for i in range(26_000)]
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda got: seen.append(got.count()))
+    quality.train(make(spark, rows), spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, quality int"))
+    assert seen == [sum(plain.crc(i) % quality.FOLDS != 0 for i, _ in rows)] and seen[0] > 20_000
+
+
 def test_pieces_round_trip_and_differ(docs, texts):
     model = pieces.model_bytes()
     rows = pieces.sampled(docs, model, 3, keep=("doc_id", "rank", "score"))
