@@ -223,7 +223,7 @@ def pair_geometry_gate(pairs: DataFrame, correspondences: DataFrame, features: D
 
 # One flow: candidates, descriptor matching, homography, gate ---------------------------------------------------------
 
-# Tables of sampled descriptor bits, bits of a key, and the keys a candidate has to share. With 24 true matches at 50 of
+# Tables of sampled descriptor bits, bits of a table, and the tables' bits a candidate has to share. With 24 true matches at 50 of
 # 256 differing bits some 7 keys are shared; two images of 1500 keypoints share 0.8 by chance.
 TABLES, KEY_BITS, MIN_SHARED = 48, 32, 3
 # Fixed value: distance in pixels up to which a match agrees with a homography. Samples drawn for each pair.
@@ -231,42 +231,56 @@ REPROJECTION = 3.0
 SAMPLES = 1000
 
 
-def _sampled_keys(keypoints: DataFrame, image: str, probe: bool) -> DataFrame:
-    """``(image, key)``: for each table the sampled bits of every descriptor, as ``probe`` with up to one flipped; a row may repeat."""
+def _sampled_keys(keypoints: DataFrame, image: str) -> DataFrame:
+    """``(image, key, rest)``: for each table the sampled bits of every descriptor less one of their four bytes, and that byte.
+
+    ``key`` names the table, the byte left out and the 24 other bits. A row may repeat.
+    """
     tables, bits = TABLES, KEY_BITS
 
     # Local, so that it travels to the workers by value and they need not import this package.
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rng = np.random.default_rng(7)
         places = [np.sort(rng.choice(256, bits, replace=False)) for _ in range(tables)]
-        flips = np.array([0] + [1 << b for b in range(bits)] if probe else [0], np.int64)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 words = np.stack([part.column(i).to_numpy() for i in range(1, 5)], axis=1)
                 on = np.unpackbits(np.ascontiguousarray(words).view(np.uint8), axis=1)
-                value = np.stack([np.ascontiguousarray(np.packbits(on[:, p], axis=1)).view(">u4")[:, 0].astype(np.int64) | t << 32 for t, p in enumerate(places)], axis=1)
-                every = (value[:, :, None] ^ flips).reshape(len(value), -1)
-                images = np.repeat(part.column(0).to_numpy(), every.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(images), pa.array(every.ravel())], [image, "key"])
+                value = np.stack([np.ascontiguousarray(np.packbits(on[:, p], axis=1)).view(">u4")[:, 0].astype(np.int64) for p in places], axis=1)
+                name = np.arange(tables, dtype=np.int64) << 26
+                key = np.stack([name | g << 24 | value >> 8 * g + 8 << 8 * g | value & (1 << 8 * g) - 1 for g in range(4)], axis=2)
+                rest = np.stack([value >> 8 * g & 255 for g in range(4)], axis=2)
+                images = np.repeat(part.column(0).to_numpy(), 4 * tables)
+                yield pa.RecordBatch.from_arrays([pa.array(images), pa.array(key.ravel()), pa.array(rest.ravel().astype(np.int16))], [image, "key", "rest"])
 
     whole = keypoints.filter("d0 is not null and d1 is not null and d2 is not null and d3 is not null")
     rows = whole.select(F.col("image_id").cast("bigint").alias("image_id"), *[F.col(d).cast("bigint").alias(d) for d in ("d0", "d1", "d2", "d3")])
-    return rows.mapInArrow(keys, f"{image} bigint, key bigint")
+    return rows.mapInArrow(keys, f"{image} bigint, key bigint, rest smallint")
 
 
 def probed_candidates(queries: DataFrame, keypoints: DataFrame, usable: DataFrame, min_shared: int = MIN_SHARED) -> DataFrame:
-    """``(query_id, candidate_id, shared)`` by multi-probe hashing of sampled descriptor bits.
+    """``(query_id, candidate_id, shared)`` by hashing of sampled descriptor bits, up to one of which may differ.
 
     ``queries(query_id, registry_id)`` name the images whose keypoints are looked up; candidates are the images of
-    ``usable(image_id)``. A key is 32 sampled bits of a descriptor; a query's descriptors are looked up as they are and
-    with any one of those bits flipped. Repeated descriptors of an image count once. Pairs that share ``min_shared`` keys stay.
+    ``usable(image_id)``. A descriptor has 32 sampled bits in each table; one that differs lies in one of their four bytes, so
+    the bits meet by the other three and the byte left out decides. Pairs that share the bits of ``min_shared`` different
+    descriptors or tables of the candidate stay; what repeats in an image counts once.
     """
-    mine = _sampled_keys(keypoints.join(queries.select(F.col("query_id").alias("image_id")), "image_id", "left_semi"), "query_id", True)
-    theirs = _sampled_keys(keypoints.join(usable.select("image_id"), "image_id", "left_semi"), "candidate_id", False).distinct()
-    # Probes are many more than keys: a hash table of each partition of keys spares sorting them.
-    met = mine.join(theirs.hint("shuffle_hash"), "key").filter("query_id <> candidate_id")
-    shared = met.groupBy("query_id", "candidate_id").agg(F.count_distinct("key").alias("shared")).filter(F.col("shared") >= min_shared)
+    spark = keypoints.sparkSession
+    mine = _sampled_keys(keypoints.join(queries.select(F.col("query_id").alias("image_id")), "image_id", "left_semi"), "query_id")
+    theirs = _sampled_keys(keypoints.join(usable.select("image_id"), "image_id", "left_semi"), "candidate_id")
+    # Four keys for each of a table's bits: as many more partitions, whose keys are distinct where they are joined.
+    partitions = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    theirs = theirs.withColumnRenamed("rest", "their_rest").repartition(partitions, "key").distinct()
+    # A hash table of each partition of keys spares sorting them.
+    off, byte = F.col("rest").bitwiseXOR(F.col("their_rest")), F.shiftright("key", 24).bitwiseAND(3)
+    same = (off == 0) & (byte == 0)  # equal bits meet by all four bytes
+    met = mine.join(theirs.hint("shuffle_hash"), "key").filter((F.col("query_id") != F.col("candidate_id")) & (same | (F.bit_count(off) == 1)))
+    whole = F.expr("""shiftleft(shiftright(key, 26), 32) | shiftleft(shiftright(key & 16777215L, at), at + 8)
+                      | shiftleft(cast(their_rest as bigint), at) | (key & (shiftleft(1L, at) - 1L))""")
+    met = met.withColumn("at", (8 * byte).cast("int")).select("query_id", "candidate_id", whole.alias("bits"))
+    shared = met.groupBy("query_id", "candidate_id").agg(F.count_distinct("bits").alias("shared")).filter(F.col("shared") >= min_shared)
     return shared.join(queries.select("query_id", "registry_id"), "query_id").filter("candidate_id <> registry_id").drop("registry_id")
 
 

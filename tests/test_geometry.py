@@ -318,6 +318,45 @@ def test_candidates_by_probing_reach_most_true_pairs(spark, flips):
     assert len(got - true) <= 20
 
 
+def test_probed_candidates_equal_probing_with_every_flip(spark):
+    """Shared bits counted one by one, also of repeated and of nearly equal descriptors; few rows of keys for a descriptor."""
+    rng = np.random.default_rng(11)
+    rows = []
+    base = rng.integers(0, 256, (12, 32), dtype=np.uint8)
+    for image in range(14):
+        for k in range(10):
+            bits = np.unpackbits(base[rng.integers(12)])
+            bits[rng.choice(256, int(rng.integers(0, 70)), replace=False)] ^= 1
+            d = np.packbits(bits).view(np.int64).tolist()
+            rows += [(image, 2 * k, *d), (image, 2 * k + 1, *d)] if k < 2 else [(image, 2 * k, *d)]
+    rows.append((3, 99, None, 1, 2, 3))
+    keypoints = spark.createDataFrame(rows, "image_id bigint, kp_idx bigint, d0 bigint, d1 bigint, d2 bigint, d3 bigint")
+    queries = spark.createDataFrame([(i, 5 if i == 7 else i) for i in range(0, 14)], "query_id bigint, registry_id bigint")
+    usable = spark.createDataFrame([(i,) for i in range(2, 14)], "image_id bigint")
+    draws = np.random.default_rng(7)
+    places = [np.sort(draws.choice(256, LM.KEY_BITS, replace=False)) for _ in range(LM.TABLES)]
+    keys = {}
+    for image, _, *d in rows:
+        if d[0] is not None:
+            on = np.unpackbits(np.array(d, np.int64).view(np.uint8))
+            keys.setdefault(image, set()).update((t, tuple(on[p].tolist())) for t, p in enumerate(places))
+    want = {}
+    for q in range(14):
+        for c in range(2, 14):
+            n = sum(any(t == u and sum(x != y for x, y in zip(a, b)) <= 1 for u, a in keys[q]) for t, b in keys[c])
+            if c not in (q, 5 if q == 7 else q) and n >= LM.MIN_SHARED:
+                want[q, c] = n
+    got = {(r.query_id, r.candidate_id): r.shared for r in LM.probed_candidates(queries, keypoints, usable).collect()}
+    assert got == want and len(want) > 20
+    made = []
+    whole, LM._sampled_keys = LM._sampled_keys, lambda *a: made.append(whole(*a)) or made[-1]
+    try:
+        LM.probed_candidates(queries, keypoints, usable)
+    finally:
+        LM._sampled_keys = whole
+    assert sum(m.count() for m in made) <= 400 * len(rows)
+
+
 def test_local_matches_from_descriptors_to_verdict(spark):
     rng = np.random.default_rng(3)
     rows = []
