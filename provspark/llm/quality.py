@@ -173,7 +173,7 @@ def fit(rows: DataFrame) -> BradleyTerry:
             for label in (0, 1):
                 a, t = z[y == label], s[y == label]
                 by = np.interp(t, centres, slope[label])[:, None] * a
-                twice = (np.interp(t, centres, bend[label])[:, None, None] * a[:, :, None] * a[:, None, :]).reshape(len(a), -1)
+                twice = (np.interp(t, centres, bend[label])[:, None, None] * a[:, :, None] * a[:, None, :]).reshape(len(a), WIDTH * WIDTH)
                 yield label * len(places) + places, np.concatenate([_whole(by).sum(0), _whole(twice).sum(0)])
                 at = 2 * len(places) + (label * COARSE + _bin(t, -SPAN, SPAN, COARSE)) * WIDTH
                 yield at[:, None] + np.arange(WIDTH), _whole(a)
@@ -239,16 +239,18 @@ def _figure_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for begin, end, texts in in_chunks(batch, "text"):
             x = [figures(t) for t in texts]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(begin, end - begin) for i in (0, 1)), pa.array(x, pa.list_(pa.float64()))], ["_id", "quality", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, end - begin), pa.array(x, pa.list_(pa.float64()))], ["doc_id", "x"])
 
 
 def train(docs: DataFrame, labels: DataFrame) -> BradleyTerry:
     """Learn from all labelled documents outside the held-out fold."""
     kept = labels.select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("quality")).where("quality in (0, 1) and _id is not null") \
         .where(remainder(F.col("_id"), FOLDS) != 0).groupBy("_id").agg(F.min("quality").alias("quality"))
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(kept, F.col("doc_id") == F.col("_id")).select("_id", "quality", "text")
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.col("doc_id").isNotNull() & (remainder(F.col("doc_id"), FOLDS) != 0))
+    # Figures come before the join, so no text is shuffled; the join is the same whatever the number of labels.
+    figured = rows.mapInArrow(_figure_rows, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, x array<double>")
+    seen = figured.join(kept.hint("merge"), F.col("doc_id") == F.col("_id")).select("_id", "quality", "x")
     # One text for each labelled id, so repeated ids do not crowd others out.
-    seen = rows.mapInArrow(_figure_rows, f"_id {kept.schema['_id'].dataType.simpleString()}, quality int, x array<double>")
     scratch = Scratch(docs.sparkSession, "quality")
     model = fit(scratch.put(seen.groupBy("_id").agg(F.min(F.struct("quality", "x")).alias("r")).select("r.quality", "r.x"), "figures"))
     scratch.drop()

@@ -417,6 +417,24 @@ def test_quality_learns_from_every_labelled_row(spark, monkeypatch):
     assert seen == [sum(plain.crc(i) % quality.FOLDS != 0 for i, _ in rows)] and seen[0] > 20_000
 
 
+def test_quality_fits_parts_of_one_label(spark):
+    """Parts of the table may hold rows of one label only, or none; the weights stay the same."""
+    rng = np.random.default_rng(6)
+    y = np.sort((rng.random(300) < 0.6).astype(int))
+    x = rng.normal(0, 1, (300, quality.WIDTH)) + y[:, None] * (np.arange(quality.WIDTH) % 3 == 0)
+    rows = spark.createDataFrame([(int(b), a.tolist()) for a, b in zip(x, y)], "quality int, x array<double>")
+    apart, mixed = quality.fit(rows.repartition(9, "quality")), quality.fit(rows.coalesce(1))
+    assert (apart.weights == mixed.weights).all() and apart.cut == mixed.cut and apart.weights.any()
+
+
+def test_quality_shuffles_figures_and_no_texts(spark, docs, monkeypatch):
+    """Texts become figures before they meet the labels, by the same join for few labels as for many."""
+    plans = []
+    monkeypatch.setattr(quality.Scratch, "put", lambda self, df, name: plans.append(df._jdf.queryExecution().sparkPlan().toString()) or df)
+    quality.train(docs, spark.createDataFrame([(7, 0), (14, 1), (21, 1)], "doc_id long, quality int"))
+    assert 0 <= plans[0].index("SortMergeJoin") < plans[0].index("MapInArrow")
+
+
 def test_pieces_round_trip_and_differ(docs, texts):
     model = pieces.model_bytes()
     rows = pieces.sampled(docs, model, 3, keep=("doc_id", "rank", "score"))
