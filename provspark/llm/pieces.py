@@ -32,33 +32,50 @@ SAMPLES = 2
 SHIFT = 20.0
 UNIT = re.compile(r" ?[^ \n]+|\n| ")
 SPACE = "▁"
-TYPES = 80_000
-TEXT_CHARS = 400_000
+#: Distinct words whose lattices are kept, and characters worked on at once: some 100 MB together.
+TYPES = 40_000
+TEXT_CHARS = 200_000
+#: Rows decoded at once.
+DECODED = 256
 HASH = 0x9E3779B97F4A7C15
 
 
+def processor(model: bytes):
+    import sentencepiece
+
+    return sentencepiece.SentencePieceProcessor(model_proto=model)
+
+
+def raw_pieces(p) -> list[bytes]:
+    """The bytes each piece stands for, by id; none for control pieces."""
+    def raw(i: int) -> bytes:
+        piece = p.id_to_piece(i)
+        return bytes([int(piece[3:5], 16)]) if p.is_byte(i) else b"" if p.is_control(i) or p.is_unknown(i) else piece.replace(SPACE, " ").encode()
+
+    return [raw(i) for i in range(p.get_piece_size())]
+
+
+def joined(raw: list[bytes], ids) -> str:
+    """The text of some pieces, without the space before it."""
+    return b"".join([raw[i] for i in ids]).decode("utf-8", "surrogatepass")[1:]
+
+
 class Vocabulary:
     """Pieces of a model file with their log-weights; a space stands for the model's mark of one."""
 
     def __init__(self, model: bytes):
-        import sentencepiece
-
-        p = sentencepiece.SentencePieceProcessor(model_proto=model)
+        p = processor(model)
         self.ids: dict[str, int] = {}
         self.weight: dict[str, float] = {}
-        self.raw: list[bytes] = []
+        self.raw = raw_pieces(p)
         n = p.get_piece_size()
         self.byte_ids = [0] * 256
         for i in range(n):
             piece = p.id_to_piece(i)
             if p.is_byte(i):
                 self.byte_ids[int(piece[3:5], 16)] = i
-                self.raw.append(bytes([int(piece[3:5], 16)]))
-            elif p.is_control(i) or p.is_unknown(i):
-                self.raw.append(b"")
-            else:
+            elif not (p.is_control(i) or p.is_unknown(i)):
                 text = piece.replace(SPACE, " ")
-                self.raw.append(text.encode())
                 self.ids[text] = i
                 self.weight[text] = -math.log(min(-p.get_score(i), float(n)) + SHIFT)
         self.byte_weight = -math.log(n + SHIFT)
@@ -80,7 +97,7 @@ class Vocabulary:
         return np.where(self.hashes[at] == hashes, self.found[at], -2)
 
     def decode(self, ids) -> str:
-        return b"".join([self.raw[i] for i in ids]).decode("utf-8", "surrogatepass")[1:]
+        return joined(self.raw, ids)
 
 
 class Grown:
@@ -437,16 +454,23 @@ def sampled(docs: DataFrame, model: bytes, k: int = SAMPLES, key: str = "doc_id"
     return rows.mapInArrow(_rows(held, k, text, [f.name for f in schema.fields if f.name in keep]), schema)
 
 
+def _decoded(held, at: int, out: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        raw = raw_pieces(processor(held.value))
+        for batch in batches:
+            for lo in range(0, batch.num_rows, DECODED):
+                part = batch.slice(lo, DECODED)
+                lists = part.column(at)
+                # One row's ids at a time: a batch of them as Python numbers would be many times its size.
+                texts = [joined(raw, lists[i].values.to_pylist()) if lists[i].is_valid else None for i in range(part.num_rows)]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*batch.schema.names, out])
+
+    return run
+
+
 def decoded(rows: DataFrame, model: bytes, ids: str = "piece_ids", out: str = "text") -> DataFrame:
     """All rows and columns with the text of the pieces; null pieces give null."""
     held = rows.sparkSession.sparkContext.broadcast(model)
     rows = rows.drop(out)
     at = rows.columns.index(ids)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = Vocabulary(held.value)
-        for batch in batches:
-            texts = [None if x is None else v.decode(x) for x in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, out])
-
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(out, T.StringType())]))
+    return rows.mapInArrow(_decoded(held, at, out), T.StructType([*rows.schema.fields, T.StructField(out, T.StringType())]))
