@@ -11,6 +11,9 @@ half is coded with tables that count the other one, so no text meets its own cou
 one pass over either half that sums gradients and curvatures per gate or level. Then the tables count both halves. Scores
 depend on a text and the model alone.
 
+What a byte adds to counts and sums depends on its gram alone, the bytes before it and its word so far. So one pass over the
+training texts adds up how often each distinct gram occurs in either half; all counts and rounds go over distinct grams.
+
 The base score is a unigram with add-one smoothing over all training texts. Counts of the ``HOT`` most frequent tokens
 are looked up where the text is; the others meet their counts in a join, so the vocabulary may have any size.
 """
@@ -21,7 +24,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -55,6 +58,10 @@ GATES = 8 * SEEN
 LEVELS, RANGE = 24, 8.0
 #: Characters worked on at once, and distinct grams.
 TEXT_CHARS, BLOCK = 1_000_000, 16_384
+#: Grams a task holds before it adds up equal ones; groups that grams are dealt to by hash.
+HELD_GRAMS, GROUPS = 1 << 21, 1 << 10
+GATHERED = "first boolean, grp int, grams binary, token binary, times long"
+GRAMS = "first boolean, key long, word long, times long"
 
 
 def byte_stream(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -148,6 +155,8 @@ class Model:
     refine: np.ndarray
     tokens: int = 0
     vocabulary: int = 0
+    #: (key, word, times) of the texts to fit on, where they are known already.
+    grams: DataFrame | None = None
 
     @staticmethod
     def of(odds: list[np.ndarray], seen: np.ndarray) -> Model:
@@ -235,64 +244,177 @@ class Model:
 
 def packed(slot: np.ndarray, zeros: np.ndarray, ones: np.ndarray) -> bytes:
     """Counts of some slots of a chunk; most are small, so their bytes are laid out by place and compressed."""
-    planes = [slot.astype("<u2").view(np.uint8).reshape(-1, 2).T, *[c.astype("<u4").view(np.uint8).reshape(-1, 4).T for c in (zeros, ones)]]
+    planes = [slot.astype("<u2").view(np.uint8).reshape(-1, 2).T, *[c.astype("<u8").view(np.uint8).reshape(-1, 8).T for c in (zeros, ones)]]
     return zlib.compress(b"".join(np.ascontiguousarray(p).tobytes() for p in planes), 1)
 
 
 def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(10, -1)
-    slot, zeros, ones = (np.ascontiguousarray(planes[a:b].T).view(f"<u{b - a}").ravel() for a, b in ((0, 2), (2, 6), (6, 10)))
+    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(18, -1)
+    slot, zeros, ones = (np.ascontiguousarray(planes[a:b].T).view(f"<u{b - a}").ravel() for a, b in ((0, 2), (2, 10), (10, 18)))
     return slot.astype(np.int64), zeros.astype(np.int64), ones.astype(np.int64)
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of a task's counts: (0, token, times) and (order, chunk of slots, packed counts), those of the first half of
-    the texts under orders above ``TABLES``."""
-    zeros, ones = ([np.zeros(1 << s, np.int32) for s in SLOTS * 2] for _ in range(2))
+class Grams:
+    """Distinct grams and how often they occur, added up in bounded memory."""
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self) -> None:
+        self.parts, self.size = [], 0
+
+    def add(self, key: np.ndarray, word: np.ndarray, times: np.ndarray) -> bool:
+        """Whether many distinct ones are held."""
+        self.parts.append((key, word, times))
+        self.size += len(key)
+        if self.size > HELD_GRAMS:
+            self.summed()
+        return self.size > HELD_GRAMS // 3
+
+    def summed(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(key, word, times) in the order of key and word."""
+        key, word, times = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        order = np.lexsort((word, key))
+        key, word, times = key[order], word[order], times[order]
+        heads = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (word[1:] != word[:-1])]))
+        self.parts, self.size = [(key[heads], word[heads], np.add.reduceat(times, heads))], len(heads)
+        return self.parts[0]
+
+
+def group_of(key: np.ndarray, word: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return ((mix64(key.astype(np.uint64)) + word) >> np.uint64(54)).astype(np.int64)  # GROUPS of them
+
+
+def packed_grams(key: np.ndarray, word: np.ndarray, times: np.ndarray) -> bytes:
+    """Bytes by place, so that equal high ones lie together."""
+    planes = [key.astype("<u8").view(np.uint8).reshape(-1, 8).T[:ORDERS[-1] + 1], word.astype("<u8").view(np.uint8).reshape(-1, 8).T, times.astype("<u8").view(np.uint8).reshape(-1, 8).T]
+    return b"".join(np.ascontiguousarray(p).tobytes() for p in planes)
+
+
+def unpacked_grams(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    planes = np.frombuffer(data, np.uint8).reshape(ORDERS[-1] + 17, -1)
+    low = np.zeros((planes.shape[1], 8), np.uint8)
+    low[:, :ORDERS[-1] + 1] = planes[:ORDERS[-1] + 1].T
+    word, times = (np.ascontiguousarray(planes[a:a + 8].T).view("<u8").ravel() for a in (ORDERS[-1] + 1, ORDERS[-1] + 9))
+    return low.view("<u8").ravel().astype(np.int64), word, times.astype(np.int64)
+
+
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (text, first): a task's tokens (token, times), and its distinct grams by half and group."""
+    held = {True: Grams(), False: Grams()}
     tokens: Counter = Counter()
-    names = ["kind", "chunk", "token", "times", "counts"]
+    names = ["first", "grp", "grams", "token", "times"]
 
     def token_rows() -> pa.RecordBatch:
         n = len(tokens)
-        rows = [pa.array([0] * n, pa.int32()), pa.array([0] * n, pa.int32()), pa.array(list(tokens.keys()), pa.binary()), pa.array(list(tokens.values()), pa.int64()), pa.array([None] * n, pa.binary())]
+        rows = [pa.array([None] * n, pa.bool_()), pa.array([None] * n, pa.int32()), pa.array([None] * n, pa.binary()), pa.array(list(tokens.keys()), pa.binary()), pa.array(list(tokens.values()), pa.int64())]
         tokens.clear()
         return pa.RecordBatch.from_arrays(rows, names)
 
+    def gram_rows(first: bool) -> pa.RecordBatch:
+        key, word, times = held[first].summed()
+        held[first].clear()
+        group = group_of(key, word)
+        order = np.argsort(group.astype(np.int16), kind="stable")
+        key, word, times, group = key[order], word[order], times[order], group[order]
+        cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(group)]
+        n = len(cuts) - 1
+        return pa.RecordBatch.from_arrays([
+            pa.array([first] * n, pa.bool_()), pa.array(group[cuts[:-1]], pa.int32()), pa.array([packed_grams(key[a:b], word[a:b], times[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()),
+            pa.array([None] * n, pa.binary()), pa.array([None] * n, pa.int64())], names)
+
     for batch in batches:
-        dev = batch.column(1).to_numpy(zero_copy_only=False)
+        first = batch.column(1).to_numpy(zero_copy_only=False)
         for begin, _, texts in in_chunks(batch, "text", TEXT_CHARS):
             for t in texts:
                 tokens.update(words_of(t))
             tokens[b""] += len(texts)
             if len(tokens) > 300_000:
                 yield token_rows()
-            for apart in (False, True):
-                stream, sizes = byte_stream([t for i, t in enumerate(texts) if dev[begin + i] == apart])
-                if not len(stream):
-                    continue
-                code, keys, words = distinct(*grams(stream, sizes))
-                every = np.bincount(code).astype(np.int32)
-                for lo in range(0, len(keys), BLOCK):
-                    key, times = keys[lo:lo + BLOCK], every[lo:lo + BLOCK]
-                    hashes = contexts(key, words[lo:lo + BLOCK])
-                    for _, node, side in decisions(key):
-                        at, one = spread(node), side == 1
-                        zero, t1 = ~one, times[one]
-                        t0 = times[zero]
-                        for o in range(TABLES):
-                            s = slots(hashes[o], at, o)
-                            np.add.at(zeros[o + TABLES * apart], s[zero], t0)
-                            np.add.at(ones[o + TABLES * apart], s[one], t1)
+            for half in (False, True):
+                stream, sizes = byte_stream([t for i, t in enumerate(texts) if first[begin + i] == half])
+                if len(stream):
+                    code, key, word = distinct(*grams(stream, sizes))
+                    if held[half].add(key, word, np.bincount(code)):
+                        yield gram_rows(half)
     if tokens:
         yield token_rows()
-    for o in range(2 * TABLES):
-        used = np.flatnonzero(zeros[o] + ones[o])
-        cuts = np.flatnonzero(np.diff(used // CHUNK)) + 1
-        parts = [p for p in np.split(used, cuts) if len(p)]
-        n = len(parts)
-        yield pa.RecordBatch.from_arrays([
-            pa.array([o + 1] * n, pa.int32()), pa.array([int(p[0]) // CHUNK for p in parts], pa.int32()), pa.array([None] * n, pa.binary()), pa.array([None] * n, pa.int64()),
-            pa.array([packed(p % CHUNK, zeros[o][p], ones[o][p]) for p in parts], pa.binary())], names)
+    for half in (False, True):
+        if held[half].size:
+            yield gram_rows(half)
+
+
+def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (first, grp, grams) sorted by half and group: each distinct gram once."""
+    at, some = None, Grams()
+
+    def rows() -> pa.RecordBatch:
+        key, word, times = some.summed()
+        some.clear()
+        return pa.RecordBatch.from_arrays([pa.array([at[0]] * len(key), pa.bool_()), pa.array(key, pa.int64()), pa.array(word.view(np.int64), pa.int64()), pa.array(times, pa.int64())], ["first", "key", "word", "times"])
+
+    for batch in batches:
+        firsts, groups = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        for i in range(batch.num_rows):
+            if (firsts[i], groups[i]) != at:
+                if at:
+                    yield rows()
+                at = firsts[i], groups[i]
+            some.add(*unpacked_grams(batch.column(2)[i].as_py()))
+    if at:
+        yield rows()
+
+
+def added_up(gathered: DataFrame) -> DataFrame:
+    return gathered.where("grams is not null").select("first", "grp", "grams").repartition("first", "grp").sortWithinPartitions("first", "grp").mapInArrow(_add_up, GRAMS)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(key, word, times) of rows (key, word, times), a few blocks at once."""
+    some, size = [], 0
+    for batch in batches:
+        some.append(batch)
+        size += batch.num_rows
+        if size >= 2 * BLOCK:
+            yield _joined(some)
+            some, size = [], 0
+    if size:
+        yield _joined(some)
+
+
+def _joined(batches: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    key, word, times = (np.concatenate([b.column(i).to_numpy() for b in batches]) for i in range(3))
+    return key, word.view(np.uint64), times
+
+
+def _count(apart: bool):
+    """Rows (order, chunk of slots, packed counts) of a task's grams (key, word, times), those of the first half of the texts
+    under orders above ``TABLES``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        zeros, ones = ([np.zeros(1 << s, np.int64) for s in SLOTS] for _ in range(2))
+        for keys, words, every in _blocks(batches):
+            for lo in range(0, len(keys), BLOCK):
+                key, times = keys[lo:lo + BLOCK], every[lo:lo + BLOCK]
+                hashes = contexts(key, words[lo:lo + BLOCK])
+                for _, node, side in decisions(key):
+                    at, one = spread(node), side == 1
+                    zero, t1 = ~one, times[one]
+                    t0 = times[zero]
+                    for o in range(TABLES):
+                        s = slots(hashes[o], at, o)
+                        np.add.at(zeros[o], s[zero], t0)
+                        np.add.at(ones[o], s[one], t1)
+        for o in range(TABLES):
+            used = np.flatnonzero(zeros[o] + ones[o])
+            cuts = np.flatnonzero(np.diff(used // CHUNK)) + 1
+            parts = [p for p in np.split(used, cuts) if len(p)]
+            n = len(parts)
+            yield pa.RecordBatch.from_arrays([
+                pa.array([o + 1 + TABLES * apart] * n, pa.int32()), pa.array([int(p[0]) // CHUNK for p in parts], pa.int32()),
+                pa.array([packed(p % CHUNK, zeros[o][p], ones[o][p]) for p in parts], pa.binary())], ["kind", "chunk", "counts"])
+
+    return run
 
 
 def log_odds(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
@@ -326,7 +448,7 @@ def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _tables(counted: DataFrame) -> tuple[list[np.ndarray], np.ndarray]:
     """Log-odds of all tables, and how often the words' slots were seen, from rows of counts."""
     order = ((F.col("kind") - 1) % TABLES + 1).alias("kind")
-    summed = counted.where("kind > 0").select(order, "chunk", "counts").repartition("kind", "chunk").sortWithinPartitions("kind", "chunk") \
+    summed = counted.select(order, "chunk", "counts").repartition("kind", "chunk").sortWithinPartitions("kind", "chunk") \
         .mapInArrow(_sum, "kind int, chunk int, odds array<float>, seen array<byte>").toArrow()  # as many numbers as the tables have slots
     odds, seen = [np.zeros(1 << n, np.float32) for n in SLOTS], np.zeros(1 << SLOTS[-1], np.int8)
     kinds, chunks, a, b = (summed.column(i).combine_chunks() for i in range(4))
@@ -344,7 +466,11 @@ def fit(texts: DataFrame, model: Model, *others: tuple[DataFrame, Model]) -> Non
     ``others`` are further texts with the models whose tables code them; their sums join those of ``texts``.
     """
     spark = texts.sparkSession
-    parts = [(t, spark.sparkContext.broadcast((m.odds, m.seen))) for t, m in ((texts, model), *others)]
+    scratch = Scratch(spark, "mixing_fit")
+    parts = []
+    for i, (t, m) in enumerate(((texts, model), *others)):
+        known = m.grams if m.grams is not None else scratch.put(added_up(t.select("text", F.lit(True).alias("first")).mapInArrow(_gather, GATHERED)), f"grams_{i}")
+        parts.append((known.select("key", "word", "times"), spark.sparkContext.broadcast((m.odds, m.seen))))
 
     def round_of(name: str, size: int) -> np.ndarray:
         weights, refine = model.weights, model.refine
@@ -352,10 +478,8 @@ def fit(texts: DataFrame, model: Model, *others: tuple[DataFrame, Model]) -> Non
         def summed(tables):
             def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 lm, total = Model(*tables.value, weights, refine), np.zeros(size, np.int64)
-                for batch in batches:
-                    for _, _, chunk in in_chunks(batch, "text", TEXT_CHARS):
-                        code, key, word = distinct(*grams(*byte_stream(chunk)))
-                        total += np.rint(getattr(lm, name)(key, word, np.bincount(code)) * UNIT).astype(np.int64)
+                for key, word, times in _blocks(batches):
+                    total += np.rint(getattr(lm, name)(key, word, times) * UNIT).astype(np.int64)
                 some = np.flatnonzero(total)
                 yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some], pa.int64())], ["place", "total"])
 
@@ -373,17 +497,24 @@ def fit(texts: DataFrame, model: Model, *others: tuple[DataFrame, Model]) -> Non
         model.step_refine(round_of("refine_sums", 2 * len(model.refine)))
     for _, tables in parts:
         tables.unpersist()
+    scratch.drop()
 
 
 def train(docs: DataFrame, scratch: Scratch) -> tuple[Model, DataFrame]:
     """The model, and token, c of all training tokens."""
     part = docs.select(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("crc"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where(F.col("crc") % FOLDS != HELD)
     first = F.col("crc") % DEV == 0
-    counted = scratch.put(part.select("text", first.alias("first")).mapInArrow(_count, "kind int, chunk int, token binary, times long, counts binary"), "counted")
-    counts = scratch.put(counted.where("kind = 0").groupBy("token").agg(F.sum("times").alias("c")), "tokens")
-    model = Model.of(*_tables(counted.where(F.col("kind") <= TABLES)))
-    fit(part.where(first).select("text"), model, (part.where(~first).select("text"), Model.of(*_tables(counted.where(F.col("kind") > TABLES)))))
+    gathered = scratch.put(part.select("text", first.alias("first")).mapInArrow(_gather, GATHERED), "gathered")
+    counts = scratch.put(gathered.where("token is not null").groupBy("token").agg(F.sum("times").alias("c")), "tokens")
+    known = scratch.put(added_up(gathered), "grams")
+    scratch.drop("gathered")
+    halves = [known.where(half).select("key", "word", "times") for half in (~F.col("first"), F.col("first"))]
+    counted = scratch.put(reduce(DataFrame.unionAll, [half.mapInArrow(_count(apart), "kind int, chunk int, counts binary") for half, apart in zip(halves, (False, True), strict=True)]), "counted")
+    model, other = Model.of(*_tables(counted.where(F.col("kind") <= TABLES))), Model.of(*_tables(counted.where(F.col("kind") > TABLES)))
+    other.grams, model.grams = halves
+    fit(part.where(first).select("text"), model, (part.where(~first).select("text"), other))
     model.odds, model.seen = _tables(counted)
+    model.grams = None
     model.tokens, model.vocabulary = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     return model, counts
 

@@ -90,6 +90,12 @@ def test_one_of_each_loses_no_text_of_a_repeated_id(spark):
     assert Counter((r.doc_id, r.text) for r in got) == Counter([(1, a), (2, b), (None, rows[5][1]), (5, None), (5, None)])
 
 
+def test_shared_shingles_take_one_shuffle(spark):
+    rows = spark.createDataFrame([(1, 10, True), (1, 11, False), (2, 10, True), (2, 10, False), (3, 12, True)], "h long, s64 long, core boolean")
+    assert sorted(tuple(r[c] for c in ("h", "s64", "core")) for r in jaccard._met(rows).collect()) == [(1, 10, True), (1, 11, False)]
+    assert jaccard._met(rows)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
 def test_signature_bounds_overlap():
     r = np.random.default_rng(1)
     for _ in range(200):
@@ -267,6 +273,31 @@ def test_mixing_fits_every_training_text_apart_from_its_own_counts(spark, monkey
     assert len(seen) == 2 and all(0.3 < share < 0.95 for _, share in seen)
 
 
+def test_mixing_adds_up_equal_grams_of_all_texts(spark, monkeypatch):
+    """Each distinct gram of a half once, with the times it occurs in all texts of the half, whatever a task holds at once."""
+    lines = [(f"{i % 40} some words {i * i % 97} é ", i % 3 == 0) for i in range(400)]
+    rows = spark.createDataFrame(lines, "text string, first boolean").repartition(4)
+    got = mixing.added_up(rows.mapInArrow(mixing._gather, mixing.GATHERED)).collect()
+    want = Counter()
+    for t, first in lines:
+        keys, words = mixing.grams(*mixing.byte_stream([t]))
+        want.update((first, k, w) for k, w in zip(keys.tolist(), words.view(np.int64).tolist()))
+    assert {(r.first, r.key, r.word): r.times for r in got} == dict(want) and len(got) == len(want)
+    monkeypatch.setattr(mixing, "HELD_GRAMS", 90)
+    some, key = mixing.Grams(), np.arange(50)
+    some.add(key, np.zeros(50, np.uint64), np.ones(50, int))
+    some.add(key[::-1], np.zeros(50, np.uint64), np.full(50, 1 << 40))
+    key, _, times = some.summed()
+    assert key.tolist() == list(range(50)) and set(times.tolist()) == {(1 << 40) + 1}
+    word = np.arange(3).astype(np.uint64) << np.uint64(62)
+    assert all((a == b).all() for a, b in zip(mixing.unpacked_grams(mixing.packed_grams(key[:3], word, times[:3])), (key[:3], word, times[:3])))
+
+
+def test_mixing_counts_more_than_four_bytes_hold():
+    slot, zeros, ones = np.array([0, 8191]), np.array([1 << 40, 2]), np.array([3, 1 << 33])
+    assert all((a == b).all() for a, b in zip(mixing.unpacked(mixing.packed(slot, zeros, ones)), (slot, zeros, ones)))
+
+
 def test_mixing_long_and_empty(spark, nothing):
     assert mixing.scored(nothing).count() == 0
     rows = mixing.scored(make(spark, [(2, "x" * 200_000), (None, None), (2, "")])).collect()
@@ -435,6 +466,24 @@ def test_quality_shuffles_figures_and_no_texts(spark, docs, monkeypatch):
     assert 0 <= plans[0].index("SortMergeJoin") < plans[0].index("MapInArrow")
 
 
+def test_decoding_holds_few_rows_as_python_numbers():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    class Held:
+        value = pieces.model_bytes()
+
+    ids = pa.array(np.tile(np.arange(1000, 2000), 4000), pa.int32())
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, 4_000_001, 1000), pa.int32()), ids)
+    run = pieces._decoded(Held, 0, "text")
+    tracemalloc.start()
+    rows = sum(b.num_rows for b in run(iter([pa.RecordBatch.from_arrays([lists], ["piece_ids"])])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 4000 and peak < 20_000_000  # all ids as Python numbers: more than 100 MB
+
+
 def test_pieces_round_trip_and_differ(docs, texts):
     model = pieces.model_bytes()
     rows = pieces.sampled(docs, model, 3, keep=("doc_id", "rank", "score"))
