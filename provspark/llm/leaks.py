@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provspark.llm.common import LOWER, Scratch, WordHash, in_chunks, mix64
+from provspark.llm.common import LOWER, Scratch, WordHash, among, in_chunks, mix64
 
 #: Positions of the words that a seed reads.
 MASKS = ((0, 1, 2, 3), (0, 2, 3, 4), (0, 1, 3, 4), (0, 1, 2, 4))
@@ -178,5 +178,5 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item; a row with a null id is kept if no text under that id does."""
-    bad = leaks(docs, benchmark).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("_bad")), "left_anti")
+    bad = Scratch(docs.sparkSession, "with_leaks").put(leaks(docs, benchmark).select("doc_id").distinct(), "ids")
+    return among(docs, bad, ["doc_id"])[0]

@@ -12,6 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from provspark.llm import html, jaccard, leaks, mixing, neighbours, pieces, pii, quality, secrets, shards
+from provspark.llm.common import among, apart
 
 SCHEMA = "doc_id long, text string, score double, sid string, blob int, rank int, pii string, secrets string, linked boolean"
 
@@ -599,3 +600,25 @@ def test_segmentations_of_the_whole_table_give_its_texts_back(spark):
 
     rows = QUERIES["op7_gumbel_pieces"](spark, "/root/testdata/sf0.001").select("sample", "gives_text_back").collect()
     assert {r.sample for r in rows} == {1, 2} and all(r.gives_text_back for r in rows)
+
+
+def test_rows_are_told_apart_without_a_shuffle_of_all(spark):
+    rows = make(spark, [(i % 400 or None, f"text {i % 300}") for i in range(2000)] + [(7, None), (None, None)])
+    gone = make(spark, [(7, "text 7"), (None, "text 100"), (7, None), (9, "text 9"), (9, "text 9"), (12_345, "text 1")])
+    lost = {tuple(r) for r in gone.collect()}
+    kept, found = among(rows, gone, ["doc_id", "text"])
+    every = [tuple(r) for r in rows.collect()]
+    assert Counter(tuple(r) for r in kept.collect()) == Counter(r for r in every if r not in lost)
+    assert Counter(tuple(r) for r in found.collect()) == Counter(r for r in every if r in lost)
+    other, maybe = apart(rows, gone, ["doc_id", "text"])
+    plan = other._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and maybe.count() < 100
+
+
+def test_whole_documents_are_not_shuffled_to_lose_leaks(spark, docs, monkeypatch):
+    seen = []
+    monkeypatch.setattr(leaks, "leaks", lambda docs, benchmark: make(spark, [(3, ""), (None, "")]).select("doc_id"))
+    monkeypatch.setattr(leaks, "among", lambda rows, known, names: seen.append(names) or among(rows, known, names))
+    kept = leaks.without_leaks(docs, docs)
+    assert seen == [["doc_id"]] and kept.columns == docs.columns
+    assert Counter(tuple(r) for r in kept.collect()) == Counter(tuple(r) for r in docs.collect() if r.doc_id not in (3, None))
