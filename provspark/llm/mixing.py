@@ -61,7 +61,10 @@ TEXT_CHARS, BLOCK = 1_000_000, 16_384
 #: Grams a task holds before it adds up equal ones; groups that grams are dealt to by hash.
 HELD_GRAMS, GROUPS = 1 << 21, 1 << 10
 GATHERED = "first boolean, grp int, grams binary, token binary, times long"
+ADDED = "first boolean, grams binary"
 GRAMS = "first boolean, key long, word long, times long"
+#: Codec of packed grams.
+CODEC = "zstd"
 
 
 def byte_stream(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -155,7 +158,7 @@ class Model:
     refine: np.ndarray
     tokens: int = 0
     vocabulary: int = 0
-    #: (key, word, times) of the texts to fit on, where they are known already.
+    #: Packed grams of the texts to fit on, where they are known already.
     grams: DataFrame | None = None
 
     @staticmethod
@@ -264,12 +267,13 @@ class Grams:
         self.parts, self.size = [], 0
 
     def add(self, key: np.ndarray, word: np.ndarray, times: np.ndarray) -> bool:
-        """Whether many distinct ones are held."""
+        """Whether many distinct ones are held, as far as they are added up."""
         self.parts.append((key, word, times))
         self.size += len(key)
         if self.size > HELD_GRAMS:
             self.summed()
-        return self.size > HELD_GRAMS // 3
+            return self.size > HELD_GRAMS // 2
+        return False
 
     def summed(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(key, word, times) in the order of key and word."""
@@ -281,23 +285,39 @@ class Grams:
         return self.parts[0]
 
 
-def group_of(key: np.ndarray, word: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return ((mix64(key.astype(np.uint64)) + word) >> np.uint64(54)).astype(np.int64)  # GROUPS of them
+def group_of(key: np.ndarray) -> np.ndarray:
+    """One of GROUPS; grams that differ in their last byte or word alone are in one."""
+    return (mix64((key >> 8).astype(np.uint64)) >> np.uint64(54)).astype(np.int64)
 
 
-def packed_grams(key: np.ndarray, word: np.ndarray, times: np.ndarray) -> bytes:
+def _planes(values: np.ndarray, width: int) -> bytes:
     """Bytes by place, so that equal high ones lie together."""
-    planes = [key.astype("<u8").view(np.uint8).reshape(-1, 8).T[:ORDERS[-1] + 1], word.astype("<u8").view(np.uint8).reshape(-1, 8).T, times.astype("<u8").view(np.uint8).reshape(-1, 8).T]
-    return b"".join(np.ascontiguousarray(p).tobytes() for p in planes)
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def _from_planes(data: np.ndarray, width: int) -> np.ndarray:
+    wide = np.zeros((len(data) // width, 8), np.uint8)
+    wide[:, :width] = data.reshape(width, -1).T
+    return wide.view("<u8").ravel()
+
+
+def packed_grams(key: np.ndarray, word: np.ndarray, times: np.ndarray) -> bytes:
+    """The bytes before and the word of grams that follow one another and share them are written once."""
+    before = key >> 8
+    heads = np.flatnonzero(np.concatenate([[True], (before[1:] != before[:-1]) | (word[1:] != word[:-1])])) if len(key) else np.zeros(0, np.int64)
+    sizes = np.diff(np.append(heads, len(key)))
+    data = b"".join([_planes(before[heads], ORDERS[-1]), _planes(word[heads], 8), _planes(sizes, 8), _planes(key & 255, 1), _planes(times, 8)])
+    return np.array([len(heads), len(key)], "<u8").tobytes() + pa.compress(data, codec=CODEC, asbytes=True)
 
 
 def unpacked_grams(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    planes = np.frombuffer(data, np.uint8).reshape(ORDERS[-1] + 17, -1)
-    low = np.zeros((planes.shape[1], 8), np.uint8)
-    low[:, :ORDERS[-1] + 1] = planes[:ORDERS[-1] + 1].T
-    word, times = (np.ascontiguousarray(planes[a:a + 8].T).view("<u8").ravel() for a in (ORDERS[-1] + 1, ORDERS[-1] + 9))
-    return low.view("<u8").ravel().astype(np.int64), word, times.astype(np.int64)
+    runs, n = np.frombuffer(data[:16], "<u8").tolist()
+    widths = ((runs, ORDERS[-1]), (runs, 8), (runs, 8), (n, 1), (n, 8))
+    whole = np.frombuffer(pa.decompress(data[16:], sum(a * b for a, b in widths), codec=CODEC), np.uint8)
+    cuts = np.cumsum([0] + [a * b for a, b in widths]).tolist()
+    before, word, sizes, low, times = (_from_planes(whole[a:b], w) for a, b, (_, w) in zip(cuts[:-1], cuts[1:], widths, strict=True))
+    sizes = sizes.astype(np.int64)
+    return (np.repeat(before, sizes) << np.uint64(8) | low).astype(np.int64), np.repeat(word, sizes), times.astype(np.int64)
 
 
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -315,8 +335,8 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def gram_rows(first: bool) -> pa.RecordBatch:
         key, word, times = held[first].summed()
         held[first].clear()
-        group = group_of(key, word)
-        order = np.argsort(group.astype(np.int16), kind="stable")
+        group = group_of(key)
+        order = np.lexsort((word, key >> 8, group))
         key, word, times, group = key[order], word[order], times[order], group[order]
         cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(group)]
         n = len(cuts) - 1
@@ -346,50 +366,63 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (first, grp, grams) sorted by half and group: each distinct gram once."""
+    """Rows (first, grp, grams) sorted by half and group: each distinct gram once, packed by a few blocks."""
     at, some = None, Grams()
 
-    def rows() -> pa.RecordBatch:
+    def rows() -> Iterator[pa.RecordBatch]:
         key, word, times = some.summed()
         some.clear()
-        return pa.RecordBatch.from_arrays([pa.array([at[0]] * len(key), pa.bool_()), pa.array(key, pa.int64()), pa.array(word.view(np.int64), pa.int64()), pa.array(times, pa.int64())], ["first", "key", "word", "times"])
+        order = np.lexsort((word, key >> 8))
+        for lo in range(0, len(key), 2 * BLOCK):
+            part = order[lo:lo + 2 * BLOCK]
+            yield pa.RecordBatch.from_arrays([pa.array([at[0]], pa.bool_()), pa.array([packed_grams(key[part], word[part], times[part])], pa.binary())], ["first", "grams"])
 
     for batch in batches:
         firsts, groups = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         for i in range(batch.num_rows):
             if (firsts[i], groups[i]) != at:
                 if at:
-                    yield rows()
+                    yield from rows()
                 at = firsts[i], groups[i]
             some.add(*unpacked_grams(batch.column(2)[i].as_py()))
     if at:
-        yield rows()
+        yield from rows()
+
+
+def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (first, grams) as a row for each gram."""
+    for batch in batches:
+        for first, grams_ in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            key, word, times = unpacked_grams(grams_.as_py())
+            yield pa.RecordBatch.from_arrays([pa.array([first] * len(key), pa.bool_()), pa.array(key), pa.array(word.view(np.int64)), pa.array(times)], ["first", "key", "word", "times"])
+
+
+def packed_up(gathered: DataFrame) -> DataFrame:
+    """first, grams: each distinct gram of a half once, many in a row."""
+    return gathered.where("grams is not null").select("first", "grp", "grams").repartition("first", "grp").sortWithinPartitions("first", "grp").mapInArrow(_add_up, ADDED)
 
 
 def added_up(gathered: DataFrame) -> DataFrame:
-    return gathered.where("grams is not null").select("first", "grp", "grams").repartition("first", "grp").sortWithinPartitions("first", "grp").mapInArrow(_add_up, GRAMS)
+    """first, key, word, times: each distinct gram of a half once, in a row of its own."""
+    return packed_up(gathered).mapInArrow(_opened, GRAMS)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(key, word, times) of rows (key, word, times), a few blocks at once."""
+    """(key, word, times) of rows of packed grams, a few blocks at once."""
     some, size = [], 0
     for batch in batches:
-        some.append(batch)
-        size += batch.num_rows
-        if size >= 2 * BLOCK:
-            yield _joined(some)
-            some, size = [], 0
+        for row in batch.column(0):
+            some.append(unpacked_grams(row.as_py()))
+            size += len(some[-1][0])
+            if size >= 2 * BLOCK:
+                yield tuple(np.concatenate(x) for x in zip(*some, strict=True))
+                some, size = [], 0
     if size:
-        yield _joined(some)
-
-
-def _joined(batches: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    key, word, times = (np.concatenate([b.column(i).to_numpy() for b in batches]) for i in range(3))
-    return key, word.view(np.uint64), times
+        yield tuple(np.concatenate(x) for x in zip(*some, strict=True))
 
 
 def _count(apart: bool):
-    """Rows (order, chunk of slots, packed counts) of a task's grams (key, word, times), those of the first half of the texts
+    """Rows (order, chunk of slots, packed counts) of a task's packed grams, those of the first half of the texts
     under orders above ``TABLES``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         zeros, ones = ([np.zeros(1 << s, np.int64) for s in SLOTS] for _ in range(2))
@@ -469,8 +502,8 @@ def fit(texts: DataFrame, model: Model, *others: tuple[DataFrame, Model]) -> Non
     scratch = Scratch(spark, "mixing_fit")
     parts = []
     for i, (t, m) in enumerate(((texts, model), *others)):
-        known = m.grams if m.grams is not None else scratch.put(added_up(t.select("text", F.lit(True).alias("first")).mapInArrow(_gather, GATHERED)), f"grams_{i}")
-        parts.append((known.select("key", "word", "times"), spark.sparkContext.broadcast((m.odds, m.seen))))
+        known = m.grams if m.grams is not None else scratch.put(packed_up(t.select("text", F.lit(True).alias("first")).mapInArrow(_gather, GATHERED)), f"grams_{i}")
+        parts.append((known.select("grams"), spark.sparkContext.broadcast((m.odds, m.seen))))
 
     def round_of(name: str, size: int) -> np.ndarray:
         weights, refine = model.weights, model.refine
@@ -506,9 +539,9 @@ def train(docs: DataFrame, scratch: Scratch) -> tuple[Model, DataFrame]:
     first = F.col("crc") % DEV == 0
     gathered = scratch.put(part.select("text", first.alias("first")).mapInArrow(_gather, GATHERED), "gathered")
     counts = scratch.put(gathered.where("token is not null").groupBy("token").agg(F.sum("times").alias("c")), "tokens")
-    known = scratch.put(added_up(gathered), "grams")
+    known = scratch.put(packed_up(gathered), "grams")
     scratch.drop("gathered")
-    halves = [known.where(half).select("key", "word", "times") for half in (~F.col("first"), F.col("first"))]
+    halves = [known.where(half).select("grams") for half in (~F.col("first"), F.col("first"))]
     counted = scratch.put(reduce(DataFrame.unionAll, [half.mapInArrow(_count(apart), "kind int, chunk int, counts binary") for half, apart in zip(halves, (False, True), strict=True)]), "counted")
     model, other = Model.of(*_tables(counted.where(F.col("kind") <= TABLES))), Model.of(*_tables(counted.where(F.col("kind") > TABLES)))
     other.grams, model.grams = halves

@@ -622,3 +622,22 @@ def test_whole_documents_are_not_shuffled_to_lose_leaks(spark, docs, monkeypatch
     kept = leaks.without_leaks(docs, docs)
     assert seen == [["doc_id"]] and kept.columns == docs.columns
     assert Counter(tuple(r) for r in kept.collect()) == Counter(tuple(r) for r in docs.collect() if r.doc_id not in (3, None))
+
+
+def test_mixing_grams_leave_a_task_added_up_and_small(monkeypatch):
+    """Repeated grams do not make a task give up what it holds; shared beginnings and high bytes are written once."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(mixing, "TEXT_CHARS", 200)
+    monkeypatch.setattr(mixing, "HELD_GRAMS", 3000)
+    batch = pa.RecordBatch.from_arrays([pa.array(["the same few words again and again, " * 5] * 200), pa.array([i % 2 == 0 for i in range(200)])], ["text", "first"])
+    rows = [r for b in mixing._gather(iter([batch])) for r in b.to_pylist() if r["grams"] is not None]
+    assert len(rows) == len({(r["first"], r["grp"]) for r in rows})
+    r, v = random.Random(5), vocabulary(3000, 6)
+    key, word = mixing.grams(*mixing.byte_stream([" ".join(r.choice(v) for _ in range(20_000))]))
+    code, key, word = mixing.distinct(key, word)
+    order = np.lexsort((key & 255, word, key >> 8))
+    whole = key[order], word[order], np.bincount(code)[order]
+    data = mixing.packed_grams(*whole)
+    assert len(data) < 10 * len(key) and all((a == b).all() for a, b in zip(mixing.unpacked_grams(data), whole))
+    assert [len(x) for x in mixing.unpacked_grams(mixing.packed_grams(*(x[:0] for x in whole)))] == [0, 0, 0]
