@@ -18,6 +18,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +33,8 @@ SAMPLES = 2
 SHIFT = 20.0
 UNIT = re.compile(r" ?[^ \n]+|\n| ")
 SPACE = "▁"
-#: Distinct words whose lattices are kept, and characters worked on at once: some 100 MB together.
-TYPES = 40_000
+#: Distinct words whose lattices are kept, and characters worked on at once: some 150 MB together.
+TYPES = 80_000
 TEXT_CHARS = 200_000
 #: Rows decoded at once.
 DECODED = 256
@@ -55,11 +56,6 @@ def raw_pieces(p) -> list[bytes]:
     return [raw(i) for i in range(p.get_piece_size())]
 
 
-def joined(raw: list[bytes], ids) -> str:
-    """The text of some pieces, without the space before it."""
-    return b"".join([raw[i] for i in ids]).decode("utf-8", "surrogatepass")[1:]
-
-
 class Vocabulary:
     """Pieces of a model file with their log-weights; a space stands for the model's mark of one."""
 
@@ -67,7 +63,6 @@ class Vocabulary:
         p = processor(model)
         self.ids: dict[str, int] = {}
         self.weight: dict[str, float] = {}
-        self.raw = raw_pieces(p)
         n = p.get_piece_size()
         self.byte_ids = [0] * 256
         for i in range(n):
@@ -88,16 +83,39 @@ class Vocabulary:
                 h = (h + ord(c) + 1) * HASH % (1 << 64)
                 begun.setdefault(h, -1)
             begun[h] = i
-        self.hashes = np.array(sorted(begun), np.uint64)
-        self.found = np.array([begun[h] for h in self.hashes.tolist()], np.int64)
+        # A slot for each beginning, the next free one from its hash's first bits on; four slots at least for one that is used.
+        bits = max(10, (4 * len(begun)).bit_length())
+        self.shift, self.last = np.uint64(64 - bits), (1 << bits) - 1
+        self.slots, self.found = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -2, np.int64)
+        for h, i in begun.items():
+            at = h >> (64 - bits)
+            while self.found[at] != -2:
+                at = (at + 1) & self.last
+            self.slots[at], self.found[at] = h, i
 
     def lookup(self, hashes: np.ndarray) -> np.ndarray:
         """Ids of pieces, -1 for a beginning only, -2 for neither."""
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == hashes, self.found[at], -2)
+        at = (hashes >> self.shift).astype(np.int64)
+        out = self.found[at]
+        other = np.flatnonzero((self.slots[at] != hashes) & (out != -2))
+        at = at[other]
+        while len(other):  # slots that another beginning holds
+            at = (at + 1) & self.last
+            out[other] = self.found[at]
+            on = (self.slots[at] != hashes[other]) & (out[other] != -2)
+            other, at = other[on], at[on]
+        return out
+
 
-    def decode(self, ids) -> str:
-        return joined(self.raw, ids)
+@lru_cache(maxsize=1)
+def vocabulary(model: bytes) -> Vocabulary:
+    """Made once in a worker, not in each of its tasks."""
+    return Vocabulary(model)
+
+
+@lru_cache(maxsize=1)
+def raw_array(model: bytes) -> pa.Array:
+    return pa.array(raw_pieces(processor(model)), pa.large_binary())
 
 
 class Grown:
@@ -140,7 +158,7 @@ class Lattices:
     def starts(self, words: list[str]) -> np.ndarray:
         base = self.base
         if new := {w for w in words if w not in base}:
-            self._add(sorted(new))
+            self._add(list(new))
         return np.fromiter(map(base.__getitem__, words), np.int64, len(words))
 
     def _add(self, words: list[str]) -> None:
@@ -152,50 +170,58 @@ class Lattices:
         node = int(sizes.sum())
         ends = np.repeat(begin + sizes, sizes)
         chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-        # Pieces from every node at once, a character longer each time, as long as some piece begins like this.
+        # Pieces from every node at once, a character longer each time, as long as some piece begins like this. A character
+        # that is no piece has the edge -1, so each node has one at least.
         at, hashed = np.arange(node), np.zeros(node, np.uint64)
+        widths = np.zeros(node, np.int64)
         found, size = [], 0
         while len(at):
             with np.errstate(over="ignore"):
                 hashed = (hashed + chars[at + size] + np.uint64(1)) * np.uint64(HASH)
             size += 1
             k = self.v.lookup(hashed)
-            if size == 1:
-                raw_at = np.flatnonzero(k < 0)
             hit = k >= 0
-            found.append((at[hit], np.full(int(hit.sum()), size), k[hit]))
+            if size == 1:
+                found.append((at, np.zeros(node, np.int64), np.where(hit, k, -1)))
+                widths += 1
+            else:
+                to = at[hit]
+                found.append((to, widths[to], k[hit]))
+                widths[to] += 1
             on = (k > -2) & (at + size < ends[at])
             at, hashed = at[on], hashed[on]
-        found.append((raw_at, np.ones(len(raw_at), np.int64), np.full(len(raw_at), -1)))
-        src, far, ids = (np.concatenate(x) for x in zip(*found, strict=True))
-        order = np.argsort(src * 32 + far)
-        src, ids = src[order], ids[order]
-        dst = src + far[order]
+        heads = np.cumsum(widths) - widths
+        src = np.repeat(np.arange(node), widths)
+        dst, ids = np.empty(len(src), np.int64), np.empty(len(src), np.int64)
+        for far, (to, place, k) in enumerate(found, 1):
+            place += heads[to]
+            dst[place], ids[place] = to + far, k
         raws = {int(e): chr(int(chars[src[e]])).encode("utf-8", "surrogatepass") for e in np.flatnonzero(ids < 0)}
         left = ends - np.arange(node)  # characters from a node to its word's end
         weight = self.v.weights[ids]
         count = np.ones(len(ids), np.int32)
         for e, raw in raws.items():
             weight[e], count[e] = self.v.byte_weight * len(raw), len(raw)
-        after = np.zeros(node + 1)
+        after = np.zeros(node + 1)  # the last one stands for a word's end
         last = dst == ends[src]
-        order = np.argsort(left.astype(np.int16)[src], kind="stable") if left.max() < 32_000 else np.argsort(left[src], kind="stable")
-        far = left[src][order]
-        cuts = np.searchsorted(far, np.arange(1, int(left.max()) + 2))
-        total = np.empty(len(ids))
-        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        # Nodes by that distance, and their edges.
+        nodes = np.argsort(left.astype(np.int16), kind="stable") if left.max() < 32_000 else np.argsort(left, kind="stable")
+        cuts = np.searchsorted(left[nodes], np.arange(1, int(left.max()) + 2)).tolist()
+        wide = widths[nodes]
+        begins = np.append(0, np.cumsum(wide))
+        order = np.repeat(heads[nodes] - begins[:-1], wide) + np.arange(len(ids))
+        onto, value = np.where(last, node, dst)[order], weight[order]
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
             if hi > lo:
-                e = order[lo:hi]
-                value = weight[e] + np.where(last[e], 0.0, after[dst[e]])
-                total[e] = value
-                heads = np.flatnonzero(np.concatenate([[True], src[e][1:] != src[e][:-1]]))
-                top = np.maximum.reduceat(value, heads)
-                widths = np.diff(np.append(heads, hi - lo))
-                after[src[e][heads]] = top + np.log(np.add.reduceat(np.exp(value - np.repeat(top, widths)), heads))
+                a, b = begins[lo], begins[hi]
+                value[a:b] += after[onto[a:b]]
+                first = begins[lo:hi] - a
+                top = np.maximum.reduceat(value[a:b], first)
+                after[nodes[lo:hi]] = top + np.log(np.add.reduceat(np.exp(value[a:b] - np.repeat(top, wide[lo:hi])), first))
+        total = np.empty(len(ids))
+        total[order] = value
         log = total - after[src]
         share = np.exp(log)
-        heads = np.flatnonzero(np.concatenate([[True], src[1:] != src[:-1]]))
-        widths = np.diff(np.append(heads, len(src)))
         share[heads[widths == 1]] = 1.0
         run = np.cumsum(share)
         done = np.minimum(run - np.repeat(run[heads] - share[heads], widths), 1.0)
@@ -411,9 +437,9 @@ class Sampler:
         return edges[order], word_of[order], owner[order], used, split
 
 
-def _rows(vocabulary, k: int, text: str, columns: list[str]):
+def _rows(held, k: int, text: str, columns: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sampler = Sampler(Vocabulary(vocabulary.value))
+        sampler = Sampler(vocabulary(held.value))
         for batch in batches:
             key = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)
             for begin, end, texts in in_chunks(batch, text, TEXT_CHARS):
@@ -454,16 +480,26 @@ def sampled(docs: DataFrame, model: bytes, k: int = SAMPLES, key: str = "doc_id"
     return rows.mapInArrow(_rows(held, k, text, [f.name for f in schema.fields if f.name in keep]), schema)
 
 
+def texts_of(raw: pa.Array, lists: pa.ListArray) -> list[str | None]:
+    """The text of each list of pieces, without the space before it."""
+    ids = lists.flatten()
+    if ids.null_count:
+        raise ValueError("a piece is null")
+    flat = raw.take(ids)  # the pieces' bytes lie in a row
+    sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    at = np.frombuffer(flat.buffers()[1], np.int64, len(flat) + 1) if len(flat) else np.zeros(1, np.int64)
+    cuts = at[np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)].tolist()
+    data = memoryview(flat.buffers()[2] or b"")
+    return [str(data[a:b], "utf-8", "surrogatepass")[1:] if ok else None for a, b, ok in zip(cuts[:-1], cuts[1:], lists.is_valid().to_pylist(), strict=True)]
+
+
 def _decoded(held, at: int, out: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw = raw_pieces(processor(held.value))
+        raw = raw_array(held.value)
         for batch in batches:
             for lo in range(0, batch.num_rows, DECODED):
                 part = batch.slice(lo, DECODED)
-                lists = part.column(at)
-                # One row's ids at a time: a batch of them as Python numbers would be many times its size.
-                texts = [joined(raw, lists[i].values.to_pylist()) if lists[i].is_valid else None for i in range(part.num_rows)]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*batch.schema.names, out])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts_of(raw, part.column(at)), pa.string())], [*batch.schema.names, out])
 
     return run
 

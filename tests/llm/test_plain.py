@@ -641,3 +641,27 @@ def test_mixing_grams_leave_a_task_added_up_and_small(monkeypatch):
     data = mixing.packed_grams(*whole)
     assert len(data) < 10 * len(key) and all((a == b).all() for a, b in zip(mixing.unpacked_grams(data), whole))
     assert [len(x) for x in mixing.unpacked_grams(mixing.packed_grams(*(x[:0] for x in whole)))] == [0, 0, 0]
+
+
+def test_piece_lookup_and_decoding_take_no_step_per_piece():
+    import pyarrow as pa
+
+    model = pieces.model_bytes()
+    v = pieces.vocabulary(model)
+    assert v is pieces.vocabulary(model)  # made once in a worker
+    begun = {}
+    for text, i in v.ids.items():
+        h = 0
+        for c in text:
+            h = (h + ord(c) + 1) * pieces.HASH % (1 << 64)
+            begun.setdefault(h, -1)
+        begun[h] = i
+    rng = np.random.default_rng(2)
+    hashes = np.concatenate([np.array(list(begun), np.uint64), rng.integers(0, 1 << 63, 50_000).astype(np.uint64) * np.uint64(2), np.zeros(1, np.uint64)])
+    assert v.lookup(hashes).tolist() == [begun.get(h, -2) for h in hashes.tolist()]
+    raw = pieces.raw_pieces(pieces.processor(model))
+    ids = [[], None, *(rng.choice(list(v.ids.values()), n).tolist() for n in (1, 2, 900)), v.byte_ids[0xC3:0xC4] + v.byte_ids[0xA9:0xAA] * 1]
+    want = [None if x is None else b"".join(raw[i] for i in x).decode()[1:] for x in ids]
+    lists = pa.array(ids, pa.list_(pa.int32()))
+    for lo in range(len(ids) + 1):
+        assert pieces.texts_of(pieces.raw_array(model), lists.slice(lo)) == want[lo:]
