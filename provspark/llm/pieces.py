@@ -19,9 +19,11 @@ import math
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,6 +43,16 @@ DECODED = 256
 HASH = 0x9E3779B97F4A7C15
 
 
+def units_of(text: str | None) -> list[str]:
+    """``UNIT`` all over the text with a space before it; none of no text."""
+    if not text:
+        return []
+    if "\0" in text:
+        return UNIT.findall(" " + text)
+    cut = (" " + text).replace(" ", "\0 ")  # a mark where a unit begins
+    return list(filter(None, cut.replace("\n", "\0\n\0").split("\0")))
+
+
 def processor(model: bytes):
     import sentencepiece
 
@@ -124,6 +136,9 @@ class Grown:
     def __init__(self, kind):
         self.data, self.size = np.zeros(1 << 20, kind), 0  # pages that are not written cost nothing
 
+    def clear(self) -> None:
+        self.size = 0  # its pages are written again
+
     def extend(self, values: np.ndarray) -> None:
         if self.size + len(values) > len(self.data):
             wider = np.zeros(max(len(self.data) * 5 // 4, self.size + len(values)), self.data.dtype)
@@ -143,21 +158,23 @@ class Lattices:
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
+        self.key, self.log, self.share = Grown(np.float64), Grown(np.float64), Grown(np.float64)
+        self.target, self.first, self.count, self.pool = Grown(np.int32), Grown(np.int32), Grown(np.int32), Grown(np.int32)
+        self.head, self.tail = Grown(np.int32), Grown(np.int32)  # first and last edge of a node
         self.clear()
 
     def clear(self) -> None:
         self.base: dict[str, int] = {}
         self.nodes = 0
-        self.key, self.log, self.share = Grown(np.float64), Grown(np.float64), Grown(np.float64)
-        self.target, self.first, self.count, self.pool = Grown(np.int32), Grown(np.int32), Grown(np.int32), Grown(np.int32)
-        self.head, self.tail = Grown(np.int32), Grown(np.int32)  # first and last edge of a node
+        for x in (self.key, self.log, self.share, self.target, self.first, self.count, self.pool, self.head, self.tail):
+            x.clear()
 
     def __len__(self) -> int:
         return len(self.base)
 
     def starts(self, words: list[str]) -> np.ndarray:
         base = self.base
-        if new := {w for w in words if w not in base}:
+        if new := set(words).difference(base):
             self._add(list(new))
         return np.fromiter(map(base.__getitem__, words), np.int64, len(words))
 
@@ -313,9 +330,9 @@ class Sampler:
         """text, rank, log, perturbed, inclusion, sizes and ids (flat) of up to ``k`` distinct segmentations of each text."""
         if len(self.lattices) > TYPES:
             self.lattices.clear()
-        units = [UNIT.findall(" " + t) if t else [] for t in texts]
+        units = [units_of(t) for t in texts]
         n_words = np.fromiter(map(len, units), np.int64, len(units))
-        start = self.lattices.starts([w for u in units for w in u])
+        start = self.lattices.starts(list(chain.from_iterable(units)))
         self.key, self.log, self.share, self.target, self.first, self.count, self.pool, self.head, self.tail = self.lattices.arrays()
         docs = len(texts)
         keys = mix64(keys.astype(np.int64).view(np.uint64))
@@ -466,6 +483,14 @@ def model_bytes(path: str | None = None) -> bytes:
         return f.read()
 
 
+def _seeded(docs: DataFrame, key: str, text: str, keep: tuple[str, ...]) -> tuple[DataFrame, T.StructType]:
+    """Rows of ``keep``, the text and the seed, and the schema of their segmentations."""
+    keep = tuple(c for c in keep if c not in ADDED)
+    names = [c for c in docs.columns if c in keep or c == text]
+    rows = docs.select(*[F.col(c).cast("string").alias(c) if c == text else F.col(c) for c in names], F.xxhash64(key).alias("_seed"))
+    return rows, T.StructType([f for f in rows.schema.fields if f.name in keep] + [T.StructField(n, t) for n, t in ADDED.items()])
+
+
 def sampled(docs: DataFrame, model: bytes, k: int = SAMPLES, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Rows with the columns ``keep``, sample (1 to k, by perturbed score), n_pieces, piece_ids, log_prob, perturbed, inclusion.
 
@@ -473,11 +498,8 @@ def sampled(docs: DataFrame, model: bytes, k: int = SAMPLES, key: str = "doc_id"
     no pieces. Rows of equal key and text get equal rows. Columns named like the added ones are replaced.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
-    keep = tuple(c for c in keep if c not in ADDED)
-    names = [c for c in docs.columns if c in keep or c == text]
-    rows = docs.select(*[F.col(c).cast("string").alias(c) if c == text else F.col(c) for c in names], F.xxhash64(key).alias("_seed"))
-    schema = T.StructType([f for f in rows.schema.fields if f.name in keep] + [T.StructField(n, t) for n, t in ADDED.items()])
-    return rows.mapInArrow(_rows(held, k, text, [f.name for f in schema.fields if f.name in keep]), schema)
+    rows, schema = _seeded(docs, key, text, keep)
+    return rows.mapInArrow(_rows(held, k, text, [f.name for f in schema.fields if f.name not in ADDED]), schema)
 
 
 def texts_of(raw: pa.Array, lists: pa.ListArray) -> list[str | None]:
@@ -510,3 +532,25 @@ def decoded(rows: DataFrame, model: bytes, ids: str = "piece_ids", out: str = "t
     rows = rows.drop(out)
     at = rows.columns.index(ids)
     return rows.mapInArrow(_decoded(held, at, out), T.StructType([*rows.schema.fields, T.StructField(out, T.StringType())]))
+
+
+def _gives_back(of_rows, of_ids, text: str, names: list[str], out: str):
+    """``of_rows``, then ``of_ids`` on what it gives, batch by batch; whether each decoded text is the row's own, null as empty."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in of_ids(of_rows(batches)):
+            same = pc.equal(batch.column(out), pc.fill_null(batch.column(text), ""))
+            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], same], [*names, out])
+
+    return run
+
+
+def sampled_and_decoded(docs: DataFrame, model: bytes, k: int = SAMPLES, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ("doc_id",), out: str = "gives_text_back") -> DataFrame:
+    """Rows of ``sampled`` and whether ``decoded`` makes each one's text of its pieces.
+
+    Both run in one worker one after the other, so texts and pieces do not travel to the JVM and to a second worker between.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    rows, schema = _seeded(docs, key, text, (*keep, text))
+    names = [f.name for f in schema.fields if f.name in keep or f.name in ADDED]
+    step = _gives_back(_rows(held, k, text, [f.name for f in schema.fields if f.name not in ADDED]), _decoded(held, schema.names.index("piece_ids"), out), text, names, out)
+    return rows.mapInArrow(step, T.StructType([*[schema[n] for n in names], T.StructField(out, T.BooleanType())]))

@@ -602,6 +602,35 @@ def test_segmentations_of_the_whole_table_give_its_texts_back(spark):
     assert {r.sample for r in rows} == {1, 2} and all(r.gives_text_back for r in rows)
 
 
+def test_sampling_and_decoding_in_one_worker_equal_both_apart(spark, docs):
+    model = pieces.model_bytes()
+    got = pieces.sampled_and_decoded(docs, model)
+    apart_ = pieces.decoded(pieces.sampled(docs, model, keep=("doc_id", "text")), model, out="decoded")
+    apart_ = apart_.withColumn("gives_text_back", F.col("decoded") == F.coalesce("text", F.lit(""))).drop("text", "decoded")
+    assert got.schema == apart_.schema
+    assert sorted(map(str, got.collect())) == sorted(map(str, apart_.collect()))
+    steps = [r.count("MapInArrow") for r in (x._jdf.queryExecution().optimizedPlan().toString() for x in (got, apart_))]
+    assert steps == [1, 2]
+    assert "text" not in got.columns and pieces.sampled_and_decoded(docs, model, keep=("text", "doc_id")).columns[:2] == ["doc_id", "text"]
+
+
+@given(st.text(" \n\0\tab\u3000", max_size=14))
+def test_units_of_a_text_are_those_of_the_pattern(text):
+    assert pieces.units_of(text) == (pieces.UNIT.findall(" " + text) if text else [])
+
+
+def test_lattices_that_are_cleared_write_their_arrays_again():
+    sampler = pieces.Sampler(pieces.vocabulary(pieces.model_bytes()))
+    key = np.arange(3)
+    first = sampler.run(["the cat", "sat\non the mat", "\u4e00 x"], key, 2)
+    before = sampler.lattices.key.data
+    sampler.lattices.clear()
+    sampler.run(["other words", "than these", None], key, 2)
+    sampler.lattices.clear()
+    again = sampler.run(["the cat", "sat\non the mat", "\u4e00 x"], key, 2)
+    assert sampler.lattices.key.data is before and all((first[x] == again[x]).all() for x in ("text", "rank", "sizes", "ids"))
+
+
 def test_rows_are_told_apart_without_a_shuffle_of_all(spark):
     rows = make(spark, [(i % 400 or None, f"text {i % 300}") for i in range(2000)] + [(7, None), (None, None)])
     gone = make(spark, [(7, "text 7"), (None, "text 100"), (7, None), (9, "text 9"), (9, "text 9"), (12_345, "text 1")])
