@@ -14,7 +14,7 @@ depend on a text and the model alone.
 What a byte adds to counts and sums depends on its gram alone, the bytes before it and its word so far. So one pass over the
 training texts adds up how often each distinct gram occurs in either half; all counts and rounds go over distinct grams.
 
-The base score is a unigram with add-one smoothing over all training texts. Counts of the ``HOT`` most frequent tokens
+The base score is a unigram with add-one smoothing over all training texts. Counts of at most ``HOT`` of the most frequent tokens
 are looked up where the text is; the others meet their counts in a join, so the vocabulary may have any size.
 """
 
@@ -457,12 +457,12 @@ def log_odds(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
 
 
 def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (order, chunk): one row of log-odds and of how often slots were seen for each."""
+    """Rows sorted by (order, chunk): one row of log-odds (float32) and of how often slots were seen (int8) for each."""
     at, zeros, ones = None, None, None
 
     def row() -> pa.RecordBatch:
         seen = np.minimum(np.ceil(np.log2(zeros + ones + 1.0)), SEEN - 1).astype(np.int8)
-        return pa.RecordBatch.from_arrays([pa.array([at[0]], pa.int32()), pa.array([at[1]], pa.int32()), pa.array([log_odds(zeros, ones)], pa.list_(pa.float32())), pa.array([seen], pa.list_(pa.int8()))], ["kind", "chunk", "odds", "seen"])
+        return pa.RecordBatch.from_arrays([pa.array([at[0]], pa.int32()), pa.array([at[1]], pa.int32()), pa.array([log_odds(zeros, ones).tobytes()], pa.binary()), pa.array([seen.tobytes()], pa.binary())], ["kind", "chunk", "odds", "seen"])
 
     for batch in batches:
         kinds, chunks = batch.column(0).to_pylist(), batch.column(1).to_pylist()
@@ -482,14 +482,14 @@ def _tables(counted: DataFrame) -> tuple[list[np.ndarray], np.ndarray]:
     """Log-odds of all tables, and how often the words' slots were seen, from rows of counts."""
     order = ((F.col("kind") - 1) % TABLES + 1).alias("kind")
     summed = counted.select(order, "chunk", "counts").repartition("kind", "chunk").sortWithinPartitions("kind", "chunk") \
-        .mapInArrow(_sum, "kind int, chunk int, odds array<float>, seen array<byte>").toArrow()  # as many numbers as the tables have slots
+        .mapInArrow(_sum, "kind int, chunk int, odds binary, seen binary").toArrow()  # as many numbers as the tables have slots
     odds, seen = [np.zeros(1 << n, np.float32) for n in SLOTS], np.zeros(1 << SLOTS[-1], np.int8)
-    kinds, chunks, a, b = (summed.column(i).combine_chunks() for i in range(4))
-    for i in range(summed.num_rows):
-        kind, lo = kinds[i].as_py(), chunks[i].as_py() * CHUNK
-        odds[kind - 1][lo:lo + CHUNK] = a[i].values.to_numpy()
-        if kind == TABLES:
-            seen[lo:lo + CHUNK] = b[i].values.to_numpy()
+    for kinds, chunks, a, b in (batch.columns for batch in summed.to_batches()):
+        for i in range(len(kinds)):
+            kind, lo = kinds[i].as_py(), chunks[i].as_py() * CHUNK
+            odds[kind - 1][lo:lo + CHUNK] = np.frombuffer(a[i].as_buffer(), np.float32)
+            if kind == TABLES:
+                seen[lo:lo + CHUNK] = np.frombuffer(b[i].as_buffer(), np.int8)
     return odds, seen
 
 
@@ -504,6 +504,8 @@ def fit(texts: DataFrame, model: Model, *others: tuple[DataFrame, Model]) -> Non
     for i, (t, m) in enumerate(((texts, model), *others)):
         known = m.grams if m.grams is not None else scratch.put(packed_up(t.select("text", F.lit(True).alias("first")).mapInArrow(_gather, GATHERED)), f"grams_{i}")
         parts.append((known.select("grams"), spark.sparkContext.broadcast((m.odds, m.seen))))
+        if m.grams is not None:  # the tables are the tasks' from here on; what fits on all texts counts its own
+            m.odds, m.seen = [], None
 
     def round_of(name: str, size: int) -> np.ndarray:
         weights, refine = model.weights, model.refine
@@ -529,7 +531,7 @@ def fit(texts: DataFrame, model: Model, *others: tuple[DataFrame, Model]) -> Non
     for _ in range(REFINE_ROUNDS):
         model.step_refine(round_of("refine_sums", 2 * len(model.refine)))
     for _, tables in parts:
-        tables.unpersist()
+        tables.destroy()
     scratch.drop()
 
 
@@ -552,6 +554,16 @@ def train(docs: DataFrame, scratch: Scratch) -> tuple[Model, DataFrame]:
     return model, counts
 
 
+def hot_tokens(counts: DataFrame, most: int = HOT) -> dict[bytes, int]:
+    """The most frequent of ``counts(token, c)``, at most ``most``: all that occur more often than some number of times."""
+    sizes = counts.groupBy("c").agg(F.count("*").alias("n")).toArrow()  # as many rows as there are different counts
+    times, n = (sizes.column(i).to_numpy() for i in range(2))
+    order = np.argsort(times)[::-1]
+    left_out = times[order][np.cumsum(n[order]) > most]
+    hot = counts.where(F.col("c") > int(left_out[0] if len(left_out) else 0)).select("token", "c").toArrow()
+    return {bytes(t): c for batch in hot.to_batches() for t, c in zip(*(x.to_pylist() for x in batch.columns), strict=True)}
+
+
 def scored(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte for every row of ``docs``.
 
@@ -561,8 +573,10 @@ def scored(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     scratch = Scratch(spark, "mixing")
     model, counts = train(docs, scratch)
-    hot = {bytes(r["token"]): r["c"] for r in counts.orderBy(F.desc("c"), "token").limit(HOT).collect()}
-    held = spark.sparkContext.broadcast((model, hot))
+    scale = float(np.log10(model.tokens + model.vocabulary + 1))
+    train_tokens = model.tokens
+    held = spark.sparkContext.broadcast((model, hot_tokens(counts)))
+    del model
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -598,8 +612,7 @@ def scored(docs: DataFrame) -> DataFrame:
     out = scratch.put(rows.mapInArrow(run, f"row long, doc_id {kind}, n_tokens long, n_hot long, logs double, score double, n_bytes long, rest array<struct<token:binary,times:long>>"), "rows")
     rare = out.select("row", F.explode("rest").alias("r")).select("row", "r.token", "r.times").join(counts, "token") \
         .groupBy("row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("add"))
-    scale = float(np.log10(model.tokens + model.vocabulary + 1))
     return out.drop("rest").join(rare, "row", "left").select(
-        "doc_id", (remainder(F.col("doc_id"), FOLDS) == HELD).alias("held_out"), "n_tokens", (F.col("n_hot") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"),
+        "doc_id", (remainder(F.col("doc_id"), FOLDS) == HELD).alias("held_out"), "n_tokens", (F.col("n_hot") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(train_tokens).cast("long").alias("train_tokens"),
         (F.col("logs") + F.coalesce("add", F.lit(0.0)) - F.col("n_tokens") * F.lit(scale)).alias("base_score"), "score", "n_bytes",
         (-F.col("score") / float(np.log10(2)) / (F.col("n_bytes") + 1)).alias("bits_per_byte"))

@@ -631,6 +631,24 @@ def test_lattices_that_are_cleared_write_their_arrays_again():
     assert sampler.lattices.key.data is before and all((first[x] == again[x]).all() for x in ("text", "rank", "sizes", "ids"))
 
 
+def test_mixing_driver_holds_no_more_tokens_than_it_may(spark):
+    counts = {b"%d" % i: c for i, c in enumerate([9, 9, 9, 5, 5, 5, 5, 2, 1, 1, 1])}
+    rows = spark.createDataFrame([(bytearray(t), c) for t, c in counts.items()], "token binary, c long")
+    for most, least in ((0, 10), (2, 10), (3, 9), (6, 9), (7, 5), (8, 2), (10, 2), (11, 1), (99, 1)):
+        assert mixing.hot_tokens(rows, most) == {t: c for t, c in counts.items() if c >= least}
+    assert mixing.hot_tokens(rows.where("c < 0")) == {}
+
+
+def test_mixing_driver_lets_go_of_tables_that_tasks_have(spark, monkeypatch):
+    made = []
+    of = mixing.Model.of
+    monkeypatch.setattr(mixing.Model, "of", staticmethod(lambda odds, seen: made.append(of(odds, seen)) or made[-1]))
+    step, held = mixing.Model.step_weights, []
+    monkeypatch.setattr(mixing.Model, "step_weights", lambda self, sums: held.append(sum(len(o) for m in made for o in m.odds)) or step(self, sums))
+    model, _ = mixing.train(make(spark, [(i, f"text {i} of some words") for i in range(40)]), mixing.Scratch(spark, "test"))
+    assert held == [0] * mixing.WEIGHT_ROUNDS and [len(o) for o in model.odds] == [1 << s for s in mixing.SLOTS]
+
+
 def test_rows_are_told_apart_without_a_shuffle_of_all(spark):
     rows = make(spark, [(i % 400 or None, f"text {i % 300}") for i in range(2000)] + [(7, None), (None, None)])
     gone = make(spark, [(7, "text 7"), (None, "text 100"), (7, None), (9, "text 9"), (9, "text 9"), (12_345, "text 1")])
