@@ -58,6 +58,8 @@ GATES = 8 * SEEN
 LEVELS, RANGE = 24, 8.0
 #: Characters worked on at once, and distinct grams.
 TEXT_CHARS, BLOCK = 1_000_000, 16_384
+#: Places for grams whose log-probability a scoring task keeps, as a power of two (12 MB).
+KNOWN = 19
 #: Grams a task holds before it adds up equal ones; groups that grams are dealt to by hash.
 HELD_GRAMS, GROUPS = 1 << 21, 1 << 10
 GATHERED = "first boolean, grp int, grams binary, token binary, times long"
@@ -170,13 +172,13 @@ class Model:
         x = np.empty((TABLES, len(node)), np.float32)
         for o in range(TABLES):
             s = slots(hashes[o], at, o)
-            x[o] = self.odds[o][s]
-        return x, number * SEEN + self.seen[s].astype(np.int64)
+            x[o] = self.odds[o].take(s)
+        return x, number * SEEN + self.seen.take(s).astype(np.int64)
 
     def mixed(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        z = x[0] * self.weights[0][gate]
+        z = x[0] * self.weights[0].take(gate)
         for o in range(1, TABLES):
-            z += x[o] * self.weights[o][gate]
+            z += x[o] * self.weights[o].take(gate)
         return np.clip(z, -RANGE, RANGE, out=z)
 
     def refined(self, row: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -245,6 +247,26 @@ class Model:
         self.refine += np.clip((gradient - REFINE_RIDGE * (self.refine - levels())) / (curve + REFINE_RIDGE), -STEP, STEP).astype(np.float32)
 
 
+class Known:
+    """Log-probabilities of grams that a task met lately: a place by hash for each, which the next gram there takes over.
+    Grams are compared whole, so what is found is what the model gives."""
+
+    def __init__(self, model: Model):
+        self.model, n = model, 1 << KNOWN
+        self.key, self.word, self.value = np.full(n, -1, np.int64), np.zeros(n, np.uint64), np.zeros(n)
+
+    def nats(self, key: np.ndarray, word: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            at = (spread(mix64(key.astype(np.uint64)) ^ word) >> np.uint64(64 - KNOWN)).view(np.int64)
+        out = self.value.take(at)
+        new = np.flatnonzero((self.key.take(at) != key) | (self.word.take(at) != word))
+        if len(new):
+            at, key, word = at[new], key[new], word[new]
+            out[new] = value = self.model.nats(key, word)
+            self.key[at], self.word[at], self.value[at] = key, word, value  # of grams with one place, the last one in each array
+        return out
+
+
 def packed(slot: np.ndarray, zeros: np.ndarray, ones: np.ndarray) -> bytes:
     """Counts of some slots of a chunk; most are small, so their bytes are laid out by place and compressed."""
     planes = [slot.astype("<u2").view(np.uint8).reshape(-1, 2).T, *[c.astype("<u8").view(np.uint8).reshape(-1, 8).T for c in (zeros, ones)]]
@@ -580,7 +602,8 @@ def scored(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lm, known = held.value
+        model, known = held.value
+        lm = Known(model)
         base, number = TaskContext.get().partitionId() << 40, 0
         for batch in batches:
             for begin, end, texts in in_chunks(batch, "text", TEXT_CHARS):

@@ -631,6 +631,24 @@ def test_lattices_that_are_cleared_write_their_arrays_again():
     assert sampler.lattices.key.data is before and all((first[x] == again[x]).all() for x in ("text", "rank", "sizes", "ids"))
 
 
+def test_mixing_keeps_scores_of_grams_and_gives_those_of_the_model(monkeypatch):
+    rng = np.random.default_rng(5)
+    model = mixing.Model.of([rng.normal(0, 2, 1 << s).astype(np.float32) for s in mixing.SLOTS], rng.integers(0, 8, 1 << mixing.SLOTS[-1]).astype(np.int8))
+    key, word = mixing.grams(*mixing.byte_stream([f"the words {i % 70} of text {i % 9}" for i in range(300)]))
+    _, key, word = mixing.distinct(key, word)
+    for places in (3, 19):
+        monkeypatch.setattr(mixing, "KNOWN", places)
+        known, worked = mixing.Known(model), []
+        for _ in range(30):
+            some = rng.permutation(len(key))[:len(key) // 2]
+            assert (known.nats(key[some], word[some]) == model.nats(key[some], word[some])).all()
+        monkeypatch.setattr(model, "nats", lambda k, w: worked.append(len(k)) or np.zeros(len(k)))
+        known.nats(key, word)
+        monkeypatch.undo()
+        assert sum(worked) < len(key) / 4 if places == 19 else sum(worked) > len(key) / 2
+    assert len(mixing.Known(model).nats(key[:0], word[:0])) == 0
+
+
 def test_mixing_driver_holds_no_more_tokens_than_it_may(spark):
     counts = {b"%d" % i: c for i, c in enumerate([9, 9, 9, 5, 5, 5, 5, 2, 1, 1, 1])}
     rows = spark.createDataFrame([(bytearray(t), c) for t, c in counts.items()], "token binary, c long")
