@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -226,61 +227,143 @@ def pair_geometry_gate(pairs: DataFrame, correspondences: DataFrame, features: D
 # Tables of sampled descriptor bits, bits of a table, and the tables' bits a candidate has to share. With 24 true matches at 50 of
 # 256 differing bits some 7 keys are shared; two images of 1500 keypoints share 0.8 by chance.
 TABLES, KEY_BITS, MIN_SHARED = 48, 32, 3
+# Keys that are shuffled at a time (about 8 bytes each on disk), keys of a part, which one task holds; whose keypoints they are.
+AT_ONCE, PART = 1 << 26, 1 << 20
+MINE, THEIRS = 1, 2
 # Fixed value: distance in pixels up to which a match agrees with a homography. Samples drawn for each pair.
 REPROJECTION = 3.0
 SAMPLES = 1000
 
 
-def _sampled_keys(keypoints: DataFrame, image: str) -> DataFrame:
-    """``(image, key, rest)``: for each table the sampled bits of every descriptor less one of their four bytes, and that byte.
+def _sampled_keys(keypoints: DataFrame, tables: range, parts: int) -> DataFrame:
+    """``(part, packed)``: the sampled bits of every descriptor in each of ``tables``, by their upper and by their lower half.
 
-    ``key`` names the table, the byte left out and the 24 other bits. A row may repeat.
+    ``keypoints(image_id, d0..d3, side)``. Bits that differ in one place at most agree in a half, and all that agree in it are
+    in one of the ``parts``. ``packed`` holds many keys byte by byte: table and half, side, four bytes of bits, eight of image.
     """
-    tables, bits = TABLES, KEY_BITS
+    every, bits, flush = TABLES, KEY_BITS, 1 << 20
 
     # Local, so that it travels to the workers by value and they need not import this package.
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rng = np.random.default_rng(7)
-        places = [np.sort(rng.choice(256, bits, replace=False)) for _ in range(tables)]
+        places = [np.sort(rng.choice(256, bits, replace=False)) for _ in range(every)]
+        held, size = [], 0
+
+        def packed() -> pa.RecordBatch:
+            image, side, value = (np.concatenate(x, axis=-1) for x in zip(*held, strict=True))
+            n = value.size
+            table, value = np.repeat(np.array(tables, np.uint64), value.shape[1]), value.ravel()
+            rows, part = np.empty((2 * n, 14), np.uint8), np.empty(2 * n, np.uint32)
+            for half, same in enumerate((value >> 16, value & 0xFFFF)):
+                code, at = 2 * table + np.uint64(half), slice(half * n, half * n + n)
+                part[at] = ((same | code << np.uint64(16)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(parts)
+                rows[at, 0] = code
+                rows[at, 1] = np.tile(side, len(tables))
+                rows[at, 2:6] = value.astype("<u4").view(np.uint8).reshape(-1, 4)
+                rows[at, 6:] = np.tile(image.astype("<i8"), len(tables)).view(np.uint8).reshape(-1, 8)
+            rows = rows[np.argsort(part, kind="stable")]
+            names, counts = np.unique(part, return_counts=True)
+            ends = np.cumsum(counts)
+            return pa.RecordBatch.from_arrays([
+                pa.array(names.astype(np.int32)), pa.array([rows[a:b].T.tobytes() for a, b in zip(ends - counts, ends, strict=True)], pa.binary())], ["part", "packed"])
+
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
                 words = np.stack([part.column(i).to_numpy() for i in range(1, 5)], axis=1)
                 on = np.unpackbits(np.ascontiguousarray(words).view(np.uint8), axis=1)
-                value = np.stack([np.ascontiguousarray(np.packbits(on[:, p], axis=1)).view(">u4")[:, 0].astype(np.int64) for p in places], axis=1)
-                name = np.arange(tables, dtype=np.int64) << 26
-                key = np.stack([name | g << 24 | value >> 8 * g + 8 << 8 * g | value & (1 << 8 * g) - 1 for g in range(4)], axis=2)
-                rest = np.stack([value >> 8 * g & 255 for g in range(4)], axis=2)
-                images = np.repeat(part.column(0).to_numpy(), 4 * tables)
-                yield pa.RecordBatch.from_arrays([pa.array(images), pa.array(key.ravel()), pa.array(rest.ravel().astype(np.int16))], [image, "key", "rest"])
+                value = np.stack([np.ascontiguousarray(np.packbits(on[:, places[t]], axis=1)).view(">u4")[:, 0].astype(np.uint64) for t in tables])
+                held.append((part.column(0).to_numpy(), part.column(5).to_numpy(), value))
+                size += 2 * value.size
+                if size >= flush:
+                    yield packed()
+                    held, size = [], 0
+        if size:
+            yield packed()
 
     whole = keypoints.filter("d0 is not null and d1 is not null and d2 is not null and d3 is not null")
-    rows = whole.select(F.col("image_id").cast("bigint").alias("image_id"), *[F.col(d).cast("bigint").alias(d) for d in ("d0", "d1", "d2", "d3")])
-    return rows.mapInArrow(keys, f"{image} bigint, key bigint, rest smallint")
+    rows = whole.select(F.col("image_id").cast("bigint").alias("image_id"), *[F.col(d).cast("bigint").alias(d) for d in ("d0", "d1", "d2", "d3")], F.col("side").cast("int").alias("side"))
+    return rows.mapInArrow(keys, "part int, packed binary")
+
+
+def _meetings(packed: DataFrame) -> DataFrame:
+    """``(query_id, candidate_id, bits)`` of ``packed(part, packed)``, sorted by part: bits of a candidate that a query has but for one at most.
+
+    In a part the bits meet by their common half and one byte of the other; the byte left out decides. A row may repeat.
+    """
+    mine, theirs, chunk = MINE, THEIRS, 1 << 21
+
+    def meet(tv: np.ndarray, side: np.ndarray, image: np.ndarray, byte: int) -> Iterator[tuple[np.ndarray, ...]]:
+        key = tv & ~np.uint64(255 << byte)
+        order = np.argsort(key)
+        q, c = order[side[order] & mine > 0], order[side[order] & theirs > 0]
+        begin = np.searchsorted(key[c], key[q])
+        n = np.searchsorted(key[c], key[q], "right") - begin
+        total, at = np.cumsum(n), 0
+        while at < len(q):  # so many pairs at once
+            end = max(at + 1, int(np.searchsorted(total, total[at] - n[at] + chunk, "right")))
+            m = n[at:end]
+            i = np.repeat(q[at:end], m)
+            j = c[np.repeat(begin[at:end] - np.cumsum(m) + m, m) + np.arange(m.sum())]
+            off = np.bitwise_count(tv[i] ^ tv[j])
+            ok = ((off == 1) | (off == 0) & (byte == 0)) & (image[i] != image[j])  # equal bits meet by all four bytes
+            yield image[i[ok]], image[j[ok]], tv[j[ok]].view(np.int64)
+            at = end
+
+    def found(held: list[bytes]) -> Iterator[pa.RecordBatch]:
+        rows = np.concatenate([np.frombuffer(x, np.uint8).reshape(14, -1) for x in held], axis=1)
+        value, image = (np.ascontiguousarray(rows[a:b].T).view(kind)[:, 0] for a, b, kind in ((2, 6, "<u4"), (6, 14, "<i8")))
+        for half, free in ((0, (0, 8)), (1, (16, 24))):
+            of = np.flatnonzero(rows[0] & 1 == half)
+            tv = (rows[0, of] >> 1).astype(np.uint64) << np.uint64(32) | value[of]
+            order = np.lexsort((image[of], tv))  # what repeats in an image counts once
+            of, tv = of[order], tv[order]
+            new = np.ones(len(of), bool)
+            new[1:] = (tv[1:] != tv[:-1]) | (image[of[1:]] != image[of[:-1]])
+            of, tv = of[new], tv[new]
+            for byte in free:
+                for q, c, b in meet(tv, rows[1, of], image[of], byte):
+                    if len(q):
+                        yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(c), pa.array(b)], ["query_id", "candidate_id", "bits"])
+
+    def by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held = None, []
+        for batch in batches:
+            for p, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if p != part and held:
+                    yield from found(held)
+                    held = []
+                part = p
+                held.append(x)
+        if held:
+            yield from found(held)
+
+    return packed.mapInArrow(by_part, "query_id bigint, candidate_id bigint, bits bigint")
 
 
-def probed_candidates(queries: DataFrame, keypoints: DataFrame, usable: DataFrame, min_shared: int = MIN_SHARED) -> DataFrame:
+def probed_candidates(queries: DataFrame, keypoints: DataFrame, usable: DataFrame, min_shared: int = MIN_SHARED, at_once: int = AT_ONCE) -> DataFrame:
     """``(query_id, candidate_id, shared)`` by hashing of sampled descriptor bits, up to one of which may differ.
 
     ``queries(query_id, registry_id)`` name the images whose keypoints are looked up; candidates are the images of
-    ``usable(image_id)``. A descriptor has 32 sampled bits in each table; one that differs lies in one of their four bytes, so
-    the bits meet by the other three and the byte left out decides. Pairs that share the bits of ``min_shared`` different
-    descriptors or tables of the candidate stay; what repeats in an image counts once.
+    ``usable(image_id)``. A descriptor has 32 sampled bits in each table, and goes to those that agree in their upper and in
+    their lower half. Pairs that share the bits of ``min_shared`` different descriptors or tables of the candidate stay; what
+    repeats in an image counts once. About ``at_once`` keys are shuffled at a time, of one table at least: their pairs are
+    counted and their shuffles deleted before those of the next tables.
     """
     spark = keypoints.sparkSession
-    mine = _sampled_keys(keypoints.join(queries.select(F.col("query_id").alias("image_id")), "image_id", "left_semi"), "query_id")
-    theirs = _sampled_keys(keypoints.join(usable.select("image_id"), "image_id", "left_semi"), "candidate_id")
-    # Four keys for each of a table's bits: as many more partitions, whose keys are distinct where they are joined.
-    partitions = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    theirs = theirs.withColumnRenamed("rest", "their_rest").repartition(partitions, "key").distinct()
-    # A hash table of each partition of keys spares sorting them.
-    off, byte = F.col("rest").bitwiseXOR(F.col("their_rest")), F.shiftright("key", 24).bitwiseAND(3)
-    same = (off == 0) & (byte == 0)  # equal bits meet by all four bytes
-    met = mine.join(theirs.hint("shuffle_hash"), "key").filter((F.col("query_id") != F.col("candidate_id")) & (same | (F.bit_count(off) == 1)))
-    whole = F.expr("""shiftleft(shiftright(key, 26), 32) | shiftleft(shiftright(key & 16777215L, at), at + 8)
-                      | shiftleft(cast(their_rest as bigint), at) | (key & (shiftleft(1L, at) - 1L))""")
-    met = met.withColumn("at", (8 * byte).cast("int")).select("query_id", "candidate_id", whole.alias("bits"))
-    shared = met.groupBy("query_id", "candidate_id").agg(F.count_distinct("bits").alias("shared")).filter(F.col("shared") >= min_shared)
+    sides = queries.select(F.col("query_id").alias("image_id"), F.lit(MINE).alias("side")).union(usable.select("image_id", F.lit(THEIRS).alias("side")))
+    sides = sides.groupBy("image_id").agg(F.bit_or("side").alias("side"))
+    held = cut_lineage(spark, keypoints.join(sides, "image_id").select("image_id", "d0", "d1", "d2", "d3", "side"), "local_keypoints")
+    keys = 2 * held.count()
+    step = max(1, min(TABLES, at_once // max(1, keys)))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-keys * step // PART))
+    counts = []
+    for first in range(0, TABLES, step):
+        packed = _sampled_keys(held, range(first, min(TABLES, first + step)), parts)
+        met = _meetings(packed.repartition(parts, "part").sortWithinPartitions("part")).repartition("query_id", "candidate_id")
+        count = met.groupBy("query_id", "candidate_id").agg(F.count_distinct("bits").alias("shared"))
+        counts.append(count if step == TABLES else cut_lineage(spark, count, "local_counts"))
+    shared = reduce(lambda a, b: a.union(b), counts).groupBy("query_id", "candidate_id").agg(F.sum("shared").alias("shared")).filter(F.col("shared") >= min_shared)
     return shared.join(queries.select("query_id", "registry_id"), "query_id").filter("candidate_id <> registry_id").drop("registry_id")
 
 

@@ -10,6 +10,7 @@ from provspark.functions import boxes as B
 from provspark.operators import containment as CT
 from provspark.operators import localmatch as LM
 from provspark.operators import pixels as PX
+from provspark.session import FREE_SHUFFLES
 
 BOX = "a array<double>, b array<double>"
 
@@ -391,3 +392,38 @@ def test_homography_is_the_planted_one_and_the_same_each_time(spark):
     assert all(r.h is None and not r.is_inlier for r in got if r.query_id == 5)
     again = {(r.qx, r.is_inlier) for r in LM.homographies(df.repartition(5)).collect() if r.query_id == 1}
     assert again == {(r.qx, r.is_inlier) for r in got if r.query_id == 1}
+
+
+def test_probed_candidates_in_rounds_are_the_same_and_leave_no_shuffles(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [r for i in range(12) for r in _views(rng, 2 * i, 2 * i + 1, 30, 24, 640, 480)]
+    rows += [(i, 64 + j, *[7] * 4, 1.0, 1.0) for i in range(0, 24, 3) for j in range(3)]
+    keypoints = spark.createDataFrame(rows, KEYPOINTS).repartition(3)
+    queries = spark.createDataFrame([(i, i) for i in range(24)], "query_id bigint, registry_id bigint")
+    usable = spark.createDataFrame([(i,) for i in range(24)], "image_id bigint")
+    whole = sorted(LM.probed_candidates(queries, keypoints, usable).collect())
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {f.split("/")[-1] for f in disk.getAllFiles().mkString("\n").split("\n") if f.endswith(".data") and "shuffle_" in f}
+    before = files()
+    monkeypatch.setattr(LM, "PART", 2000)
+    few = LM.probed_candidates(queries, keypoints, usable, at_once=2 * len(rows) * 10)  # ten of the tables at a time
+    assert files() <= before
+    assert sorted(few.collect()) == whole and len(whole) >= 24
+    assert spark.conf.get(FREE_SHUFFLES, None) is None
+
+
+def test_sampled_keys_are_packed(spark):
+    """Two keys of 14 bytes for each table and descriptor, many to a row, each in the part of its half."""
+    rng = np.random.default_rng(6)
+    rows = [(i % 7, *map(int, rng.integers(-2**63, 2**63 - 1, 4, dtype=np.int64)), 3) for i in range(500)] + [(1, None, 1, 1, 1, 3)]
+    keypoints = spark.createDataFrame(rows, "image_id bigint, d0 bigint, d1 bigint, d2 bigint, d3 bigint, side int").repartition(2)
+    packed = LM._sampled_keys(keypoints, range(5, 9), 3).collect()
+    assert len(packed) == 2 * 3 and sum(len(r.packed) for r in packed) == 14 * 2 * 4 * 500
+    parts = {}
+    for r in packed:
+        a = np.frombuffer(r.packed, np.uint8).reshape(14, -1)
+        value = np.ascontiguousarray(a[2:6].T).view("<u4")[:, 0]
+        for code, v, image in zip(a[0].tolist(), value.tolist(), np.ascontiguousarray(a[6:].T).view("<i8")[:, 0].tolist()):
+            assert code // 2 in range(5, 9) and image in range(7)
+            parts.setdefault((code, v & 0xFFFF if code % 2 else v >> 16), set()).add(r.part)
+    assert all(len(p) == 1 for p in parts.values()) and {p for x in parts.values() for p in x} == {0, 1, 2}
