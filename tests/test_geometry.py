@@ -1,6 +1,7 @@
 """Crop boxes, containment, descriptor matching, the geometric gate and banners."""
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -407,6 +408,9 @@ def test_probed_candidates_in_rounds_are_the_same_and_leave_no_shuffles(spark, m
     before = files()
     monkeypatch.setattr(LM, "PART", 2000)
     few = LM.probed_candidates(queries, keypoints, usable, at_once=2 * len(rows) * 10)  # ten of the tables at a time
+    until = time.monotonic() + 20  # Spark deletes in the background
+    while files() - before and time.monotonic() < until:
+        time.sleep(0.1)
     assert files() <= before
     assert sorted(few.collect()) == whole and len(whole) >= 24
     assert spark.conf.get(FREE_SHUFFLES, None) is None
